@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-__all__ = ["checkpointed", "fresh", "fresh_names", "read", "rows_udf", "to_bytes"]
+__all__ = ["checkpointed", "fresh", "fresh_names", "read", "rows_udf", "shared_folder", "to_bytes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,16 +31,21 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return [fresh(df, n) for n in names]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share.
 
-    The folder is the session's `spark.checkpoint.dir`; only where none is set
-    (local tests) a temporary folder is chosen.
+    It is what `spark.checkpoint.dir` names; only where that is unset (local tests)
+    a temporary folder is chosen.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "aerolith-checkpoints"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "aerolith-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.llm import bpe, html_crf, langid, secrets, simhash
 from aerolith.llm.common import read
 from aerolith.llm.decontaminate import decontaminate, items_digest
 from aerolith.llm.linededup import dedup_lines
@@ -29,7 +31,35 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lines["n_lines"].alias("n_lines"), lines["n_dropped"].alias("n_dropped"), F.sha2(lines["kept"].cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op4_line_dedup)}
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = secrets.spans_text(F.col("spans"), secrets.KINDS[:3])
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.digest_column(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return read(spark, sf_dir, "documents").select("doc_id", tokens.alias("t")).select("doc_id", "t.*")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), langid.language_column(docs, model).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_html_text, op4_line_dedup, op5_bpe, op8_simhash, op10_language)}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
