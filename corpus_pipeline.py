@@ -1,8 +1,69 @@
-"""A corpus clean-up in stages, each of which calls one training-data operator."""
+"""A corpus clean-up in stages, each of which calls one training-data operator.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next stage's docs. All but the last keep the columns
+of `documents`; the last returns one row per document that is left.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aerolith.llm import bpe, langid, simhash
+from aerolith.llm.common import fresh, read, shared_folder
+from aerolith.llm.decontaminate import contamination
+from aerolith.llm.linededup import dedup_lines
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text, or no letter in it) go."""
+    train = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    found = fresh(docs, "found")
+    marked = docs.withColumn(found, langid.language_column(docs, langid.fit(train))["lang_pred"])
+    return marked.where(F.col(found) != langid.UNDETERMINED).drop(found)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten or more documents hold go from all of them."""
+    marked = dedup_lines(docs)
+    lines = marked.columns[-1]
+    text = F.col(lines)["kept"]
+    return marked.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-copies the document with the smallest id stays."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages make up a twentieth or more go."""
+    scan = fresh(docs, "scan")
+    marked = docs.withColumn(scan, contamination(docs, read(spark, sf_dir, "benchmark"), with_spans=False))
+    hit, words = F.col(scan)["n_hit"], F.col(scan)["n_words"]
+    return marked.where(~((hit > 0) & (20 * hit >= words))).drop(scan)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and digests of the ids and of the text decoded from them."""
+    found = bpe.digest_column(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return docs.select("doc_id", "lang", "source", found.alias("t")).select("doc_id", "lang", "source", "t.*")
+
+
+STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("BPE encoding and decoding", tokens)]
+
+#: SQL has neither the language model nor XXH64; the tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to `documents`; what a stage keeps is written to the cluster's shared folder."""
+    docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
