@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, html_crf, langid, secrets, simhash
+from aerolith.llm import bpe, html_crf, langid, media, quality, secrets, simhash
 from aerolith.llm.common import read
 from aerolith.llm.decontaminate import decontaminate, items_digest
 from aerolith.llm.linededup import dedup_lines
@@ -47,11 +47,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", tokens.alias("t")).select("doc_id", "t.*")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", media.digest_column(F.col("text")).alias("m")).select("doc_id", "m.*")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -59,7 +68,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), langid.language_column(docs, model).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_html_text, op4_line_dedup, op5_bpe, op8_simhash, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_html_text, op4_line_dedup, op5_bpe, op6_quality, op8_simhash, op9_media, op10_language)}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
