@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, html_crf, langid, media, quality, secrets, simhash
+from aerolith.llm import bpe, html_crf, langid, media, quality, secrets, simhash, suffixdedup
 from aerolith.llm.common import read
 from aerolith.llm.decontaminate import decontaminate, items_digest
 from aerolith.llm.linededup import dedup_lines
@@ -52,6 +52,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixdedup.dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col(out.columns[-1])
+    return out.select("doc_id", *[found[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.sha2(found["kept"], 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -68,7 +74,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), langid.language_column(docs, model).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_html_text, op4_line_dedup, op5_bpe, op6_quality, op8_simhash, op9_media, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_html_text, op4_line_dedup, op5_bpe, op6_quality, op7_substrings, op8_simhash, op9_media, op10_language)}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -92,4 +98,15 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(s
 FROM k LEFT JOIN c USING (key) GROUP BY r, doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_line_dedup": OP4_SQL}
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+p AS (SELECT r, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+f AS (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) > 1 AS again FROM p),
+b AS (SELECT r, unnest(range(0, length(h) // 2)) AS i FROM d WHERE length(h) > 0),
+c AS (SELECT b.r, b.i, coalesce(max(CASE WHEN f.again THEN 1 ELSE 0 END) OVER (PARTITION BY b.r ORDER BY b.i ROWS 99 PRECEDING), 0) AS gone FROM b LEFT JOIN f ON b.r = f.r AND b.i = f.i),
+e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY r ORDER BY i) AS was FROM c),
+k AS (SELECT e.r, count(*) AS n_bytes, sum(gone) AS n_removed, count(*) FILTER (gone = 1 AND was = 0) AS n_spans, string_agg(substr(h, 2 * i + 1, 2), '' ORDER BY i) FILTER (gone = 0) AS kept FROM e JOIN d ON e.r = d.r GROUP BY e.r)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_substrings": OP7_SQL}
