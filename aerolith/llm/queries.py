@@ -99,14 +99,16 @@ FROM k LEFT JOIN c USING (key) GROUP BY r, doc_id
 """
 
 OP7_SQL = r"""
-WITH d AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
-p AS (SELECT r, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
-f AS (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) > 1 AS again FROM p),
-b AS (SELECT r, unnest(range(0, length(h) // 2)) AS i FROM d WHERE length(h) > 0),
-c AS (SELECT b.r, b.i, coalesce(max(CASE WHEN f.again THEN 1 ELSE 0 END) OVER (PARTITION BY b.r ORDER BY b.i ROWS 99 PRECEDING), 0) AS gone FROM b LEFT JOIN f ON b.r = f.r AND b.i = f.i),
-e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY r ORDER BY i) AS was FROM c),
-k AS (SELECT e.r, count(*) AS n_bytes, sum(gone) AS n_removed, count(*) FILTER (gone = 1 AND was = 0) AS n_spans, string_agg(substr(h, 2 * i + 1, 2), '' ORDER BY i) FILTER (gone = 0) AS kept FROM e JOIN d ON e.r = d.r GROUP BY e.r)
-SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+z AS (SELECT r, base, substr(h, 2 * base + 1, 2 * (256 + 99)) AS h FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 99, 256)) AS base FROM d WHERE length(h) >= 200)),
+p AS (SELECT r, base + j AS i, hash(substr(h, 2 * j + 1, 200)) AS s, r * 4294967296 + base + j AS pl FROM (SELECT r, base, h, unnest(range(0, length(h) // 2 - 99)) AS j FROM z)),
+q AS (SELECT s, min(pl) AS first FROM p GROUP BY s HAVING count(*) > 1),
+a AS (SELECT p.r, p.i, CASE WHEN p.i - lag(p.i) OVER (PARTITION BY p.r ORDER BY p.i) <= 100 THEN 0 ELSE 1 END AS new FROM p JOIN q USING (s) WHERE p.pl <> q.first),
+n AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM a),
+v AS (SELECT r, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY r, k),
+g AS (SELECT v.r, v.a, v.b, d.h, lag(v.b, 1, 0) OVER w AS was, row_number() OVER w = count(*) OVER (PARTITION BY v.r) AS last FROM v JOIN d USING (r) WINDOW w AS (PARTITION BY v.r ORDER BY v.a)),
+k AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * was + 1, 2 * (a - was)) || CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM g GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_substrings": OP7_SQL}
