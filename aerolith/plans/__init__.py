@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def all_queries() -> tuple[dict, dict]:
     """(queries, SQL twins) of all registered plans."""
-    from aerolith.plans import flights
+    from aerolith.plans import flights, network
 
     queries, sql = {}, {}
-    for module in (flights,):
+    for module in (flights, network):
         queries |= module.R.queries
         sql |= module.R.sql
     return queries, sql

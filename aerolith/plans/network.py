@@ -1,0 +1,439 @@
+"""Registered queries over the live sky, registries, claims, estimates and search, with SQL twins where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aerolith.functions import text as tx
+from aerolith.operators import aggregates as ag
+from aerolith.operators import claims as cl
+from aerolith.operators import estimate as es
+from aerolith.operators import records as rc
+from aerolith.operators import registry as rg
+from aerolith.operators import replay as rp
+from aerolith.operators import schedule as sc
+from aerolith.operators import search as se
+from aerolith.operators import search2 as s2
+from aerolith.operators import windows as wi
+from aerolith.operators.cut import checkpointed
+from aerolith.plans.flights import FULL, routes_of, schedule
+from aerolith.plans.lenses import lens
+from aerolith.plans.registry import Registry
+from aerolith.streaming import live
+
+R = Registry()
+DAY = 86400.0
+
+
+def km(a: str, b: str, c: str, d: str, r: float = 6371.0088) -> str:
+    """Great-circle distance in SQL."""
+    return f"(2 * {r} * asin(least(1.0, sqrt(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))))"
+
+
+def bearing(a: str, b: str, c: str, d: str) -> str:
+    x = f"degrees(atan2(sin(radians({d} - {b})) * cos(radians({c})), cos(radians({a})) * sin(radians({c})) - sin(radians({a})) * cos(radians({c})) * cos(radians({d} - {b}))))"
+    return f"(({x} + 720) % 360)"
+
+
+# --- registries -----------------------------------------------------------------------------------------------------
+
+
+def _incoming(spark: SparkSession, sf: str) -> DataFrame:
+    a = lens(spark, sf, "airframes_ref")
+    return a.where("year % 3 <> 0").select("hex", F.when(F.col("year") % 2 == 0, F.concat(F.lit("N-"), "hex")).alias("registration"), F.lit("T9").alias("type_code"), F.lit(None).cast("string").alias("operator_name"), F.lit(None).cast("string").alias("operator_norm"), F.lit("ZZX").alias("operator_icao"), F.lit(None).cast("int").alias("year"), F.lit("01").alias("flags"))
+
+
+@R.add("""WITH i AS (SELECT hex, CASE WHEN year % 2 = 0 THEN concat('N-', hex) END AS reg FROM airframes_ref WHERE year % 3 <> 0),
+j AS (SELECT a.*, i.hex IS NOT NULL AS hit, i.reg AS n_reg, a.source IN ('registry', 'override') AS outranked FROM airframes_ref a LEFT JOIN i USING (hex))
+SELECT hex, CASE WHEN hit AND n_reg IS NOT NULL AND NOT outranked THEN n_reg ELSE registration END AS registration, CASE WHEN hit AND NOT outranked THEN 'T9' ELSE type_code END AS type_code,
+ CASE WHEN hit AND (NOT outranked OR operator_icao IS NULL) THEN 'ZZX' ELSE operator_icao END AS operator_icao, CASE WHEN hit AND NOT outranked THEN '01' ELSE flags END AS flags, CASE WHEN hit AND NOT outranked THEN 'tar1090' ELSE source END AS source FROM j""", "airframes_ref")
+def registry_merge(spark, sf):
+    base = lens(spark, sf, "airframes_ref")
+    return rg.merge_airframes(base, _incoming(spark, sf), "tar1090").select("hex", "registration", "type_code", "operator_icao", "flags", "source")
+
+
+def _blocks(spark: SparkSession) -> DataFrame:
+    rows = [(0, 4095, "AA"), (16, 63, "BB"), (32, 40, "CC"), (256, 511, "DD"), (8192, 16383, "EE")]
+    return spark.createDataFrame(rows, "lo long, hi long, state string")
+
+
+@R.add("""WITH b AS (SELECT * FROM (VALUES (0, 4095, 'AA'), (16, 63, 'BB'), (32, 40, 'CC'), (256, 511, 'DD'), (8192, 16383, 'EE')) t(lo, hi, state)), p AS (SELECT DISTINCT hex, cast(concat('0x', hex) AS bigint) AS a FROM positions)
+SELECT hex, (SELECT arg_min(state, hi - lo) FROM b WHERE p.a BETWEEN lo AND hi) AS state FROM p""", "positions")
+def state_of_hex(spark, sf):
+    return rg.state_of_hex(lens(spark, sf, "positions").select("hex").distinct(), _blocks(spark))
+
+
+def _catalog(spark: SparkSession, sf: str) -> DataFrame:
+    c = lens(spark, sf, "claims").where("status = 'approved'")
+    return c.select("callsign", "origin", "dest", F.lit(None).cast("array<string>").alias("via"), "valid_from", F.when(F.col("id") % 3 == 0, F.date_add("valid_from", 400)).alias("valid_to"), F.lit(None).cast("string").alias("closed_reason"), F.lit("community").alias("source"), F.col("id").alias("claim_id"))
+
+
+@R.add("""WITH c AS (SELECT callsign, origin, dest, valid_from, id AS claim_id, CASE WHEN id % 3 = 0 THEN valid_from + 400 END AS valid_to FROM claims WHERE status = 'approved')
+SELECT callsign, origin, dest, claim_id FROM c WHERE valid_from <= DATE '1999-06-01' AND (valid_to IS NULL OR valid_to > DATE '1999-06-01') QUALIFY row_number() OVER (PARTITION BY callsign ORDER BY valid_from DESC, claim_id DESC) = 1""", "claims")
+def catalog_asof(spark, sf):
+    return rg.catalog_current(_catalog(spark, sf), F.lit("1999-06-01").cast("date")).select("callsign", "origin", "dest", "claim_id")
+
+
+@R.add("""WITH o AS (SELECT id AS number, reviewed_at AS "at", CASE id % 5 WHEN 0 THEN '1-UR GENT' WHEN 1 THEN '2-high' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '5-LOW' ELSE '4-NOT SPECIFIED' END AS reg FROM claims WHERE id % 50 = 0),
+s AS (SELECT airframe_id, upper(replace(replace(value, '-', ''), ' ', '')) AS reg, first_date, last_date FROM spells WHERE kind = 'registration')
+SELECT airframe_id, cast(o."at" AS varchar) AS "at", max(number) AS number FROM o JOIN s ON upper(replace(replace(o.reg, '-', ''), ' ', '')) = s.reg AND cast(o."at" AS date) BETWEEN first_date - 30 AND last_date + 30 GROUP BY airframe_id, o."at"""", "claims", "spells")
+def occurrence_attach(spark, sf):
+    c = lens(spark, sf, "claims").where("id % 50 = 0")
+    names = F.array(*map(F.lit, ("1-UR GENT", "2-high", "3-MEDIUM", "5-LOW", "4-NOT SPECIFIED")))
+    o = c.select(F.col("id").alias("number"), F.col("reviewed_at").alias("at"), F.element_at(names, (F.col("id") % 5 + 1).cast("int")).alias("registration"))
+    return rg.attach_occurrences(o, lens(spark, sf, "spells")).select("airframe_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "number")
+
+
+@R.add("SELECT value AS hex, arg_max(airframe_id, (first_date, airframe_id)) AS airframe_id FROM spells WHERE kind = 'hex' GROUP BY value", "spells")
+def airframe_of_hex(spark, sf):
+    return rg.airframe_of_hex(lens(spark, sf, "spells"))
+
+
+@R.add("SELECT callsign FROM (SELECT DISTINCT callsign FROM routes) r WHERE callsign NOT IN (SELECT callsign FROM claims WHERE status = 'approved' AND id % 3 <> 0)", "routes", "claims")
+def unanswered(spark, sf):
+    return cl.unanswered(lens(spark, sf, "routes").select("callsign").distinct(), _catalog(spark, sf))
+
+
+# --- claims ---------------------------------------------------------------------------------------------------------
+
+
+@R.add("WITH n AS (SELECT handle, count(DISTINCT c.id) AS answers, max(reviewed_at) AS seen FROM claims c JOIN endorsements e ON c.id = e.claim_id WHERE status = 'approved' AND handle IS NOT NULL GROUP BY handle) SELECT handle, answers, cast(seen AS date) AS latest FROM n ORDER BY answers DESC, seen, handle LIMIT 200", "claims", "endorsements", dates="latest")
+def contributors(spark, sf):
+    return ag.contributors(lens(spark, sf, "claims"), lens(spark, sf, "endorsements"))
+
+
+@R.add("SELECT count(*) AS pending, count(*) FILTER (anonymous_count > 0 OR id IN (SELECT claim_id FROM endorsements WHERE key_name IS NULL OR key_name NOT IN ('evidence', 'timetable'))) AS pending_people FROM claims WHERE status = 'pending'", "claims", "endorsements")
+def claim_backlog(spark, sf):
+    return ag.claim_backlog(lens(spark, sf, "claims"), lens(spark, sf, "endorsements"))
+
+
+@R.add("SELECT c.id, c.anonymous_count AS anonymous, count(DISTINCT key_name) AS keyed, count(DISTINCT handle) AS named FROM claims c LEFT JOIN endorsements e ON e.claim_id = c.id GROUP BY ALL", "claims", "endorsements")
+def claim_voices(spark, sf):
+    return ag.voices(lens(spark, sf, "claims"), lens(spark, sf, "endorsements"))
+
+
+@R.add("SELECT id FROM claims WHERE status IN ('approved', 'pending') AND anonymous_count = 0 AND id IN (SELECT claim_id FROM endorsements WHERE key_name = 'timetable') AND id NOT IN (SELECT claim_id FROM endorsements WHERE key_name IS NULL OR key_name <> 'timetable')", "claims", "endorsements")
+def only_voice(spark, sf):
+    return cl.only_voice(lens(spark, sf, "claims"), lens(spark, sf, "endorsements"), "timetable").select("id")
+
+
+@R.add("""WITH c AS (SELECT callsign, origin, dest, id AS claim_id, CASE WHEN id % 3 = 0 THEN valid_from + 400 END AS valid_to FROM claims WHERE status = 'approved'), r AS (SELECT callsign, min(concat(a, '>', b)) AS chain FROM routes GROUP BY callsign)
+SELECT claim_id, CASE WHEN valid_to IS NULL AND r.chain IS NOT NULL THEN CASE WHEN r.chain = concat(origin, '>', dest) THEN 'observed' ELSE 'contradicted' END END AS closed_reason FROM c LEFT JOIN r USING (callsign)""", "claims", "routes")
+def catalog_reconcile(spark, sf):
+    first = lens(spark, sf, "routes").groupBy("callsign").agg(F.min(F.concat_ws(">", "a", "b")).alias("p")).select("callsign", F.split("p", ">").alias("chain"))
+    return cl.reconcile(_catalog(spark, sf), first, F.lit("2002-01-01").cast("date")).select("claim_id", "closed_reason")
+
+
+def _gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Open questions from one-sided legs: the origin is known, the last heading and distance are made by arithmetic."""
+    legs = lens(spark, sf, "legs").where("dst is null")
+    g = legs.groupBy("callsign").agg(F.min("org").alias("known"), F.count(F.lit(1)).cast("int").alias("n_recent"), F.max("dep_ts").alias("m"))
+    none = lambda t: F.lit(None).cast(t)
+    return g.select("callsign", F.lit("dest").alias("side"), "known", none("string").alias("hint"), none("array<string>").alias("chain"), F.lit("A388").alias("type"), "n_recent", (F.col("m") % 9000 + 500).cast("double").alias("est_km"), F.lit(3).alias("n_rot"), F.lit(0.0).alias("last_lat"), F.lit(0.0).alias("last_lon"), none("double").alias("last_trk"), none("array<bigint>").alias("known_ts"))
+
+
+GAPS = "gp AS (SELECT callsign, min(org) AS known, cast(max(dep_ts) % 9000 + 500 AS double) AS est FROM legs WHERE dst IS NULL GROUP BY callsign)"
+NETWORK = "nw AS (SELECT substr(callsign, 1, 3) AS al, code, count(*) AS n FROM (SELECT DISTINCT callsign, a, b, unnest([a, b]) AS code FROM routes) GROUP BY ALL)"
+
+
+@R.add(f"""WITH {GAPS}, {NETWORK}, c AS (SELECT g.callsign, a.iata AS code, {km('k.lat', 'k.lon', 'a.lat', 'a.lon', 6371.0)} AS d, greatest(400.0, 0.25 * est) AS tol, est FROM gp g JOIN airports k ON k.iata = g.known JOIN airports a ON a.role = 'commercial' AND a.iata <> g.known),
+f AS (SELECT c.*, coalesce(n, 0) AS n_routes FROM c LEFT JOIN nw ON al = substr(callsign, 1, 3) AND nw.code = c.code WHERE abs(d - est) <= tol AND d <= 15000)
+SELECT callsign, code, n_routes, row_number() OVER (PARTITION BY callsign ORDER BY n_routes DESC, abs(d - est), code) AS rank FROM f QUALIFY rank <= 3""", "legs", "routes", "airports")
+def gap_candidates(spark, sf):
+    network = ag.network_by_airline(routes_of(spark, sf))
+    return cl.gap_candidates(_gaps(spark, sf), lens(spark, sf, "airports"), network).select("callsign", "code", "n_routes", "rank")
+
+
+@R.add(None)
+def claim_checks(spark, sf):
+    """All fourteen checks of every pending answer and its verdict; the tests hold each check against hand-made cases."""
+    claims = lens(spark, sf, "claims").withColumns({"verdict": F.lit(None).cast("string"), "reviewed_by": F.lit(None).cast("string")})
+    timetable = checkpointed(schedule(spark, sf)).withColumns({"source": F.lit("published"), "flight": F.concat(F.substring("callsign", 1, 2), F.expr("substring(callsign, 4)"))})
+    return cl.check_claims(claims.where("status = 'pending'"), _gaps(spark, sf), lens(spark, sf, "airports"), _catalog(spark, sf), timetable, lens(spark, sf, "airlines"), routes_of(spark, sf), lens(spark, sf, "legs"), lens(spark, sf, "endorsements"), F.lit("2001-12-01").cast("date"))
+
+
+# --- the sky --------------------------------------------------------------------------------------------------------
+
+
+@R.add("""WITH s AS (SELECT *, lag(t) OVER (PARTITION BY hex ORDER BY t, event_id) AS was FROM positions WHERE squawk IS NOT NULL), e AS (SELECT *, sum(CASE WHEN t - was > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY hex ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS ep FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY hex, ep ORDER BY t, event_id) AS n, min(t) OVER (PARTITION BY hex, ep ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS since, first_value(squawk) OVER (PARTITION BY hex, ep ORDER BY t, event_id) AS code FROM e)
+SELECT hex, cast(since AS bigint) AS at, code, CASE WHEN code = '7500' THEN 'held' ELSE 'public' END AS visibility FROM n WHERE n >= 2 AND t - since >= 20 QUALIFY row_number() OVER (PARTITION BY hex, ep ORDER BY t, event_id) = 1""", "positions")
+def emergency_episodes_batch(spark, sf):
+    p = lens(spark, sf, "positions").withColumns({"emergency": F.lit(None).cast("string"), "ts": F.timestamp_seconds("t")})
+    return live.emergency_episodes_batch(p, gap_s=DAY).select("hex", F.col("at").cast("long").alias("at"), "code", "visibility")
+
+
+@R.add("WITH l AS (SELECT *, row_number() OVER (PARTITION BY hex ORDER BY t DESC, event_id DESC) AS r FROM positions) SELECT hex, t, lat, lon FROM l WHERE r = 1 AND (SELECT max(t) FROM positions) - t <= 86400", "positions")
+def latest_sky_batch(spark, sf):
+    p = lens(spark, sf, "positions").withColumn("ts", F.timestamp_seconds("t"))
+    return live.latest_sky_batch(p, ttl_s=DAY).select("hex", F.col("t").cast("long").alias("t"), "lat", "lon")
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    """One report per aircraft and second."""
+    p = lens(spark, sf, "positions")
+    return wi.top_k(p, ["hex", "t"], [F.col("event_id")], 1, "_r").select("hex", F.col("t").cast("double").alias("t"), "lat", "lon", "alt_ft", "on_ground", "gs", "track", F.col("flight").alias("callsign"))
+
+
+POINTS = "pt AS (SELECT hex, t, lat, lon, alt_ft, on_ground, gs, track, flight AS callsign FROM positions QUALIFY row_number() OVER (PARTITION BY hex, t ORDER BY event_id) = 1)"
+
+
+@R.add(f"""WITH {POINTS}, a AS (SELECT *, lag(t) OVER w AS tp, lag(on_ground) OVER w AS gp FROM pt WINDOW w AS (PARTITION BY hex ORDER BY t)), b AS (SELECT *, sum(CASE WHEN tp IS NULL OR t - tp > 86400 OR (gp AND NOT on_ground) THEN 1 ELSE 0 END) OVER (PARTITION BY hex ORDER BY t ROWS UNBOUNDED PRECEDING) AS seg FROM a),
+c AS (SELECT * FROM b QUALIFY seg = max(seg) OVER (PARTITION BY hex)), d AS (SELECT hex, arg_min(on_ground, t) AS first_ground, arg_min(coalesce(gp, false), t) AS before_ground, min(t) FILTER (NOT on_ground) AS take_t, arg_min(alt_ft, t) FILTER (NOT on_ground) AS take_alt, max(t) FILTER (NOT on_ground) AS last_air FROM c GROUP BY hex),
+e AS (SELECT c.hex, min(c.t) AS land FROM c JOIN d USING (hex) WHERE on_ground AND c.t > last_air GROUP BY ALL)
+SELECT d.hex, CASE WHEN take_t IS NOT NULL AND (before_ground OR first_ground OR take_alt <= 5000) THEN take_t END AS dep_t, land AS arr_t FROM d LEFT JOIN e USING (hex)""", "positions")
+def flight_bounds(spark, sf):
+    return wi.flight_bounds(_points(spark, sf), gap_s=DAY).select("hex", F.col("dep_t").cast("long").alias("dep_t"), F.col("arr_t").cast("long").alias("arr_t"))
+
+
+@R.add(f"WITH {POINTS}, c AS (SELECT hex, t, callsign, lag(callsign) OVER (PARTITION BY hex ORDER BY t) AS was FROM pt) SELECT hex, t, callsign FROM c WHERE was IS NULL OR was <> callsign", "positions")
+def callsign_changes(spark, sf):
+    return wi.callsign_changes(_points(spark, sf)).withColumn("t", F.col("t").cast("long"))
+
+
+@R.add("WITH s AS (SELECT t // 900 AS slice, count(DISTINCT hex) AS n FROM positions GROUP BY ALL) SELECT slice * 900 // 300 * 300 AS bucket, max(n) AS aircraft FROM s GROUP BY ALL", "positions")
+def traffic_timeline(spark, sf):
+    p = lens(spark, sf, "positions").withColumn("ts", F.timestamp_seconds("t"))
+    return ag.traffic_timeline(p, slice_s=900).withColumn("bucket", F.col("bucket").cast("long"))
+
+
+@R.add(f"WITH d AS (SELECT *, {km('10', '20', 'lat', 'lon', 3440.065)} AS nm FROM positions) SELECT hex, min(t) AS first, max(t) AS last, round(min(nm), 3) AS closest_nm FROM d WHERE nm <= 900 AND t >= 1704700000 GROUP BY hex ORDER BY last DESC, hex LIMIT 500", "positions")
+def near_history(spark, sf):
+    p = lens(spark, sf, "positions").withColumn("ts", F.timestamp_seconds("t"))
+    near = ag.near_history(p, 10.0, 20.0, 900, F.timestamp_seconds(F.lit(1704700000)))
+    return near.select("hex", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.bround("closest_nm", 3).alias("closest_nm"))
+
+
+SNAP = "s{n} AS (SELECT hex, lat, lon, alt_ft, squawk FROM positions WHERE t <= {at} QUALIFY row_number() OVER (PARTITION BY hex ORDER BY t DESC, event_id DESC) = 1 AND {at} - t <= 86400)"
+AT = (1705500000, 1705550000)
+
+
+def _snapshot(spark: SparkSession, sf: str, at: int) -> DataFrame:
+    p = lens(spark, sf, "positions").where(F.col("t") <= at).withColumn("ts", F.timestamp_seconds("t"))
+    return live.latest_sky_batch(p, now=at, ttl_s=DAY).select("hex", "lat", "lon", "alt_ft", "squawk")
+
+
+@R.add(f"""WITH {SNAP.format(n=0, at=AT[0])}, {SNAP.format(n=1, at=AT[1])} SELECT coalesce(a.hex, b.hex) AS hex, CASE WHEN a.hex IS NULL THEN 'added' WHEN b.hex IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM s0 a FULL JOIN s1 b ON a.hex = b.hex WHERE a.hex IS NULL OR b.hex IS NULL OR (a.lat, a.lon, a.alt_ft, a.squawk) IS DISTINCT FROM (b.lat, b.lon, b.alt_ft, b.squawk)""", "positions")
+def sky_changes(spark, sf):
+    return live.sky_changes(_snapshot(spark, sf, AT[0]), _snapshot(spark, sf, AT[1])).select("hex", "change")
+
+
+@R.add(f"""WITH {SNAP.format(n=0, at=AT[0])}, {SNAP.format(n=1, at=AT[1])}, f AS (SELECT b.hex, unnest(['lat', 'lon', 'alt_ft', 'squawk']) AS field, unnest([cast(a.lat AS varchar), cast(a.lon AS varchar), cast(a.alt_ft AS varchar), a.squawk]) AS o, unnest([cast(b.lat AS varchar), cast(b.lon AS varchar), cast(b.alt_ft AS varchar), b.squawk]) AS n FROM s1 b LEFT JOIN s0 a USING (hex))
+SELECT hex, field FROM f WHERE o IS DISTINCT FROM n""", "positions")
+def field_patches(spark, sf):
+    p = live.field_patches(_snapshot(spark, sf, AT[0]), _snapshot(spark, sf, AT[1]))
+    return p.select("hex", F.explode(F.map_keys("patch")).alias("field"))
+
+
+@R.add("SELECT count(*) AS aircraft, count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS with_position FROM positions", "positions")
+def sky_counts(spark, sf):
+    return ag.sky_counts(lens(spark, sf, "positions"))
+
+
+@R.add("""WITH k AS (SELECT p.hex, min(a.registration) AS registration, min(a.type_code) AS type_code, min(coalesce(l.name, a.operator_name)) AS operator, bool_or(substr(a.flags, 1, 1) = '1') AS military FROM positions p LEFT JOIN airframes_ref a USING (hex) LEFT JOIN airlines l ON l.icao = a.operator_icao GROUP BY p.hex)
+SELECT hex, registration, type_code, operator, coalesce(military, false) AS military FROM k""", "positions", "airframes_ref", "airlines")
+def enrich_sky(spark, sf):
+    types = spark.createDataFrame([], "designator string, name string, category string")
+    e = rg.enrich_airframes(lens(spark, sf, "positions").select("hex").distinct(), lens(spark, sf, "airframes_ref"), lens(spark, sf, "airlines"), types)
+    return e.select("hex", "registration", "type_code", "operator", tx.military("flags").alias("military"))
+
+
+# --- estimates ------------------------------------------------------------------------------------------------------
+
+
+def _est_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return lens(spark, sf, "routes").groupBy("callsign").agg(F.min(F.concat_ws(">", "a", "b")).alias("p")).select("callsign", F.split("p", ">").alias("chain"))
+
+
+def _estimates(spark: SparkSession, sf: str, methods: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    return es.backtest_estimator(_points(spark, sf), _est_routes(spark, sf), lens(spark, sf, "airports"), methods)
+
+
+EST = f"""{POINTS}, pr AS (SELECT *, lead(t) OVER w AS t2, lead(lat) OVER w AS la2, lead(lon) OVER w AS lo2, lead(alt_ft) OVER w AS al2, lead(callsign) OVER w AS c2 FROM pt WINDOW w AS (PARTITION BY hex ORDER BY t)),
+er AS (SELECT callsign, min(concat(a, '>', b)) AS p FROM routes GROUP BY callsign),
+dg AS (SELECT pr.*, t2 - t AS dt, d.lat AS dla, d.lon AS dlo, {km('pr.lat', 'pr.lon', 'd.lat', 'd.lon')} AS dk, {bearing('pr.lat', 'pr.lon', 'd.lat', 'd.lon')} AS br FROM pr JOIN er USING (callsign) JOIN airports d ON d.iata = split_part(er.p, '>', 2) WHERE t2 - t >= 300 AND alt_ft >= 18000 AND gs >= 250),
+es AS (SELECT * FROM dg WHERE dk >= 250 AND abs((br - track + 540) % 360 - 180) <= 100 AND dt <= least(28800.0, greatest(0.0, dk - 150) / (greatest(gs, 250) * 1.852 / 3600) * 1.1)),
+bk AS (SELECT *, gs * 1.852 / 3600 * dt AS flown FROM es WHERE al2 >= 10000 AND c2 = callsign)"""
+
+
+def _forward(lat: str, lon: str, head: str, dist: str) -> tuple[str, str]:
+    p2 = f"asin(greatest(-1.0, least(1.0, sin(radians({lat})) * cos({dist} / 6371.0088) + cos(radians({lat})) * sin({dist} / 6371.0088) * cos(radians({head})))))"
+    l2 = f"radians({lon}) + atan2(sin(radians({head})) * sin({dist} / 6371.0088) * cos(radians({lat})), cos({dist} / 6371.0088) - sin(radians({lat})) * sin({p2}))"
+    return f"degrees({p2})", f"((degrees({l2}) + 540) % 360 - 180)"
+
+
+def _estimate_sql(head: str, dist: str) -> str:
+    la, lo = _forward("lat", "lon", head, dist)
+    left, err = km("ela", "elo", "dla", "dlo"), km("ela", "elo", "la2", "lo2")
+    return f"WITH {EST}, e AS (SELECT *, {la} AS ela, {lo} AS elo FROM bk) SELECT hex, t, round({err}, 1) AS error_km FROM e WHERE {left} >= 150"
+
+
+def _rows(rows: DataFrame) -> DataFrame:
+    return rows.select("hex", F.col("t").cast("long").alias("t"), F.bround("error_km", 1).alias("error_km"))
+
+
+@R.add(_estimate_sql("track", "flown"), "positions", "routes", "airports")
+def estimate_gaps_dr(spark, sf):
+    return _rows(_estimates(spark, sf, ("dr",))[1])
+
+
+@R.add(_estimate_sql("br", "least(flown, dk)"), "positions", "routes", "airports")
+def estimate_gaps_gc(spark, sf):
+    return _rows(_estimates(spark, sf, ("gc",))[1])
+
+
+@R.add(None)
+def estimate_gaps_converge(spark, sf):
+    """The step-wise method over every gap; the tests hold it against a plain loop."""
+    return _estimates(spark, sf, ("converge",))[1]
+
+
+@R.add(f"WITH {EST}, g AS (SELECT * FROM pr WHERE t2 - t >= 300) SELECT (SELECT count(DISTINCT hex) FROM pt) AS traces, (SELECT count(*) FROM g) AS gaps, (SELECT count(*) FROM g WHERE alt_ft >= 18000 AND gs >= 250) AS cruising, (SELECT count(*) FROM dg WHERE dk >= 250 AND abs((br - track + 540) % 360 - 180) <= 100) AS routed, (SELECT count(*) FROM es) AS estimated, (SELECT count(*) FROM es) - (SELECT count(*) FROM bk) AS landed_or_off, (SELECT count(*) FROM bk) AS reacquired_en_route", "positions", "routes", "airports")
+def estimate_funnel(spark, sf):
+    return _estimates(spark, sf, ("dr",))[0]
+
+
+# --- records and boards ---------------------------------------------------------------------------------------------
+
+
+@R.add(f"WITH {FULL}, k AS (SELECT * FROM sched QUALIFY row_number() OVER (PARTITION BY org ORDER BY n_flights DESC, callsign, org, dst) <= 80) SELECT org, callsign, dst, row_number() OVER (PARTITION BY org ORDER BY dep_min ASC NULLS LAST, callsign, org, dst) AS place, CASE WHEN dep_min IS NOT NULL THEN concat(lpad(cast(dep_min // 60 AS varchar), 2, '0'), ':', lpad(cast(dep_min % 60 AS varchar), 2, '0')) END AS time FROM k", "legs", "airports")
+def airport_board(spark, sf):
+    return rc.board(schedule(spark, sf), lens(spark, sf, "airlines")).select("org", "callsign", "dst", "place", "time")
+
+
+@R.add(f"WITH {FULL}, k AS (SELECT * FROM sched QUALIFY row_number() OVER (PARTITION BY dst ORDER BY n_flights DESC, callsign, org, dst) <= 80) SELECT dst, callsign, org, row_number() OVER (PARTITION BY dst ORDER BY arr_min ASC NULLS LAST, callsign, org, dst) AS place FROM k", "legs", "airports")
+def airport_arrivals(spark, sf):
+    return rc.arrivals_board(schedule(spark, sf), lens(spark, sf, "airlines")).select("dst", "callsign", "org", "place")
+
+
+@R.add(f"WITH {FULL}, k AS (SELECT * FROM sched QUALIFY row_number() OVER (PARTITION BY org ORDER BY n_flights DESC, callsign, org, dst) <= 80), n AS (SELECT org, airline_icao, sum(n_flights) AS n FROM k WHERE airline_icao <> '' GROUP BY ALL) SELECT org, airline_icao, n, row_number() OVER (PARTITION BY org ORDER BY n DESC, airline_icao) AS rank FROM n QUALIFY rank <= 20", "legs", "airports")
+def airport_airlines(spark, sf):
+    return ag.airport_airlines(rc.board(schedule(spark, sf), lens(spark, sf, "airlines")))
+
+
+@R.add(f"WITH {FULL} SELECT org AS code, sum(n_flights) AS traffic FROM sched GROUP BY org", "legs", "airports")
+def airport_traffic(spark, sf):
+    return ag.airport_traffic(schedule(spark, sf))
+
+
+@R.add("""WITH n AS (SELECT callsign, a AS org, b AS dst, row_number() OVER (PARTITION BY callsign ORDER BY a, b) AS r, count(*) OVER (PARTITION BY callsign) AS c FROM routes WHERE substr(callsign, 4) IN ('1', '2', '3')) SELECT callsign, org, dst FROM n WHERE c = 1""", "routes")
+def schedule_chain_single(spark, sf):
+    r = lens(spark, sf, "routes").where(F.expr("substring(callsign, 4)").isin("1", "2", "3")).select("callsign", F.col("a").alias("org"), F.col("b").alias("dst"), F.lit(1).alias("n_flights"))
+    one = r.groupBy("callsign").count().where("count = 1").select("callsign")
+    c = rc.schedule_chain(r).join(one, "callsign", "left_semi")
+    return c.select("callsign", F.col("chain")[0].alias("org"), F.col("chain")[1].alias("dst"))
+
+
+@R.add("SELECT callsign, min(org) AS org, min(dst) AS dst, count(*) AS legs, sum(n) AS n FROM (SELECT callsign, org, dst, count(*) AS n FROM legs WHERE org <> dst GROUP BY ALL) GROUP BY callsign", "legs")
+def flight_summary(spark, sf):
+    n = lens(spark, sf, "legs").where("org <> dst").groupBy("callsign", "org", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("callsign").agg(F.min("org").alias("org"), F.min("dst").alias("dst"), F.count(F.lit(1)).alias("legs"), F.sum("n").alias("n"))
+
+
+@R.add(None)
+def boards_merged(spark, sf):
+    """The timetable after the merge with boards, phase by phase; the tests hold it against hand-made cases."""
+    boards = lens(spark, sf, "boards").withColumns({"source": F.lit("x"), "fetched_at": F.lit("x")})
+    return sc.merge_boards(checkpointed(schedule(spark, sf)), boards, lens(spark, sf, "airlines"), checkpointed).withColumn("weekdays", F.map_keys("weekdays"))
+
+
+@R.add(None)
+def replay_chunks(spark, sf):
+    """Half-hour chunks per aircraft of the position table."""
+    p = lens(spark, sf, "positions").select(F.lit("position").alias("kind"), "hex", F.col("t").cast("double").alias("now"), F.col("t").cast("int").alias("slice"), "lat", "lon", "alt_ft", "gs", F.lit(None).cast("string").alias("callsign"), F.lit(None).cast("string").alias("squawk"))
+    out = rp.build_replay(p, lens(spark, sf, "airframes_ref"))["chunks"]
+    return out.select("day", "chunk", "hex", "registration", F.size("points").alias("n_points"))
+
+
+# --- search ---------------------------------------------------------------------------------------------------------
+
+
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    """What people might type: names and words of nations, callsigns of customers, codes and misspellings made from them."""
+    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_name", "n_nationkey")
+    calls = lens(spark, sf, "routes").select(F.col("callsign").alias("q"))
+    parts = (n.select(F.col("n_name").alias("q")), n.select(F.substring("n_name", 1, 4).alias("q")), n.select(F.regexp_replace("n_name", "^(..).(.*?)_?[0-9]*$", "$1$2").alias("q")), n.select(F.regexp_replace("n_name", "_?[0-9]+$", "").alias("q")), lens(spark, sf, "airports").select(F.col("iata").alias("q")), calls)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
+
+
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
+    return se.normalized(_queries(spark, sf))
+
+
+NAMES = "qn AS (SELECT DISTINCT upper(trim(q)) AS q FROM (SELECT n_name AS q FROM nation UNION SELECT substr(n_name, 1, 4) FROM nation UNION SELECT concat(substr(n_name, 1, 2), substr(n_name, 4)) FROM nation UNION SELECT iata FROM airports) WHERE regexp_matches(upper(trim(q)), '^[A-Z ]{2,}$') AND length(replace(q, ' ', '')) BETWEEN 2 AND 40)"
+AIRPORT_ROWS = "ap AS (SELECT a.*, upper(name) AS nm, upper(municipality) AS ct, coalesce(t.traffic, 0) AS traffic FROM airports a LEFT JOIN (SELECT org, sum(n_flights) AS traffic FROM sched GROUP BY org) t ON t.org = a.iata)"
+
+
+@R.add(f"""WITH {FULL}, {NAMES}, {AIRPORT_ROWS}, m AS (SELECT q, ap.*, CASE WHEN q IN (iata, ident) THEN 100 WHEN nm LIKE q || '%' OR ct LIKE q || '%' THEN 60 WHEN nm LIKE '% ' || q || '%' THEN CASE WHEN kind = 'large_airport' AND traffic > 0 THEN 60 ELSE 40 END END AS cls FROM qn, ap)
+SELECT q, iata AS id, cls, row_number() OVER (PARTITION BY q ORDER BY cls DESC, traffic DESC, name, ident) AS place FROM m WHERE cls IS NOT NULL QUALIFY place <= 5""", "legs", "airports")
+def search_airports(spark, sf):
+    rows = se.match_airport(_typed(spark, sf), lens(spark, sf, "airports"), schedule(spark, sf))
+    base = F.col("score") - 2
+    return rows.select("q", "id", F.when(base >= 100, 100).when(base >= 60, 60).otherwise(40).alias("cls"), "place")
+
+
+@R.add(f"""WITH {NAMES}, m AS (SELECT q, l.*, CASE WHEN q = icao OR q = iata THEN 100 WHEN upper(name) LIKE q || '%' THEN 60 WHEN upper(name) LIKE '% ' || q || '%' THEN 40 END AS cls FROM qn, airlines l)
+SELECT q, icao AS id, cls, row_number() OVER (PARTITION BY q ORDER BY cls DESC, iata IS NULL, name, icao) AS place FROM m WHERE cls IS NOT NULL QUALIFY place <= 5""", "airports", "airlines")
+def search_airlines(spark, sf):
+    rows = se.match_airline(_typed(spark, sf), lens(spark, sf, "airlines"))
+    return rows.select("q", "id", F.when(F.col("score") >= 100, 100).when(F.col("score") >= 60, 60).otherwise(40).alias("cls"), "place")
+
+
+@R.add(f"""WITH {FULL}, q AS (SELECT DISTINCT callsign AS q FROM routes), p AS (SELECT callsign, sum(n_flights) AS n FROM sched GROUP BY ALL), m AS (SELECT q, callsign, n FROM q JOIN p ON callsign LIKE q || '%')
+SELECT q, callsign AS id, round_even(CASE WHEN callsign = q THEN 100 ELSE 60 END + 4 * log10(1 + n), 3) AS score FROM m QUALIFY row_number() OVER (PARTITION BY q ORDER BY callsign <> q, n DESC, callsign) <= 5""", "legs", "airports", "routes")
+def search_flights(spark, sf):
+    calls = se.normalized(lens(spark, sf, "routes").select(F.col("callsign").alias("q")))
+    rows = se.match_flight(calls, schedule(spark, sf), lens(spark, sf, "airlines").withColumn("iata", F.lit(None).cast("string")))
+    return rows.select("q", "id", F.bround("score", 3).alias("score"))
+
+
+@R.add(f"""WITH {FULL}, {NAMES}, {AIRPORT_ROWS}, w AS (SELECT DISTINCT ident, iata, traffic, unnest(string_split(nm || ' ' || ct, ' ')) AS w FROM ap), m AS (SELECT DISTINCT q, ident, iata, traffic FROM qn, w WHERE length(q) >= 4 AND q NOT LIKE '% %' AND length(w) >= 4 AND levenshtein(w, q) <= CASE WHEN length(q) = 4 THEN 1 ELSE 2 END)
+SELECT q, iata AS id, row_number() OVER (PARTITION BY q ORDER BY traffic DESC, ident) AS place FROM m QUALIFY place <= 5""", "legs", "airports")
+def search_near(spark, sf):
+    q = _typed(spark, sf).where("is_airport and length(term) >= 4 and not contains(term, ' ') and term rlike '^[A-Z]+$'")
+    return se.near_airport(q, lens(spark, sf, "airports"), schedule(spark, sf)).select("q", "id", "place")
+
+
+def _types(spark: SparkSession, sf: str) -> DataFrame:
+    a = lens(spark, sf, "airframes_ref").select(F.col("type_code").alias("designator")).distinct()
+    return a.select("designator", F.concat(F.lit("Type "), "designator").alias("name"), F.lit("jet").alias("category"))
+
+
+@R.add(None)
+def search_results(spark, sf):
+    """The first search over every query; its branches have SQL twins above."""
+    timetable = checkpointed(schedule(spark, sf))
+    return se.search(checkpointed(_queries(spark, sf)), checkpoint=checkpointed, schedule=timetable, airports=lens(spark, sf, "airports"), airlines=lens(spark, sf, "airlines"), types=_types(spark, sf), airframes_ref=lens(spark, sf, "airframes_ref"), legs=lens(spark, sf, "legs"))
+
+
+def _lexicon(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    a = lens(spark, sf, "airports")
+    cities = a.groupBy("iso_country").agg(F.array_sort(F.collect_list("iata")).alias("codes")).select(F.concat(F.lit("Region "), "iso_country").alias("name"), F.array("iso_country").alias("alternates"), "codes")
+    families = _types(spark, sf).groupBy(F.lit("Family").alias("name")).agg(F.array_sort(F.collect_list("designator")).alias("codes")).select("name", F.array(F.lit("Fam")).alias("alternates"), "codes")
+    return cities, families
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    cities, families = _lexicon(spark, sf)
+    return s2.build_search_docs(schedule=checkpointed(schedule(spark, sf)), legs=lens(spark, sf, "legs"), airports=lens(spark, sf, "airports"), airlines=lens(spark, sf, "airlines"), types=_types(spark, sf), airframes_ref=lens(spark, sf, "airframes_ref"), cities=cities, families=families, day=F.lit("2001-11-01"))
+
+
+@R.add(f"""WITH {FULL}, fl AS (SELECT callsign AS id, sum(n_flights) AS pop FROM sched GROUP BY ALL), lg AS (SELECT callsign, count(*) AS n FROM legs WHERE org <> dst AND callsign NOT IN (SELECT callsign FROM sched) AND substr(callsign, 1, 3) IN (SELECT icao FROM airlines) GROUP BY ALL HAVING count(*) >= 2)
+SELECT 'flight' AS kind, id, pop FROM fl UNION ALL SELECT 'flight', callsign, n FROM lg UNION ALL SELECT 'airline', icao, coalesce((SELECT sum(n_flights) FROM sched WHERE airline_icao = icao), 0) FROM airlines
+UNION ALL SELECT 'airport', iata, coalesce((SELECT sum(n_flights) FROM sched WHERE org = iata), 0) FROM airports UNION ALL SELECT 'type', type_code, count(*) FROM airframes_ref GROUP BY type_code UNION ALL SELECT 'aircraft', hex, 0 FROM airframes_ref""", "legs", "airports", "airlines", "airframes_ref")
+def search_docs(spark, sf):
+    return _documents(spark, sf).select("kind", "id", "pop")
+
+
+@R.add(None)
+def search_readings(spark, sf):
+    """The second search over every query, with two-word queries of airline and place among them."""
+    cities, families = _lexicon(spark, sf)
+    two = lens(spark, sf, "airlines").select(F.concat_ws(" ", "icao", F.lit("A03")).alias("q"))
+    return s2.search(checkpointed(_queries(spark, sf).union(two)), checkpointed(_documents(spark, sf)), _types(spark, sf), cities, families, checkpoint=checkpointed)
+
