@@ -98,9 +98,9 @@ def state_of_hex(df: DataFrame, blocks: DataFrame, most_blocks: int = 10_000) ->
     if flat.count() <= most_blocks:
         j = df.withColumn("_a", address).join(F.broadcast(flat), F.col("_a").between(F.col("_lo"), F.col("_hi")), "left")
         return j.withColumn("state", F.col("_state")).drop("_a", "_lo", "_hi", "_state")
-    cells = flat.withColumn("_c", F.explode(F.sequence(F.shiftright("_lo", 8), F.shiftright("_hi", 8))))
-    j = df.withColumn("_a", address).withColumn("_c", F.shiftright("_a", 8)).join(cells, (F.col("_c") == cells["_c"]) & F.col("_a").between(F.col("_lo"), F.col("_hi")), "left")
-    return j.withColumn("state", F.col("_state")).drop("_a", "_c", "_lo", "_hi", "_state")
+    cells = flat.withColumn("_d", F.explode(F.sequence(F.shiftright("_lo", 8), F.shiftright("_hi", 8))))
+    j = df.withColumn("_a", address).withColumn("_c", F.shiftright("_a", 8)).join(cells, (F.col("_c") == F.col("_d")) & F.col("_a").between(F.col("_lo"), F.col("_hi")), "left")
+    return j.withColumn("state", F.col("_state")).drop("_a", "_c", "_d", "_lo", "_hi", "_state")
 
 
 def nearest_zone(airports: DataFrame, zoned: DataFrame, max_km: float = 300, grid: float = 3) -> DataFrame:

@@ -77,7 +77,7 @@ def catalog_asof(spark, sf):
 
 @R.add("""WITH o AS (SELECT id AS number, reviewed_at AS "at", CASE id % 5 WHEN 0 THEN '1-UR GENT' WHEN 1 THEN '2-high' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '5-LOW' ELSE '4-NOT SPECIFIED' END AS reg FROM claims WHERE id % 50 = 0),
 s AS (SELECT airframe_id, upper(replace(replace(value, '-', ''), ' ', '')) AS reg, first_date, last_date FROM spells WHERE kind = 'registration')
-SELECT airframe_id, cast(o."at" AS varchar) AS "at", max(number) AS number FROM o JOIN s ON upper(replace(replace(o.reg, '-', ''), ' ', '')) = s.reg AND cast(o."at" AS date) BETWEEN first_date - 30 AND last_date + 30 GROUP BY airframe_id, o."at"""", "claims", "spells")
+SELECT airframe_id, cast(o."at" AS varchar) AS "at", max(number) AS number FROM o JOIN s ON upper(replace(replace(o.reg, '-', ''), ' ', '')) = s.reg AND cast(o."at" AS date) BETWEEN first_date - 30 AND last_date + 30 GROUP BY airframe_id, o."at" """, "claims", "spells")
 def occurrence_attach(spark, sf):
     c = lens(spark, sf, "claims").where("id % 50 = 0")
     names = F.array(*map(F.lit, ("1-UR GENT", "2-high", "3-MEDIUM", "5-LOW", "4-NOT SPECIFIED")))

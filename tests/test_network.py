@@ -1,0 +1,210 @@
+"""Geometry, registries, claims, estimates, the live sky and search on hand-made rows."""
+
+import datetime as dt
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from aerolith import schemas
+from aerolith.functions import geo
+from aerolith.functions import text as tx
+from aerolith.functions import timeutil as tu
+from aerolith.functions.register import register_functions
+from aerolith.operators import claims as cl
+from aerolith.operators import estimate as es
+from aerolith.operators import records as rc
+from aerolith.operators import registry as rg
+from aerolith.operators import search2 as s2
+from aerolith.operators import windows as wi
+from aerolith.sources import readers as rd
+from aerolith.sources import sinks, tracks
+from aerolith.streaming import live
+
+
+def one(spark, *columns):
+    return tuple(spark.range(1).select(*columns).first())
+
+
+def test_scalars(spark):
+    km = 2 * 6371.0088 * math.asin(math.sqrt(math.sin(math.radians(1) / 2) ** 2))
+    assert one(spark, geo.haversine(0.0, 0.0, 1.0, 0.0))[0] == pytest.approx(km)
+    assert one(spark, geo.bearing(0.0, 0.0, 0.0, 1.0))[0] == pytest.approx(90)
+    assert one(spark, tu.circ_diff(1430, 10), tu.hhmm(F.lit(605)), tu.hhmm(F.lit(None).cast("int"))) == (20, "10:05", None)
+    assert one(spark, geo.in_bbox(0.0, 179.0, 170.0, -10.0, -170.0, 10.0), geo.in_bbox(0.0, 0.0, 170.0, -10.0, -170.0, 10.0)) == (True, False)
+    assert one(spark, tx.airport_role(F.lit("small"), F.lit("no"), F.lit("Foo Air Base")), tx.airport_role(F.lit("closed"), F.lit("yes"), F.lit("x"))) == ("military", "closed")
+    assert one(spark, tx.fold(F.lit("Zürich Łódź")), tx.digits(F.lit("AA0163")), tx.compact_flight(F.lit("SQ 322"))) == ("ZURICH LODZ", "163", "SQ322")
+    assert one(spark, tx.mirror_numbers(F.lit("SIA12")))[0] == ["SIA11", "SIA13"]
+    assert one(spark, tx.track_point(F.lit("5630/40")))[0].asDict() == {"lat": 56.5, "lon": -40.0}
+    assert tx.split_places("FLIGHTS TO LONDON FROM PARIS") == ("PARIS", "LONDON")
+    assert tx.split_places("SIN-LHR") == ("SIN", "LHR") and tx.split_places("9V-SMA") is None
+    assert tx.network_of("2001:db8::1") == "2001:db8::" and tx.network_of("nonsense") is None
+
+
+def test_sql_functions(spark):
+    register_functions(spark)
+    assert spark.sql("SELECT obs_circ_diff(1430, 10) a, obs_hhmm(605) b, obs_fold('é') c").first() == (20, "10:05", "E")
+
+
+def test_registry_precedence(spark):
+    cols = "hex string, registration string, type_code string, operator_name string, operator_norm string, operator_icao string, year int, flags string, source string"
+    old = spark.createDataFrame([("a", "R1", None, None, None, "OLD", 1999, None, "registry")], cols)
+    new = spark.createDataFrame([("a", "R2", "A320", None, None, "NEW", None, None), ("b", "R3", None, None, None, None, None, None)], cols.rsplit(",", 1)[0])
+    got = {r["hex"]: r for r in rg.merge_airframes(old, new, "fp-dump").collect()}
+    assert (got["a"]["registration"], got["a"]["type_code"], got["a"]["operator_icao"], got["a"]["source"]) == ("R1", "A320", "NEW", "registry")
+    assert got["b"]["source"] == "fp-dump"
+
+
+def test_nested_blocks(spark):
+    b = spark.createDataFrame([(0, 99, "GB"), (10, 19, "BM")], "lo long, hi long, state string")
+    h = spark.createDataFrame([("00000a",), ("000001",), ("0000ff",)], "hex string")
+    assert {r["hex"]: r["state"] for r in rg.state_of_hex(h, b).collect()} == {"00000a": "BM", "000001": "GB", "0000ff": None}
+    assert {r["hex"]: r["state"] for r in rg.state_of_hex(h, b, most_blocks=0).collect()} == {"00000a": "BM", "000001": "GB", "0000ff": None}
+
+
+def test_ids_survive(spark):
+    known = spark.createDataFrame([("b", 7)], "hex string, airframe_id long")
+    got = {r["hex"]: r["airframe_id"] for r in rg.assign_airframes(spark.createDataFrame([("c",), ("a",), ("b",)], "hex string"), known).collect()}
+    assert got == {"b": 7, "a": 8, "c": 9}
+
+
+def test_history_events(spark, tmp_path):
+    doc = '{"evidence_from": "2025-01-01", "airframes": {"ABCDEF": {"first": "2025-06-01", "last": "2026-05-01", "n": 9, "type": "A320", "regs": [["R1", "2025-06-01", "2025-12-01", 3], ["R2", "2026-01-01", "2026-05-01", 6]], "ops": [["AAA", "2025-06-01", "2026-05-01", 9]], "gaps": [["2026-03-01", "2026-03-11"]]}}}'
+    (tmp_path / "h.json").write_text(doc)
+    h = rd.read_airframe_history(spark, str(tmp_path / "h.json"))
+    ids = spark.createDataFrame([("abcdef", 1)], "hex string, airframe_id long")
+    got = {(r["kind"], str(r["at"].date())) for r in rg.history_events(h, ids).collect()}
+    assert got == {("first_observed", "2025-06-01"), ("registration_change", "2026-01-01"), ("not_observed", "2026-03-02")}
+
+
+def test_zone_by_polygon(spark):
+    ring = [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0), (10.0, 0.0)]
+    z = spark.createDataFrame([("Europe/X", ring), ("Etc/GMT", [(20.0, 20.0), (20.0, 30.0), (30.0, 30.0), (30.0, 20.0)])], "tz string, ring array<struct<lat:double,lon:double>>")
+    a = spark.createDataFrame([("IN", 5.0, 5.0), ("OUT", 15.0, 5.0), ("SEA", 25.0, 25.0)], "code string, lat double, lon double")
+    assert {r["code"]: r["tz"] for r in rg.zone_from_polygon(a, z).collect()} == {"IN": "Europe/X", "OUT": None, "SEA": None}
+
+
+def test_verdicts(spark):
+    names = ("asked", "known_end", "not_same", "airport", "type", "corridor", "rotation", "mirror", "observation", "unique", "log", "timetable", "clock")
+    base = dict.fromkeys(names, "skip") | {"asked": "pass", "known_end": "pass", "not_same": "pass", "airport": "pass"}
+    cases = [({"log": "pass", "corridor": "pass"}, 0, "corroborated"), ({"log": "pass"}, 0, "unverified"), ({"log": "pass"}, 2, "corroborated"), ({"rotation": "fail", "log": "pass", "corridor": "pass"}, 0, "corroborated"), ({"rotation": "fail", "corridor": "pass", "mirror": "pass"}, 0, "unverified"), ({"type": "fail", "log": "pass", "clock": "pass"}, 5, "contradicted")]
+    rows = [tuple({**base, **c}[n] for n in names) + (k,) for c, k, _ in cases]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", keyed int")
+    assert [r[0] for r in df.select(cl.verdict()).collect()] == [v for _, _, v in cases]
+
+
+def test_filing_caps_open_answers(spark):
+    now = F.lit("2026-01-01").cast("timestamp")
+    claims = spark.createDataFrame([(1, "SIA1", "SIN", "AAA", "pending", None, 0, None, None, None, None, None)], schemas.CLAIMS)
+    e = spark.createDataFrame([], schemas.ENDORSEMENTS)
+    subs = spark.createDataFrame([(i, "SIA1", "SIN", d, h, None, None, None) for i, d, h in ((10, "AAA", "ann"), (11, "BBB", None), (12, "CCC", None), (13, "DDD", None))], "id long, callsign string, origin string, dest string, handle string, note string, key_name string, valid_from string")
+    c, e = cl.file_claims(claims, e, subs, now)
+    rows = {r["dest"]: r for r in c.collect()}
+    assert set(rows) == {"AAA", "BBB", "CCC"} and all(r["verdict"] == "contested" for r in rows.values())
+    assert rows["BBB"]["anonymous_count"] == 1 and [r["claim_id"] for r in e.collect()] == [1]
+
+
+def test_approval_supersedes(spark):
+    now = F.lit("2026-01-05").cast("timestamp")
+    cat = spark.createDataFrame([("SIA1", "SIN", "OLD", None, dt.date(2025, 1, 1), None, None, "community", 1, None)], schemas.CATALOG)
+    app = spark.createDataFrame([(2, "SIA1", "SIN", "NEW")], "id long, callsign string, origin string, dest string")
+    gaps = spark.createDataFrame([("SIA1", "dest", None)], "callsign string, side string, chain array<string>")
+    e = spark.createDataFrame([(2, "a", None, "timetable", dt.date(2026, 1, 3), None, None)], schemas.ENDORSEMENTS)
+    got = {r["dest"]: r for r in cl.approve_claims(cat, app, gaps, e, now).collect()}
+    assert (got["OLD"]["valid_to"], got["OLD"]["closed_reason"]) == (dt.date(2026, 1, 3), "superseded")
+    assert (got["NEW"]["valid_from"], got["NEW"]["source"], got["NEW"]["valid_to"]) == (dt.date(2026, 1, 3), "published", None)
+
+
+def test_converge_is_the_plain_loop():
+    lat, lon, head, gs, dt_s, dla, dlo = 10.0, 10.0, 45.0, 480.0, 4000.0, 40.0, 60.0
+    speed, t = gs * geo.KT_TO_KMS, 0.0
+    a, b, h = lat, lon, head
+    while t < dt_s:
+        step = min(30.0, dt_s - t)
+        if t >= 600:
+            turn = (es._rad_bearing(a, b, dla, dlo) - h + 180) % 360 - 180
+            h = (h + max(-1.0, min(1.0, turn))) % 360
+        a, b = es._rad_forward(a, b, h, speed * step)
+        t += step
+    got = es.converge([lat] * 2, [lon] * 2, [head] * 2, [gs] * 2, [dt_s, None], [dla] * 2, [dlo] * 2)
+    assert got.iloc[0]["lat"] == pytest.approx(a) and got.iloc[0]["lon"] == pytest.approx(b) and got.iloc[1].isna().all()
+
+
+def test_airway_is_followed(spark):
+    air = spark.createDataFrame([("R1", [("A", 50.0, -170.0), ("B", 50.0, -160.0), ("C", 50.0, -150.0)])], "airway string, points array<struct<name:string,lat:double,lon:double>>")
+    p = spark.createDataFrame([("x", 1.0, 50.2, -165.0, 90.0, 50.0, -140.0), ("y", 1.0, 20.0, -165.0, 90.0, 50.0, -140.0)], "hex string, t double, lat double, lon double, track double, dest_lat double, dest_lon double")
+    got = {r["hex"]: r["waypoints"] for r in es.match_airway(p, air, ["hex", "t"]).collect()}
+    assert [w["lon"] for w in got["x"]] == [-160.0, -150.0] and got["y"] is None
+
+
+def test_track_messages(spark):
+    text = "TMI IS 265\nA MALOT 54/20 55/30 JANJO\nEAST LVLS NIL\nWEST LVLS 340 350\n"
+    m = spark.createDataFrame([("EGGX", 1, 2, 1, text)], "issuer string, start_datetime int, end_datetime int, part_no int, condition_message string")
+    r = tracks.parse_track_messages(m).first()
+    assert (r["tmi"], r["letter"], r["entry"], r["exit"], r["direction"], r["west_levels"], len(r["points"])) == (265, "A", "MALOT", "JANJO", "W", [340, 350], 2)
+
+
+def test_flight_bounds(spark):
+    rows = [("h", 0.0, 1.0, 1.0, None, True), ("h", 120.0, 1.1, 1.0, 1200, False), ("h", 900.0, 2.0, 1.0, 30000, False), ("h", 1800.0, 2.5, 1.0, 900, False), ("h", 1900.0, 2.6, 1.0, None, True), ("h", 2000.0, 2.6, 1.0, None, True)]
+    r = wi.flight_bounds(spark.createDataFrame(rows, "hex string, t double, lat double, lon double, alt_ft int, on_ground boolean")).first()
+    assert (r["dep_t"], r["arr_t"]) == (120.0, 1900.0)
+
+
+def test_schedule_chain_and_order(spark):
+    s = spark.createDataFrame([("A1", "X", "Y", 5), ("A1", "Y", "Z", 5), ("B1", "X", "Y", 9), ("B1", "X", "Z", 1)], "callsign string, org string, dst string, n_flights long")
+    assert {r["callsign"]: r["chain"] for r in rc.schedule_chain(s).collect()} == {"A1": ["X", "Y", "Z"], "B1": ["X", "Y"]}
+    o = rc.flying_order(s.where("callsign = 'A1'").withColumns({"dep_min": F.lit(None).cast("int"), "n": F.col("n_flights")})).first()
+    assert o["route"] == ["X", "Y", "Z"] and sorted(o["pairs"]) == ["X>Y", "X>Z", "Y>Z"]
+
+
+def test_osa():
+    assert (s2.osa("chnagi", "changi"), s2.osa("heathro", "heathrow"), s2.osa("", "ab")) == (1, 1, 2)
+
+
+def positions(spark, rows):
+    full = [(h, f, None, None, la, lo, alt, False, 400.0, 90.0, None, sq, 0.0, 0.0, None, None, dt.datetime.fromtimestamp(t, dt.timezone.utc)) for h, f, la, lo, alt, sq, t in rows]
+    return spark.createDataFrame(full, schemas.POSITIONS)
+
+
+EPISODES = [("aa", "X1", 1.0, 1.0, 30000, "7700", 1000), ("aa", "X1", 1.0, 1.1, 30000, "7700", 1010), ("aa", "X1", 1.0, 1.2, 30000, "7700", 1021), ("bb", "Y1", 1.0, 1.0, 30000, "7600", 1000), ("bb", "Y1", 1.0, 1.0, 30000, "7600", 1030), ("bb", "Y1", 1.0, 1.0, 30000, "7500", 2000), ("bb", "Y1", 1.0, 1.0, 30000, "7500", 2030)]
+
+
+def test_emergency_episodes_batch_and_stream_agree(spark, tmp_path):
+    p = positions(spark, EPISODES)
+    batch = {(r["hex"], r["at"], r["visibility"]) for r in live.emergency_episodes_batch(p).collect()}
+    assert batch == {("aa", 1000.0, "public"), ("bb", 1000.0, "public"), ("bb", 2000.0, "held")}
+    p.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schemas.struct(schemas.POSITIONS)).parquet(str(tmp_path / "in"))
+    q = live.emergency_episodes(stream).writeStream.format("memory").queryName("episodes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r["hex"], r["at"], r["visibility"]) for r in spark.table("episodes").collect()} == batch
+
+
+def test_sky_changes_ignore_ages(spark):
+    a = positions(spark, [("aa", "X", 1.0, 1.0, 1, None, 1), ("bb", "Y", 1.0, 1.0, 1, None, 1)])
+    b = positions(spark, [("aa", "X", 1.0, 1.0, 1, None, 9), ("cc", "Z", 1.0, 1.0, 1, None, 9)])
+    assert {(r["hex"], r["change"]) for r in live.sky_changes(a, b).collect()} == {("bb", "removed"), ("cc", "added")}
+
+
+def test_sessions_reconnect_and_close(spark):
+    at = lambda s: dt.datetime.fromtimestamp(s, dt.timezone.utc)
+    rows = [("s1", at(1000), 100.0, 5.0, 10), ("s1", at(1060), 160.0, 9.0, 20), ("s1", at(1120), 10.0, 1.0, 25), ("s2", at(1000), 5.0, 1.0, 1)]
+    got = sorted(tuple(r) for r in live.station_sessions_batch(spark.createDataFrame(rows, "half_id string, at timestamp, conn_time_s double, msgs_per_s double, positions_total long")).collect())
+    assert got == [("s1", 900.0, 1060.0, 1060.0, 9.0, 20), ("s1", 1110.0, 1120.0, None, 1.0, 25), ("s2", 995.0, 1000.0, 1000.0, 1.0, 1)]
+
+
+def test_truncated_artifact_is_refused():
+    sinks.check_not_truncated(900, 1000)
+    with pytest.raises(sinks.TruncatedArtifact):
+        sinks.check_not_truncated(700, 1000)
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("abc123;9V-SMA;A388;00;x;2010;Singapore Airlines;\nbad;line\n")
+    r = rd.read_registry(spark, str(tmp_path / "r.txt")).collect()
+    assert [(x["hex"], x["registration"], x["year"], x["operator_norm"]) for x in r] == [("abc123", "9V-SMA", 2010, "SINGAPORE AIRLINES")]
+    (tmp_path / "routes.json").write_text('{" sia1 ": ["SIN", "LHR"], "BAD": "x", "ONE": ["A"]}')
+    assert [(x["callsign"], x["chain"]) for x in rd.read_routes(spark, str(tmp_path / "routes.json")).collect()] == [("SIA1", ["SIN", "LHR"])]
+    (tmp_path / "c.json").write_text('{"clients": [["11111111-2222-3333-4444-555555555555", "1.2.3.4 port 1", 1, 60, 5, 2, 0, 30, 99], ["11111111-2222-3333-0000-000000000000", "x", 1, 1, 1, 1, 0, 1, 1], ["short"]]}')
+    assert [(x["conn_time_s"], x["positions_total"]) for x in rd.read_presence(spark, str(tmp_path / "c.json")).collect()] == [(60.0, 99)]
