@@ -90,6 +90,8 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", order: int
 def frozen(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int, min_context: int, max_nodes: int, max_entries: int) -> Model:
     """Turn gram counts into the table of code lengths."""
     languages = sorted(set(lang.tolist()))
+    if not languages:
+        return Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((0, 0), np.float32), 1)
     which = np.array([languages.index(x) for x in lang], np.int64)
     data = np.stack([gram >> (8 * k) & 255 for k in range(order, -1, -1)], axis=1)  # oldest byte first
     used = np.unique(data)
