@@ -16,11 +16,16 @@ def col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
 
 
+def _held(x: Column) -> Column:
+    """Held between -1 and 1; null stays null (least and greatest would pass it over)."""
+    return F.when(x > 1, F.lit(1.0)).when(x < -1, F.lit(-1.0)).otherwise(x)
+
+
 def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
     """Great-circle distance; the root is held at 1 or below."""
     lat1, lon1, lat2, lon2 = map(col, (lat1, lon1, lat2, lon2))
     a = F.pow(F.sin((F.radians(lat2) - F.radians(lat1)) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.asin(F.least(F.lit(1.0), F.sqrt(a))) * (2 * radius)
+    return F.asin(_held(F.sqrt(a))) * (2 * radius)
 
 
 def bearing(lat1, lon1, lat2, lon2) -> Column:
@@ -55,8 +60,8 @@ def cross_along(lat1, lon1, lat2, lon2, lat, lon) -> Column:
     """struct(cross_km, along_km) of a point from the great circle through two others; along is negative behind the first."""
     d13 = haversine(lat1, lon1, lat, lon) / EARTH_KM
     t = F.radians(bearing(lat1, lon1, lat, lon)) - F.radians(bearing(lat1, lon1, lat2, lon2))
-    cross = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(d13) * F.sin(t))))
-    along = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.cos(d13) / F.greatest(F.lit(1e-12), F.cos(cross)))))
+    cross = F.asin(_held(F.sin(d13) * F.sin(t)))
+    along = F.acos(_held(F.cos(d13) / F.greatest(F.lit(1e-12), F.cos(cross))))
     return F.struct((cross * EARTH_KM).alias("cross_km"), (F.when(F.cos(t) < 0, -along).otherwise(along) * EARTH_KM).alias("along_km"))
 
 

@@ -123,7 +123,7 @@ def zone_from_polygon(airports: DataFrame, zones: DataFrame, grid: float = 5) ->
     """Add `tz` by the polygon that holds a point; zones(tz, ring ARRAY<STRUCT<lat, lon>>). Ocean zones (Etc/) give null.
 
     Zones are cut to the grid cells of their bounding box; only a point and the polygons of its cell are tested."""
-    box = zones.select("tz", "ring", *[f(F.transform("ring", lambda p, c=c: p[c])).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    box = zones.select("tz", "ring", *[f(F.col(f"ring.{c}")).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
     span = lambda c, at: F.sequence(F.floor((F.col(f"lo_{c}") + at) / grid), F.floor((F.col(f"hi_{c}") + at) / grid))
     cells = box.withColumn("cy", F.explode(span("lat", 90))).withColumn("cx", F.explode(span("lon", 180))).select("tz", "ring", "cx", "cy")
     points = airports.withColumns({"cx": F.floor((F.col("lon") + 180) / grid), "cy": F.floor((F.col("lat") + 90) / grid)})

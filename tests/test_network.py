@@ -29,6 +29,7 @@ def one(spark, *columns):
 def test_scalars(spark):
     km = 2 * 6371.0088 * math.asin(math.sqrt(math.sin(math.radians(1) / 2) ** 2))
     assert one(spark, geo.haversine(0.0, 0.0, 1.0, 0.0))[0] == pytest.approx(km)
+    assert one(spark, geo.haversine(F.lit(None).cast("double"), 0.0, 1.0, 0.0))[0] is None
     assert one(spark, geo.bearing(0.0, 0.0, 0.0, 1.0))[0] == pytest.approx(90)
     assert one(spark, tu.circ_diff(1430, 10), tu.hhmm(F.lit(605)), tu.hhmm(F.lit(None).cast("int"))) == (20, "10:05", None)
     assert one(spark, geo.in_bbox(0.0, 179.0, 170.0, -10.0, -170.0, 10.0), geo.in_bbox(0.0, 0.0, 170.0, -10.0, -170.0, 10.0)) == (True, False)
