@@ -38,7 +38,7 @@ from aerolith.llm.common import to_bytes
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 @dataclass
