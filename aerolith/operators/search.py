@@ -69,7 +69,7 @@ def match_aircraft(queries: DataFrame, ref: DataFrame, types: DataFrame, airline
 def match_fleet(queries: DataFrame, ref: DataFrame, types: DataFrame, airlines: DataFrame) -> DataFrame:
     """An operator and a type in either order; five airframes by registration."""
     w = F.split("term", " ")
-    both = queries.where("is_pair").select("q", F.explode(F.array(F.struct(F.lit(0).alias("turn"), w[0].alias("a"), w[1].alias("t")), F.struct(F.lit(1).alias("turn"), w[1].alias("a"), w[0].alias("t")))).alias("o")).select("q", "o.*")
+    both = queries.where("is_pair").select("q", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.get(w, F.lit(0)).alias("a"), F.get(w, F.lit(1)).alias("t")), F.struct(F.lit(1).alias("turn"), F.get(w, F.lit(1)).alias("a"), F.get(w, F.lit(0)).alias("t")))).alias("o")).select("q", "o.*")
     al = airlines.withColumn("_n", tx.fold("name"))
     codes = both.join(al.select(F.explode(F.array_compact(F.array("icao", "iata"))).alias("a"), "icao", "name"), "a")
     names = _prefixed(both, tx.fold("a"), al, "_n").select("q", "turn", "a", "t", "icao", "name")

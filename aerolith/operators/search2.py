@@ -106,7 +106,7 @@ def inverted_index(docs: DataFrame) -> DataFrame:
 
 def airline_phrases(docs: DataFrame) -> DataFrame:
     """(phrase, airline): codes, whole names, and names without generic last words; the busiest of several."""
-    a = docs.where("kind = 'airline'").select("id", "pop", "codes", F.col("phrases")[0].alias("name"))
+    a = docs.where("kind = 'airline'").select("id", "pop", "codes", F.get("phrases", F.lit(0)).alias("name"))
     tail = r"( (" + "|".join(GENERIC) + r"))+$"
     texts = F.concat(F.transform("codes", lambda c: F.struct(F.lit(0).alias("r"), F.lower(c).alias("p"))), F.array(F.struct(F.lit(1).alias("r"), F.col("name").alias("p")), F.struct(F.lit(2).alias("r"), F.regexp_replace("name", tail, "").alias("p"))))
     e = a.select("id", "pop", F.explode(texts).alias("t")).where("t.p <> ''")
@@ -120,7 +120,7 @@ def place_phrases(docs: DataFrame, cities: DataFrame) -> DataFrame:
     city = cities.select(F.explode(F.concat(F.array("name"), "alternates")).alias("p"), F.col("codes").alias("airports")).select(tx.phrase("p").alias("phrase"), F.lit(1).alias("r"), F.lit("city").alias("how"), "airports")
     named = a.where("pop > 0 or true").select(F.explode(F.slice("phrases", 2, 1)).alias("phrase"), "pop", "id")
     town = named.groupBy("phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("pop")).alias("n"), "id"))), lambda s: s["id"]).alias("airports")).select("phrase", F.lit(2).alias("r"), F.lit("city").alias("how"), "airports")
-    words = a.where("pop > 0").select(F.split(F.col("phrases")[0], " ").alias("w"), "pop", "id")
+    words = a.where("pop > 0").select(F.split(F.get("phrases", F.lit(0)), " ").alias("w"), "pop", "id")
     runs = words.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size("w") - i + 1)), lambda k: F.array_join(F.slice("w", i, k), " "))))).alias("phrase"), "pop", "id").where("length(phrase) >= 4 and phrase not in ('international', 'airport', 'international airport')")
     field = runs.groupBy("phrase").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("pop")).alias("n"), "id"))), lambda s: s["id"]), 1, 3).alias("airports")).select("phrase", F.lit(3).alias("r"), F.lit("airport").alias("how"), "airports")
     every = code.unionByName(city).unionByName(town).unionByName(field).where("phrase <> ''")
@@ -168,7 +168,7 @@ def readings(queries: DataFrame, docs: DataFrame, types: DataFrame, cities: Data
     city = row(one_place.where("how = 'city'"), "city", tos=F.col("own"))
     every = flight.unionByName(route).unionByName(fleet).unionByName(registration).unionByName(airline_place).unionByName(alone).unionByName(city)
     # "SQ 777" is a fleet before a flight number; a family's own name is a type before one
-    second = q.where("n = 2").select("q", F.col("ws")[1].alias("phrase")).join(fa, "phrase").select("q", F.lit(1).alias("late"))
+    second = q.where("n = 2").select("q", F.get("ws", F.lit(1)).alias("phrase")).join(fa, "phrase").select("q", F.lit(1).alias("late"))
     is_type = alone.select("q", F.lit(2).alias("late2"))
     order = F.array_position(F.array(*map(F.lit, ORDER)), F.col("reading")).cast("double")
     j = every.join(second, "q", "left").join(is_type, "q", "left")
@@ -198,7 +198,7 @@ def _at(codes: str | Column, value: str | Column) -> Column:
 def route_fit(j: DataFrame) -> DataFrame:
     """Add direct, whole, at and leg_flights of flights for a route (froms, tos)."""
     ok = F.filter("legs", lambda l: F.array_contains("froms", l["org"]) & F.array_contains("tos", l["dst"]))
-    ends = F.array_contains("froms", F.col("route")[0]) & F.array_contains("tos", F.element_at("route", -1))
+    ends = F.array_contains("froms", F.get("route", F.lit(0))) & F.array_contains("tos", F.try_element_at("route", F.lit(-1)))
     sums = F.flatten(F.transform("froms", lambda a, i: F.transform(F.filter("tos", lambda b: F.array_contains("pairs", F.concat(a, F.lit(">"), b))), lambda b: i + F.array_position("tos", b) - 1)))
     return j.withColumns({"direct": F.size(ok) > 0, "whole": ends, "at": F.coalesce(F.array_min(sums), F.lit(0)), "leg_flights": F.array_max(F.transform(ok, lambda l: l["flights"]))})
 
@@ -206,7 +206,7 @@ def route_fit(j: DataFrame) -> DataFrame:
 def place_fit(j: DataFrame) -> DataFrame:
     """Add ends, at and leg_flights of flights for a place (tos)."""
     places = F.transform(F.filter("route", lambda c: F.array_contains("tos", c)), lambda c: F.array_position("tos", c) - 1)
-    ends = F.array_contains("tos", F.col("route")[0]) | F.array_contains("tos", F.element_at("route", -1))
+    ends = F.array_contains("tos", F.get("route", F.lit(0))) | F.array_contains("tos", F.try_element_at("route", F.lit(-1)))
     there = F.filter("legs", lambda l: F.array_contains("tos", l["org"]) | F.array_contains("tos", l["dst"]))
     return j.withColumns({"ends": ends, "at": F.coalesce(F.array_min(places), F.lit(0)), "leg_flights": F.array_max(F.transform(there, lambda l: l["flights"]))})
 
