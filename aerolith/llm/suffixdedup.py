@@ -18,8 +18,8 @@ together decide every string:
    surroundings eight bytes to a symbol, and sorts the right sides and the reversed left sides by suffix arrays built by
    grouping (`gsaca`). In these orders the strings with r bytes to the left and the rest to the right of the anchor are
    equal exactly where no common prefix in between is shorter; all but the first of equals are repeats.
-5. A gram with more than `max_group` classes is not gathered in one task: its strings are hashed (128 bits) and the
-   first of each is found by a pre-aggregated minimum.
+5. A gram with more than `max_group` classes is not gathered in one task: its strings are hashed (128 bits), equal
+   ones of a batch are settled at once, and the first of each is found by a pre-aggregated minimum.
 6. Repeats are merged to intervals per row and cut out, through a shared table while there are at most `max_shared` of
    them, else by a join.
 
@@ -238,13 +238,7 @@ def _edge_runs(length: int, batch_rows: int = 6000):
         left = np.frombuffer(b"".join(x.ljust(reach, b"\0") for x in part["left"]), np.uint8).reshape(-1, reach)
         right = np.frombuffer(b"".join(x.ljust(length, b"\0") for x in part["right"]), np.uint8).reshape(-1, length)
         hit = repeats_of(gram[place], left[place], right[place], n_left[place], n_right[place], length)
-        pad = np.zeros((1, hit.shape[1]), bool)
-        edge = np.diff(np.concatenate([pad, hit, pad]).astype(np.int8), axis=0)
-        rows, low = np.nonzero(edge.T == 1)
-        _, high = np.nonzero(edge.T == -1)
-        t, o = tag[place][rows], order[place][rows]
-        at = t & (1 << POS_BITS) - 1
-        return _intervals(o, t, at - (high - 1), at - low + length)
+        return _intervals(*_stretches(hit, order[place], tag[place], length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("gram", "ord", "tag", "left", "right")
@@ -276,6 +270,17 @@ def _whole_runs(grams: list[int], until: int, size: int) -> Iterator[tuple[int,
         a = z
 
 
+def _stretches(hit: np.ndarray, order: np.ndarray, tag: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, tag, start, end) of the stretches that each row's runs of repeated strings cover. hit: [r, row]."""
+    pad = np.zeros((1, hit.shape[1]), bool)
+    edge = np.diff(np.concatenate([pad, hit, pad]).astype(np.int8), axis=0)
+    rows, low = np.nonzero(edge.T == 1)
+    _, high = np.nonzero(edge.T == -1)
+    t = tag[rows]
+    at = t & (1 << POS_BITS) - 1
+    return order[rows], t, at - (high - 1), at - low + length
+
+
 INTERVAL = "ord long, h23 long, start long, end long"
 
 
@@ -283,22 +288,46 @@ def _intervals(order: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.nd
     return pa.RecordBatch.from_arrays([pa.array(order), pa.array(tag >> POS_BITS), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], names=["ord", "h23", "start", "end"])
 
 
-def _hashed_strings(length: int):
-    """Rows (ord, tag, left, right) to one row per string through the anchor: (k1, k2, ord, at); `at` is the string's tag and start."""
+PIECE = "k1 long, k2 long, ord long, at long, end long"
+
+
+def _hashed_strings(length: int, rows: int = 4000):
+    """Rows (ord, tag, left, right), sorted by gram, to strings through the anchors (k1, k2, ord, at), at is tag and start.
+
+    Equal strings of a batch are settled at once: only the first goes on with its hash; the others are repeats and
+    leave as intervals, with null hashes and an end."""
     reach = length - GRAM
 
+    def solve(order: np.ndarray, tag: np.ndarray, left: list[bytes], right: list[bytes]) -> pa.RecordBatch:
+        digests, of, back = [], [], []
+        for i, (a, b) in enumerate(zip(left, right, strict=True)):
+            whole, n = a[::-1] + b, len(a)
+            span = range(max(0, length - len(b)), min(reach, n) + 1)
+            digests.extend([xxhash.xxh3_128_digest(whole[n - r : n - r + length]) for r in span])
+            of.append(np.full(len(span), i))
+            back.append(np.arange(span.start, span.stop))
+        of, back = np.concatenate(of), np.concatenate(back)
+        key = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        place = np.lexsort((tag[of] - back, order[of], key[:, 1], key[:, 0]))
+        k = key[place]
+        first = np.ones(len(place), bool)
+        first[1:] = (k[1:] != k[:-1]).any(1)
+        hit = np.zeros((reach + 1, len(order)), bool)
+        head = place[np.maximum.accumulate(np.where(first, np.arange(len(place)), 0))]
+        start = tag[of] - back
+        late = place[(order[of[place]] != order[of[head]]) | (start[place] != start[head])]  # one string may be met through two anchors
+        hit[back[late], of[late]] = True
+        o, t, begin, end = _stretches(hit, order, tag, length)
+        lead = place[first]
+        nulls = pa.nulls(len(o), pa.int64())
+        columns = (pa.concat_arrays([pa.array(key[lead, 0]), nulls]), pa.concat_arrays([pa.array(key[lead, 1]), nulls]), np.concatenate([order[of[lead]], o]), np.concatenate([tag[of[lead]] - back[lead], (t >> POS_BITS << POS_BITS) + begin]), np.concatenate([np.zeros(len(lead), np.int64), end]))
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in columns], names=["k1", "k2", "ord", "at", "end"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2, orders, starts = [], [], [], []
-            for o, t, left, right in zip(*(b.column(n).to_pylist() for n in ("ord", "tag", "left", "right")), strict=True):
-                whole = left[::-1] + right
-                for r in range(max(0, length - len(right)), min(reach, len(left)) + 1):
-                    d = xxhash.xxh3_128_digest(whole[len(left) - r : len(left) - r + length])
-                    k1.append(int.from_bytes(d[:8], "little", signed=True))
-                    k2.append(int.from_bytes(d[8:], "little", signed=True))
-                    orders.append(o)
-                    starts.append(t - r)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (k1, k2, orders, starts)], names=["k1", "k2", "ord", "at"])
+            for a in range(0, b.num_rows, rows):
+                part = b.slice(a, rows)
+                yield solve(part.column("ord").to_numpy(), part.column("tag").to_numpy(), part.column("left").to_pylist(), part.column("right").to_pylist())
 
     return run
 
@@ -365,11 +394,14 @@ def repeated_intervals(docs: DataFrame, id: str, text: str, *, length: int, max_
     sides = checkpointed(around.join(edges, ["gram", "ord", "tag"]).select("gram", "ord", "tag", "left", "right", "k"))
     small = sides.where(F.col("k") <= max_group).drop("k").repartition("gram").sortWithinPartitions("gram")
     cut = small.mapInArrow(_edge_runs(length), INTERVAL)
-    strings = sides.where(F.col("k") > max_group).select("ord", "tag", "left", "right").mapInArrow(_hashed_strings(length), "k1 long, k2 long, ord long, at long")
-    firsts = checkpointed(strings.groupBy("k1", "k2").agg(F.min(F.struct("ord", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    late = strings.join(firsts, ["k1", "k2"]).where(F.struct("ord", "at") != F.col("first"))
+    crowded = sides.where(F.col("k") > max_group).select("gram", "ord", "tag", "left", "right").sortWithinPartitions("gram")
+    strings = checkpointed(crowded.mapInArrow(_hashed_strings(length), PIECE))
     begin = F.col("at").bitwiseAND((1 << POS_BITS) - 1)
-    hot = late.select("ord", F.shiftrightunsigned("at", POS_BITS).alias("h23"), begin.alias("start"), (begin + length).alias("end"))
+    h23 = F.shiftrightunsigned("at", POS_BITS).alias("h23")
+    hashed_ones = strings.where("k1 is not null")
+    firsts = checkpointed(hashed_ones.groupBy("k1", "k2").agg(F.min(F.struct("ord", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    late = hashed_ones.join(firsts, ["k1", "k2"]).where(F.struct("ord", "at") != F.col("first"))
+    hot = late.select("ord", h23, begin.alias("start"), (begin + length).alias("end")).unionByName(strings.where("k1 is null").select("ord", h23, begin.alias("start"), "end"))
     return whole.select(*["ord", "h23", "start", "end"]).unionByName(cut).unionByName(hot)
 
 
@@ -393,7 +425,7 @@ def cut_out(text: bytes | None, spans: list[tuple[int, int]]) -> tuple[int, int,
     return len(text), len(text) - len(kept), len(spans), kept
 
 
-def dedup_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = 100, max_group: int = 1000, most_bits: int = 1 << 27, max_shared: int = 1 << 18) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = 100, max_group: int = 2000, most_bits: int = 1 << 27, max_shared: int = 1 << 18) -> DataFrame:
     """`docs` with a struct column (n_bytes, n_removed, n_spans, kept) as its last column."""
     spark = docs.sparkSession
     found = repeated_intervals(docs, id, text, length=length, max_group=max_group, most_bits=most_bits)
@@ -403,11 +435,20 @@ def dedup_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     order, h23 = F.coalesce(F.col(id).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text)).bitwiseAND(0x7FFFFF)
     binary = F.col(text).cast("binary")
     if (per_row.agg(F.sum(F.size("spans"))).first()[0] or 0) <= max_shared:
-        table = spark.sparkContext.broadcast({(r["ord"], r["h23"]): [(s["start"], s["end"]) for s in r["spans"]] for r in per_row.toLocalIterator()})
+        rows = per_row.orderBy("ord", "h23").select("ord", "h23", F.size("spans").alias("n"), "spans.start", "spans.end").toArrow()
+        flat = [np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in rows.column(n).chunks)]) for n in ("start", "end")]
+        table = spark.sparkContext.broadcast((rows.column("ord").to_numpy(), rows.column("h23").to_numpy(), np.cumsum(np.append(0, rows.column("n").to_numpy())), *flat))
 
         def start():
-            known = table.value
-            return lambda t, o, h: cut_out(t, known.get((o, h), []))
+            orders, hashes, ends, starts, stops = table.value
+
+            def row(t, o, h):
+                a, b = np.searchsorted(orders, o), np.searchsorted(orders, o, side="right")
+                i = a + int(np.searchsorted(hashes[a:b], h))
+                mine = slice(ends[i], ends[i + 1]) if i < b and hashes[i] == h else slice(0, 0)
+                return cut_out(t, list(zip(starts[mine].tolist(), stops[mine].tolist(), strict=True)))
+
+            return row
 
         return docs.withColumn(out, rows_udf(start, RESULT)(binary, order, h23))
     names = {c: fresh(docs, f"_{c}") for c in ("ord", "h23", "spans")}
