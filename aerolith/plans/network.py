@@ -75,11 +75,11 @@ def catalog_asof(spark, sf):
     return rg.catalog_current(_catalog(spark, sf), F.lit("1999-06-01").cast("date")).select("callsign", "origin", "dest", "claim_id")
 
 
-@R.add("""WITH o AS (SELECT id AS number, reviewed_at AS "at", CASE id % 5 WHEN 0 THEN '1-UR GENT' WHEN 1 THEN '2-high' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '5-LOW' ELSE '4-NOT SPECIFIED' END AS reg FROM claims WHERE id % 50 = 0),
+@R.add("""WITH o AS (SELECT id AS number, reviewed_at AS "at", CASE id % 5 WHEN 0 THEN '1-UR GENT' WHEN 1 THEN '2-high' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '5-LOW' ELSE '4-NOT SPECIFIED' END AS reg FROM claims),
 s AS (SELECT airframe_id, upper(replace(replace(value, '-', ''), ' ', '')) AS reg, first_date, last_date FROM spells WHERE kind = 'registration')
 SELECT airframe_id, cast(o."at" AS varchar) AS "at", max(number) AS number FROM o JOIN s ON upper(replace(replace(o.reg, '-', ''), ' ', '')) = s.reg AND cast(o."at" AS date) BETWEEN first_date - 30 AND last_date + 30 GROUP BY airframe_id, o."at" """, "claims", "spells")
 def occurrence_attach(spark, sf):
-    c = lens(spark, sf, "claims").where("id % 50 = 0")
+    c = lens(spark, sf, "claims")
     names = F.array(*map(F.lit, ("1-UR GENT", "2-high", "3-MEDIUM", "5-LOW", "4-NOT SPECIFIED")))
     o = c.select(F.col("id").alias("number"), F.col("reviewed_at").alias("at"), F.element_at(names, (F.col("id") % 5 + 1).cast("int")).alias("registration"))
     return rg.attach_occurrences(o, lens(spark, sf, "spells")).select("airframe_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "number")
@@ -318,14 +318,21 @@ def airport_traffic(spark, sf):
     return ag.airport_traffic(schedule(spark, sf))
 
 
-@R.add("""WITH n AS (SELECT callsign, a AS org, b AS dst, row_number() OVER (PARTITION BY callsign ORDER BY a, b) AS r, count(*) OVER (PARTITION BY callsign) AS c FROM routes WHERE substr(callsign, 4) IN ('1', '2', '3')) SELECT callsign, org, dst FROM n WHERE c = 1""", "routes")
+@R.add("""WITH n AS (SELECT callsign, a AS org, b AS dst, row_number() OVER (PARTITION BY callsign ORDER BY a, b) AS r, count(*) OVER (PARTITION BY callsign) AS c FROM routes) SELECT callsign, org, dst FROM n WHERE c = 1""", "routes")
 def schedule_chain_single(spark, sf):
-    r = lens(spark, sf, "routes").where(F.expr("substring(callsign, 4)").isin("1", "2", "3")).select("callsign", F.col("a").alias("org"), F.col("b").alias("dst"), F.lit(1).alias("n_flights"))
+    r = lens(spark, sf, "routes").select("callsign", F.col("a").alias("org"), F.col("b").alias("dst"), F.lit(1).alias("n_flights"))
     one = r.groupBy("callsign").count().where("count = 1").select("callsign")
     c = rc.schedule_chain(r).join(one, "callsign", "left_semi")
     return c.select("callsign", F.col("chain")[0].alias("org"), F.col("chain")[1].alias("dst"))
 
 
+@R.add(None)
+def schedule_chain(spark, sf):
+    """The chain of every callsign that has one: a single leg, linked legs or a dominant leg; the tests hold it against brute force."""
+    n = lens(spark, sf, "legs").groupBy("callsign", "org", "dst").agg(F.count(F.lit(1)).alias("n_flights"))
+    return rc.schedule_chain(n)
+
+
 @R.add("SELECT callsign, min(org) AS org, min(dst) AS dst, count(*) AS legs, sum(n) AS n FROM (SELECT callsign, org, dst, count(*) AS n FROM legs WHERE org <> dst GROUP BY ALL) GROUP BY callsign", "legs")
 def flight_summary(spark, sf):
     n = lens(spark, sf, "legs").where("org <> dst").groupBy("callsign", "org", "dst").agg(F.count(F.lit(1)).alias("n"))

@@ -209,3 +209,35 @@ def test_readers(spark, tmp_path):
     assert [(x["callsign"], x["chain"]) for x in rd.read_routes(spark, str(tmp_path / "routes.json")).collect()] == [("SIA1", ["SIN", "LHR"])]
     (tmp_path / "c.json").write_text('{"clients": [["11111111-2222-3333-4444-555555555555", "1.2.3.4 port 1", 1, 60, 5, 2, 0, 30, 99], ["11111111-2222-3333-0000-000000000000", "x", 1, 1, 1, 1, 0, 1, 1], ["short"]]}')
     assert [(x["conn_time_s"], x["positions_total"]) for x in rd.read_presence(spark, str(tmp_path / "c.json")).collect()] == [(60.0, 99)]
+
+
+def test_occurrences_and_chains_run_over_whole_tables(spark, tmp_path):
+    """No claim and no callsign is left out, whatever its number; against brute force."""
+    from aerolith.plans import network
+
+    day = lambda k: dt.datetime(1998, 1, 1) + dt.timedelta(days=17 * k)
+    words = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", "4-NOT SPECIFIED")
+    orders = [(k, k % 3 + 1, "P" if k % 2 else "F", words[k * 3 % 5], day(k % 20)) for k in range(1, 61)]
+    orders += [(1000 + k, 7, "O", words[0], day(0)) for k in range(10)] + [(2000, 58, "O", words[0], day(0))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(1000 + k, 1 if k < 8 else 2, 1) for k in range(10)] + [(2000, 2, 1)]
+    spark.createDataFrame([(o, 1, s, n, day(0), 5.0) for o, s, n in lines], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 3), (2, 4)], "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(7, 0), (58, 1)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    norm = lambda x: x.replace("-", "").replace(" ", "").upper()
+    spells, want = {}, {}
+    for _, c, status, word, d in orders:
+        if status == "P":
+            a, b = spells.get((c, norm(word)), (d, d))
+            spells[c, norm(word)] = (min(a, d), max(b, d))
+    slack = dt.timedelta(days=30)
+    for k, _, _, _, d in orders:
+        reg = norm(("1-UR GENT", "2-high", "3-MEDIUM", "5-LOW", "4-NOT SPECIFIED")[k % 5])
+        for (c, r), (a, b) in spells.items():
+            if r == reg and a - slack <= d <= b + slack:
+                want[c, str(d)] = max(want.get((c, str(d)), 0), k)
+    got = {(r["airframe_id"], r["at"]): r["number"] for r in network.occurrence_attach(spark, str(tmp_path)).collect()}
+    assert got == want and any(k % 50 for k in want.values())
+    chains = {r["callsign"]: r["chain"] for r in network.schedule_chain(spark, str(tmp_path)).collect()}
+    assert chains == {"AAX8": ["A03", "A00"], "ABX9": ["A04", "A01"]}
+    assert [tuple(r) for r in network.schedule_chain_single(spark, str(tmp_path)).collect()] == [("ABX9", "A04", "A01")]
