@@ -23,8 +23,8 @@ together decide every string:
 6. Repeats are merged to intervals per row and cut out, through a shared table while there are at most `max_shared` of
    them, else by a join.
 
-Defined results: null is empty; rows are ordered by id (null last), then by a hash of the text, and rows equal in both
-are one document given more than once, each with its result; texts below `length` bytes lose nothing. Long texts are
+Defined results: null is empty; rows are ordered by id (null last), then by the 64-bit XXH64 of the text (signed), and
+rows equal in both are one document given more than once, each with its result; texts below `length` bytes lose nothing. Long texts are
 hashed in blocks; what is cut off may leave bytes that are no whole characters, so the kept text is binary.
 """
 
@@ -45,7 +45,6 @@ from aerolith.llm.gsaca import suffix_array
 GRAM = 40
 BLOCK = 1 << 20
 LAST = (1 << 63) - 1
-POS_BITS = 40
 RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"
 MIX = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -141,14 +140,15 @@ def filter_of(keys: DataFrame, count: int, most_bits: int) -> np.ndarray:
     return words
 
 
-def _row_key(gram: np.ndarray, order: int, tag: np.ndarray) -> np.ndarray:
+def _row_key(gram: np.ndarray, order: np.ndarray, h: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """One hash of (gram, row, place)."""
-    k = gram ^ (tag.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) ^ np.uint64(order * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+    mixed = lambda x, by: x.astype(np.int64).view(np.uint64) * np.uint64(by)
+    k = gram ^ mixed(pos, 0x9FB21C651E98DF25) ^ mixed(order, 0xD6E8FEB86659FD93) ^ mixed(h, 0xA0761D6478BD642F)
     return (k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _scan(length: int, schema: list[tuple[str, pa.DataType]], emit):
-    """A function over batches (text, order, hash) that gathers what `emit(text, order, tag, places, grams)` gives for each row."""
+    """A function over batches (text, order, hash) that gathers what `emit(text, order, hash, places, grams)` gives for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         put = emit()
@@ -159,8 +159,7 @@ def _scan(length: int, schema: list[tuple[str, pa.DataType]], emit):
                 if t is None or len(t) < length:
                     continue
                 places, grams = anchors(t, length)
-                tag = (h.as_py() & 0x7FFFFF) << POS_BITS
-                got = put(t, order.as_py(), tag, places, grams)
+                got = put(t, order.as_py(), h.as_py(), places, grams)
                 if got is not None and len(got[0]):
                     held.append(got)
                     size += len(got[0])
@@ -227,21 +226,21 @@ def repeats_of(gram: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np
 
 
 def _edge_runs(length: int, batch_rows: int = 6000):
-    """Sorted runs of (gram, order, tag, left, right) to intervals (order, tag, start, end)."""
+    """Sorted runs of (gram, order, hash, place, left, right) to intervals (order, hash, start, end)."""
     reach = length - GRAM
 
     def solve(part: dict[str, list]) -> pa.RecordBatch:
         gram = np.unique(np.array(part["gram"], np.int64), return_inverse=True)[1]
-        order, tag = np.array(part["ord"], np.int64), np.array(part["tag"], np.int64)
-        place = np.lexsort((tag, order))  # corpus order
+        order, h, pos = (np.array(part[c], np.int64) for c in ("ord", "h", "pos"))
+        place = np.lexsort((pos, h, order))  # corpus order
         n_left, n_right = (np.array([len(x) for x in part[c]], np.int64) for c in ("left", "right"))
         left = np.frombuffer(b"".join(x.ljust(reach, b"\0") for x in part["left"]), np.uint8).reshape(-1, reach)
         right = np.frombuffer(b"".join(x.ljust(length, b"\0") for x in part["right"]), np.uint8).reshape(-1, length)
         hit = repeats_of(gram[place], left[place], right[place], n_left[place], n_right[place], length)
-        return _intervals(*_stretches(hit, order[place], tag[place], length))
+        return _intervals(*_stretches(hit, order[place], h[place], pos[place], length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("gram", "ord", "tag", "left", "right")
+        names = ("gram", "ord", "h", "pos", "left", "right")
         held: dict[str, list] = {n: [] for n in names}
         for b in batches:
             for n in names:
@@ -270,35 +269,34 @@ def _whole_runs(grams: list[int], until: int, size: int) -> Iterator[tuple[int,
         a = z
 
 
-def _stretches(hit: np.ndarray, order: np.ndarray, tag: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, tag, start, end) of the stretches that each row's runs of repeated strings cover. hit: [r, row]."""
+def _stretches(hit: np.ndarray, order: np.ndarray, h: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, hash, start, end) of the stretches that each row's runs of repeated strings cover. hit: [r, row]."""
     pad = np.zeros((1, hit.shape[1]), bool)
     edge = np.diff(np.concatenate([pad, hit, pad]).astype(np.int8), axis=0)
     rows, low = np.nonzero(edge.T == 1)
     _, high = np.nonzero(edge.T == -1)
-    t = tag[rows]
-    at = t & (1 << POS_BITS) - 1
-    return order[rows], t, at - (high - 1), at - low + length
+    at = pos[rows]
+    return order[rows], h[rows], at - (high - 1), at - low + length
 
 
-INTERVAL = "ord long, h23 long, start long, end long"
+INTERVAL = "ord long, h long, start long, end long"
 
 
-def _intervals(order: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(order), pa.array(tag >> POS_BITS), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], names=["ord", "h23", "start", "end"])
+def _intervals(order: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(order), pa.array(h), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], names=["ord", "h", "start", "end"])
 
 
-PIECE = "k1 long, k2 long, ord long, at long, end long"
+PIECE = "k1 long, k2 long, ord long, h long, at long, end long"
 
 
 def _hashed_strings(length: int, rows: int = 4000):
-    """Rows (ord, tag, left, right), sorted by gram, to strings through the anchors (k1, k2, ord, at), at is tag and start.
+    """Rows (ord, h, pos, left, right), sorted by gram, to strings through the anchors (k1, k2, ord, h, at), at is the start.
 
     Equal strings of a batch are settled at once: only the first goes on with its hash; the others are repeats and
     leave as intervals, with null hashes and an end."""
     reach = length - GRAM
 
-    def solve(order: np.ndarray, tag: np.ndarray, left: list[bytes], right: list[bytes]) -> pa.RecordBatch:
+    def solve(order: np.ndarray, h: np.ndarray, pos: np.ndarray, left: list[bytes], right: list[bytes]) -> pa.RecordBatch:
         digests, of, back = [], [], []
         for i, (a, b) in enumerate(zip(left, right, strict=True)):
             whole, n = a[::-1] + b, len(a)
@@ -308,37 +306,37 @@ def _hashed_strings(length: int, rows: int = 4000):
             back.append(np.arange(span.start, span.stop))
         of, back = np.concatenate(of), np.concatenate(back)
         key = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        place = np.lexsort((tag[of] - back, order[of], key[:, 1], key[:, 0]))
+        place = np.lexsort((pos[of] - back, h[of], order[of], key[:, 1], key[:, 0]))
         k = key[place]
         first = np.ones(len(place), bool)
         first[1:] = (k[1:] != k[:-1]).any(1)
         hit = np.zeros((reach + 1, len(order)), bool)
         head = place[np.maximum.accumulate(np.where(first, np.arange(len(place)), 0))]
-        start = tag[of] - back
-        late = place[(order[of[place]] != order[of[head]]) | (start[place] != start[head])]  # one string may be met through two anchors
+        start = pos[of] - back
+        late = place[(order[of[place]] != order[of[head]]) | (h[of[place]] != h[of[head]]) | (start[place] != start[head])]  # one string may be met through two anchors
         hit[back[late], of[late]] = True
-        o, t, begin, end = _stretches(hit, order, tag, length)
+        o, hashes, begin, end = _stretches(hit, order, h, pos, length)
         lead = place[first]
         nulls = pa.nulls(len(o), pa.int64())
-        columns = (pa.concat_arrays([pa.array(key[lead, 0]), nulls]), pa.concat_arrays([pa.array(key[lead, 1]), nulls]), np.concatenate([order[of[lead]], o]), np.concatenate([tag[of[lead]] - back[lead], (t >> POS_BITS << POS_BITS) + begin]), np.concatenate([np.zeros(len(lead), np.int64), end]))
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in columns], names=["k1", "k2", "ord", "at", "end"])
+        columns = (pa.concat_arrays([pa.array(key[lead, 0]), nulls]), pa.concat_arrays([pa.array(key[lead, 1]), nulls]), np.concatenate([order[of[lead]], o]), np.concatenate([h[of[lead]], hashes]), np.concatenate([start[lead], begin]), np.concatenate([np.zeros(len(lead), np.int64), end]))
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in columns], names=["k1", "k2", "ord", "h", "at", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, rows):
                 part = b.slice(a, rows)
-                yield solve(part.column("ord").to_numpy(), part.column("tag").to_numpy(), part.column("left").to_pylist(), part.column("right").to_pylist())
+                yield solve(part.column("ord").to_numpy(), part.column("h").to_numpy(), part.column("pos").to_numpy(), part.column("left").to_pylist(), part.column("right").to_pylist())
 
     return run
 
 
 def repeated_intervals(docs: DataFrame, id: str, text: str, *, length: int, max_group: int, most_bits: int) -> DataFrame:
-    """(ord, h23, start, end) of repeats; intervals of a row may overlap."""
+    """(ord, h, start, end) of repeats; intervals of a row may overlap."""
     sc = docs.sparkSession.sparkContext
     reach = length - GRAM
     source = docs.select(F.col(text).cast("binary").alias("text"), F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(F.col(text)).alias("h"))
 
-    grams = source.mapInArrow(_scan(length, [("key", pa.int64())], lambda: lambda t, o, tag, p, g: (g.view(np.int64),)), "key long")
+    grams = source.mapInArrow(_scan(length, [("key", pa.int64())], lambda: lambda t, o, h, p, g: (g.view(np.int64),)), "key long")
     # 40 bits are enough to tell which grams may repeat
     repeated = checkpointed(grams.groupBy(F.shiftrightunsigned("key", 24).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     marks = sc.broadcast(filter_of(repeated, repeated.count(), most_bits))
@@ -346,63 +344,60 @@ def repeated_intervals(docs: DataFrame, id: str, text: str, *, length: int, max_
     def classes():
         known = Bits(marks.value)
 
-        def put(t, o, tag, places, grams):
+        def put(t, o, h, places, grams):
             keep = known.holds(grams >> np.uint64(24))
             p, g = places[keep], grams[keep]
             c = [xxhash.xxh64_intdigest(t[max(0, i - reach) : i + length], min(i, reach)) for i in p.tolist()]
-            return g.view(np.int64), np.array(c, np.uint64).view(np.int64), np.full(len(p), o), p + tag
+            return g.view(np.int64), np.array(c, np.uint64).view(np.int64), np.full(len(p), o), np.full(len(p), h), p
 
         return put
 
-    longs = [(n, pa.int64()) for n in ("gram", "cls", "ord", "tag")]
-    seen = source.mapInArrow(_scan(length, longs, classes), "gram long, cls long, ord long, tag long")
-    first = F.min(F.struct("ord", "tag"))
+    longs = [(n, pa.int64()) for n in ("gram", "cls", "ord", "h", "pos")]
+    seen = source.mapInArrow(_scan(length, longs, classes), "gram long, cls long, ord long, h long, pos long")
+    first = F.min(F.struct("ord", "h", "pos"))
     by_class = checkpointed(seen.groupBy("gram", "cls").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
     # whole classes: all but the first
     many = by_class.where("n > 1").select("gram", "cls", "first")
-    copies = seen.join(many, ["gram", "cls"]).where(F.struct("ord", "tag") != F.col("first"))
-    place = F.col("tag").bitwiseAND((1 << POS_BITS) - 1)
-    whole = copies.select("ord", F.shiftrightunsigned("tag", POS_BITS).alias("h23"), F.greatest(place - reach, F.lit(0)).alias("start"), (place + length).alias("end"))
+    copies = seen.join(many, ["gram", "cls"]).where(F.struct("ord", "h", "pos") != F.col("first"))
+    whole = copies.select("ord", "h", F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))
 
     # edges: grams with several classes, by the first occurrence of each
     sizes = by_class.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    edges = checkpointed(by_class.join(sizes, "gram").select("gram", "first.ord", "first.tag", "k"))
+    edges = checkpointed(by_class.join(sizes, "gram").select("gram", "first.ord", "first.h", "first.pos", "k"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, o, t = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            keys = np.array([_row_key(g[i : i + 1].view(np.uint64), int(o[i]), t[i : i + 1])[0] for i in range(len(g))], np.uint64)
+            g, o, h, p = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            keys = _row_key(g.view(np.uint64), o, h, p)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
 
-    wanted = sc.broadcast(filter_of(edges.select("gram", "ord", "tag").mapInArrow(hashed, "key long"), edges.count(), most_bits))
+    wanted = sc.broadcast(filter_of(edges.select("gram", "ord", "h", "pos").mapInArrow(hashed, "key long"), edges.count(), most_bits))
 
     def surroundings():
         known, asked = Bits(marks.value), Bits(wanted.value)
 
-        def put(t, o, tag, places, grams):
+        def put(t, o, h, places, grams):
             keep = known.holds(grams >> np.uint64(24))
             p, g = places[keep], grams[keep]
-            keep = asked.holds(_row_key(g, o, p + tag))
+            keep = asked.holds(_row_key(g, np.full(len(p), o), np.full(len(p), h), p))
             p, g = p[keep], g[keep]
             at = p.tolist()
-            return g.view(np.int64), np.full(len(p), o), p + tag, [t[max(0, i - reach) : i][::-1] for i in at], [t[i : i + length] for i in at]
+            return g.view(np.int64), np.full(len(p), o), np.full(len(p), h), p, [t[max(0, i - reach) : i][::-1] for i in at], [t[i : i + length] for i in at]
 
         return put
 
-    columns = [(n, pa.int64()) for n in ("gram", "ord", "tag")] + [("left", pa.binary()), ("right", pa.binary())]
-    around = source.mapInArrow(_scan(length, columns, surroundings), "gram long, ord long, tag long, left binary, right binary")
-    sides = checkpointed(around.join(edges, ["gram", "ord", "tag"]).select("gram", "ord", "tag", "left", "right", "k"))
+    columns = [(n, pa.int64()) for n in ("gram", "ord", "h", "pos")] + [("left", pa.binary()), ("right", pa.binary())]
+    around = source.mapInArrow(_scan(length, columns, surroundings), "gram long, ord long, h long, pos long, left binary, right binary")
+    sides = checkpointed(around.join(edges, ["gram", "ord", "h", "pos"]).select("gram", "ord", "h", "pos", "left", "right", "k"))
     small = sides.where(F.col("k") <= max_group).drop("k").repartition("gram").sortWithinPartitions("gram")
     cut = small.mapInArrow(_edge_runs(length), INTERVAL)
-    crowded = sides.where(F.col("k") > max_group).select("gram", "ord", "tag", "left", "right").sortWithinPartitions("gram")
+    crowded = sides.where(F.col("k") > max_group).select("gram", "ord", "h", "pos", "left", "right").sortWithinPartitions("gram")
     strings = checkpointed(crowded.mapInArrow(_hashed_strings(length), PIECE))
-    begin = F.col("at").bitwiseAND((1 << POS_BITS) - 1)
-    h23 = F.shiftrightunsigned("at", POS_BITS).alias("h23")
     hashed_ones = strings.where("k1 is not null")
-    firsts = checkpointed(hashed_ones.groupBy("k1", "k2").agg(F.min(F.struct("ord", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    late = hashed_ones.join(firsts, ["k1", "k2"]).where(F.struct("ord", "at") != F.col("first"))
-    hot = late.select("ord", h23, begin.alias("start"), (begin + length).alias("end")).unionByName(strings.where("k1 is null").select("ord", h23, begin.alias("start"), "end"))
-    return whole.select(*["ord", "h23", "start", "end"]).unionByName(cut).unionByName(hot)
+    firsts = checkpointed(hashed_ones.groupBy("k1", "k2").agg(F.min(F.struct("ord", "h", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    late = hashed_ones.join(firsts, ["k1", "k2"]).where(F.struct("ord", "h", "at") != F.col("first"))
+    hot = late.select("ord", "h", F.col("at").alias("start"), (F.col("at") + length).alias("end")).unionByName(strings.where("k1 is null").select("ord", "h", F.col("at").alias("start"), "end"))
+    return whole.unionByName(cut).unionByName(hot)
 
 
 def _merge(spans: list) -> list[tuple[int, int]]:
@@ -430,14 +425,14 @@ def dedup_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     found = repeated_intervals(docs, id, text, length=length, max_group=max_group, most_bits=most_bits)
     merge = rows_udf(lambda: lambda s: ([{"start": a, "end": b} for a, b in _merge([(x["start"], x["end"]) for x in s])],), "spans array<struct<start:long,end:long>>")
-    per_row = checkpointed(found.groupBy("ord", "h23").agg(F.collect_set(F.struct("start", "end")).alias("s")).select("ord", "h23", merge("s")["spans"].alias("spans")))
+    per_row = checkpointed(found.groupBy("ord", "h").agg(F.collect_set(F.struct("start", "end")).alias("s")).select("ord", "h", merge("s")["spans"].alias("spans")))
     out = fresh(docs, "repeats")
-    order, h23 = F.coalesce(F.col(id).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text)).bitwiseAND(0x7FFFFF)
+    order, h = F.coalesce(F.col(id).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text))
     binary = F.col(text).cast("binary")
     if (per_row.agg(F.sum(F.size("spans"))).first()[0] or 0) <= max_shared:
-        rows = per_row.orderBy("ord", "h23").select("ord", "h23", F.size("spans").alias("n"), "spans.start", "spans.end").toArrow()
+        rows = per_row.orderBy("ord", "h").select("ord", "h", F.size("spans").alias("n"), "spans.start", "spans.end").toArrow()
         flat = [np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in rows.column(n).chunks)]) for n in ("start", "end")]
-        table = spark.sparkContext.broadcast((rows.column("ord").to_numpy(), rows.column("h23").to_numpy(), np.cumsum(np.append(0, rows.column("n").to_numpy())), *flat))
+        table = spark.sparkContext.broadcast((rows.column("ord").to_numpy(), rows.column("h").to_numpy(), np.cumsum(np.append(0, rows.column("n").to_numpy())), *flat))
 
         def start():
             orders, hashes, ends, starts, stops = table.value
@@ -450,9 +445,9 @@ def dedup_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
             return row
 
-        return docs.withColumn(out, rows_udf(start, RESULT)(binary, order, h23))
-    names = {c: fresh(docs, f"_{c}") for c in ("ord", "h23", "spans")}
-    joined = docs.join(per_row.withColumnsRenamed(names), (order == F.col(names["ord"])) & (h23 == F.col(names["h23"])), "left")
+        return docs.withColumn(out, rows_udf(start, RESULT)(binary, order, h))
+    names = {c: fresh(docs, f"_{c}") for c in ("ord", "h", "spans")}
+    joined = docs.join(per_row.withColumnsRenamed(names), (order == F.col(names["ord"])) & (h == F.col(names["h"])), "left")
     give: Column = rows_udf(lambda: lambda t, s: cut_out(t, [(x["start"], x["end"]) for x in s or ()]), RESULT)(binary, F.col(names["spans"]))
     return joined.withColumn(out, give).drop(*names.values())
 

@@ -142,6 +142,26 @@ def test_substrings_match_brute_force(spark, options):
     assert got == suffixdedup.brute_force([(t or "").encode() for _, t in texts], 100)
 
 
+@pytest.mark.parametrize("options", [{}, {"max_group": 1}, {"max_shared": 0}])
+def test_substrings_tell_texts_under_one_id_apart(spark, options):
+    """Two texts whose hashes agree in the low 23 bits are still two rows."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    head, tail = word(140), word(120)
+    texts = [head + f"{i:06d}" + word(20) + (tail if i % 2 else "") for i in range(20_000)]
+    hashes = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", F.xxhash64("t").alias("h")).orderBy("i").select("h").collect()]
+    by = {}
+    for i, h in enumerate(hashes):
+        by.setdefault(h & 0x7FFFFF, []).append(i)
+    pairs = [i for p in by.values() if len(p) > 1 for i in p]
+    assert len(pairs) >= 10
+    rows = sorted((hashes[i], texts[i]) for i in pairs)
+    out = suffixdedup.dedup_substrings(docs(spark, [(None, t) for _, t in rows]), **options)
+    f = F.col(out.columns[-1])
+    got = {r["text"]: tuple(r)[1:] for r in out.select("text", f["n_bytes"], f["n_removed"], f["n_spans"], F.sha2(f["kept"], 256)).collect()}
+    assert [got[t] for _, t in rows] == suffixdedup.brute_force([t.encode() for _, t in rows], 100)
+
+
 def test_secrets_confirm_structure():
     import base64
 
