@@ -12,8 +12,11 @@ Contexts are nodes of one tree shared by the languages; a context seen less than
 `min_context` times in the sample is not a node, and its longest suffix that is
 one stands for it (variable order).
 
-Bounds, all parameters: training uses about `sample_bytes` of text a language,
-chosen by a hash of the row, not by its place; the alphabet is at most 256 bytes
+Bounds, all parameters: training uses about `sample_bytes` of text a language:
+its distinct texts are cut into pieces of `PIECE` bytes, and those with the least
+hashes of (text, piece) are taken up to the bound, so copies count once, a long
+text gives some of its pieces, and every language with labelled text is learned;
+the alphabet is at most 256 bytes
 plus one for unseen bytes; the tree has at most `max_nodes` contexts and the table
 `max_entries` code lengths, the most frequent contexts first, short before long.
 Every text is scored whole.
@@ -31,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.llm.common import to_bytes
@@ -39,6 +42,7 @@ from aerolith.llm.common import to_bytes
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 BLOCK = 1 << 20
+PIECE = 4096
 
 
 @dataclass
@@ -50,30 +54,57 @@ class Model:
     size: int  # symbols, with one for "before the text"
 
 
-def sampled(train: DataFrame, text: str, lang: str, sample_bytes: int) -> DataFrame:
-    """About `sample_bytes` of each language, by a hash of the text; all of a language that has less."""
-    rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).where("bytes > 0")
-    share = F.lit(float(sample_bytes)) / F.col("bytes")
-    return rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+def sampled(train: DataFrame, text: str, lang: str, sample_bytes: int, order: int) -> DataFrame:
+    """(lang, text) pieces of the distinct texts, the least hashes first, of about `sample_bytes` a language; all of a language that has less.
+
+    Each piece has the `order` bytes before it in front, zero bytes at the start of a text. The bound is found on a
+    scale of 64 steps to each doubling of the hash, so it is overrun by about a 64th or one piece."""
+    raw = F.col(text).cast("binary")
+    rows = train.where(F.col(lang).isNotNull() & (F.octet_length(raw) > 0)).select(F.col(lang).cast("string").alias("lang"), raw.alias("text"), F.xxhash64(raw).alias("h"), F.octet_length(raw).alias("size"))
+    step = lambda p: F.floor(F.log2(F.shiftrightunsigned(F.xxhash64("h", p), 1).cast("double") + 1) * 64).cast("int")
+    pieces = F.sequence(F.lit(0), F.floor((F.col("size") - 1) / PIECE).cast("int"))
+    each = rows.select("lang", "h", "size").distinct().select("lang", "h", "size", F.explode(pieces).alias("piece"))
+    steps = each.groupBy("lang", step("piece").alias("step")).agg(F.sum(F.least(F.col("size") - F.col("piece") * PIECE, F.lit(PIECE))).alias("bytes"))
+    before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("step")) - F.col("bytes")
+    last = steps.withColumn("before", before).where(F.col("before") < sample_bytes).groupBy("lang").agg(F.max("step").alias("last"))
+    taken = rows.join(F.broadcast(last), "lang").withColumn("pieces", F.filter(pieces, lambda p: step(p) <= F.col("last"))).where(F.size("pieces") > 0)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            out = []
+            for of, whole, h, places in zip(*batch.columns, strict=True):
+                key = (of.as_py(), h.as_py())
+                if key in seen:
+                    continue
+                seen.add(key)
+                body = memoryview(whole.as_buffer())
+                for p in places.as_py():
+                    at = p * PIECE
+                    out.append((*key, p, bytes(max(0, order - at)) + bytes(body[max(0, at - order) : at + PIECE])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["lang", "h", "piece", "text"])
+
+    found = taken.select("lang", "text", "h", "pieces").mapInArrow(cut, "lang string, h long, piece int, text binary")
+    return found.groupBy("lang", "h", "piece").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def _grams(order: int):
-    """Partial counts of (order + 1)-grams by language; a text is preceded by `order` zero bytes."""
+    """Partial counts of (order + 1)-grams by language; the first `order` bytes of a piece are context only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in batch.column(0).unique().to_pylist():
                 texts = batch.column(1).filter(pc.equal(batch.column(0), lang)).to_pylist()
-                joined = np.frombuffer(b"".join(bytes(order) + t for t in texts), np.uint8).astype(np.int64)
-                starts = np.cumsum([0] + [len(t) + order for t in texts[:-1]])
+                joined = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+                starts = np.cumsum([0] + [len(t) for t in texts[:-1]])
                 code = np.zeros(len(joined), np.int64)
                 for k in range(order, -1, -1):
                     moved = np.zeros_like(joined)
                     moved[k:] = joined[: len(joined) - k]
                     code = code << 8 | moved
                 skip = np.zeros(len(joined), bool)
-                for k in range(order):  # the padding itself is not coded
+                for k in range(order):  # the context itself is not coded
                     skip[np.minimum(starts + k, len(joined) - 1)] = True
                 values, counts = np.unique(code[~skip], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values), pa.array(counts)], names=["lang", "gram", "n"])
@@ -82,7 +113,7 @@ def _grams(order: int):
 
 
 def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", order: int = 3, sample_bytes: int = 3_000_000, min_context: int = 4, max_nodes: int = 20_000, max_entries: int = 20_000_000) -> Model:
-    rows = sampled(train, text, lang, sample_bytes).withColumn("text", F.col("text").cast("binary"))
+    rows = sampled(train, text, lang, sample_bytes, order)
     grams = rows.mapInArrow(_grams(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return frozen(grams["lang"].to_numpy(), grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64), order, min_context, max_nodes, max_entries)
 

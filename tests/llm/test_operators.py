@@ -200,6 +200,30 @@ def test_language_held_out(spark):
     assert {r["lang_pred"] for r in langid.identify(d, langid.fit(d.where("false"))).collect()} == {"und"}
 
 
+def test_language_sample_counts_copies_once_and_learns_every_language(spark):
+    rng = random.Random(6)
+    prose = lambda n, ab: "".join(rng.choice(ab) for _ in range(n))
+    rows = []
+    for k, ab in enumerate(("abcd ", "efgh ", "ijkl ", "mnop ", "qrst ", "uvwx ")):
+        rows += [(t, f"l{k}") for t in (prose(3000, ab), prose(2500, ab)) for _ in range(100)]
+    long = prose(400_000, "yz ")
+    rows += [(long, "long"), ("tiny text", "tiny"), ("", "none"), (None, "null")]
+    rows += [(prose(200, "0123 é"), "many") for _ in range(2000)] + [("hot " * 600, "many")] * 1000
+    d = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    languages = [f"l{k}" for k in range(6)] + ["long", "many", "tiny"]
+    assert langid.fit(d, sample_bytes=20_000).languages == languages
+    got = {}
+    for r in langid.sampled(d, "text", "lang", 20_000, 3).collect():
+        got.setdefault(r["lang"], []).append(bytes(r["text"]))
+    assert sorted(got) == languages
+    for l, pieces in got.items():
+        assert len(pieces) == len(set(pieces)) and sum(len(p) - 3 for p in pieces) < 20_000 + 5000
+        whole = {bytes(3) + t.encode() for t, of in rows if of == l and t}
+        assert all(any(p in w for w in whole) for p in pieces)
+    assert all(sum(len(p) - 3 for p in got[f"l{k}"]) == 5500 for k in range(6))
+    assert sum(len(p) - 3 for p in got["long"]) >= 20_000 - 4096 and sum(p.startswith(bytes(3)) for p in got["long"]) <= 1
+
+
 def test_code_lengths_are_exact():
     """The table's sums equal the tree's own arithmetic, byte by byte."""
     texts = {"aa": b"abracadabra abra", "bb": b"banana bandana"}
