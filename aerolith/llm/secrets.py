@@ -7,13 +7,19 @@ text: `assign` (a name, a sign, a value of 6 or more characters), `access`
 The structural kinds are reported only if what a candidate decodes to holds
 together:
 
-* `pem`: a ``-----BEGIN x-----`` block whose base64 body decodes to DER whose
-  nested lengths fit exactly, or to an OpenSSH key whose length-prefixed fields do;
+* `pem`: a ``-----BEGIN x-----`` block whose base64 body, after header lines if it
+  has any, decodes to DER whose nested lengths fit exactly, or to an OpenSSH key
+  whose length-prefixed fields do; under ``Proc-Type: 4,ENCRYPTED`` and a DEK-Info
+  with a vector of 8 or 16 bytes, to whole cipher blocks of that size;
 * `jwt`: three base64url parts of which the first decodes to a JSON object with a
   string `alg` and the second to a JSON object;
 * `der`: a base64 or hex run that decodes to such a DER sequence or OpenSSH key;
-* `encoded`: a base64 or hex run that decodes to printable text in which a base
-  pattern finds an assignment or an access key.
+* `encoded`: a base64 or hex run that decodes to UTF-8 text, printable but for white
+  space, in which a base pattern finds an assignment or an access key.
+
+Runs wrapped over lines (equal lengths of `LINE` or more, the first and the last may be
+shorter) are also tried as one; the joined span is reported beside those of its
+lines, unless each line holds together by itself.
 
 A span is (kind, start, end) in code points, end exclusive, sorted by start and
 then by kind in the order above. Defined results: null and empty texts have no
@@ -39,7 +45,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:(?:\\[nr]|\s)*+[A-Za-z][A-Za-z0-9-]{0,40}:[^\r\n]{0,200}?(?=\\[nr]|[\r\n])){0,20})([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
+DEK = re.compile(r"DEK-Info:\x20*[A-Z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})(?![0-9A-Fa-f])")
+LINE = 16
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>]*+[A-Za-z0-9+/_-]++={0,2})++")
+RUN = re.compile(r"(?:(?<=\n)|(?<=\\n)|^)[ \t>]*+([A-Za-z0-9+/_-]++={0,2})")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 HEX_ANY = re.compile(r"[0-9A-Fa-f]{32,}")
@@ -128,17 +138,55 @@ def _hides_secret(data: bytes | None) -> bool:
     if not data or len(data) < 12:
         return False
     try:
-        text = data.decode("ascii")
+        text = data.decode("utf-8")
     except UnicodeDecodeError:
         return False
-    return text.isprintable() and any(k != "hex" for k, _, _ in base_spans(text))
+    return "".join(text.split()).isprintable() and any(k != "hex" for k, _, _ in base_spans(text))
+
+
+def _encrypted_fits(head: str, data: bytes | None) -> bool:
+    """Whether a key under encryption headers is whole blocks of the cipher that its vector is for."""
+    dek = DEK.search(head) if "4,ENCRYPTED" in head else None
+    return dek is not None and data is not None and len(data) >= 32 and len(data) % (len(dek[1]) // 2) == 0
+
+
+def from_hex(run: str) -> bytes | None:
+    try:
+        return bytes.fromhex(run[: len(run) // 2 * 2])
+    except ValueError:
+        return None
+
+
+def _kind(data: bytes | None) -> str | None:
+    return "der" if key_fits(data) else "encoded" if _hides_secret(data) else None
+
+
+def wrapped_runs(text: str) -> list[list[tuple[int, int]]]:
+    """Lines (start, end) of runs that may be one run wrapped: lines of one length, with and without a shorter one before and after."""
+    out = []
+    for m in WRAPPED.finditer(text):
+        lines = [x.span(1) for x in RUN.finditer(m[0])]
+        size = [b - a for a, b in lines]
+        i = 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and size[j] == size[i]:
+                j += 1
+            if size[i] >= LINE:
+                for a in (i - 1, i) if i and size[i - 1] < size[i] else (i,):
+                    for b in (j + 1, j) if j < len(lines) and size[j] < size[i] else (j,):
+                        if b - a > 1:
+                            out.append([(x + m.start(), y + m.start()) for x, y in lines[a:b]])
+            i = j
+    return out
 
 
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if key_fits(from_base64(re.sub(r"\\n|\\r|\s", "", m[2]))):
+            data = from_base64(re.sub(r"\\n|\\r|\s", "", m[3]))
+            if key_fits(data) or _encrypted_fits(m[2], data):
                 out.append(("pem", *m.span()))
     if "eyJ" in text:
         for m in JWT.finditer(text):
@@ -146,16 +194,24 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
             if header and isinstance(header.get("alg"), str) and _json_object(m[2]) is not None:
                 out.append(("jwt", *m.span()))
     covered = [(a, b) for _, a, b in out]
-    for pattern, decode in ((BASE64, from_base64), (HEX_ANY, lambda s: bytes.fromhex(s[: len(s) // 2 * 2]))):
+    alone = []
+    for pattern, decode in ((BASE64, from_base64), (HEX_ANY, from_hex)):
         for m in pattern.finditer(text):
             a, b = m.span()
             if any(x < b and a < y for x, y in covered):
                 continue
-            data = decode(m[0])
-            kind = "der" if key_fits(data) else "encoded" if _hides_secret(data) else None
-            if kind:
-                out.append((kind, a, b))
-    return out
+            if kind := _kind(decode(m[0])):
+                alone.append((kind, a, b))
+    whole: list[tuple[str, int, int]] = []
+    single = {(a, b) for _, a, b in alone}
+    for lines in wrapped_runs(text):
+        a, b = lines[0][0], lines[-1][1]
+        if any(x < b and a < y for x, y in covered) or any(x <= a and b <= y for _, x, y in whole) or all(s in single for s in lines):
+            continue
+        run = "".join(text[x:y] for x, y in lines)
+        if kind := _kind(from_base64(run)) or _kind(from_hex(run)):
+            whole.append((kind, a, b))
+    return out + alone + whole
 
 
 def secret_spans(text: str | None) -> list[tuple[str, int, int]]:

@@ -175,6 +175,34 @@ def test_secrets_confirm_structure():
     assert kinds("password=short") == [] and secrets.secret_spans(None) == [] and kinds("ſecret=abcdefg") == []
 
 
+def test_secrets_in_wrapped_and_headed_encodings():
+    import base64
+    import textwrap
+
+    kinds = lambda t: [k for k, _, _ in secrets.secret_spans(t)]
+    b64 = lambda t: base64.b64encode(t.encode()).decode()
+    for said in ("password=hunter22\n", "A=1\n\tpassword=hunter22\r\n", "naïve – 日本: password=hunter22\n"):
+        assert kinds(b64(said)) == ["encoded"] and "encoded" in kinds(said.encode().hex())
+    env = "".join(f"SETTING_NUMBER_{i}=plain value {i}\n" for i in range(9)) + "DB_PASSWORD=correct-horse-battery\n" + "Z=9\n" * 9
+    for width in (64, 76, 20):
+        for sep in ("\n", "\r\n", "\n    ", "\\n"):
+            wrapped = sep.join(textwrap.wrap(b64(env), width))
+            text = f"config:\n{wrapped}\nand then\n"
+            assert ("encoded", text.index(wrapped), text.index(wrapped) + len(wrapped)) in secrets.secret_spans(text)
+    assert "encoded" in kinds("\n".join(textwrap.wrap(env.encode().hex(), 60)))
+    two = b64("password=hunter22\n") + "\n" + b64("password=hunter33\n")
+    assert [s[1:] for s in secrets.secret_spans(two)] == [(0, 24), (25, 49)]
+    der = b"\x30\x82\x01\x04" + (b"\x02\x82\x00\x80" + bytes(128)) + (b"\x02\x7c" + bytes(124)) + b"\x05\x00"
+    assert secrets.key_fits(der) and kinds("\n".join(textwrap.wrap(base64.b64encode(der).decode(), 64))) == ["der"]
+    cipher = "\n".join(textwrap.wrap(base64.b64encode(bytes(random.Random(0).randrange(256) for _ in range(96))).decode(), 64))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    pem = lambda h, body: f"-----BEGIN RSA PRIVATE KEY-----\n{h}{body}\n-----END RSA PRIVATE KEY-----"
+    assert "pem" in kinds(pem(head, cipher)) and "pem" in kinds(pem(head, cipher).replace("\n", "\\n"))
+    assert "pem" in kinds(pem("Comment: mine\n", base64.b64encode(der).decode()))
+    assert "pem" not in kinds(pem("", cipher)) and "pem" not in kinds(pem(head, cipher[:-8])) and "pem" not in kinds(pem("Comment: mine\n", cipher))
+    assert kinds("a" * 300_000 + "\n" + "word\n" * 20_000) == (["hex"])
+
+
 def test_html_main_text():
     texts = [f"Sentence number {i} of the story, told in several words." for i in range(40)]
     page = lambda k: "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class=\"ad\">Buy now.</div><article><h1>Title %d</h1>%s</article><footer>&copy; Someone</footer></body></html>" % (k, "".join(f"<p>{t}</p>" for t in texts[k % 30 : k % 30 + 5]))
