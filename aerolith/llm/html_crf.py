@@ -8,10 +8,14 @@ weights are trained on labelled pages by maximum likelihood with an L2 penalty
 
 Labelled pages: the table has no labels, but its authors mark their articles up.
 `labelled_pages` takes the blocks inside the marked article of at most
-`train_pages` pages, chosen by hash, as main text, and sets them into page
-layouts with other wrappers and with menus, sidebars, notices, forms, adverts and
-reader comments, so that the model learns to do without that one mark. Whole
-pages of any length are decoded; the bound is on training only.
+`train_pages` pages of at most `most_chars` characters as main text, all blocks of
+a page, and sets them into page layouts with other wrappers and with menus,
+sidebars, notices, forms, adverts and reader comments, so that the model learns to
+do without that one mark. Pages are the distinct ones that yield labels, by the
+least hashes; copies count once. If no page does, the layouts are built from
+blocks of the first `most_chars` characters of any pages, the long ones as main
+text, or from stock phrases where there are none. Whole pages of any length are
+decoded; the bounds are on training only.
 
 Inside a block character references are decoded and white space becomes one
 space; main blocks are joined in page order by one space. Defined results: null or
@@ -21,6 +25,7 @@ empty html, or no main block: an empty text.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -201,43 +206,63 @@ class Crf:
 
 def train(pages: list[list[Block]], *, penalty: float = 0.05, steps: int = 250, rate: float = 0.1) -> Crf:
     """Maximum likelihood with an L2 penalty, by Adam on the whole set; deterministic."""
-    pages = [p for p in pages if p]
-    model = Crf()
+    pages = sorted((p for p in pages if p), key=len)
     if not pages:
-        return model
-    n, longest, d = len(pages), max(map(len, pages)), len(FEATURES)
-    x, y, on = np.zeros((n, longest, d)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for i, p in enumerate(pages):
-        x[i, : len(p)], y[i, : len(p)], on[i, : len(p)] = features_of(p), [b.label for b in p], True
-    size = on.sum(1)
+        return Crf()
+    n, d = len(pages), len(FEATURES)
+    active = [np.nonzero(features_of(p)) for p in pages]
+    counts = np.concatenate([np.bincount(r, minlength=len(p)) for (r, _), p in zip(active, pages, strict=True)])
+    at = np.concatenate([c for _, c in active]).astype(np.int16)
+    starts = np.cumsum(counts) - counts  # every block has the bias
+    y = np.array([b.label for p in pages for b in p])
     gold = np.zeros((2, 2))
-    both = on[:, 1:]
-    np.add.at(gold, (y[:, :-1][both], y[:, 1:][both]), 1)
-    observed = np.concatenate([np.einsum("ntd,nt->d", x, y * on), gold.ravel()])
+    for p in pages:
+        for a, b in itertools.pairwise(p):
+            gold[a.label, b.label] += 1
+    observed = np.concatenate([np.bincount(at, weights=np.repeat(y, counts), minlength=d), gold.ravel()])
+    groups = list(_grouped([len(p) for p in pages]))
     theta = np.zeros(d + 4)
     m = v = np.zeros_like(theta)
     for step in range(1, steps + 1):
-        score, trans = x @ theta[:d], theta[d:].reshape(2, 2)
-        emit = np.stack([np.zeros_like(score), score], axis=2)
-        forward, backward = np.zeros_like(emit), np.zeros_like(emit)
-        forward[:, 0] = emit[:, 0]
-        for t in range(1, longest):
-            new = np.logaddexp(forward[:, t - 1, :1] + trans[0], forward[:, t - 1, 1:] + trans[1]) + emit[:, t]
-            forward[:, t] = np.where(on[:, t, None], new, forward[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            nxt = emit[:, t + 1] + backward[:, t + 1]
-            new = np.logaddexp(trans[:, 0] + nxt[:, :1], trans[:, 1] + nxt[:, 1:])
-            backward[:, t] = np.where(on[:, t + 1, None], new, 0)
-        norm = np.logaddexp.reduce(forward[np.arange(n), size - 1], axis=1)
-        single = np.exp(forward + backward - norm[:, None, None]) * on[:, :, None]
-        pair = forward[:, :-1, :, None] + trans + (emit + backward)[:, 1:, None, :] - norm[:, None, None, None]
-        expected = np.concatenate([np.einsum("ntd,nt->d", x, single[:, :, 1]), (np.exp(np.where(both[:, :, None, None], pair, -np.inf))).sum((0, 1)).ravel()])
+        flat, trans = np.add.reduceat(theta[at], starts), theta[d:].reshape(2, 2)
+        main, pairs = np.zeros(len(y)), np.zeros((2, 2))
+        for a, b, on in groups:
+            size, longest = on.sum(1), on.shape[1]
+            score = np.zeros(on.shape)
+            score[on] = flat[a:b]
+            emit = np.stack([np.zeros_like(score), score], axis=2)
+            forward, backward = np.zeros_like(emit), np.zeros_like(emit)
+            forward[:, 0] = emit[:, 0]
+            for t in range(1, longest):
+                new = np.logaddexp(forward[:, t - 1, :1] + trans[0], forward[:, t - 1, 1:] + trans[1]) + emit[:, t]
+                forward[:, t] = np.where(on[:, t, None], new, forward[:, t - 1])
+            for t in range(longest - 2, -1, -1):
+                nxt = emit[:, t + 1] + backward[:, t + 1]
+                new = np.logaddexp(trans[:, 0] + nxt[:, :1], trans[:, 1] + nxt[:, 1:])
+                backward[:, t] = np.where(on[:, t + 1, None], new, 0)
+            norm = np.logaddexp.reduce(forward[np.arange(len(on)), size - 1], axis=1)
+            main[a:b] = np.exp(forward + backward - norm[:, None, None])[:, :, 1][on]
+            pair = forward[:, :-1, :, None] + trans + (emit + backward)[:, 1:, None, :] - norm[:, None, None, None]
+            pairs += np.exp(np.where(on[:, 1:, None, None], pair, -np.inf)).sum((0, 1))
+        expected = np.concatenate([np.bincount(at, weights=np.repeat(main, counts), minlength=d), pairs.ravel()])
         grad = (observed - expected) / n - penalty * theta / 10
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Crf(theta[:d], theta[d:].reshape(2, 2))
 
 
+def _grouped(sizes: list[int], most: int = 50_000):
+    """(start, end, mask) over the blocks of pages of rising size; a mask of pages by places has about `most` cells."""
+    a = first = 0
+    while first < len(sizes):
+        last = first + 1
+        while last < len(sizes) and (last + 1 - first) * sizes[last] <= most:
+            last += 1
+        some = np.array(sizes[first:last])
+        yield a, a + int(some.sum()), np.arange(some[-1]) < some[:, None]
+        a, first = a + int(some.sum()), last
+
+
 def _escaped(text: str) -> str:
     return entities.escape(text, quote=False)
 
@@ -258,25 +283,61 @@ def layouts(main: list[str], other: list[str], k: int) -> str:
     return f"<html><head><title>{_escaped(main[0])}</title></head><body>{some(before)}{open_}{''.join(body)}{close}{some(after)}</body></html>"
 
 
-def labelled_pages(htmls: list[str | None], most_blocks: int = 60) -> list[list[Block]]:
-    """Labelled training pages from pages whose authors mark the article, each as it is and in another layout."""
+def labelled(page: str | None) -> tuple[list[Block], list[str], list[str]] | None:
+    """The blocks of a page with labels, and the texts inside and outside its marked article; None unless it has both."""
+    blocks = blocks_of(page)
+    for b in blocks:
+        b.label = int(bool({"article", "main"} & b.tags) and not {"nav", "aside", "footer", "form", "header"} & b.tags and not {"comment", "ad", "notice", "share"} & b.clues)
+    main, other = [b.text for b in blocks if b.label], [b.text for b in blocks if not b.label]
+    return (blocks, main, other) if main and other else None
+
+
+def labelled_pages(htmls: list[str | None]) -> list[list[Block]]:
+    """Labelled training pages from pages whose authors mark the article, each as it is and in two other layouts."""
     out = []
     for k, page in enumerate(htmls):
-        blocks = blocks_of(page)[:most_blocks]
-        for b in blocks:
-            b.label = int(bool({"article", "main"} & b.tags) and not {"nav", "aside", "footer", "form", "header"} & b.tags and not {"comment", "ad", "notice", "share"} & b.clues)
-        main, other = [b.text for b in blocks if b.label], [b.text for b in blocks if not b.label]
-        if main and other:
+        if found := labelled(page):
+            blocks, main, other = found
             out.append(blocks)
             short = other + [" ".join(t.split()[:12]) for t in main[:3]]
             out += [blocks_of(layouts(main[:12], short, 2 * k + j)) for j in (0, 1)]
     return out
 
 
+#: Where a table has no text to build layouts from.
+STOCK = (["This is a sentence of the main text, told in more than ten plain words.", "Another sentence follows it and says a little more about the same thing.", "The last one of them comes to an end here, as all such sentences do."], ["Home", "About us", "Contact", "Sign in", "Read more", "Terms of use", "All rights reserved", "Related pages"])
+
+
+def unmarked_pages(htmls: list[str | None]) -> list[list[Block]]:
+    """Labelled layouts from pages without a marked article: their blocks of ten words or more, few of them in links, are the main text."""
+    out = []
+    for k, page in enumerate(htmls or [None]):
+        blocks = blocks_of(page)
+        long = [b.text for b in blocks if b.text.count(" ") >= 9 and b.links <= 0.3]
+        short = [b.text for b in blocks if b.text.count(" ") < 9 or b.links > 0.3]
+        out += [blocks_of(layouts(long[:12] or STOCK[0], short or STOCK[1], 4 * k + j)) for j in range(4)]
+    return out
+
+
+def _least(pages: DataFrame, count: int) -> list[str]:
+    """The `count` distinct pages of the least hashes; pages(html, h)."""
+    least = [r["h"] for r in pages.select("h").distinct().orderBy("h").limit(count).collect()]
+    rows = pages.where(F.col("h").isin(least)).groupBy("h").agg(F.min("html").alias("html")).collect() if least else []
+    return [r["html"] for r in sorted(rows, key=lambda r: r["h"])]
+
+
 def fit(pages: DataFrame, *, html: str = "html", train_pages: int = 200, most_chars: int = 30_000) -> Crf:
-    """Train on at most `train_pages` pages of at most `most_chars` characters, the first by a hash of the page."""
-    some = pages.select(F.col(html).alias("html")).where(F.length("html") <= most_chars).withColumn("h", F.xxhash64("html")).orderBy("h", "html").limit(train_pages)
-    return train(labelled_pages([r["html"] for r in some.collect()]))
+    """Train on at most `train_pages` distinct pages of at most `most_chars` characters that yield labels, the first by a hash of the page."""
+    rows = pages.select(F.col(html).alias("html")).where(F.col("html").isNotNull()).withColumn("h", F.xxhash64("html"))
+    marked = rows.where((F.length("html") <= most_chars) & F.col("html").rlike("(?i)<(article|main)"))
+    first = _least(marked, 2 * train_pages)
+    some = [p for p in first if labelled(p)][:train_pages]
+    if len(some) < train_pages and len(first) == 2 * train_pages:  # there may be more: ask every page
+        usable = rows_udf(lambda: lambda t: (labelled(t) is not None,), "ok boolean")
+        some = _least(marked.withColumn("ok", usable("html")["ok"]).where("ok").drop("ok"), train_pages)
+    if some:
+        return train(labelled_pages(some))
+    return train(unmarked_pages(_least(rows.select(F.substring("html", 1, most_chars).alias("html"), "h"), train_pages)))
 
 
 def main_text_column(page: Column, model: Crf) -> Column:

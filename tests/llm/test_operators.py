@@ -215,6 +215,30 @@ def test_html_main_text():
     assert model.main_text(None) == model.main_text("") == ""
 
 
+def test_html_training_sample(spark):
+    """Copies count once, unmarked tables still train, and long pages are learned to their end."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
+    page = lambda n, wrap: f'<html><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><{wrap}>{"".join(f"<p>{prose(14)}</p>" for _ in range(n))}</{wrap}><footer>&copy; Someone</footer></body></html>'
+    marked, plain = [page(4, "article") for _ in range(30)], [page(4, "div") for _ in range(30)]
+    frame = lambda htmls: spark.createDataFrame([(h,) for h in htmls], "html string")
+    hash_of = lambda htmls: [r[0] for r in frame(htmls).select("html", F.xxhash64("html").alias("h")).orderBy("h").select("html").collect()]
+    errors = [f"<html><body><div>Error {k}</div></body></html>" for k in range(300)]
+    low = hash_of([*errors, *marked])[0]
+    assert low in errors
+    held = page(5, "article")
+    want = " ".join(b.text for b in html_crf.blocks_of(held)[1:-1])
+    for hot in (low, *[f"<html><body><main>{e}</main></body></html>" for e in errors[:1]]):
+        assert html_crf.fit(frame([hot] * 400 + marked)).main_text(held) == want
+    many = [f"<html><body><article></article>{e}</body></html>" for e in errors]  # looks marked, yields no label
+    assert html_crf.fit(frame(many + marked), train_pages=20).main_text(held) == want
+    model = html_crf.fit(frame([*plain, *errors]))
+    assert model.weights.any() and model.main_text(plain[0]) == " ".join(b.text for b in html_crf.blocks_of(plain[0])[1:-1])
+    assert html_crf.fit(frame([page(400, "div")] * 3), most_chars=3000).weights.any() and html_crf.fit(frame([None, ""])).weights.any()
+    long = page(150, "article")
+    assert [b.label for b in html_crf.labelled_pages([long])[0]] == [0] + [1] * 150 + [0]
+
+
 def test_language_held_out(spark):
     rng = random.Random(2)
     syllables = {"aa": ["ka", "to", "mi", "ru"], "bb": ["sch", "ung", "ein", "ver"]}
