@@ -148,10 +148,10 @@ def backtest_rows(legs: DataFrame, airports: DataFrame, days: int = 14, window:
 
 
 def schedule_backtest(legs: DataFrame, airports: DataFrame, **options) -> DataFrame:
-    """Per method and support (1, 2-4, 5+ sightings): legs scored and hits within 15, 30 and 45 minutes."""
+    """Per method and support (1, 2-4, 5+ sightings): legs scored, hits within 15, 30 and 45 minutes and the median error (of two middle ones the mean)."""
     r = backtest_rows(legs, airports, **options)
     support = F.when(F.col("n_train") == 1, "1").when(F.col("n_train") <= 4, "2-4").otherwise("5+")
-    return r.groupBy("method", support.alias("support")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("err") <= t).alias(f"within_{t}") for t in (15, 30, 45)])
+    return r.groupBy("method", support.alias("support")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("err") <= t).alias(f"within_{t}") for t in (15, 30, 45)], F.median("err").alias("median_err"))
 
 
 def board_modal_times(boards: DataFrame) -> DataFrame:

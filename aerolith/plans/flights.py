@@ -233,24 +233,42 @@ def schedule(spark, sf):
 
 
 @R.add(f"WITH {FULL} SELECT * FROM sched", "legs", "airports")
-def schedule_full(spark, sf):
+def schedule_pooled(spark, sf):
     return schedule(spark, sf).drop("weekdays", "flight", "source")
 
 
+@R.add(None)
+def schedule_full(spark, sf):
+    """The timetable with its weekday slots, as (weekday, times) in order; the tests hold them against hand-made sightings."""
+    return schedule(spark, sf).withColumn("weekdays", F.array_sort(F.map_entries("weekdays"))).drop("flight", "source")
+
+
 @R.add(f"""WITH {FULL}, d AS (SELECT max(date) AS day FROM legs WHERE dst IS NOT NULL), s AS (SELECT l.callsign, l.org, l.dst, cast(extract(hour FROM timezone(z.tz, to_timestamp(dep_ts))) * 60 + extract(minute FROM timezone(z.tz, to_timestamp(dep_ts))) AS int) AS m FROM legs l JOIN d ON l.date = d.day JOIN z ON z.code = l.org)
 SELECT 'inferred' AS bucket, count(*) AS legs, count(*) FILTER (abs((m - dep_min + 720 + 1440) % 1440 - 720) <= 45) AS hits FROM s JOIN sched USING (callsign, org, dst) WHERE dep_min IS NOT NULL HAVING count(*) > 0""", "legs", "airports")
-def schedule_quality(spark, sf):
+def schedule_quality_pooled(spark, sf):
     s = schedule(spark, sf).withColumn("weekdays", F.lit(None).cast("map<int,struct<dep:int,arr:int>>"))
     return sc.schedule_quality(s, lens(spark, sf, "legs"), lens(spark, sf, "airports")).drop("accuracy")
 
 
+@R.add(None)
+def schedule_quality(spark, sf):
+    """Departures against the timetable, weekday slots first; the tests hold it against hand-made sightings."""
+    return sc.schedule_quality(schedule(spark, sf), lens(spark, sf, "legs"), lens(spark, sf, "airports"))
+
+
 @R.add(f"""WITH {SLOTS}, la AS (SELECT max(day) AS last FROM sg WHERE minute IS NOT NULL), tg AS (SELECT callsign, org, dst, day AS td, minute AS flown FROM sg, la WHERE day > last - 14), ask AS (SELECT DISTINCT callsign, org, dst, td FROM tg),
 tr AS (SELECT s.callsign, s.org, s.dst, td, minute // 5 * 5 AS slot FROM sg s JOIN ask USING (callsign, org, dst) WHERE s.day BETWEEN td - 365 AND td - 1), nt AS (SELECT callsign, org, dst, td, count(*) AS n_train FROM tr GROUP BY ALL),
 pr AS (SELECT callsign, org, dst, td, slot FROM (SELECT callsign, org, dst, td, slot, count(*) AS n FROM tr GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY callsign, org, dst, td ORDER BY n DESC, slot) = 1)
 SELECT 'mode' AS method, CASE WHEN n_train = 1 THEN '1' WHEN n_train <= 4 THEN '2-4' ELSE '5+' END AS support, count(*) AS n, count(*) FILTER (abs((flown - slot + 720 + 1440) % 1440 - 720) <= 15) AS within_15, count(*) FILTER (abs((flown - slot + 720 + 1440) % 1440 - 720) <= 30) AS within_30, count(*) FILTER (abs((flown - slot + 720 + 1440) % 1440 - 720) <= 45) AS within_45
 FROM tg JOIN pr USING (callsign, org, dst, td) JOIN nt USING (callsign, org, dst, td) GROUP BY ALL""", "legs", "airports")
+def schedule_backtest_mode(spark, sf):
+    return sc.schedule_backtest(lens(spark, sf, "legs"), lens(spark, sf, "airports"), days=14, window=365, methods=("mode",)).drop("median_err")
+
+
+@R.add(None)
 def schedule_backtest(spark, sf):
-    return sc.schedule_backtest(lens(spark, sf, "legs"), lens(spark, sf, "airports"), days=14, window=365, methods=("mode",))
+    """All methods with their median error; the tests hold them against hand-made sightings."""
+    return sc.schedule_backtest(lens(spark, sf, "legs"), lens(spark, sf, "airports"), days=14, window=365)
 
 
 MODAL = """bd AS (SELECT *, counterpart IS NULL AS blind, CASE WHEN counterpart IS NULL THEN NULL WHEN kind = 'dep' THEN split_part(counterpart, ',', 1) ELSE split_part(counterpart, ',', -1) END AS other FROM boards),

@@ -102,3 +102,27 @@ def test_backtest_predicts_from_the_days_before_only(spark):
     rows = [leg(DAY + dt.timedelta(days=i), "SIN", "SYD", 90 if i < 20 else 210, 8 * 3600) for i in range(24)]
     r = sc.backtest_rows(spark.createDataFrame(rows, schemas.LEGS), spark.createDataFrame(AIRPORTS, schemas.AIRPORTS), days=4, window=60, methods=("mode",)).collect()
     assert len(r) == 4 and all(x["predicted"] == 570 for x in r) and all(x["err"] == 120 for x in r)
+
+
+def test_queries_score_all_methods_and_keep_weekday_slots(spark, monkeypatch):
+    """A flight that leaves at another hour on Fridays: (queries over the legs that the lens would give)."""
+    from aerolith.plans import flights
+
+    rows = [leg(DAY + dt.timedelta(days=i), "SIN", "SYD", 390 if (DAY + dt.timedelta(days=i)).weekday() == 4 else 90, 8 * 3600) for i in range(56)]
+    rows.append(leg(DAY + dt.timedelta(days=55), "SIN", "SYD", 100, 8 * 3600, hex_="bbbbbb"))
+    last = DAY + dt.timedelta(days=55)
+    assert last.weekday() == 4
+    tables = {"legs": spark.createDataFrame(rows, schemas.LEGS), "airports": spark.createDataFrame(AIRPORTS, schemas.AIRPORTS)}
+    monkeypatch.setattr(flights, "lens", lambda spark, sf, name: tables[name])
+    (full,) = flights.schedule_full(spark, "").collect()
+    assert full["dep_min"] == 570 and [(w["key"], w["value"]["dep"]) for w in full["weekdays"]] == [(4, 870)]
+    (q,) = flights.schedule_quality(spark, "").collect()
+    assert (q["legs"], q["hits"], q["accuracy"]) == (2, 1, 50.0)
+    got = {r["method"]: r for r in flights.schedule_backtest(spark, "").collect()}
+    assert set(got) == set(sc.METHODS) and {r["support"] for r in got.values()} == {"5+"} and {r["n"] for r in got.values()} == {15}
+    # days 42 to 55: twelve at 9:30, Fridays at 14:30 and one Friday leg at 9:40
+    assert all((got[m]["within_15"], got[m]["within_45"], got[m]["median_err"]) == (13, 13, 0.0) for m in sc.METHODS if "weekday" not in m)
+    assert all((got[m]["within_45"], got[m]["median_err"]) == (14, 0.0) for m in sc.METHODS if "weekday" in m)
+    two = spark.createDataFrame([leg(DAY + dt.timedelta(days=i), "SIN", "SYD", m, 8 * 3600) for i, m in enumerate((90, 90, 90, 100, 120))], schemas.LEGS)
+    r = sc.schedule_backtest(two, tables["airports"], days=2, methods=("mode",)).collect()
+    assert [(x["support"], x["n"], x["median_err"]) for x in r] == [("2-4", 2, 20.0)]
