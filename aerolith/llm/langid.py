@@ -21,7 +21,8 @@ plus one for unseen bytes; the tree has at most `max_nodes` contexts and the tab
 `max_entries` code lengths, the most frequent contexts first, short before long.
 Every text is scored whole.
 
-Defined results: null, or without a letter: `und` with score 0. Ties go to the
+Defined results: null, or without a letter: `und` with score 0, and `readable` false,
+whether there is a model or not. Ties go to the
 language that sorts first. No labelled rows: everything is `und`.
 """
 
@@ -216,21 +217,21 @@ def code_lengths(model: Model, flat: np.ndarray, offsets: np.ndarray, order: int
 
 
 def language_column(docs: DataFrame, model: Model, *, text: str = "text", order: int = 3) -> Column:
-    """A struct column: lang_pred, score and bits_per_byte of the best language."""
+    """A struct column: lang_pred, score and bits_per_byte of the best language, and readable: whether the text has a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for batch in batches:
-            lang, score, rate = [], [], []
+            lang, score, rate, readable = [], [], [], []
             for a, b in _slices(batch):
                 part = batch.slice(a, b - a)
                 found = _scored(model, part, order)
-                for out, values in zip((lang, score, rate), found, strict=True):
+                for out, values in zip((lang, score, rate, readable), found, strict=True):
                     out.extend(values)
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=["lang_pred", "score", "bits_per_byte"])
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()), pa.array(readable, pa.bool_())], names=["lang_pred", "score", "bits_per_byte", "readable"])
 
-    udf = F.arrow_udf(run, "lang_pred string, score double, bits_per_byte double").asNondeterministic()
+    udf = F.arrow_udf(run, "lang_pred string, score double, bits_per_byte double, readable boolean").asNondeterministic()
     return udf(F.col(text))
 
 
@@ -243,15 +244,16 @@ def _slices(batch: pa.Array) -> list[tuple[int, int]]:
     return list(zip([0, *cut.tolist()], [*cut.tolist(), len(batch)], strict=True))
 
 
-def _scored(model: Model, part: pa.Array, order: int) -> tuple[list, list, list]:
+def _scored(model: Model, part: pa.Array, order: int) -> tuple[list, list, list, list]:
     texts = part.to_pylist()
+    readable = [t is not None and LETTER.search(t) is not None for t in texts]
     raw = pa.concat_arrays([pc.fill_null(to_bytes(part), b"")])
     wide = raw.cast(pa.large_binary())
     offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
     body = wide.buffers()[2]
     flat = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
     if not model.languages:
-        return [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        return [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts), readable
     bits = code_lengths(model, flat, offsets - offsets[0], order)
     size = np.maximum(np.diff(offsets), 1)
     best = bits.argmin(1)
@@ -259,14 +261,13 @@ def _scored(model: Model, part: pa.Array, order: int) -> tuple[list, list, list]
     gap = (bits - bits.min(1, keepdims=True)) * (np.minimum(size, 64) / size)[:, None]
     score = 1 / np.exp2(-gap).sum(1)
     lang, out, rate = [], [], []
-    for k, t in enumerate(texts):
-        known = t is not None and LETTER.search(t) is not None
+    for k, known in enumerate(readable):
         lang.append(model.languages[best[k]] if known else UNDETERMINED)
         out.append(float(score[k]) if known else 0.0)
         rate.append(float(bits[k, best[k]] / size[k]) if known else 0.0)
-    return lang, out, rate
+    return lang, out, rate, readable
 
 
 def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: lang_pred, score, bits_per_byte."""
-    return docs.select(F.col(id), language_column(docs, model, text=text).alias("found")).select(id, "found.*")
+    return docs.select(F.col(id), language_column(docs, model, text=text).alias("found")).select(id, "found.lang_pred", "found.score", "found.bits_per_byte")

@@ -368,3 +368,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     stay = {ids[r] for r in root} - {42}
     assert set(got) == stay
     assert all(got[i]["decoded_sha256"] == hashlib.sha256(kept[i].encode()).hexdigest() for i in stay)
+
+
+def test_pipeline_language_stage_without_labels(spark):
+    import corpus_pipeline
+
+    d = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = ["some clean words", "123 !?", None, "", "日本語"]
+    for rows in ([(i, t, None) for i, t in enumerate(texts)], [(None, t, "en") for t in texts], [(i, t, "en") for i, t in enumerate(texts)]):
+        assert sorted(r["text"] for r in corpus_pipeline.language_id(spark, d(rows), "").collect()) == ["some clean words", "日本語"]
+    # rows with null ids are training rows, as in op10
+    assert langid.identify(d([(1, "ka", None)]), langid.fit(d([(None, "ka ka ka", "aa")]))).first()["lang_pred"] == "aa"
