@@ -7,8 +7,8 @@ is one window) becomes a pattern of an Aho-Corasick automaton. A text is
 normalised and scanned once; the ends of the matches are mapped to word numbers
 and, where spans are asked for, to code-point offsets of the original text.
 
-Defined results: a null or empty text has no words and no hits; an item with a
-null id or without words is left out; repeated rows each get their own result;
+Defined results: a null or empty text has no words and no hits; an item
+without words is left out; one with a null id counts for hits but names no id; repeated rows each get their own result;
 other columns of either table are not looked at.
 
 Size: the automaton holds at most `max_pattern_bytes` of patterns. A larger
@@ -45,9 +45,9 @@ def windows_of(text: bytes | None, window: int) -> list[bytes]:
 
 
 def pattern_table(items: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
-    """(item, pattern) pairs, distinct."""
+    """(item, pattern) pairs, distinct; the item of a null id is null."""
     cut = rows_udf(lambda: lambda t: ([x.decode() for x in dict.fromkeys(windows_of(t, window))],), "patterns array<string>", text_as_bytes=True)
-    kept = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), cut(F.col(item_text)).alias("w"))
+    kept = items.select(F.col(item_id).cast("string").alias("item"), cut(F.col(item_text)).alias("w"))
     return kept.select("item", F.explode("w.patterns").alias("pattern")).distinct()
 
 
@@ -113,7 +113,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item
         patterns: dict[bytes, tuple[int, list[str]]] = {}
         for r in table.where(F.pmod(F.xxhash64("item", "pattern"), F.lit(passes)) == k).toLocalIterator():
             key = r["pattern"].encode()
-            patterns.setdefault(key, (key.count(b" ") - 1, []))[1].append(r["item"])
+            ids = patterns.setdefault(key, (key.count(b" ") - 1, []))[1]
+            if r["item"] is not None:
+                ids.append(r["item"])
         shared = spark.sparkContext.broadcast(patterns)
         found = rows_udf(_scanner(shared, with_spans and k == passes - 1), RESULT, text_as_bytes=False)(F.col(text).cast("binary"), found)
     return found

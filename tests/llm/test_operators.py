@@ -379,3 +379,11 @@ def test_pipeline_language_stage_without_labels(spark):
         assert sorted(r["text"] for r in corpus_pipeline.language_id(spark, d(rows), "").collect()) == ["some clean words", "日本語"]
     # rows with null ids are training rows, as in op10
     assert langid.identify(d([(1, "ka", None)]), langid.fit(d([(None, "ka ka ka", "aa")]))).first()["lang_pred"] == "aa"
+
+
+def test_decontamination_counts_items_without_an_id(spark):
+    item = " ".join(WORDS[:20])
+    items = spark.createDataFrame([(None, item), (None, "short item"), (4, "short item"), (None, None)], ITEMS)
+    for most in (6_000_000, 40):
+        out = {r["doc_id"]: r for r in decontaminate(docs(spark, [(1, "a " + item), (2, "x short item"), (3, "none")]), items, max_pattern_bytes=most).collect()}
+        assert [(out[i]["n_hit"], out[i]["item_ids"], out[i]["contaminated"]) for i in (1, 2, 3)] == [(20, [], True), (2, ["4"], True), (0, [], False)]
