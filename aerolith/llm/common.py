@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-__all__ = ["checkpointed", "fresh", "fresh_names", "read", "rows_udf", "shared_folder", "to_bytes"]
+__all__ = ["checkpointed", "dropped", "fresh", "fresh_names", "read", "rows_udf", "shared_folder", "stored", "to_bytes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,12 +35,14 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which driver and executors share.
 
-    It is what `spark.checkpoint.dir` names; only where that is unset (local tests)
-    a temporary folder is chosen.
-    """
+    It is what `spark.checkpoint.dir` names. Only a local master (tests) may leave it unset: there a temporary folder is
+    chosen; on a cluster that would be another disk on every node."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "aerolith-checkpoints"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "aerolith-checkpoints"))
     return sc.getCheckpointDir()
 
 
@@ -49,6 +52,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: as a checkpoint cuts the lineage, but compressed, and by
+    columns. The folder's path is added to `keep`, so that `dropped` can remove it once nothing reads it any more."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if keep is not None:
+        keep.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that `stored` has written."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def to_bytes(array: pa.Array) -> pa.Array:
     """The UTF-8 bytes of a string array, without a copy."""
     return array.view(pa.large_binary() if pa.types.is_large_string(array.type) else pa.binary())

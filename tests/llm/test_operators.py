@@ -127,7 +127,7 @@ def test_suffix_array_is_sorted():
         assert gsaca.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: list(s[i:]))
 
 
-@pytest.mark.parametrize("options", [{}, {"max_group": 2}, {"max_shared": 0, "max_group": 2}])
+@pytest.mark.parametrize("options", [{}, {"block_rows": 2}, {"max_shared": 0, "block_rows": 7}, {"most_bits": 64}])
 def test_substrings_match_brute_force(spark, options):
     rng = random.Random(7)
     shared = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (110, 150, 300, 99)]
@@ -142,7 +142,7 @@ def test_substrings_match_brute_force(spark, options):
     assert got == suffixdedup.brute_force([(t or "").encode() for _, t in texts], 100)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_group": 1}, {"max_shared": 0}])
+@pytest.mark.parametrize("options", [{}, {"block_rows": 5}, {"max_shared": 0}])
 def test_substrings_tell_texts_under_one_id_apart(spark, options):
     """Two texts whose hashes agree in the low 23 bits are still two rows."""
     rng = random.Random(8)
