@@ -11,10 +11,13 @@ Defined results: a null or empty text has no words and no hits; an item
 without words is left out; one with a null id counts for hits but names no id; repeated rows each get their own result;
 other columns of either table are not looked at.
 
+An empty table gives an empty table; no items: no hits.
+
 Size: the automaton holds at most `max_pattern_bytes` of patterns. A larger
 benchmark is dealt by hash into several automata, which are collected, sent out
-and applied one after the other; each pass adds to the hits of the one before,
-so memory stays bounded and no window is left out.
+and applied one after the other. What a pass finds is written to the shared folder
+before the next begins and adds to its hits, so driver and workers hold one
+automaton at a time and no window is left out.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolith.llm.common import rows_udf
+from aerolith.llm.common import dropped, fresh, rows_udf, stored
 
 #: Bytes that end a word become a space, A-Z become a-z, all else stays.
 FOLD = bytes(32 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -100,15 +103,16 @@ def _original(text: bytes, hits: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(int(at[places[a][0]]) - 1, int(at[places[b - 1][1] - 1])) for a, b in hits]
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, with_spans: bool = True, max_pattern_bytes: int = 6_000_000) -> Column:
-    """A struct column for `docs`: n_words, n_hit, item_ids, hits (word intervals), spans (code points)."""
+def with_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, with_spans: bool = True, max_pattern_bytes: int = 6_000_000) -> DataFrame:
+    """`docs` with a struct column as its last: n_words, n_hit, item_ids, hits (word intervals), spans (code points)."""
     spark = docs.sparkSession
-    table = pattern_table(items, item_id, item_text, window)
+    table, kept = pattern_table(items, item_id, item_text, window), []
     total = table.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
     passes = max(1, -(-total // max_pattern_bytes))
     if passes > 1:
-        table = table.persist()
-    found = F.lit(None).cast(T.StructType.fromDDL(RESULT))
+        table = stored(table)
+    out = fresh(docs, "scan")
+    docs = docs.withColumn(out, F.lit(None).cast(T.StructType.fromDDL(RESULT)))
     for k in range(passes):
         patterns: dict[bytes, tuple[int, list[str]]] = {}
         for r in table.where(F.pmod(F.xxhash64("item", "pattern"), F.lit(passes)) == k).toLocalIterator():
@@ -117,8 +121,12 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item
             if r["item"] is not None:
                 ids.append(r["item"])
         shared = spark.sparkContext.broadcast(patterns)
-        found = rows_udf(_scanner(shared, with_spans and k == passes - 1), RESULT, text_as_bytes=False)(F.col(text).cast("binary"), found)
-    return found
+        docs = docs.withColumn(out, rows_udf(_scanner(shared, with_spans and k == passes - 1), RESULT)(F.col(text).cast("binary"), F.col(out)))
+        if k < passes - 1:
+            docs = stored(docs, kept)
+            dropped(spark, kept[:-1])
+            shared.destroy()
+    return docs
 
 
 def items_digest(ids: Column) -> Column:
@@ -127,5 +135,5 @@ def items_digest(ids: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", share: int = 20, **options) -> DataFrame:
     """One row per document: counts, matched items, spans and whether a `share`-th of its words is hit."""
-    scan = contamination(docs, items, text=text, **options)
-    return docs.select(F.col(id), scan.alias("scan")).select(id, "scan.*").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    found = with_contamination(docs.select(F.col(id), F.col(text)), items, text=text, **options)
+    return found.select(id, f"{found.columns[-1]}.*").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
