@@ -14,12 +14,16 @@ sidebars, notices, forms, adverts and reader comments, so that the model learns
 do without that one mark. Pages are the distinct ones that yield labels, by the
 least hashes; copies count once. If no page does, the layouts are built from
 blocks of the first `most_chars` characters of any pages, the long ones as main
-text, or from stock phrases where there are none. Whole pages of any length are
-decoded; the bounds are on training only.
+text. A layout holds `LAYOUT_BLOCKS` main blocks at most, and the first dozen words
+of some others as boilerplate. Layouts of stock phrases are always among the
+training pages, so that there is a model even for a table without any text. Whole
+pages of any length are decoded; the bounds are on training only.
 
 Inside a block character references are decoded and white space becomes one
 space; main blocks are joined in page order by one space. Defined results: null or
-empty html, or no main block: an empty text.
+empty html, or no main block: an empty text; a page is parsed in time that grows as its
+length does, whatever its tags; repeated rows each get the same text; an empty table
+gives no rows; only the named columns are looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import itertools
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -74,23 +79,63 @@ _AT = {f: i for i, f in enumerate(FEATURES)}
 @dataclass
 class Block:
     text: str
-    tags: frozenset[str]
+    tags: frozenset[str]  # of the open elements, those that are features
     clues: frozenset[str]
     links: float
     label: int
-
-
-@dataclass
-class _Node:
-    tag: str
-    clues: frozenset[str] = frozenset()
-    label: int = 0
+    bare: bool  # in no element but html and body
+
+
+class _Open:
+    """The open elements, with running counts of their tags and clues: every step takes constant time on average."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset[str], int]] = []
+        self.tags: Counter[str] = Counter()
+        self.clues: Counter[str] = Counter()
+        self.labels = 0
+        self.state: tuple[frozenset[str], frozenset[str]] | None = None
+
+    def push(self, tag: str, clues: frozenset[str], label: int) -> None:
+        self.stack.append((tag, clues, label))
+        self.labels += label
+        self._count(tag, clues, 1)
+
+    def pop(self) -> str:
+        tag, clues, label = self.stack.pop()
+        self.labels -= label
+        self._count(tag, clues, -1)
+        return tag
+
+    def _count(self, tag: str, clues: frozenset[str], by: int) -> None:
+        """Forget the sets of what is open only where one of them changes."""
+        edge = int(by > 0)
+        self.tags[tag] += by
+        if self.tags[tag] == edge:
+            self.state = None
+        for c in clues:
+            self.clues[c] += by
+            if self.clues[c] == edge:
+                self.state = None
+
+    def pop_to(self, tag: str) -> bool:
+        """Close the innermost `tag` and all in it; nothing if none is open."""
+        if not self.tags[tag]:
+            return False
+        while self.pop() != tag:
+            pass
+        return True
+
+    def block(self, text: str, links: float) -> Block:
+        if self.state is None:
+            self.state = frozenset(t for t in TAGS if self.tags[t]), frozenset(c for c in CLUES if self.clues[c])
+        return Block(text, *self.state, links, int(self.labels > 0), len(self.stack) <= self.tags["html"] + self.tags["body"])
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order."""
+    """The leaf blocks of a page in order, in time that grows as the page does."""
     out: list[Block] = []
-    stack: list[_Node] = []
+    opened = _Open()
     parts: list[str] = []
     linked = total = anchors = 0
 
@@ -99,7 +144,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, frozenset(n.tag for n in stack), frozenset().union(*(n.clues for n in stack)), linked / max(1, total), max((n.label for n in stack), default=0)))
+                out.append(opened.block(text, linked / max(1, total)))
             parts.clear()
             linked = total = 0
 
@@ -126,34 +171,28 @@ def blocks_of(page: str | None) -> list[Block]:
                 anchors = 0 if m[2] else 1
             elif tag == "br":
                 parts.append(" ")
-            if tag != "label" or not stack:
+            if tag != "label" or not opened.stack:
                 continue
         flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    anchors = 0
-                    break
+            if opened.pop_to(tag):
+                anchors = 0
             continue
         if tag in VOID:
             continue
-        if tag in CLOSES_P and any(n.tag == "p" for n in stack[-3:]):
-            while stack and stack[-1].tag != "p":
-                stack.pop()
-            if stack:
-                stack.pop()
-        elif tag in SAME_CLOSES and stack and stack[-1].tag == tag:
-            stack.pop()
+        if tag in CLOSES_P and any(t == "p" for t, _, _ in opened.stack[-3:]):
+            opened.pop_to("p")
+        elif tag in SAME_CLOSES and opened.stack and opened.stack[-1][0] == tag:
+            opened.pop()
         clues, label = frozenset(), 0
         if m[4] and "=" in m[4]:
             for a in ATTRIBUTE.finditer(m[4]):
                 value = a[2].strip("\"'").lower().replace("-", " ").replace("_", " ")
                 label |= a[1] == "data-main"
                 clues |= {k for k, p in _CLUES.items() if p.search(value)}
-        stack.append(_Node(tag, clues, label))
+        opened.push(tag, clues, int(label))
         if m[4] and m[4].rstrip().endswith("/"):
-            stack.pop()
+            opened.pop()
     said(page[at:])
     flush()
     return out
@@ -169,7 +208,7 @@ def features_of(blocks: list[Block]) -> np.ndarray:
         for c in b.clues:
             row[_AT[f"clue:{c}"]] = 1
         words = b.text.count(" ") + 1
-        for name, on in (("bias", True), ("links>0.3", b.links > 0.3), ("links>0.8", b.links > 0.8), ("words<4", words < 4), ("words<10", words < 10), ("words>=10", words >= 10), ("words>=25", words >= 25), ("stop", b.text[-1] in ".!?…。"), ("copyright", "©" in b.text[:80]), ("first", i == 0), ("last", i == len(blocks) - 1), ("digits", sum(map(str.isdigit, b.text[:200])) * 5 > len(b.text[:200])), ("bar", " | " in b.text[:200]), ("bare", not (b.tags - {"html", "body"}))):
+        for name, on in (("bias", True), ("links>0.3", b.links > 0.3), ("links>0.8", b.links > 0.8), ("words<4", words < 4), ("words<10", words < 10), ("words>=10", words >= 10), ("words>=25", words >= 25), ("stop", b.text[-1] in ".!?…。"), ("copyright", "©" in b.text[:80]), ("first", i == 0), ("last", i == len(blocks) - 1), ("digits", sum(map(str.isdigit, b.text[:200])) * 5 > len(b.text[:200])), ("bar", " | " in b.text[:200]), ("bare", b.bare)):
             if on:
                 row[_AT[name]] = 1
     return x
@@ -300,11 +339,13 @@ def labelled_pages(htmls: list[str | None]) -> list[list[Block]]:
             blocks, main, other = found
             out.append(blocks)
             short = other + [" ".join(t.split()[:12]) for t in main[:3]]
-            out += [blocks_of(layouts(main[:12], short, 2 * k + j)) for j in (0, 1)]
+            out += [blocks_of(layouts(main[:LAYOUT_BLOCKS], short, 2 * k + j)) for j in (0, 1)]
     return out
 
 
-#: Where a table has no text to build layouts from.
+LAYOUT_BLOCKS = 12
+
+#: What the library brings of its own: main text and boilerplate for labelled layouts.
 STOCK = (["This is a sentence of the main text, told in more than ten plain words.", "Another sentence follows it and says a little more about the same thing.", "The last one of them comes to an end here, as all such sentences do."], ["Home", "About us", "Contact", "Sign in", "Read more", "Terms of use", "All rights reserved", "Related pages"])
 
 
@@ -315,10 +356,15 @@ def unmarked_pages(htmls: list[str | None]) -> list[list[Block]]:
         blocks = blocks_of(page)
         long = [b.text for b in blocks if b.text.count(" ") >= 9 and b.links <= 0.3]
         short = [b.text for b in blocks if b.text.count(" ") < 9 or b.links > 0.3]
-        out += [blocks_of(layouts(long[:12] or STOCK[0], short or STOCK[1], 4 * k + j)) for j in range(4)]
+        out += [blocks_of(layouts(long[:LAYOUT_BLOCKS] or STOCK[0], short or STOCK[1], 4 * k + j)) for j in range(4)]
     return out
 
 
+def stock_pages() -> list[list[Block]]:
+    """One labelled page of stock phrases for each kind of layout."""
+    return [blocks_of(layouts(*STOCK, k)) for k in range(8)]
+
+
 def _least(pages: DataFrame, count: int) -> list[str]:
     """The `count` distinct pages of the least hashes; pages(html, h)."""
     least = [r["h"] for r in pages.select("h").distinct().orderBy("h").limit(count).collect()]
@@ -336,8 +382,8 @@ def fit(pages: DataFrame, *, html: str = "html", train_pages: int = 200, most_ch
         usable = rows_udf(lambda: lambda t: (labelled(t) is not None,), "ok boolean")
         some = _least(marked.withColumn("ok", usable("html")["ok"]).where("ok").drop("ok"), train_pages)
     if some:
-        return train(labelled_pages(some))
-    return train(unmarked_pages(_least(rows.select(F.substring("html", 1, most_chars).alias("html"), "h"), train_pages)))
+        return train(labelled_pages(some) + stock_pages())
+    return train(unmarked_pages(_least(rows.select(F.substring("html", 1, most_chars).alias("html"), "h"), train_pages)) + stock_pages())
 
 
 def main_text_column(page: Column, model: Crf) -> Column:
