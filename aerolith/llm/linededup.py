@@ -16,10 +16,13 @@ line of that row).
    most `max_shared` of them, else by a join (only texts with a suspected line
    take part), both with the same result.
 
-Size: the filters have a fixed number of bits whatever the input; when they fill
-up, more keys take the exact way. Defined results: each row is a document of its
-own, also if ids repeat or are null; identical rows (same id, same text) are all
-"first" together; extra columns are not looked at.
+Size: the filters have about 16 bits for each line of the input (an upper bound of
+the distinct keys, counted first), up to `filter_bits`; where they fill up, more keys
+take the exact way. A line that a large share of the rows holds is counted by partial
+sums and joined back over `SALTS` copies of its digest. Defined results: each row is a
+document of its own, also if ids repeat or are null; identical rows (same id, same
+text) are all "first" together; an empty table gives an empty table; the added column
+takes a name that the table does not have, and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,12 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import checkpointed, fresh_names, rows_udf
+from aerolith.llm.common import fresh_names, rows_udf, stored
 
 SPACE = b" \t\n\v\f\r"
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 SEGMENT_BITS = 1 << 19
+LEAST_BITS = 1 << 16
 FAN_IN = 64
+SALTS = 16
 KEPT = "n_lines long, n_dropped long, kept string"
 
 
@@ -73,18 +78,14 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _partition_filters(bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[int, int]] = {}
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             rows = Counter(k for t in batch.column(0) for k in row_keys(t.as_py(), min_chars))
-            for repeated, target in ((False, once), (True, twice)):
-                # keys of this batch that earlier batches of the partition have set, or that two of its rows hold
-                at = np.array([p for k, n in rows.items() if n > 1 or not repeated for p in bit_places(k, bits)], np.int64)
-                if not repeated:
-                    known = at[(once[at >> 3] >> (at & 7) & 1) == 1]
-                    np.bitwise_or.at(twice, known >> 3, (1 << (known & 7)).astype(np.uint8))
-                np.bitwise_or.at(target, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        del seen
+            at = np.array([bit_places(k, bits) for k in rows], np.int64).reshape(-1, 2)
+            # keys that two rows of this batch hold, or that the partition has met before: both their bits are set
+            again = np.fromiter((n > 1 for n in rows.values()), bool, len(rows)) | (once[at >> 3] >> (at & 7) & 1).all(axis=1)
+            for target, some in ((twice, at[again].ravel()), (once, at.ravel())):
+                np.bitwise_or.at(target, some >> 3, (1 << (some & 7)).astype(np.uint8))
         step = min(SEGMENT_BITS, bits) // 8
         part = int.from_bytes(hashlib.blake2b(once.tobytes(), digest_size=4).digest(), "little")
         out = [(k, part, _packed(a), _packed(twice[k * step : (k + 1) * step])) for k in range(len(once) // step) if (a := once[k * step : (k + 1) * step]).any()]
@@ -118,6 +119,13 @@ def repeat_filter(docs: DataFrame, text: str, *, bits: int, min_chars: int) -> b
     return bytes(out)
 
 
+def bits_for(docs: DataFrame, text: str, most: int) -> int:
+    """A power of two: about 16 bits a line, at most `most`."""
+    breaks = F.length(F.col(text)) - F.length(F.translate(F.col(text), "\n", ""))
+    lines = docs.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0
+    return min(most, max(LEAST_BITS, 1 << (16 * lines - 1).bit_length() if lines else 0))
+
+
 def _suspects(shared, bits: int, min_chars: int):
     def start():
         marks = np.frombuffer(zlib.decompress(shared.value), np.uint8)
@@ -148,19 +156,20 @@ def _kept(text: bytes | None, drop: dict[bytes, bool]) -> tuple[int, int, str]:
     return len(lines), len(lines) - len(stay), b"\n".join(stay).decode()
 
 
-def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = 1 << 27, max_shared: int = 1 << 18) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = 1 << 29, max_shared: int = 1 << 18) -> DataFrame:
     """`docs` with a struct column `lines` (n_lines, n_dropped, kept) under a fresh name; returns that frame.
 
     The name of the added column is the last of the result's columns.
     """
     spark = docs.sparkSession
     out, sus, rid = fresh_names(docs, "lines", "suspects", "row_hash")
+    filter_bits = bits_for(docs, text, filter_bits)
     marks = spark.sparkContext.broadcast(zlib.compress(repeat_filter(docs, text, bits=filter_bits, min_chars=min_chars), 1))
     binary = F.col(text).cast("binary")
     find = _suspects(marks, filter_bits, min_chars)
     occurrences = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("hash"), find(binary).alias("s")).select("id", "hash", F.explode("s.keys").alias("key"))
     counted = occurrences.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "hash")).alias("first"))
-    dropped = checkpointed(counted.where(F.col("n") >= min_docs).select("key", "first"))
+    dropped = stored(counted.where(F.col("n") >= min_docs).select("key", "first"))
     first = keep == "first"
 
     if dropped.limit(max_shared + 1).count() <= max_shared:
@@ -177,7 +186,9 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_
 
         return docs.withColumn(out, rows_udf(start, KEPT)(binary, F.col(id), F.xxhash64(F.col(text))))
 
-    hits = occurrences.join(dropped, "key").select("id", "hash", F.struct("key", (F.lit(first) & F.col("first").eqNullSafe(F.struct("id", "hash"))).alias("stays")).alias("d"))
+    salt = F.pmod(F.xxhash64("id", "hash"), F.lit(SALTS)).cast("int")
+    salted = dropped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = occurrences.withColumn("salt", salt).join(salted, ["key", "salt"]).select("id", "hash", F.struct("key", (F.lit(first) & F.col("first").eqNullSafe(F.struct("id", "hash"))).alias("stays")).alias("d"))
     per_row = hits.groupBy("id", "hash").agg(F.collect_set("d").alias(sus)).withColumnsRenamed({"id": f"{rid}_id", "hash": rid})
     joined = docs.join(per_row, F.col(id).eqNullSafe(F.col(f"{rid}_id")) & (F.xxhash64(F.col(text)) == F.col(rid)), "left")
 
