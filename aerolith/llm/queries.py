@@ -43,8 +43,9 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = bpe.digest_column(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    return read(spark, sf_dir, "documents").select("doc_id", tokens.alias("t")).select("doc_id", "t.*")
+    docs, how = read(spark, sf_dir, "documents"), (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    tokens = bpe.digest_column(F.col("text"), *how, bpe.shared_chunks(docs, *how))
+    return docs.select("doc_id", tokens.alias("t")).select("doc_id", "t.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
