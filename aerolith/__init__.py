@@ -1 +1 @@
-"""Analytics over aircraft-position networks, as Spark DataFrame operators."""
+"""Analytics over aircraft positions from receivers, as Spark DataFrame operators."""

@@ -309,42 +309,25 @@ def flight_number(query) -> Column:
 JOINS = ("TO", "FROM", "→")
 
 
-def split_places(query: str) -> tuple[str, str] | None:
-    """"SIN LHR", "SIN-LHR", "A to B", "from A to B", "flights to B from A" as (from, to)."""
-    text = query
-    for arrow in ("->", "→", "–", "—", ">"):
-        text = text.replace(arrow, " → ")
-    left, dash, right = text.partition("-")
-    a, b = left.split(), right.split()
-    if dash and "-" not in right and a and b and all(w.isalpha() for w in a + b) and len(a[-1]) >= 3 and len(b[0]) >= 3:
-        text = f"{left} → {right}"
-    words = text.split()
-    words = words[1:] if len(words) > 1 and words[0] == "FLIGHTS" else words
-    cut = lambda mark, start: (words[start : words.index(mark, start)], words[words.index(mark, start) + 1 :])
-    if "→" in words:
-        one, two = cut("→", 0)
-        one = one[1:] if one[:1] == ["FROM"] else one
-    elif words[:1] == ["FROM"] and "TO" in words:
-        one, two = cut("TO", 1)
-    elif words[:1] == ["TO"] and "FROM" in words:
-        two, one = cut("FROM", 1)
-    elif "TO" in words:
-        one, two = cut("TO", 0)
-    elif len(words) == 2:
-        one, two = words[:1], words[1:]
-    else:
-        return None
-    if not one or not two or any(w in JOINS for w in one + two):
-        return None
-    return " ".join(one), " ".join(two)
-
-
 def places(query) -> Column:
-    """The same as a UDF over the query table, which is small."""
-    return F.udf(lambda q: split_places(q) if q is not None else None, "origin string, dest string")(col(query))
-
-
-def network_of(address: str | None) -> str | None:
+    """"SIN LHR", "SIN-LHR", "A to B", "from A to B", "flights to B from A" as struct(origin, dest), upper case; null if it is none."""
+    text = F.regexp_replace(F.upper(col(query)), "->|[→–—>]", " → ")
+    dashed = text.rlike(r"^\s*(\p{L}+\s+)*\p{L}{3,}\s*-\s*\p{L}{3,}(\s+\p{L}+)*\s*$")
+    text = F.when(dashed, F.replace(text, F.lit("-"), F.lit(" → "))).otherwise(text)
+    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    w = F.when((F.size(w) > 1) & (F.get(w, F.lit(0)) == "FLIGHTS"), F.slice(w, 2, F.size(w))).otherwise(w)
+    first, size = F.get(w, F.lit(0)), F.size(w)
+    at = lambda mark: F.array_position(w, mark).cast("int")
+    between = lambda a, b: F.slice(w, a, F.greatest(b - a, F.lit(0)))
+    cut = lambda mark, start, turn=False: F.struct(*[x.alias(n) for n, x in zip(("two", "one") if turn else ("one", "two"), (between(F.lit(start), at(mark)), between(at(mark) + 1, size + 1)), strict=True)][:: -1 if turn else 1])
+    arrow = F.struct(F.when(first == "FROM", between(F.lit(2), at("→"))).otherwise(between(F.lit(1), at("→"))).alias("one"), between(at("→") + 1, size + 1).alias("two"))
+    pair = F.struct(F.slice(w, 1, 1).alias("one"), F.slice(w, 2, 1).alias("two"))
+    found = F.when(at("→") > 0, arrow).when((first == "FROM") & (at("TO") > 0), cut("TO", 2)).when((first == "TO") & (at("FROM") > 0), cut("FROM", 2, True)).when(at("TO") > 0, cut("TO", 1)).when(size == 2, pair)
+    fits = (F.size(found["one"]) > 0) & (F.size(found["two"]) > 0) & ~F.arrays_overlap(F.concat(found["one"], found["two"]), F.array(*map(F.lit, JOINS)))
+    return F.when(fits, F.struct(F.array_join(found["one"], " ").alias("origin"), F.array_join(found["two"], " ").alias("dest")))
+
+
+def address_block(address: str | None) -> str | None:
     """An IPv4 address as it is, an IPv6 address as its /64; null if it is none."""
     import ipaddress
 
@@ -357,6 +340,6 @@ def network_of(address: str | None) -> str | None:
     return str(ip) if ip.version == 4 else str(ipaddress.ip_network((ip, 64), strict=False).network_address)
 
 
-def network_key(address, salt: str) -> Column:
+def address_key(address, salt: str) -> Column:
     """Salted hash of an IPv4 address or an IPv6 /64; the address itself goes no further."""
-    return F.sha2(F.concat(F.lit(salt), F.udf(network_of, "string")(col(address))), 256)
+    return F.sha2(F.concat(F.lit(salt), F.udf(address_block, "string")(col(address))), 256)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import geo
 from aerolith.operators.filters import not_circuit, plausible_leg, valid_leg
-from aerolith.operators.windows import top_k
+from aerolith.operators.windows import ranked_overall, top_k
 
 
 def with_operator(legs: DataFrame, airframes_ref: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def airframe_summary(legs: DataFrame) -> DataFrame:
     return out.join(best, "hex", "left")
 
 
-def network_by_airline(routes: DataFrame) -> DataFrame:
+def served_by_airline(routes: DataFrame) -> DataFrame:
     """Routes touching an airport, by the callsign's three letters."""
     stops = routes.select(F.substring("callsign", 1, 3).alias("airline"), F.explode(F.array_distinct("chain")).alias("code"))
     return stops.groupBy("airline", "code").agg(F.count(F.lit(1)).alias("n_routes"))
@@ -292,7 +292,7 @@ def rank_fields(airports: DataFrame, runways: DataFrame, passengers: DataFrame)
     ranked = ratio.withColumns({"_n": F.row_number().over(Window.partitionBy("kind").orderBy("r", "code")), "_c": F.count(F.lit(1)).over(Window.partitionBy("kind"))})
     middle = ranked.where("_n = floor(_c / 2) + 1").select("kind", F.col("r").alias("middle"))
     filled = spot.join(F.broadcast(middle), "kind", "left").withColumn("score", F.coalesce(F.col("pax").cast("double"), F.col("strength") * F.col("middle") / 2, F.lit(0.0)))
-    return filled.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "code"))).drop("middle")
+    return ranked_overall(filled.drop("middle"), [F.desc("score"), F.col("code")])
 
 
 def top_fields(airports: DataFrame, n: int = 1000, score: str = "traffic") -> DataFrame:

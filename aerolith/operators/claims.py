@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aerolith.functions import geo
 from aerolith.functions import text as tx
 from aerolith.functions import timeutil as tu
-from aerolith.operators.aggregates import airport_codes, network_by_airline, voices
+from aerolith.operators.aggregates import airport_codes, served_by_airline, voices
 from aerolith.operators.registry import catalog_current
 from aerolith.operators.windows import top_k
 
@@ -32,7 +32,7 @@ def ring_tolerance(est: str = "est_km") -> Column:
     return F.greatest(F.lit(float(ROTATION_FLOOR_KM)), ROTATION_TOLERANCE * F.col(est))
 
 
-def gap_candidates(gaps: DataFrame, airports: DataFrame, network: DataFrame, k: int = SUGGESTIONS, band_deg: float = 4.0) -> DataFrame:
+def gap_candidates(gaps: DataFrame, airports: DataFrame, served_by: DataFrame, k: int = SUGGESTIONS, band_deg: float = 4.0) -> DataFrame:
     """Airports that the evidence allows for each gap's missing end, best first.
 
     In the ring that the rotation implies, within the type's range, along the last track, not the known end or a stop
@@ -51,7 +51,7 @@ def gap_candidates(gaps: DataFrame, airports: DataFrame, network: DataFrame, k:
     off = geo.angle_between(geo.bearing("last_lat", "last_lon", "lat", "lon"), "last_trk")
     j = j.where(~F.array_contains(stops, F.col("code")) & (F.abs(F.col("lat") - F.col("k_lat")) * 111 <= F.col("est_km") + ring_tolerance()) & (F.abs(F.col("km") - F.col("est_km")) <= ring_tolerance()))
     j = j.where((F.col("km") <= F.coalesce(tx.type_range_km("type"), F.lit(10**9))) & (~heading | (off <= CORRIDOR_DEG)))
-    served = network.select(F.col("airline").alias("_al"), F.col("code").alias("_c"), "n_routes")
+    served = served_by.select(F.col("airline").alias("_al"), F.col("code").alias("_c"), "n_routes")
     j = j.join(served, (F.substring("callsign", 1, 3) == F.col("_al")) & (F.col("code") == F.col("_c")), "left").withColumn("n_routes", F.coalesce("n_routes", F.lit(0)))
     j = j.withColumn("ring_err", F.abs(F.col("km") - F.col("est_km"))).dropDuplicates(["callsign", "code"])
     return top_k(j, ["callsign"], [F.desc("n_routes"), F.col("ring_err"), F.col("code")], k).select("callsign", "code", "rank", "km", "ring_err", "n_routes")
@@ -168,14 +168,14 @@ def check_claims(claims: DataFrame, gaps: DataFrame, airports: DataFrame, catalo
     n = F.size("_ts")
     known_clock = F.col("told_min").isNotNull() & F.col("k_tz").isNotNull()
     c = c.withColumn("clock", F.when(known_clock & (n > 0) & (2 * near >= n), "pass").when(known_clock & (n >= CLOCK_MIN_SEEN) & (near == 0), "fail").otherwise("skip"))
-    # the one candidate that fits, and the airline's network
-    network = network_by_airline(routes)
-    sole = unique_candidate(gap_candidates(gaps, airports, network, k=50))
+    # the one candidate that fits, and the airports its airline serves
+    served_by = served_by_airline(routes)
+    sole = unique_candidate(gap_candidates(gaps, airports, served_by, k=50))
     c = c.join(sole, "callsign", "left").withColumn("unique", outcome(F.col("sole") == F.col("claimed"), F.col("sole").isNotNull()))
-    c = c.withColumn("airline", F.substring("callsign", 1, 3)).join(network.select("airline").distinct().withColumn("served_any", F.lit(True)), "airline", "left").join(network.select("airline", F.col("code").alias("claimed"), F.lit(True).alias("served")), ["airline", "claimed"], "left")
-    c = c.withColumn("network", outcome(F.col("served"), F.col("served_any")))
+    c = c.withColumn("airline", F.substring("callsign", 1, 3)).join(served_by.select("airline").distinct().withColumn("served_any", F.lit(True)), "airline", "left").join(served_by.select("airline", F.col("code").alias("claimed"), F.lit(True).alias("served")), ["airline", "claimed"], "left")
+    c = c.withColumn("served_by", outcome(F.col("served"), F.col("served_any")))
     c = c.join(voices(claims, endorsements), "id", "left")
-    checks = ("asked", "known_end", "not_same", "airport", "observation", "corridor", "rotation", "mirror", "log", "timetable", "clock", "unique", "network")
+    checks = ("asked", "known_end", "not_same", "airport", "observation", "corridor", "rotation", "mirror", "log", "timetable", "clock", "unique", "served_by")
     keep = c.select(*claims.columns, *checks, F.col("type_check").alias("type"), "keyed", "named", "anonymous")
     # with no question every other check falls away
     keep = keep.withColumns({k: F.when(F.col("asked") == "pass", F.col(k)) for k in (*checks[1:], "type")})
@@ -323,9 +323,9 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def gap_record(gaps: DataFrame, airports: DataFrame, network: DataFrame, claims: DataFrame) -> DataFrame:
+def gap_record(gaps: DataFrame, airports: DataFrame, served_by: DataFrame, claims: DataFrame) -> DataFrame:
     """Gaps with candidates, open answers and the rotation where two or more support it."""
-    c = gap_candidates(gaps, airports, network).groupBy("callsign").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda s: s["code"]).alias("candidates"))
+    c = gap_candidates(gaps, airports, served_by).groupBy("callsign").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda s: s["code"]).alias("candidates"))
     a = claims.where("status = 'pending'").groupBy("callsign").agg(F.array_sort(F.collect_list(F.struct("id", "origin", "dest", "verdict"))).alias("answers"))
     shown = F.when(F.coalesce("n_rot", F.lit(0)) >= MIN_ROTATIONS, F.col("est_km"))
     return gaps.withColumn("est_km", shown).join(c, "callsign", "left").join(a, "callsign", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from aerolith.functions import geo
 from aerolith.operators.aggregates import airport_codes
 from aerolith.operators.filters import cruising
+from aerolith.operators.registry import tracks_active
 from aerolith.operators.windows import consecutive_pairs, top_k
 
 # Fixed values of the estimator.
@@ -17,6 +18,7 @@ MIN_REMAINING_KM, MAX_OFF_DEG, STOP_BEFORE_KM = 250, 100, 150
 TURN_DEG_PER_MIN, HOLD_S, STEP_S = 2.0, 600.0, 30.0
 NAT_MATCH_DEG, NAT_ON_TRACK_DEG, NAT_LEVEL_SLACK = 0.5, 0.4, 10
 AIRWAY_ON_KM, AIRWAY_HDG_DEG, AIRWAY_DETOUR = 20, 20, 1.03
+LON_CELL = 10.0
 BUCKETS = ((5, 15), (15, 30), (30, 60), (60, 120), (120, 480))
 
 
@@ -143,17 +145,18 @@ def direction(track) -> Column:
     return F.when(t.between(200, 340), "W").when(t.between(20, 160), "E")
 
 
-def match_ocean_track(points: DataFrame, tracks: DataFrame, key: list[str]) -> DataFrame:
+def match_ocean_track(points: DataFrame, tracks: DataFrame, key: list[str], at: str = "t") -> DataFrame:
     """Add `waypoints`: the points still ahead of the published track that an aircraft flies; null if it flies none.
 
-    tracks(direction, east_levels, west_levels, path) of the messages in force: a few dozen rows, so points meet all of one direction."""
+    tracks(direction, east_levels, west_levels, path, valid_from, valid_to); only those in force at the point's instant
+    `at` count, a few dozen, which a point meets by its day."""
     d = direction("track")
     fl = F.round(F.col("alt_ft") / 100.0)
     west = F.col("direction") == "W"
     t = tracks.withColumn("_lv", F.when(west, F.col("west_levels")).otherwise(F.col("east_levels"))).where("size(_lv) > 0")
     ordered = F.when(west, F.reverse(F.array_sort(F.transform("path", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))))).otherwise(F.array_sort(F.transform("path", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))))
-    t = t.select("direction", F.array_min("_lv").alias("_lo"), F.array_max("_lv").alias("_hi"), ordered.alias("pts"))
-    j = points.withColumn("direction", d).join(t, "direction").where(fl.between(F.col("_lo") - NAT_LEVEL_SLACK, F.col("_hi") + NAT_LEVEL_SLACK))
+    t = t.select(F.col("direction").alias("_way_of"), F.array_min("_lv").alias("_lo"), F.array_max("_lv").alias("_hi"), ordered.alias("pts"), "valid_from", "valid_to")
+    j = tracks_active(t, points.withColumn("direction", d).where(d.isNotNull()), at).where("direction = _way_of").where(fl.between(F.col("_lo") - NAT_LEVEL_SLACK, F.col("_hi") + NAT_LEVEL_SLACK))
     first = F.element_at("pts", 1)
     isw = F.col("direction") == "W"
     before = F.when(isw, F.col("lon") > first["lon"]).otherwise(F.col("lon") < first["lon"])
@@ -190,15 +193,23 @@ def airway_segments(airways: DataFrame) -> DataFrame:
 def match_airway(points: DataFrame, airways: DataFrame, key: list[str], band_deg: float = 2.0) -> DataFrame:
     """Add `waypoints` of the fixed route an aircraft flies, only as far as it leads toward its destination; null if none.
 
-    points carry dest_lat and dest_lon (null: unknown). Segments and points meet by bands of latitude."""
-    band = lambda x: F.floor((x + 90) / band_deg)
-    s = airway_segments(airways)
-    # a great circle between two points may rise above both, by no more than a few degrees on these lengths
-    s = s.withColumn("_b", F.explode(F.sequence(band(F.least("a.lat", "b.lat") - 0.3), band(F.greatest("a.lat", "b.lat") + 4))))
-    j = points.withColumn("_b", band(F.col("lat"))).join(s, "_b")
-    ca = geo.cross_along("a.lat", "a.lon", "b.lat", "b.lon", "lat", "lon")
-    j = j.withColumn("_ca", ca).where((F.abs(F.col("_ca.cross_km")) <= AIRWAY_ON_KM) & (F.col("_ca.along_km") >= 0) & (F.col("_ca.along_km") < geo.haversine("a.lat", "a.lon", "b.lat", "b.lon")))
-    j = j.where(F.abs(geo.angle_diff("track", geo.bearing("lat", "lon", "b.lat", "b.lon"))) <= AIRWAY_HDG_DEG)
+    points carry dest_lat and dest_lon (null: unknown). Segments and points meet by cells of latitude and longitude; a
+    segment over the date line, or too near a pole for its longitudes to bound it, is in every cell of its latitudes."""
+    band, n = lambda x: F.floor((x + 90) / band_deg).cast("int"), int(360 / LON_CELL)
+    column = lambda x: F.floor((x + 180) / LON_CELL).cast("int")
+    s = airway_segments(airways).withColumnsRenamed({"a": "_sa", "b": "_sb", "airway": "_airway", "ahead": "_ahead"})
+    # a great circle between two points bends toward the nearer pole, by no more than a few degrees on these lengths
+    low, high = F.least("_sa.lat", "_sb.lat"), F.greatest("_sa.lat", "_sb.lat")
+    s = s.withColumn("_b", F.explode(F.sequence(band(low - F.when(low < 0, 4).otherwise(0.3)), band(high + F.when(high > 0, 4).otherwise(0.3)))))
+    west, east = F.least("_sa.lon", "_sb.lon"), F.greatest("_sa.lon", "_sb.lon")
+    plain = (east - west <= 180) & (F.greatest(F.abs(low), F.abs(high)) <= 75)
+    cells = F.when(plain, F.sequence(column(west - 1), column(east + 1))).otherwise(F.sequence(F.lit(0), F.lit(n - 1)))
+    s = s.withColumn("_c", F.explode(F.array_distinct(F.transform(cells, lambda c: F.pmod(c, F.lit(n))))))
+    spots = points.select(*key, "lat", "lon", "track", "dest_lat", "dest_lon")
+    j = spots.withColumns({"_b": band(F.col("lat")), "_c": F.pmod(column(F.col("lon")), F.lit(n))}).join(s, ["_b", "_c"])
+    ca = geo.cross_along("_sa.lat", "_sa.lon", "_sb.lat", "_sb.lon", "lat", "lon")
+    j = j.withColumn("_ca", ca).where((F.abs(F.col("_ca.cross_km")) <= AIRWAY_ON_KM) & (F.col("_ca.along_km") >= 0) & (F.col("_ca.along_km") < geo.haversine("_sa.lat", "_sa.lon", "_sb.lat", "_sb.lon")))
+    j = j.where(F.abs(geo.angle_diff("track", geo.bearing("lat", "lon", "_sb.lat", "_sb.lon"))) <= AIRWAY_HDG_DEG)
     # keep the points that bring it nearer, one after the other
     start = F.struct(F.array().cast("array<struct<lat:double,lon:double>>").alias("kept"), geo.haversine("lat", "lon", "dest_lat", "dest_lon").alias("last"), F.lit(False).alias("over"))
 
@@ -207,13 +218,13 @@ def match_airway(points: DataFrame, airways: DataFrame, key: list[str], band_deg
         stop = acc["over"] | (d >= acc["last"])
         return F.struct(F.when(stop, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(p))).alias("kept"), F.when(stop, acc["last"]).otherwise(d).alias("last"), stop.alias("over"))
 
-    kept = F.aggregate("ahead", start, step, lambda acc: acc["kept"])
+    kept = F.aggregate("_ahead", start, step, lambda acc: acc["kept"])
     here, dest = F.struct(F.col("lat").alias("lat"), F.col("lon").alias("lon")), F.struct(F.col("dest_lat").alias("lat"), F.col("dest_lon").alias("lon"))
     known = F.col("dest_lat").isNotNull()
-    j = j.withColumn("_kept", F.when(known, kept).otherwise(F.col("ahead"))).where("size(_kept) > 0")
+    j = j.withColumn("_kept", F.when(known, kept).otherwise(F.col("_ahead"))).where("size(_kept) > 0")
     flown = geo.path_km(F.concat(F.array(here), F.col("_kept"), F.array(dest)))
     j = j.where(~known | (flown <= AIRWAY_DETOUR * geo.haversine("lat", "lon", "dest_lat", "dest_lon")))
-    best = j.groupBy(*key).agg(F.min_by("_kept", F.struct(F.abs(F.col("_ca.cross_km")), "airway")).alias("waypoints"))
+    best = j.groupBy(*key).agg(F.min_by("_kept", F.struct(F.abs(F.col("_ca.cross_km")), "_airway")).alias("waypoints"))
     return points.join(best, key, "left")
 
 
@@ -230,15 +241,14 @@ def compare_paths(gaps: DataFrame) -> DataFrame:
 
 
 def backtest_ocean_tracks(points: DataFrame, routes: DataFrame, airports: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Errors over North Atlantic gaps of aircraft that crossed, now and along the published track. tracks(valid_from, valid_to epoch seconds, ...)."""
+    """Errors over North Atlantic gaps of aircraft that crossed, now and along the published track in force when the gap
+    began; gaps outside all validity are in the rows, unmatched. tracks(valid_from, valid_to epoch seconds, ...)."""
     from aerolith.operators.filters import crossed_ocean, ocean_gaps_nat
 
     pairs = ocean_gaps_nat(consecutive_pairs(points.join(crossed_ocean(points), "hex")))
     g = pairs.select("hex", *[F.col(f"a.{c}").alias(c) for c in ("t", "lat", "lon", "alt_ft", "gs", "track", "callsign")], "b", F.col("gap_s").alias("dt_s"))
     g = pick_destination(g, routes, airports, ["hex", "t"])
-    live = tracks.select(F.struct(*tracks.columns).alias("_t"))
-    in_force = g.join(live, F.col("t").between(F.col("_t.valid_from"), F.col("_t.valid_to"))).select(*g.columns, "_t")
-    return compare_paths(match_ocean_track(in_force.select(*g.columns).distinct(), tracks, ["hex", "t"]))
+    return compare_paths(match_ocean_track(g.where("track is not null and gs > 0"), tracks, ["hex", "t"]))
 
 
 def backtest_airways(points: DataFrame, routes: DataFrame, airports: DataFrame, airways: DataFrame) -> DataFrame:

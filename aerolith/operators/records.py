@@ -157,9 +157,9 @@ def airport_record(codes: DataFrame, airports: DataFrame, legs: DataFrame, sched
     return base
 
 
-def merge_skies(network: DataFrame, *partners: tuple[str, DataFrame]) -> DataFrame:
-    """The network's sky with each partner's aircraft that nobody before it hears; `via` names who."""
-    out = network.withColumn("via", F.lit(None).cast("string"))
+def merge_skies(own: DataFrame, *partners: tuple[str, DataFrame]) -> DataFrame:
+    """The own sky with each partner's aircraft that nobody before it hears; `via` names who."""
+    out = own.withColumn("via", F.lit(None).cast("string"))
     for name, sky in partners:
         out = out.unionByName(sky.join(out.select("hex"), "hex", "left_anti").withColumn("via", F.lit(name)), allowMissingColumns=True)
     return out

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import geo
 from aerolith.functions import text as tx
 from aerolith.operators.aggregates import airline_countries, airport_codes, same_aircraft_candidates
-from aerolith.operators.windows import not_observed_events, top_k
+from aerolith.operators.windows import not_observed_events, ranked_overall, top_k
 
 # Which source outranks which, the fields a merge decides, and those only observation knows.
-SOURCE_RANK = {"fp-dump": 0, "tar1090": 1, "registry": 2, "override": 3}
+SOURCE_RANK = {"receiver-dump": 0, "tar1090": 1, "registry": 2, "override": 3}
 MERGE_FIELDS = ("registration", "type_code", "operator_name", "operator_norm", "operator_icao", "year", "flags")
-OBSERVED = {"fp-dump": ("operator_icao",)}
+OBSERVED = {"receiver-dump": ("operator_icao",)}
 
 
 def merge_airframes(existing: DataFrame, incoming: DataFrame, source: str) -> DataFrame:
@@ -59,8 +57,13 @@ def catalog_current(catalog: DataFrame, asof: Column) -> DataFrame:
 
 
 def tracks_active(messages: DataFrame, points: DataFrame, at: str = "ts") -> DataFrame:
-    """Points with the track messages in force at their instant. Messages of a few days are few, so Spark may broadcast them by size."""
-    return points.join(messages, F.col(at).between(F.col("valid_from"), F.col("valid_to")))
+    """Points with the track messages in force at their instant, both ends included; valid_from, valid_to and `at` are all
+    timestamps or all epoch seconds. Points and messages meet by the UTC days that a message touches, a few each."""
+    stamps = dict(messages.dtypes)["valid_from"].startswith("timestamp")
+    day = lambda c: F.floor((F.unix_seconds(c.cast("timestamp")) if stamps else c) / 86400).cast("long")
+    days = F.sequence(day(F.col("valid_from")), day(F.col("valid_to")))
+    m = messages.where("valid_from <= valid_to").withColumn("_day", F.explode(days))
+    return points.withColumn("_day", day(F.col(at))).join(m, "_day").where(F.col(at).between(F.col("valid_from"), F.col("valid_to"))).drop("_day")
 
 
 def airframe_of_hex(spells: DataFrame) -> DataFrame:
@@ -80,27 +83,34 @@ def attach_occurrences(occurrences: DataFrame, spells: DataFrame, slack: int = 3
 
 
 def disjoint_blocks(blocks: DataFrame) -> DataFrame:
-    """Nested blocks(lo, hi, state), hi inclusive, as disjoint intervals, each with the smallest block over it."""
+    """Nested blocks(lo, hi, state), hi inclusive, as disjoint intervals, each with the smallest block over it.
+
+    For a table that fits one task; `state_of_hex` asks its size first."""
     cuts = blocks.select(F.explode(F.array("lo", F.col("hi") + 1)).alias("lo")).distinct()
-    w = Window.orderBy("lo")  # a few hundred cuts
-    parts = cuts.withColumn("hi", F.lead("lo").over(w) - 1).where("hi is not null")
+    parts = cuts.withColumn("hi", F.lead("lo").over(Window.orderBy("lo")) - 1).where("hi is not null")
     b = blocks.select(F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), "state")
-    over = parts.join(F.broadcast(b), (F.col("b_lo") <= F.col("lo")) & (F.col("hi") <= F.col("b_hi")))
+    over = parts.join(b, (F.col("b_lo") <= F.col("lo")) & (F.col("hi") <= F.col("b_hi")))
     return over.groupBy("lo", "hi").agg(F.min_by("state", F.struct(F.col("b_hi") - F.col("b_lo"), "state")).alias("state"))
 
 
 def state_of_hex(df: DataFrame, blocks: DataFrame, most_blocks: int = 10_000) -> DataFrame:
     """Add `state` of 24-bit addresses by the smallest block that holds them; null outside all.
 
-    Blocks are a fixed international table; a table of more than `most_blocks` rows is joined by address prefix instead of broadcast."""
-    flat = disjoint_blocks(blocks).withColumnsRenamed({"lo": "_lo", "hi": "_hi", "state": "_state"})
+    Blocks are a fixed international table. Up to `most_blocks` of them are cut into disjoint intervals and broadcast; a
+    larger table meets the distinct addresses by aligned cells of about an eighth of a block's size."""
     address = F.conv("hex", 16, 10).cast("long")
-    if flat.count() <= most_blocks:
+    if blocks.count() <= most_blocks:
+        flat = disjoint_blocks(blocks).withColumnsRenamed({"lo": "_lo", "hi": "_hi", "state": "_state"})
         j = df.withColumn("_a", address).join(F.broadcast(flat), F.col("_a").between(F.col("_lo"), F.col("_hi")), "left")
         return j.withColumn("state", F.col("_state")).drop("_a", "_lo", "_hi", "_state")
-    cells = flat.withColumn("_d", F.explode(F.sequence(F.shiftright("_lo", 8), F.shiftright("_hi", 8))))
-    j = df.withColumn("_a", address).withColumn("_c", F.shiftright("_a", 8)).join(cells, (F.col("_c") == F.col("_d")) & F.col("_a").between(F.col("_lo"), F.col("_hi")), "left")
-    return j.withColumn("state", F.col("_state")).drop("_a", "_c", "_d", "_lo", "_hi", "_state")
+    width = F.floor(F.log2(F.col("hi") - F.col("lo") + 1.0)).cast("int")
+    level = F.greatest(width - 3, F.lit(0))  # a block touches at most 17 cells of an eighth of its size
+    cells = blocks.withColumn("_l", level).withColumn("_c", F.explode(F.sequence(F.expr("shiftright(lo, _l)"), F.expr("shiftright(hi, _l)"))))
+    asked = df.select("hex").distinct().withColumn("_a", address)
+    at = asked.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("_c", F.expr("shiftright(_a, _l)"))
+    held = at.join(cells, ["_l", "_c"]).where(F.col("_a").between(F.col("lo"), F.col("hi")))
+    best = held.groupBy("hex").agg(F.min_by("state", F.struct(F.col("hi") - F.col("lo"), "state")).alias("state"))
+    return df.join(best, "hex", "left")
 
 
 def nearest_zone(airports: DataFrame, zoned: DataFrame, max_km: float = 300, grid: float = 3) -> DataFrame:
@@ -132,40 +142,24 @@ def zone_from_polygon(airports: DataFrame, zones: DataFrame, grid: float = 5) ->
     return airports.join(best, "code", "left")
 
 
-def inside_ring(lat: float, lon: float, ring: list) -> bool:
-    """Even-odd rule over the ring's edges."""
-    p = np.array([(q["lat"], q["lon"]) for q in ring], float)
-    a, b = p, np.roll(p, -1, axis=0)
-    cross = (a[:, 0] > lat) != (b[:, 0] > lat)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x = (b[:, 1] - a[:, 1]) * (lat - a[:, 0]) / (b[:, 0] - a[:, 0]) + a[:, 1]
-    return bool((cross & (lon < x)).sum() % 2)
-
+def point_in_zone(lat: str, lon: str, ring: str) -> Column:
+    """Even-odd rule over the ring's edges, the last point joined to the first; a point on the upper end of an edge is below it."""
+    y, x, r = F.col(lat), F.col(lon), F.col(ring)
 
-def point_in_zone(lat, lon, ring) -> Column:
-    def test(lats: pd.Series, lons: pd.Series, rings: pd.Series) -> pd.Series:
-        return pd.Series([inside_ring(a, b, r) for a, b, r in zip(lats, lons, rings, strict=True)])
+    def crossed(p: Column, i: Column) -> Column:
+        q = F.element_at(r, F.pmod(i + 1, F.size(r)) + 1)
+        at = (q["lon"] - p["lon"]) * (y - p["lat"]) / F.nullif(q["lat"] - p["lat"], F.lit(0.0)) + p["lon"]
+        return F.struct(F.coalesce(((p["lat"] > y) != (q["lat"] > y)) & (x < at), F.lit(False)).alias("c"))
 
-    return F.pandas_udf(test, "boolean")(lat, lon, ring)
+    return F.size(F.filter(F.transform(r, crossed), lambda e: e["c"])) % 2 == 1
 
 
 def assign_airframes(hexes: DataFrame, known: DataFrame) -> DataFrame:
-    """(hex, airframe_id): ids once given stay; new addresses get the next numbers in order. known(hex, airframe_id).
-
-    Numbers are dealt per range partition from the partitions' counts, so no single task sorts all."""
+    """(hex, airframe_id): ids once given stay; new addresses get the next numbers in order. known(hex, airframe_id)."""
     new = hexes.select("hex").distinct().join(known, "hex", "left_anti")
     top = known.agg(F.coalesce(F.max("airframe_id"), F.lit(0)).alias("m")).first()["m"]
-    placed = new.repartitionByRange("hex").sortWithinPartitions("hex").withColumn("_p", F.spark_partition_id()).persist()
-    sizes = placed.groupBy("_p").count().orderBy("_p").collect()
-    starts, at = [], top
-    for r in sizes:
-        starts.append((r["_p"], at))
-        at += r["count"]
-    if not starts:
-        return known
-    first = hexes.sparkSession.createDataFrame(starts, "_p int, _s long")
-    numbered = placed.join(F.broadcast(first), "_p").withColumn("airframe_id", F.col("_s") + F.row_number().over(Window.partitionBy("_p").orderBy("hex")))
-    return known.unionByName(numbered.select("hex", "airframe_id"))
+    numbered = ranked_overall(new, [F.col("hex")], "_n").select("hex", (F.col("_n") + F.lit(top)).alias("airframe_id"))
+    return known.unionByName(numbered)
 
 
 def history_spells(history: DataFrame, ids: DataFrame, source: str = "observed") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import text as tx
 from aerolith.functions import timeutil as tu
+from aerolith.operators.cut import checkpointed
 from aerolith.operators.filters import plausible_leg
 from aerolith.operators.windows import top_k
 
@@ -96,11 +97,14 @@ KEY = ["callsign", "org", "dst"]
 
 
 def infer_schedule(legs: DataFrame, airports: DataFrame, window_days: int = 60, method: str = "recent+kernel") -> DataFrame:
-    """The current timetable: per callsign and leg the local departure and arrival, weekday slots, type and flights."""
+    """The current timetable: per callsign and leg the local departure and arrival, weekday slots, type and flights.
+
+    The sightings are dealt by key and written once; all that follows groups by that key where the rows lie."""
     asof = legs.agg(F.max("date").alias("asof"))
     rows = sightings(legs, airports).join(F.broadcast(asof)).where(F.col("date") >= F.date_sub("asof", window_days))
+    rows = checkpointed(rows.repartition(*KEY))
     timed = rows.where("minute is not null")
-    dep = pick_slot(timed, KEY, method)
+    dep = checkpointed(pick_slot(timed, KEY, method))
     arr = paired_arrival(timed, dep, KEY)
     own = weekday_slots(timed, KEY, dep, method)
     day_arr = paired_arrival(timed.withColumn("weekday", F.weekday("day")), own, [*KEY, "weekday"], "own_min")
@@ -124,13 +128,16 @@ def schedule_quality(schedule: DataFrame, legs: DataFrame, airports: DataFrame,
 
 
 def backtest_rows(legs: DataFrame, airports: DataFrame, days: int = 14, window: int = 60, methods: tuple[str, ...] = METHODS) -> DataFrame:
-    """(method, callsign, org, dst, day, minute, n_train, predicted, err) of each leg of the last days, predicted from the days before it only."""
-    s = sightings(legs, airports).where("minute is not null").select(*KEY, "day", "minute")
+    """(method, callsign, org, dst, day, minute, n_train, predicted, err) of each leg of the last days, predicted from the days before it only.
+
+    What a day may learn from is dealt by key and written once for all methods."""
+    s = checkpointed(sightings(legs, airports).where("minute is not null").select(*KEY, "day", "minute").repartition(*KEY))
     last = s.agg(F.max("day").alias("_last"))
     target = s.join(F.broadcast(last)).where(F.col("day") > F.date_sub("_last", days)).select(*KEY, F.col("day").alias("target_day"), F.col("minute").alias("flown"))
     # the prediction depends on the day, not on the leg: train once for each key and day
     asked = target.select(*KEY, "target_day").distinct()
     train = s.join(asked, KEY).where(F.col("day").between(F.date_sub("target_day", window), F.date_sub("target_day", 1))).withColumn("asof", F.date_sub("target_day", 1))
+    train = checkpointed(train.repartition(*KEY))
     key = [*KEY, "target_day"]
     n = train.groupBy(*key).agg(F.count(F.lit(1)).alias("n_train"))
     out = None
@@ -238,7 +245,8 @@ def merge_boards(schedule: DataFrame, boards: DataFrame, airlines: DataFrame, ch
 
     for kind, end, minute in (("dep", "org", "dep_min"), ("arr", "dst", "arr_min")):
         blind = modal.where((F.col("kind") == kind) & F.col("other").isNull()).drop("org", "dst")
-        j = blind.join(s.where(F.col(minute).isNotNull()).select(*KEY, "airline_icao", F.col(minute).alias("_m")), F.col("airport") == F.col(end))
+        known = s.where(F.col(minute).isNotNull()).select(*KEY, "airline_icao", F.col(minute).alias("_m"), tx.digits("callsign").alias("_no"))
+        j = blind.withColumn("_no", tx.digits("flight")).where("_no <> ''").join(known.withColumn("airport", F.col(end)), ["airport", "_no"]).drop("_no")
         gap = F.abs(F.col("_m") - F.col("sched_min"))
         j = j.where(tx.same_number("callsign", "flight") & tx.same_carrier("icao", "prefix", "airline_icao", F.lit(True))).withColumn("_d", gap).where(F.col("_d") <= 180)
         best = top_k(j, ["flight", "airport"], [F.col("_d"), F.col("callsign"), F.col("org"), F.col("dst")], 1, "_r")

@@ -1,11 +1,13 @@
 """First search: a table of queries against schedule, registries, airports and airlines, branch by branch.
 
-Every branch is an equi join on a short prefix or code with the exact test after it; results are ranked per query.
+Every branch is an equi join with the exact test after it, on a code, on a typed prefix that the other side's values
+have among theirs, or, for near misses, on what is left of a word without some of its letters; results are ranked per
+query.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import text as tx
@@ -16,7 +18,7 @@ from aerolith.operators.windows import top_k
 # Fixed values of the ranking.
 EXACT, PREFIX, WORD, NEAR, PER_KIND = 100, 60, 40, 20, 5
 KIND_ORDER = {"flight": 0, "aircraft": 1, "airport": 2, "airline": 3}
-HEAD = 2
+HEAD, REACH = 2, 12
 
 
 def normalized(queries: DataFrame) -> DataFrame:
@@ -31,9 +33,10 @@ def item(kind: str, id_: Column, label: Column, detail: Column, score: Column) -
 
 
 def _prefixed(queries: DataFrame, q: Column, table: DataFrame, value: str) -> DataFrame:
-    """Pairs where `value` starts with q, joined on the first characters that every q has."""
-    left = queries.withColumns({"_q": q}).where(F.length("_q") >= HEAD).withColumn("_h", F.substring("_q", 1, HEAD))
-    right = table.where(F.col(value).isNotNull()).withColumn("_h", F.substring(value, 1, HEAD))
+    """Pairs where `value` starts with q: of each value every prefix from HEAD to REACH characters meets the queries that are one; a longer query meets by its first REACH."""
+    left = queries.withColumns({"_q": q}).where(F.length("_q") >= HEAD).withColumn("_h", F.substring("_q", 1, REACH))
+    sizes = F.sequence(F.lit(HEAD), F.least(F.length(value), F.lit(REACH)))
+    right = table.where(F.length(value) >= HEAD).withColumn("_h", F.explode(F.transform(sizes, lambda n: F.substring(F.col(value), F.lit(1), n))))
     return left.join(right, "_h").where(F.col(value).startswith(F.col("_q"))).drop("_h")
 
 
@@ -182,14 +185,23 @@ def match_route(queries: DataFrame, airports: DataFrame, schedule: DataFrame) ->
     return rows.select("q", "place", *item("flight", F.col("callsign"), F.col("callsign"), detail, WORD + tx.lift("n_flights")))
 
 
+def without_letters(word: Column, most: int) -> Column:
+    """The word and what is left of it without one letter, or (most = 2) two. Words within that many edits, swaps of neighbours counted as one, have one of these in common."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    one = less(word)
+    two = F.flatten(F.transform(one, less)) if most > 1 else F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(word), one, two))
+
+
 def _near(queries: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows with a word of four letters or more within the edit budget; words and terms meet by length."""
+    """Rows with a word of four letters or more within the edit budget."""
     words = F.array_distinct(F.flatten(F.array(*[F.split(F.coalesce(c, F.lit("")), r"\s+") for c in columns])))
     w = table.withColumn("_w", F.explode(words)).where(F.length("_w") >= 4)
     budget = tx.edits_allowed("folded")
-    q = queries.withColumn("_len", F.explode(F.sequence(F.length("folded") - budget, F.length("folded") + budget)))
-    j = q.join(w.withColumn("_len", F.length("_w")), "_len")
-    return j.where(F.levenshtein("_w", "folded") <= budget).drop("_w", "_len")
+    typed = queries.select("folded").distinct().withColumn("_k", F.explode(F.when(budget == 1, without_letters(F.col("folded"), 1)).otherwise(without_letters(F.col("folded"), 2))))
+    known = w.select("_w").distinct().withColumn("_k", F.explode(without_letters(F.col("_w"), 2)))
+    pairs = typed.join(known, "_k").select("folded", "_w").distinct().where(F.levenshtein("_w", "folded") <= budget)
+    return queries.join(pairs, "folded").join(w, "_w").drop("_w")
 
 
 def near_airport(queries: DataFrame, airports: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -205,8 +217,8 @@ def near_airline(queries: DataFrame, airlines: DataFrame) -> DataFrame:
 def rank_results(results: DataFrame) -> DataFrame:
     """Score, then kind, then each branch's own order; scores to one digit."""
     order = F.create_map(*[x for k, v in KIND_ORDER.items() for x in (F.lit(k), F.lit(v))])
-    r = top_k(results, ["q"], [F.desc("score"), F.try_element_at(order, F.col("kind")), F.col("place").asc_nulls_last(), F.col("id")], 1 << 20)
-    return r.select("q", "rank", "kind", "id", "label", "detail", F.bround("score", 1).alias("score"))
+    by = Window.partitionBy("q").orderBy(F.desc("score"), F.try_element_at(order, F.col("kind")), F.col("place").asc_nulls_last(), F.col("id"))
+    return results.select("q", F.row_number().over(by).alias("rank"), "kind", "id", "label", "detail", F.bround("score", 1).alias("score"))
 
 
 def search(queries: DataFrame, *, schedule: DataFrame, airports: DataFrame, airlines: DataFrame, types: DataFrame, airframes_ref: DataFrame, legs: DataFrame, checkpoint=lambda df: df) -> DataFrame:

@@ -7,6 +7,8 @@ joined by whole codes and by a text pass over the index. Everything is per query
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from aerolith.functions import text as tx
 from aerolith.functions import timeutil as tu
 from aerolith.operators.aggregates import airport_codes, airport_traffic
 from aerolith.operators.records import flying_order
+from aerolith.operators.search import without_letters
 from aerolith.operators.windows import interleave, top_k
 
 # Fixed values of the ranking.
@@ -267,25 +270,39 @@ def score_codes(queries: DataFrame, docs: DataFrame, about: DataFrame, words_kno
     return _offer(hit, score).unionByName(_offer(ordered, PREFIX + 20 - 0.1 * (F.col("_n") - 1)))
 
 
-def osa(a: str | None, b: str | None) -> int | None:
-    """Edit distance in which a swap of neighbours is one edit."""
-    if a is None or b is None:
-        return None
-    two, one = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, two[j - 2] + 1)
-            row.append(best)
-        two, one = one, row
-    return one[-1]
+def edits(a: list[str], b: list[str]) -> np.ndarray:
+    """Edit distances of pairs of words, a swap of neighbours being one edit; all pairs are worked out together, cell by cell."""
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    rows, columns = int(n.max(initial=0)), int(m.max(initial=0))
+    letters = lambda words, width: np.array([[ord(c) for c in w.ljust(width, "\0")] for w in words], np.int64).reshape(len(words), width)
+    x, y = letters(a, rows), letters(b, columns)
+    table = np.zeros((rows + 1, columns + 1, len(a)), np.int64)
+    table[:, 0] = np.arange(rows + 1)[:, None]
+    table[0] = np.arange(columns + 1)[:, None]
+    for i in range(1, rows + 1):
+        for j in range(1, columns + 1):
+            best = np.minimum(np.minimum(table[i - 1, j], table[i, j - 1]) + 1, table[i - 1, j - 1] + (x[:, i - 1] != y[:, j - 1]))
+            if i > 1 and j > 1:
+                swap = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
+                best = np.where(swap, np.minimum(best, table[i - 2, j - 2] + 1), best)
+            table[i, j] = best
+    return table[n, m, np.arange(len(a))]
 
 
 def within_edits(a, b) -> Column:
-    """The distance as a UDF; used only on pairs of words that length and letters have already brought together."""
-    return F.udf(osa, "int")(geo.col(a), geo.col(b))
+    """The distance over Arrow batches of pairs that letters in common have brought together; null if either is."""
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        pairs = list(zip(x.to_pylist(), y.to_pylist(), strict=True))
+        known = [k for k, p in enumerate(pairs) if None not in p]
+        out: list[int | None] = [None] * len(pairs)
+        for at in range(0, len(known), 2000):
+            some = known[at : at + 2000]
+            for k, d in zip(some, edits([pairs[k][0] for k in some], [pairs[k][1] for k in some]).tolist(), strict=True):
+                out[k] = d
+        return pa.array(out, pa.int32())
+
+    return F.arrow_udf(run, "int")(geo.col(a), geo.col(b))
 
 
 def text_fit(queries: DataFrame, docs: DataFrame, index: DataFrame, strong: DataFrame, most: int = 60) -> DataFrame:
@@ -302,11 +319,13 @@ def text_fit(queries: DataFrame, docs: DataFrame, index: DataFrame, strong: Data
     done = whole.groupBy("q", "n", "kind", "id").agg(F.countDistinct("i").alias("m")).where("m = n").select("q").union(strong.select("q")).distinct()
     budget = tx.edits_allowed_swaps("w")
     vocabulary = index.select("word").distinct()
-    loose = w.join(done, "q", "left_anti").withColumn("_b", budget).where("_b > 0").withColumn("_len", F.explode(F.sequence(F.length("w") - F.col("_b"), F.length("w") + F.col("_b"))))
-    pairs = loose.join(vocabulary.withColumn("_len", F.length("word")), "_len").where(F.col("word") != F.col("w"))
+    loose = w.join(done, "q", "left_anti").withColumn("_b", budget).where("_b > 0")
+    typed = loose.select("w", "_b").distinct().withColumn("_k", F.explode(F.when(F.col("_b") == 1, without_letters(F.col("w"), 1)).otherwise(without_letters(F.col("w"), 2))))
+    known = vocabulary.withColumn("_k", F.explode(without_letters(F.col("word"), 2)))
+    pairs = typed.join(known, "_k").where("word <> w").select("w", "_b", "word").distinct()
     # plain edits bound the distance with swaps from above by twice; drop the hopeless before the exact test
     pairs = pairs.where(F.levenshtein("word", "w") <= 2 * F.col("_b")).withColumn("edits", within_edits("w", "word")).where(F.col("edits") <= F.col("_b"))
-    near = pairs.join(index, "word").select("q", "n", "i", "kind", "id", "size", "tf", "word", "edits", F.lit(False).alias("prefix"))
+    near = loose.join(pairs.drop("_b"), "w").join(index, "word").select("q", "n", "i", "kind", "id", "size", "tf", "word", "edits", F.lit(False).alias("prefix"))
     hits = hits.unionByName(near)
     # relevance: tf-idf with length normalisation
     total = docs.where("kind in ('airport', 'airline', 'type')").agg(F.count(F.lit(1)).alias("_n"))

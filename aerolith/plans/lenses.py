@@ -47,7 +47,7 @@ def _airframes_ref(d: str) -> str:
     return f"""SELECT {_hex(d, 's_suppkey')} AS hex, concat('R-', {_text('s_suppkey')}) AS registration, concat('T', {_text('s_suppkey % 7')}) AS type_code,
   concat('Op ', {_text('s_suppkey % 40')}) AS operator_name, upper(concat('Op ', {_text('s_suppkey % 40')})) AS operator_norm,
   case when s_suppkey % 5 = 4 then null else {_airline('s_nationkey')} end AS operator_icao, cast(1990 + s_suppkey % 30 as int) AS year,
-  case when s_suppkey % 9 = 0 then '10' else '00' end AS flags, case s_suppkey % 4 when 0 then 'fp-dump' when 1 then 'tar1090' when 2 then 'registry' else 'override' end AS source
+  case when s_suppkey % 9 = 0 then '10' else '00' end AS flags, case s_suppkey % 4 when 0 then 'receiver-dump' when 1 then 'tar1090' when 2 then 'registry' else 'override' end AS source
 FROM supplier"""
 
 
@@ -59,13 +59,69 @@ def _airports(d: str) -> str:
   concat('City ', n_name) AS municipality, {zone} AS tz FROM nation"""
 
 
+def _typed(d: str) -> str:
+    """What people might type: names, parts of names and misspellings, codes, numbers as two airlines write them, pairs of
+    places in several forms, marks with and without their dash, addresses, an airline with a type."""
+    routes = f"(SELECT DISTINCT callsign, org AS a, dst AS b FROM ({_legs(d)}) l WHERE org <> dst)"
+    k = "cast(n_nationkey % 6 as int)"
+    base = "case when n_nationkey % 2 = 0 then 'NATION' else 'CITY NATION' end"
+    parts = [
+        "SELECT n_name AS q FROM nation",
+        "SELECT substr(n_name, 1, 4) AS q FROM nation",
+        "SELECT concat('  city   ', lower(n_name)) AS q FROM nation",
+        f"SELECT concat(substr({base}, 1, {k}), substr({base}, {k} + 2)) AS q FROM nation",
+        f"SELECT concat(substr({base}, 1, {k}), substr({LETTERS}, cast(n_nationkey as int) + 1, 1), substr({base}, {k} + 2)) AS q FROM nation",
+        "SELECT substr('CITY NATION AIR', 1, cast(n_nationkey % 12 + 2 as int)) AS q FROM nation",
+        f"SELECT {_airline('n_nationkey')} AS q FROM nation",
+        f"SELECT substr({_airline('n_nationkey')}, 1, 2) AS q FROM nation",
+        "SELECT concat(n_name, ' Air') AS q FROM nation",
+        f"SELECT concat('op ', {_text('n_nationkey')}) AS q FROM nation",
+        f"SELECT {_field('n_nationkey')} AS q FROM nation",
+        f"SELECT concat('k', {_field('n_nationkey')}) AS q FROM nation",
+        f"SELECT concat({_airline('n_nationkey')}, ' T', {_text('n_nationkey % 7')}) AS q FROM nation",
+        f"SELECT concat('T', {_text('n_nationkey % 7')}, ' ', {_airline('n_nationkey')}) AS q FROM nation",
+        f"SELECT concat('nation to ', {_field('n_nationkey')}) AS q FROM nation",
+        f"SELECT concat('R-', {_text('s_suppkey')}) AS q FROM supplier",
+        f"SELECT concat('r', {_text('s_suppkey')}) AS q FROM supplier WHERE s_suppkey % 3 = 0",
+        f"SELECT {_hex(d, 's_suppkey')} AS q FROM supplier WHERE s_suppkey % 4 = 0",
+        f"SELECT callsign AS q FROM {routes} r1",
+        f"SELECT concat(substr(callsign, 1, 2), ' ', substr(callsign, 4)) AS q FROM {routes} r2",
+        f"SELECT concat(a, ' ', b) AS q FROM {routes} r3",
+        f"SELECT concat('from ', a, ' to ', b) AS q FROM {routes} r4",
+        f"SELECT concat(a, '-', b) AS q FROM {routes} r5",
+    ]
+    return f"SELECT DISTINCT q FROM ({' UNION ALL '.join(parts)}) u"
+
+
+def _crossings(d: str) -> str:
+    """Aircraft that cross an ocean again and again at an even pace, eight hours a crossing: the Atlantic westward or
+    eastward, or the Pacific eastward; seen when an event says so."""
+    t = _epoch(d, "ts")
+    way = f"cast({t} % 28800 * 80 as double) / 28800"
+    wide = f"cast({t} % 28800 * 100 as double) / 28800"
+    lon = f"case user_id % 4 when 0 then 5.0 - {way} when 1 then {way} - 75.0 else case when {wide} > 40 then {wide} - 220.0 else {wide} + 140.0 end end"
+    return f"""SELECT {_hex(d, 'user_id')} AS hex, cast({t} as double) AS t, cast(45 + user_id % 20 as double) AS lat, {lon} AS lon, cast(24000 + event_id % 9 * 2000 as int) AS alt_ft, false AS on_ground,
+  cast(380 + event_id * 17 % 150 as double) AS gs, case when user_id % 4 = 0 then 270.0 else 90.0 end AS track, concat({_airline('user_id % 25')}, {_text('user_id % 50 + 1')}) AS callsign, event_id FROM events"""
+
+
+def _ocean_tracks(d: str) -> str:
+    """Published tracks over the Atlantic, each straight from 70 west to the meridian, for half a day. The path is told by
+    its latitude in the west."""
+    first = _epoch(d, "(SELECT min(ts) FROM events)")
+    return f"""SELECT s_suppkey AS id, cast({first} as double) + s_suppkey * 7200 % 2592000 AS valid_from, cast({first} as double) + s_suppkey * 7200 % 2592000 + 43200 AS valid_to,
+  case when s_suppkey % 2 = 0 then 'W' else 'E' end AS direction, cast(300 + s_suppkey % 4 * 20 as int) AS low, cast(340 + s_suppkey % 4 * 20 as int) AS high, cast(45 + s_suppkey % 20 as double) - 0.4 AS lat70 FROM supplier"""
+
+
 LENSES = {
+    "crossings": _crossings,
+    "ocean_tracks": _ocean_tracks,
     "legs": _legs,
     "airframes_ref": _airframes_ref,
     "airports": _airports,
     "airlines": lambda d: f"SELECT {_airline('n_nationkey')} AS icao, case when n_nationkey % 6 = 5 then null else substr({_airline('n_nationkey')}, 1, 2) end AS iata, case when n_nationkey % 4 = 0 then concat('Op ', {_text('n_nationkey')}) else concat(n_name, ' Air') end AS name FROM nation",
     "memberships": lambda d: f"SELECT {_text('n_regionkey')} AS slug, {_airline('n_nationkey')} AS airline_icao, case when n_nationkey % 5 = 3 then 'affiliate' else 'member' end AS relationship, case when n_nationkey % 8 = 7 then 'former' else 'active' end AS status FROM nation",
     "routes": lambda d: f"SELECT DISTINCT callsign, org AS a, dst AS b FROM ({_legs(d)}) l WHERE org <> dst",
+    "typed": _typed,
     "boards": lambda d: f"""SELECT {_field('o_custkey % 25')} AS airport, case when o_orderkey % 2 = 0 then 'dep' else 'arr' end AS kind,
   concat(substr({_airline('o_orderkey % 25')}, 1, 2), {_text('o_custkey % 50 + 1')}) AS flight, case when o_orderkey % 11 = 0 then null else concat({_field('o_orderkey % 25')}, case when o_orderkey % 5 = 0 then ',A03' else '' end) end AS counterpart,
   cast(o_orderkey * 13 % 1440 - o_orderkey * 13 % 60 as int) AS sched_min, cast(o_orderdate as date) AS day FROM orders""",

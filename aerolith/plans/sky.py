@@ -9,6 +9,7 @@ from aerolith.functions import text as tx
 from aerolith.operators import aggregates as ag
 from aerolith.operators import claims as cl
 from aerolith.operators import estimate as es
+from aerolith.operators import filters as fl
 from aerolith.operators import records as rc
 from aerolith.operators import registry as rg
 from aerolith.operators import replay as rp
@@ -17,7 +18,7 @@ from aerolith.operators import search as se
 from aerolith.operators import search2 as s2
 from aerolith.operators import windows as wi
 from aerolith.operators.cut import checkpointed
-from aerolith.plans.flights import FULL, routes_of, schedule
+from aerolith.plans.flights import FULL, routes_of, schedule, schedule_once
 from aerolith.plans.lenses import lens
 from aerolith.plans.registry import Registry
 from aerolith.streaming import live
@@ -134,22 +135,22 @@ def _gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 GAPS = "gp AS (SELECT callsign, min(org) AS known, cast(max(dep_ts) % 9000 + 500 AS double) AS est FROM legs WHERE dst IS NULL GROUP BY callsign)"
-NETWORK = "nw AS (SELECT substr(callsign, 1, 3) AS al, code, count(*) AS n FROM (SELECT DISTINCT callsign, a, b, unnest([a, b]) AS code FROM routes) GROUP BY ALL)"
+SERVED = "nw AS (SELECT substr(callsign, 1, 3) AS al, code, count(*) AS n FROM (SELECT DISTINCT callsign, a, b, unnest([a, b]) AS code FROM routes) GROUP BY ALL)"
 
 
-@R.add(f"""WITH {GAPS}, {NETWORK}, c AS (SELECT g.callsign, a.iata AS code, {km('k.lat', 'k.lon', 'a.lat', 'a.lon', 6371.0)} AS d, greatest(400.0, 0.25 * est) AS tol, est FROM gp g JOIN airports k ON k.iata = g.known JOIN airports a ON a.role = 'commercial' AND a.iata <> g.known),
+@R.add(f"""WITH {GAPS}, {SERVED}, c AS (SELECT g.callsign, a.iata AS code, {km('k.lat', 'k.lon', 'a.lat', 'a.lon', 6371.0)} AS d, greatest(400.0, 0.25 * est) AS tol, est FROM gp g JOIN airports k ON k.iata = g.known JOIN airports a ON a.role = 'commercial' AND a.iata <> g.known),
 f AS (SELECT c.*, coalesce(n, 0) AS n_routes FROM c LEFT JOIN nw ON al = substr(callsign, 1, 3) AND nw.code = c.code WHERE abs(d - est) <= tol AND d <= 15000)
 SELECT callsign, code, n_routes, row_number() OVER (PARTITION BY callsign ORDER BY n_routes DESC, abs(d - est), code) AS rank FROM f QUALIFY rank <= 3""", "legs", "routes", "airports")
 def gap_candidates(spark, sf):
-    network = ag.network_by_airline(routes_of(spark, sf))
-    return cl.gap_candidates(_gaps(spark, sf), lens(spark, sf, "airports"), network).select("callsign", "code", "n_routes", "rank")
+    served = ag.served_by_airline(routes_of(spark, sf))
+    return cl.gap_candidates(_gaps(spark, sf), lens(spark, sf, "airports"), served).select("callsign", "code", "n_routes", "rank")
 
 
 @R.add(None)
 def claim_checks(spark, sf):
     """All fourteen checks of every pending answer and its verdict; the tests hold each check against hand-made cases."""
     claims = lens(spark, sf, "claims").withColumns({"verdict": F.lit(None).cast("string"), "reviewed_by": F.lit(None).cast("string")})
-    timetable = checkpointed(schedule(spark, sf)).withColumns({"source": F.lit("published"), "flight": F.concat(F.substring("callsign", 1, 2), F.expr("substring(callsign, 4)"))})
+    timetable = schedule_once(spark, sf).withColumns({"source": F.lit("published"), "flight": F.concat(F.substring("callsign", 1, 2), F.expr("substring(callsign, 4)"))})
     return cl.check_claims(claims.where("status = 'pending'"), _gaps(spark, sf), lens(spark, sf, "airports"), _catalog(spark, sf), timetable, lens(spark, sf, "airlines"), routes_of(spark, sf), lens(spark, sf, "legs"), lens(spark, sf, "endorsements"), F.lit("2001-12-01").cast("date"))
 
 
@@ -295,6 +296,110 @@ def estimate_funnel(spark, sf):
     return _estimates(spark, sf, ("dr",))[0]
 
 
+# --- oceans ---------------------------------------------------------------------------------------------------------
+
+
+def _crossing_points(spark: SparkSession, sf: str) -> DataFrame:
+    """One report per aircraft and second."""
+    return wi.top_k(lens(spark, sf, "crossings"), ["hex", "t"], [F.col("event_id")], 1, "_r").drop("_r", "event_id")
+
+
+def _ocean_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """The tracks with their levels and eight points, ten degrees apart."""
+    t = lens(spark, sf, "ocean_tracks")
+    path = F.transform(F.sequence(F.lit(-70), F.lit(0), F.lit(10)), lambda x: F.struct((F.col("lat70") + (x + 70) / 100.0).alias("lat"), x.cast("double").alias("lon")))
+    levels = lambda way: F.when(F.col("direction") == way, F.array("low", "high")).otherwise(F.array().cast("array<int>"))
+    return t.select("id", "direction", levels("E").alias("east_levels"), levels("W").alias("west_levels"), path.alias("path"), "valid_from", "valid_to")
+
+
+CROSSINGS = "cp AS (SELECT * EXCLUDE (event_id) FROM crossings QUALIFY row_number() OVER (PARTITION BY hex, t ORDER BY event_id) = 1)"
+CROSSING_PAIRS = f"{CROSSINGS}, cq AS (SELECT *, lead(t) OVER w AS t2, lead(lat) OVER w AS la2, lead(lon) OVER w AS lo2, lead(alt_ft) OVER w AS al2 FROM cp WINDOW w AS (PARTITION BY hex ORDER BY t))"
+
+
+@R.add(f"WITH {CROSSINGS} SELECT hex FROM cp WHERE alt_ft >= 25000 AND lat BETWEEN 40 AND 70 GROUP BY hex HAVING bool_or(lon > -15) AND bool_or(lon < -50)", "crossings")
+def ocean_crossers(spark, sf):
+    return fl.crossed_ocean(_crossing_points(spark, sf))
+
+
+@R.add(f"""WITH {CROSSINGS}, k AS (SELECT hex, count(*) AS n, bool_or(lon BETWEEN -135 AND -115) AS coast, bool_or(lat < -10) AS south, bool_or(lon >= 135 AND lat > 0) AS asia, bool_or(lat > 50 AND lon < -140) AS alaska, bool_or(lat BETWEEN 18 AND 23 AND lon BETWEEN -161 AND -154) AS hawaii FROM cp WHERE alt_ft >= 25000 GROUP BY hex)
+SELECT hex, CASE WHEN n < 2 THEN NULL WHEN coast AND south THEN 'south' WHEN asia AND (coast OR alaska) THEN 'transpacific' WHEN coast AND hawaii THEN 'hawaii' END AS kind FROM k""", "crossings")
+def pacific_kinds(spark, sf):
+    return fl.pacific_kind(_crossing_points(spark, sf))
+
+
+@R.add(f"WITH {CROSSING_PAIRS} SELECT hex, cast(t AS bigint) AS t, cast(t2 - t AS bigint) AS gap_s FROM cq WHERE t2 - t >= 1200 AND least(alt_ft, al2) >= 25000 AND lat BETWEEN 40 AND 70 AND la2 BETWEEN 40 AND 70 AND abs(lon - lo2) >= 5 AND greatest(lon, lo2) <= 5 AND least(lon, lo2) >= -75", "crossings")
+def atlantic_gaps(spark, sf):
+    g = fl.ocean_gaps_nat(wi.consecutive_pairs(_crossing_points(spark, sf)))
+    return g.select("hex", F.col("a.t").cast("long").alias("t"), F.col("gap_s").cast("long").alias("gap_s"))
+
+
+def _middle() -> tuple[str, str]:
+    return _forward("lat", "lon", bearing("lat", "lon", "la2", "lo2"), f"({km('lat', 'lon', 'la2', 'lo2')} / 2)")
+
+
+@R.add(f"""WITH {CROSSING_PAIRS}, g AS (SELECT *, {_middle()[0]} AS mla, {_middle()[1]} AS mlo, {km('lat', 'lon', 'la2', 'lo2')} / ((t2 - t) / 3600) / 1.852 AS kt FROM cq WHERE t2 - t >= 1200 AND alt_ft >= 25000 AND al2 >= 25000)
+SELECT hex, cast(t AS bigint) AS t, cast(t2 - t AS bigint) AS gap_s FROM g WHERE kt BETWEEN 300 AND 650 AND mla BETWEEN -60 AND 66 AND (mlo >= 125 OR mlo <= -118)""", "crossings")
+def pacific_gaps(spark, sf):
+    g = fl.ocean_gaps_pac(wi.consecutive_pairs(_crossing_points(spark, sf)))
+    return g.select("hex", F.col("a.t").cast("long").alias("t"), F.col("gap_s").cast("long").alias("gap_s"))
+
+
+@R.add(f"WITH {CROSSINGS} SELECT hex, cast(t AS bigint) AS t, id FROM cp JOIN ocean_tracks ON t BETWEEN valid_from AND valid_to", "crossings", "ocean_tracks")
+def tracks_in_force(spark, sf):
+    return rg.tracks_active(_ocean_tracks(spark, sf).select("id", "valid_from", "valid_to"), _crossing_points(spark, sf), "t").select("hex", F.col("t").cast("long").alias("t"), "id")
+
+
+_CROSS = _forward("lat", "lon", "track", "d0")[0]
+
+
+@R.add(f"""WITH {CROSSINGS}, o AS (SELECT cp.*, lat70, CASE WHEN track BETWEEN 200 AND 340 THEN 'W' ELSE 'E' END AS dir FROM cp JOIN ocean_tracks k ON t BETWEEN valid_from AND valid_to AND k.direction = CASE WHEN track BETWEEN 200 AND 340 THEN 'W' WHEN track BETWEEN 20 AND 160 THEN 'E' END AND round(alt_ft / 100.0) BETWEEN low - 10 AND high + 10),
+f AS (SELECT *, CASE dir WHEN 'W' THEN 0.0 ELSE -70.0 END AS flo, CASE dir WHEN 'W' THEN lat70 + 0.7 ELSE lat70 END AS fla, CASE dir WHEN 'W' THEN lon > 0 ELSE lon < -70 END AS early FROM o), h AS (SELECT *, {km('lat', 'lon', 'fla', 'flo')} AS d0, {bearing('lat', 'lon', 'fla', 'flo')} AS b0 FROM f),
+c AS (SELECT *, CASE WHEN early THEN CASE WHEN d0 <= 1500 AND abs((b0 - track + 540) % 360 - 180) <= 25 THEN abs({_CROSS} - fla) END WHEN lon BETWEEN -70 AND 0 THEN abs(lat - (lat70 + (lon + 70) / 100)) END AS off FROM h),
+w AS (SELECT *, list_filter([0, 10, 20, 30, 40, 50, 60, 70], lambda x: CASE dir WHEN 'W' THEN early OR -x < lon ELSE early OR x - 70 >= lon END) AS ahead FROM c WHERE off <= CASE WHEN early THEN 0.5 ELSE 0.4 END)
+SELECT hex, cast(t AS bigint) AS t, arg_min(len(ahead), off) AS n_ahead, round_even(arg_min(lat70, off), 6) AS lat70 FROM w WHERE len(ahead) > 0 GROUP BY hex, t""", "crossings", "ocean_tracks")
+def ocean_track_match(spark, sf):
+    m = es.match_ocean_track(_crossing_points(spark, sf), _ocean_tracks(spark, sf), ["hex", "t"]).where("waypoints is not null")
+    way = F.element_at("waypoints", 1)
+    return m.select("hex", F.col("t").cast("long").alias("t"), F.size("waypoints").cast("long").alias("n_ahead"), F.bround(way["lat"] - (way["lon"] + 70) / 100.0, 6).alias("lat70"))
+
+
+def _ocean_routes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A far end beyond each ocean for every callsign of the crossings."""
+    ends = spark.createDataFrame([("WEST", 45.0, -74.0), ("EAST", 52.0, 4.0), ("COAST", 40.0, -119.0)], "iata string, lat double, lon double")
+    c = lens(spark, sf, "crossings").select("callsign").distinct()
+    fields = ends.select("iata", F.concat(F.lit("K"), "iata").alias("ident"), F.lit("commercial").alias("role"), "lat", "lon")
+    return c.select("callsign", F.array(*map(F.lit, ("HOME", "WEST", "EAST", "COAST"))).alias("chain")), fields
+
+
+@R.add(None)
+def ocean_track_backtest(spark, sf):
+    """Errors of both ways over Atlantic gaps, by the tracks in force at each; the tests hold it against two messages of different days."""
+    routes, fields = _ocean_routes(spark, sf)
+    return es.backtest_ocean_tracks(_crossing_points(spark, sf), routes, fields, _ocean_tracks(spark, sf))
+
+
+def _airways(spark: SparkSession, sf: str) -> DataFrame:
+    """Airways along the parallels of the Pacific crossings, one for each of the latitudes that some airport has."""
+    lats = lens(spark, sf, "airports").select((F.pmod(F.col("lat").cast("int"), F.lit(20)) + 45).cast("double").alias("lat")).distinct()
+    points = F.transform(F.sequence(F.lit(140), F.lit(240), F.lit(5)), lambda x: F.struct(F.lit(None).cast("string").alias("name"), (F.col("lat") + 0.05).alias("lat"), F.when(x > 180, x - 360).otherwise(x).cast("double").alias("lon")))
+    return lats.select(F.concat(F.lit("P"), F.col("lat").cast("int").cast("string")).alias("airway"), points.alias("points"))
+
+
+@R.add(None)
+def airway_match(spark, sf):
+    """Points of the Pacific on the fixed route they fly, with how much of it lies ahead; the tests hold it against a plain loop."""
+    p = _crossing_points(spark, sf).withColumns({"dest_lat": F.lit(None).cast("double"), "dest_lon": F.lit(None).cast("double")})
+    m = es.match_airway(p, _airways(spark, sf), ["hex", "t"]).where("waypoints is not null")
+    return m.select("hex", F.col("t").cast("long").alias("t"), F.size("waypoints").alias("n_ahead"))
+
+
+@R.add(None)
+def airway_backtest(spark, sf):
+    """Errors of both ways over Pacific gaps, with each crossing's kind."""
+    routes, fields = _ocean_routes(spark, sf)
+    return es.backtest_airways(_crossing_points(spark, sf), routes, fields, _airways(spark, sf))
+
+
 # --- records and boards ---------------------------------------------------------------------------------------------
 
 
@@ -343,7 +448,7 @@ def flight_summary(spark, sf):
 def boards_merged(spark, sf):
     """The timetable after the merge with boards, phase by phase; the tests hold it against hand-made cases."""
     boards = lens(spark, sf, "boards").withColumns({"source": F.lit("x"), "fetched_at": F.lit("x")})
-    return sc.merge_boards(checkpointed(schedule(spark, sf)), boards, lens(spark, sf, "airlines"), checkpointed).withColumn("weekdays", F.map_keys("weekdays"))
+    return sc.merge_boards(schedule_once(spark, sf), boards, lens(spark, sf, "airlines"), checkpointed).withColumn("weekdays", F.map_keys("weekdays"))
 
 
 @R.add(None)
@@ -358,34 +463,38 @@ def replay_chunks(spark, sf):
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
-    """What people might type: names and words of nations, callsigns of customers, codes and misspellings made from them."""
-    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_name", "n_nationkey")
-    calls = lens(spark, sf, "routes").select(F.col("callsign").alias("q"))
-    parts = (n.select(F.col("n_name").alias("q")), n.select(F.substring("n_name", 1, 4).alias("q")), n.select(F.regexp_replace("n_name", "^(..).(.*?)_?[0-9]*$", "$1$2").alias("q")), n.select(F.regexp_replace("n_name", "_?[0-9]+$", "").alias("q")), lens(spark, sf, "airports").select(F.col("iata").alias("q")), calls)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.distinct()
+    return lens(spark, sf, "typed")
 
 
 def _typed(spark: SparkSession, sf: str) -> DataFrame:
     return se.normalized(_queries(spark, sf))
 
 
-NAMES = "qn AS (SELECT DISTINCT upper(trim(q)) AS q FROM (SELECT n_name AS q FROM nation UNION SELECT substr(n_name, 1, 4) FROM nation UNION SELECT concat(substr(n_name, 1, 2), substr(n_name, 4)) FROM nation UNION SELECT iata FROM airports) WHERE regexp_matches(upper(trim(q)), '^[A-Z ]{2,}$') AND length(replace(q, ' ', '')) BETWEEN 2 AND 40)"
-AIRPORT_ROWS = "ap AS (SELECT a.*, upper(name) AS nm, upper(municipality) AS ct, coalesce(t.traffic, 0) AS traffic FROM airports a LEFT JOIN (SELECT org, sum(n_flights) AS traffic FROM sched GROUP BY org) t ON t.org = a.iata)"
+# the queries as typed, in one spelling, with what each may mean
+QUERIES = """q0 AS (SELECT DISTINCT upper(trim(regexp_replace(q, '\\s+', ' ', 'g'))) AS q FROM typed), q1 AS (SELECT q, CASE WHEN regexp_full_match(q, '([A-Z0-9]{2,3}) ([0-9]{1,4}[A-Z]?)') AND NOT regexp_full_match(split_part(q, ' ', 1), '[0-9]+') THEN replace(q, ' ', '') ELSE q END AS term FROM q0 WHERE length(q) >= 2),
+q2 AS (SELECT *, regexp_replace(term, '[ -]', '', 'g') AS c, len(string_split(term, ' ')) AS words FROM q1),
+qs AS (SELECT q, term, words, regexp_matches(c, '[0-9]') OR contains(term, '-') OR length(c) <= 6 AS is_aircraft, length(c) >= 3 AND regexp_matches(c, '^[A-Z]{2}') AND (regexp_matches(c, '[0-9]') OR length(c) <= 4) AND words = 1 AS is_flight, regexp_full_match(c, '[A-Z]+') AND length(c) BETWEEN 2 AND 40 AS is_name FROM q2)"""
+AIRPORT_ROWS = "ap AS (SELECT a.*, upper(name) AS nm, upper(municipality) AS ct, coalesce(t.traffic, 0) AS traffic, kind = 'large_airport' AND coalesce(t.traffic, 0) > 0 AS busy FROM airports a LEFT JOIN (SELECT org, sum(n_flights) AS traffic FROM sched GROUP BY org) t ON t.org = a.iata)"
 
 
-@R.add(f"""WITH {FULL}, {NAMES}, {AIRPORT_ROWS}, m AS (SELECT q, ap.*, CASE WHEN q IN (iata, ident) THEN 100 WHEN nm LIKE q || '%' OR ct LIKE q || '%' THEN 60 WHEN nm LIKE '% ' || q || '%' THEN CASE WHEN kind = 'large_airport' AND traffic > 0 THEN 60 ELSE 40 END END AS cls FROM qn, ap)
-SELECT q, iata AS id, cls, row_number() OVER (PARTITION BY q ORDER BY cls DESC, traffic DESC, name, ident) AS place FROM m WHERE cls IS NOT NULL QUALIFY place <= 5""", "legs", "airports")
+def _airport_class(q: str, folded: str) -> str:
+    return f"CASE WHEN {q} IN (iata, ident) THEN 100 WHEN starts_with(nm, {folded}) OR starts_with(ct, {folded}) THEN 60 WHEN contains(nm, ' ' || {folded}) THEN CASE WHEN busy THEN 60 ELSE 40 END END"
+
+
+LIFT = "4 * log10(1 + {})"
+MATCHED = f"""pm AS (SELECT * FROM (SELECT q, term, ap.*, {_airport_class('term', 'term')} AS cls FROM qs, ap WHERE is_name) WHERE cls IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q ORDER BY cls DESC, traffic DESC, iata IS NULL, name, ident) <= 5),
+lm AS (SELECT * FROM (SELECT q, term, l.*, upper(name) AS nm, CASE WHEN term = icao OR term = iata THEN 100 WHEN starts_with(upper(name), term) THEN 60 WHEN contains(upper(name), ' ' || term) THEN 40 END AS cls FROM qs, airlines l WHERE is_name) WHERE cls IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q ORDER BY cls DESC, iata IS NULL, name, icao) <= 5)"""
+NEAR = f"""nw AS (SELECT DISTINCT ident, unnest(string_split(nm || ' ' || ct, ' ')) AS w FROM ap), na AS (SELECT DISTINCT q, ident FROM qs, nw WHERE is_name AND term NOT LIKE '% %' AND length(term) >= 4 AND length(w) >= 4 AND levenshtein(w, term) <= CASE WHEN length(term) = 4 THEN 1 ELSE 2 END)"""
+
+
+@R.add(f"""WITH {FULL}, {QUERIES}, {AIRPORT_ROWS}, {MATCHED} SELECT q, iata AS id, cls, row_number() OVER (PARTITION BY q ORDER BY cls DESC, traffic DESC, iata IS NULL, name, ident) AS place FROM pm""", "legs", "airports", "airlines", "typed")
 def search_airports(spark, sf):
-    rows = se.match_airport(_typed(spark, sf), lens(spark, sf, "airports"), schedule(spark, sf))
+    rows = se.match_airport(_typed(spark, sf), lens(spark, sf, "airports"), schedule_once(spark, sf))
     base = F.col("score") - 2
     return rows.select("q", "id", F.when(base >= 100, 100).when(base >= 60, 60).otherwise(40).alias("cls"), "place")
 
 
-@R.add(f"""WITH {NAMES}, m AS (SELECT q, l.*, CASE WHEN q = icao OR q = iata THEN 100 WHEN upper(name) LIKE q || '%' THEN 60 WHEN upper(name) LIKE '% ' || q || '%' THEN 40 END AS cls FROM qn, airlines l)
-SELECT q, icao AS id, cls, row_number() OVER (PARTITION BY q ORDER BY cls DESC, iata IS NULL, name, icao) AS place FROM m WHERE cls IS NOT NULL QUALIFY place <= 5""", "airports", "airlines")
+@R.add(f"""WITH {FULL}, {QUERIES}, {AIRPORT_ROWS}, {MATCHED} SELECT q, icao AS id, cls, row_number() OVER (PARTITION BY q ORDER BY cls DESC, iata IS NULL, name, icao) AS place FROM lm""", "legs", "airports", "airlines", "typed")
 def search_airlines(spark, sf):
     rows = se.match_airline(_typed(spark, sf), lens(spark, sf, "airlines"))
     return rows.select("q", "id", F.when(F.col("score") >= 100, 100).when(F.col("score") >= 60, 60).otherwise(40).alias("cls"), "place")
@@ -395,15 +504,14 @@ def search_airlines(spark, sf):
 SELECT q, callsign AS id, round_even(CASE WHEN callsign = q THEN 100 ELSE 60 END + 4 * log10(1 + n), 3) AS score FROM m QUALIFY row_number() OVER (PARTITION BY q ORDER BY callsign <> q, n DESC, callsign) <= 5""", "legs", "airports", "routes")
 def search_flights(spark, sf):
     calls = se.normalized(lens(spark, sf, "routes").select(F.col("callsign").alias("q")))
-    rows = se.match_flight(calls, schedule(spark, sf), lens(spark, sf, "airlines").withColumn("iata", F.lit(None).cast("string")))
+    rows = se.match_flight(calls, schedule_once(spark, sf), lens(spark, sf, "airlines").withColumn("iata", F.lit(None).cast("string")))
     return rows.select("q", "id", F.bround("score", 3).alias("score"))
 
 
-@R.add(f"""WITH {FULL}, {NAMES}, {AIRPORT_ROWS}, w AS (SELECT DISTINCT ident, iata, traffic, unnest(string_split(nm || ' ' || ct, ' ')) AS w FROM ap), m AS (SELECT DISTINCT q, ident, iata, traffic FROM qn, w WHERE length(q) >= 4 AND q NOT LIKE '% %' AND length(w) >= 4 AND levenshtein(w, q) <= CASE WHEN length(q) = 4 THEN 1 ELSE 2 END)
-SELECT q, iata AS id, row_number() OVER (PARTITION BY q ORDER BY traffic DESC, ident) AS place FROM m QUALIFY place <= 5""", "legs", "airports")
+@R.add(f"""WITH {FULL}, {QUERIES}, {AIRPORT_ROWS}, {NEAR} SELECT q, iata AS id, row_number() OVER (PARTITION BY q ORDER BY traffic DESC, ident) AS place FROM na JOIN ap USING (ident) QUALIFY place <= 5""", "legs", "airports", "typed")
 def search_near(spark, sf):
     q = _typed(spark, sf).where("is_airport and length(term) >= 4 and not contains(term, ' ') and term rlike '^[A-Z]+$'")
-    return se.near_airport(q, lens(spark, sf, "airports"), schedule(spark, sf)).select("q", "id", "place")
+    return se.near_airport(q, lens(spark, sf, "airports"), schedule_once(spark, sf)).select("q", "id", "place")
 
 
 def _types(spark: SparkSession, sf: str) -> DataFrame:
@@ -411,10 +519,46 @@ def _types(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("designator", F.concat(F.lit("Type "), "designator").alias("name"), F.lit("jet").alias("category"))
 
 
-@R.add(None)
+RESULTS = f"""{FULL}, {QUERIES}, {AIRPORT_ROWS}, {MATCHED}, {NEAR}, ic AS (SELECT iata AS c, max(icao) AS icao FROM airlines WHERE iata IS NOT NULL GROUP BY ALL),
+f0 AS (SELECT q, term, replace(term, ' ', '') AS p FROM qs WHERE is_flight), fp AS (SELECT q, term, p FROM f0 UNION SELECT q, term, icao || substr(p, 3) FROM f0 JOIN ic ON c = substr(p, 1, 2) WHERE regexp_matches(substr(p, 3, 1), '[0-9]')),
+sp AS (SELECT callsign, sum(n_flights) AS n, min(org) AS org, min(dst) AS dst, count(*) AS legs FROM sched GROUP BY ALL),
+f1 AS (SELECT q, p, sp.*, callsign = p AS exact FROM fp JOIN sp ON starts_with(callsign, p) AND length(p) >= 2 QUALIFY row_number() OVER (PARTITION BY q, p ORDER BY exact DESC, n DESC, callsign) <= 5),
+fl AS (SELECT q, callsign AS id, concat(CASE WHEN legs = 1 THEN org || ' → ' || dst ELSE legs || ' legs' END, ' · ', n, ' flights') AS detail, CASE WHEN exact THEN 100 ELSE 60 END + {LIFT.format('n')} AS score FROM f1 WHERE regexp_matches(callsign, '[0-9]') QUALIFY row_number() OVER (PARTITION BY q, callsign ORDER BY score DESC) = 1),
+lp AS (SELECT callsign, count(*) AS n, max(date) AS last FROM legs WHERE callsign IS NOT NULL AND callsign NOT IN (SELECT callsign FROM sched) GROUP BY ALL),
+l1 AS (SELECT q, p, lp.* FROM fp JOIN lp ON starts_with(callsign, p) AND length(p) >= 2 WHERE regexp_matches(term, '[0-9]') AND q NOT IN (SELECT q FROM fl GROUP BY q HAVING count(*) >= 5) QUALIFY row_number() OVER (PARTITION BY q, p ORDER BY n DESC, callsign) <= 5),
+fa AS (SELECT * FROM fl UNION ALL SELECT q, callsign, concat(n, ' flights, last ', cast(last AS varchar)), CASE WHEN callsign = p THEN 100 ELSE 60 END + {LIFT.format('n')} - 1 FROM l1),
+rf AS (SELECT q, 'flight' AS kind, id, id AS label, detail, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS place FROM fa QUALIFY place <= 5),
+tp AS (SELECT DISTINCT type_code AS designator, 'Type ' || type_code AS name FROM airframes_ref),
+ca AS (SELECT q, hex, 0 AS step, CASE WHEN registration = term THEN 100 ELSE 60 END AS score FROM qs JOIN airframes_ref ON starts_with(registration, term) WHERE is_aircraft UNION ALL SELECT q, hex, 1, 60 FROM qs JOIN airframes_ref ON starts_with(replace(registration, '-', ''), term) WHERE is_aircraft AND NOT contains(term, '-') AND regexp_matches(term, '[0-9]')
+ UNION ALL SELECT q, hex, 2, CASE WHEN hex = lower(term) THEN 100 ELSE 60 END FROM qs JOIN airframes_ref ON starts_with(hex, lower(term)) WHERE is_aircraft AND regexp_full_match(term, '[0-9A-F]{{3,}}')),
+c1 AS (SELECT q, c.hex, step, score, registration FROM (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY q, hex ORDER BY step) = 1) c JOIN airframes_ref USING (hex)),
+c2 AS (SELECT q, hex, score, row_number() OVER (PARTITION BY q ORDER BY step, registration, hex) AS place FROM c1 QUALIFY place <= 5),
+pr AS (SELECT q, 0 AS turn, split_part(term, ' ', 1) AS a, split_part(term, ' ', 2) AS t FROM qs WHERE words = 2 UNION ALL SELECT q, 1, split_part(term, ' ', 2), split_part(term, ' ', 1) FROM qs WHERE words = 2),
+wh AS (SELECT q, turn, t, icao FROM pr JOIN airlines ON a IN (icao, iata) OR (length(a) >= 2 AND starts_with(upper(name), a)) QUALIFY row_number() OVER (PARTITION BY q, turn ORDER BY name, icao) = 1),
+fi AS (SELECT DISTINCT q, turn, icao, designator FROM wh JOIN tp ON t = designator OR list_contains(regexp_split_to_array(upper(tp.name), '[^A-Z0-9]+'), t)), f2 AS (SELECT * FROM fi QUALIFY turn = min(turn) OVER (PARTITION BY q)),
+mb AS (SELECT operator_icao AS icao, hex, type_code FROM airframes_ref WHERE operator_icao IN (SELECT icao FROM airlines) UNION SELECT l.icao, a.hex, a.type_code FROM airframes_ref a JOIN airlines l ON a.operator_norm = upper(l.name)),
+f3 AS (SELECT q, hex, row_number() OVER (PARTITION BY q ORDER BY registration, hex) AS place FROM (SELECT DISTINCT q, mb.hex, registration FROM f2 JOIN mb ON mb.icao = f2.icao AND mb.type_code = designator JOIN airframes_ref a ON a.hex = mb.hex) QUALIFY place <= 5),
+rc AS (SELECT q, 'aircraft' AS kind, x.hex AS id, coalesce(registration, upper(x.hex)) AS label, nullif(concat_ws(' · ', coalesce(tp.name, type_code), coalesce(l.name, operator_name)), '') AS detail, score, place FROM (SELECT * FROM c2 UNION ALL SELECT q, hex, 40, place FROM f3) x JOIN airframes_ref a ON a.hex = x.hex LEFT JOIN tp ON designator = type_code LEFT JOIN airlines l ON l.icao = operator_icao),
+pl AS (SELECT q, CASE WHEN regexp_full_match(term, 'FROM .+ TO .+') THEN split_part(substr(term, 6), ' TO ', 1) WHEN regexp_full_match(term, '.+ TO .+') THEN split_part(term, ' TO ', 1) WHEN regexp_full_match(term, '[A-Z ]*[A-Z]{{3,}}-[A-Z]{{3,}}[A-Z ]*') THEN split_part(term, '-', 1) WHEN words = 2 THEN split_part(term, ' ', 1) END AS a,
+ CASE WHEN regexp_full_match(term, '.* ?TO .+') AND contains(term, ' TO ') THEN split_part(term, ' TO ', 2) WHEN regexp_full_match(term, '[A-Z ]*[A-Z]{{3,}}-[A-Z]{{3,}}[A-Z ]*') THEN split_part(term, '-', 2) WHEN words = 2 THEN split_part(term, ' ', 2) END AS b FROM qs),
+pk AS (SELECT * FROM pl WHERE a IS NOT NULL AND a NOT IN ('TO', 'FROM', 'FLIGHTS') AND b NOT IN ('TO', 'FROM')), pw AS (SELECT a AS w FROM pk UNION SELECT b FROM pk),
+pc AS (SELECT w, iata AS code FROM (SELECT w, ap.*, {_airport_class('w', 'w')} AS cls FROM pw, ap WHERE length(w) >= 2) WHERE cls > 40 QUALIFY row_number() OVER (PARTITION BY w ORDER BY cls <> 100, traffic DESC, ident) = 1),
+rr AS (SELECT q, 'flight' AS kind, callsign AS id, callsign AS label, concat(org, ' → ', dst, ' · ', n_flights, ' flights') AS detail, 40 + {LIFT.format('n_flights')} AS score, row_number() OVER (PARTITION BY q ORDER BY n_flights DESC, callsign) AS place FROM pk JOIN pc x ON x.w = a JOIN pc y ON y.w = b JOIN sched ON org = x.code AND dst = y.code WHERE x.code <> y.code QUALIFY place <= 5),
+rp AS (SELECT q, 'airport' AS kind, iata AS id, concat(name, ' (', iata, ')') AS label, nullif(concat_ws(' · ', municipality, iso_country), '') AS detail, cls + {LIFT.format('traffic')} + 2 AS score, row_number() OVER (PARTITION BY q ORDER BY cls DESC, traffic DESC, iata IS NULL, name, ident) AS place FROM pm),
+rl AS (SELECT q, 'airline' AS kind, icao AS id, name AS label, concat_ws(' · ', icao, iata) AS detail, cls + CASE WHEN iata IS NULL THEN 0 ELSE 2 END AS score, row_number() OVER (PARTITION BY q ORDER BY cls DESC, iata IS NULL, name, icao) AS place FROM lm),
+ra AS (SELECT * FROM rf UNION ALL SELECT * FROM rc UNION ALL SELECT * FROM rr UNION ALL SELECT * FROM rp UNION ALL SELECT * FROM rl),
+ok AS (SELECT q FROM ra WHERE score >= 100 UNION SELECT q FROM pm WHERE cls = 100 OR contains(' ' || nm || ' ', ' ' || term || ' ') OR contains(' ' || ct || ' ', ' ' || term || ' ') UNION SELECT q FROM lm WHERE cls = 100 OR contains(' ' || nm || ' ', ' ' || term || ' ')),
+mi AS (SELECT q, term FROM qs WHERE length(term) >= 4 AND regexp_full_match(term, '[A-Z]+') AND q NOT IN (SELECT q FROM ok)),
+np AS (SELECT q, 'airport' AS kind, iata AS id, concat(name, ' (', iata, ')') AS label, nullif(concat_ws(' · ', municipality, iso_country), '') AS detail, 20 + {LIFT.format('traffic')} + 2 AS score, row_number() OVER (PARTITION BY q ORDER BY traffic DESC, ident) AS place FROM na JOIN ap USING (ident) WHERE q IN (SELECT q FROM mi) AND q NOT IN (SELECT q FROM pm) QUALIFY place <= 5),
+lw AS (SELECT DISTINCT icao, unnest(string_split(upper(name), ' ')) AS w FROM airlines), ln AS (SELECT DISTINCT q, icao FROM mi, lw WHERE length(w) >= 4 AND levenshtein(w, term) <= CASE WHEN length(term) = 4 THEN 1 ELSE 2 END AND q NOT IN (SELECT q FROM lm)),
+nl AS (SELECT q, 'airline' AS kind, icao AS id, name AS label, concat_ws(' · ', icao, iata) AS detail, 20 + CASE WHEN iata IS NULL THEN 0 ELSE 2 END AS score, row_number() OVER (PARTITION BY q ORDER BY name, icao) AS place FROM ln JOIN airlines USING (icao) QUALIFY place <= 5)"""
+
+
+@R.add(f"""WITH {RESULTS} SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, CASE kind WHEN 'flight' THEN 0 WHEN 'aircraft' THEN 1 WHEN 'airport' THEN 2 ELSE 3 END, place ASC NULLS LAST, id) AS rank, kind, id, label, detail, round_even(score, 1) AS score
+FROM (SELECT * FROM ra UNION ALL SELECT * FROM np UNION ALL SELECT * FROM nl)""", "legs", "airports", "airlines", "airframes_ref", "typed")
 def search_results(spark, sf):
-    """The first search over every query; its branches have SQL twins above."""
-    timetable = checkpointed(schedule(spark, sf))
+    """The first search over every query."""
+    timetable = schedule_once(spark, sf)
     return se.search(checkpointed(_queries(spark, sf)), checkpoint=checkpointed, schedule=timetable, airports=lens(spark, sf, "airports"), airlines=lens(spark, sf, "airlines"), types=_types(spark, sf), airframes_ref=lens(spark, sf, "airframes_ref"), legs=lens(spark, sf, "legs"))
 
 
@@ -427,7 +571,7 @@ def _lexicon(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     cities, families = _lexicon(spark, sf)
-    return s2.build_search_docs(schedule=checkpointed(schedule(spark, sf)), legs=lens(spark, sf, "legs"), airports=lens(spark, sf, "airports"), airlines=lens(spark, sf, "airlines"), types=_types(spark, sf), airframes_ref=lens(spark, sf, "airframes_ref"), cities=cities, families=families, day=F.lit("2001-11-01"))
+    return s2.build_search_docs(schedule=schedule_once(spark, sf), legs=lens(spark, sf, "legs"), airports=lens(spark, sf, "airports"), airlines=lens(spark, sf, "airlines"), types=_types(spark, sf), airframes_ref=lens(spark, sf, "airframes_ref"), cities=cities, families=families, day=F.lit("2001-11-01"))
 
 
 @R.add(f"""WITH {FULL}, fl AS (SELECT callsign AS id, sum(n_flights) AS pop FROM sched GROUP BY ALL), lg AS (SELECT callsign, count(*) AS n FROM legs WHERE org <> dst AND callsign NOT IN (SELECT callsign FROM sched) AND substr(callsign, 1, 3) IN (SELECT icao FROM airlines) GROUP BY ALL HAVING count(*) >= 2)

@@ -1,4 +1,4 @@
-"""Readers of the network's artifacts. Each takes a path any Spark file system can open and returns the canonical table."""
+"""Readers of the receivers' artifacts. Each takes a path any Spark file system can open and returns the canonical table."""
 
 from __future__ import annotations
 
@@ -217,7 +217,7 @@ def read_point_source(df: DataFrame) -> DataFrame:
 def stream_positions(spark: SparkSession, fmt: str, options: dict[str, str], value: str = "value") -> DataFrame:
     """Positions of a stream with one JSON object a line (text files, socket, Kafka); lines that are none are dropped.
 
-    `ts` is the arrival time, as the network stamps lines when it reads them."""
+    `ts` is the arrival time, as lines are stamped when they are read."""
     raw = spark.readStream.format(fmt).options(**options).load().select(F.col(value).cast("string").alias("line"))
     return parse_lines(raw, F.current_timestamp())
 

@@ -1,7 +1,7 @@
 """Structured Streaming over position reports: the latest sky, emergency episodes, lost aircraft, trails, stations and traffic.
 
 Each operator keeps keyed state with a time limit; its batch twin computes the same from a table. Event time is the
-report's `ts`; the watermark allows what the network's own limits imply.
+report's `ts`; the watermark allows what the sender's own limits imply.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from aerolith.functions import text as tx
 from aerolith.operators import estimate as es
 from aerolith.operators.filters import HELD, cruising, emergency_signal, signal_code, signal_state
-from aerolith.operators.windows import top_k, trim_trace
+from aerolith.operators.windows import ranked_overall, top_k, trim_trace
 
 SKY_TTL_S, EPISODE_GAP_S, MIN_REPORTS, MIN_HOLD_S = 60, 300.0, 2, 20.0
 LOST_AFTER_S, SHOW_MAX_S, BOOK_S = 90.0, 900.0, 8 * 3600
@@ -252,7 +252,7 @@ def station_sessions_batch(polls: DataFrame, reopen_s: float = 30) -> DataFrame:
     session; one that a poll misses closes at its last sight."""
     p = polls.withColumn("t", F.col("at").cast("double"))
     every = p.select("t").distinct()
-    order = every.withColumn("k", F.row_number().over(Window.orderBy("t")))  # one row a poll
+    order = ranked_overall(every, [F.col("t")], "k")
     newest = order.agg(F.max("k").alias("_last"))
     w = Window.partitionBy("half_id").orderBy("k")
     p = p.join(order, "t").withColumn("start", F.col("t") - F.col("conn_time_s"))
@@ -322,8 +322,8 @@ def roster(stations: DataFrame, now, online_s: float = 60) -> DataFrame:
 
 
 def feeding_from(presence: DataFrame, keys: DataFrame) -> DataFrame:
-    """Stations connected from a network. presence(half_id, network_key), keys(network_key)."""
-    return keys.join(presence, "network_key", "left").groupBy("network_key").agg(F.array_sort(F.collect_set("half_id")).alias("stations"))
+    """Stations connected from one address. presence(half_id, address_key), keys(address_key)."""
+    return keys.join(presence, "address_key", "left").groupBy("address_key").agg(F.array_sort(F.collect_set("half_id")).alias("stations"))
 
 
 def aircraft_per_station(heard: DataFrame) -> DataFrame:

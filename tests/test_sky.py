@@ -15,6 +15,7 @@ from aerolith.operators import claims as cl
 from aerolith.operators import estimate as es
 from aerolith.operators import records as rc
 from aerolith.operators import registry as rg
+from aerolith.operators import search as se
 from aerolith.operators import search2 as s2
 from aerolith.operators import windows as wi
 from aerolith.sources import readers as rd
@@ -37,9 +38,7 @@ def test_scalars(spark):
     assert one(spark, tx.fold(F.lit("Zürich Łódź")), tx.digits(F.lit("AA0163")), tx.compact_flight(F.lit("SQ 322"))) == ("ZURICH LODZ", "163", "SQ322")
     assert one(spark, tx.mirror_numbers(F.lit("SIA12")))[0] == ["SIA11", "SIA13"]
     assert one(spark, tx.track_point(F.lit("5630/40")))[0].asDict() == {"lat": 56.5, "lon": -40.0}
-    assert tx.split_places("FLIGHTS TO LONDON FROM PARIS") == ("PARIS", "LONDON")
-    assert tx.split_places("SIN-LHR") == ("SIN", "LHR") and tx.split_places("9V-SMA") is None
-    assert tx.network_of("2001:db8::1") == "2001:db8::" and tx.network_of("nonsense") is None
+    assert tx.address_block("2001:db8::1") == "2001:db8::" and tx.address_block("nonsense") is None
 
 
 def test_sql_functions(spark):
@@ -51,9 +50,9 @@ def test_registry_precedence(spark):
     cols = "hex string, registration string, type_code string, operator_name string, operator_norm string, operator_icao string, year int, flags string, source string"
     old = spark.createDataFrame([("a", "R1", None, None, None, "OLD", 1999, None, "registry")], cols)
     new = spark.createDataFrame([("a", "R2", "A320", None, None, "NEW", None, None), ("b", "R3", None, None, None, None, None, None)], cols.rsplit(",", 1)[0])
-    got = {r["hex"]: r for r in rg.merge_airframes(old, new, "fp-dump").collect()}
+    got = {r["hex"]: r for r in rg.merge_airframes(old, new, "receiver-dump").collect()}
     assert (got["a"]["registration"], got["a"]["type_code"], got["a"]["operator_icao"], got["a"]["source"]) == ("R1", "A320", "NEW", "registry")
-    assert got["b"]["source"] == "fp-dump"
+    assert got["b"]["source"] == "receiver-dump"
 
 
 def test_nested_blocks(spark):
@@ -158,8 +157,34 @@ def test_schedule_chain_and_order(spark):
     assert o["route"] == ["X", "Y", "Z"] and sorted(o["pairs"]) == ["X>Y", "X>Z", "Y>Z"]
 
 
-def test_osa():
-    assert (s2.osa("chnagi", "changi"), s2.osa("heathro", "heathrow"), s2.osa("", "ab")) == (1, 1, 2)
+def osa(a, b):
+    """Edit distance with swaps of neighbours, by its recursion."""
+    if not a or not b:
+        return max(len(a), len(b))
+    best = min(osa(a[:-1], b) + 1, osa(a, b[:-1]) + 1, osa(a[:-1], b[:-1]) + (a[-1] != b[-1]))
+    return min(best, osa(a[:-2], b[:-2]) + 1) if len(a) > 1 and len(b) > 1 and a[-1] == b[-2] and a[-2] == b[-1] else best
+
+
+def test_edit_distances_and_their_keys(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(7)))
+    pairs = [("chnagi", "changi"), ("heathro", "heathrow"), ("", "ab"), ("ca", "abc"), *[(word(), word()) for _ in range(400)]]
+    want = [osa(a, b) for a, b in pairs]
+    assert s2.edits(*map(list, zip(*pairs))).tolist() == want and want[:4] == [1, 1, 2, 3]
+    d = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)] + [(-1, None, "x")], "i int, a string, b string")
+    rows = d.select("i", s2.within_edits("a", "b").alias("d"), se.without_letters(F.col("a"), 2).alias("ka"), se.without_letters(F.col("b"), 2).alias("kb")).collect()
+    for r in rows:
+        assert r["d"] == (None if r["i"] < 0 else want[r["i"]])
+        if r["i"] >= 0 and r["d"] <= 2:
+            assert set(r["ka"]) & set(r["kb"])
+
+
+def test_places(spark):
+    cases = {"SIN LHR": ("SIN", "LHR"), "sin-lhr": ("SIN", "LHR"), "A B-C D": None, "NEW YORK-PARIS": ("NEW YORK", "PARIS"), "FROM NEW YORK TO LOS ANGELES": ("NEW YORK", "LOS ANGELES"), "FLIGHTS TO PARIS FROM ROME": ("ROME", "PARIS"), "9V-SMA": None, "PARIS TO": None, "TO PARIS": None, "A → B": ("A", "B"), "FROM A -> B": ("A", "B"), "ONE TWO THREE": None, "ONE": None, "": None, "FLIGHTS A B": ("A", "B"), "A TO B TO C": None, "A-B": None, "N123-AB": None, "ABC-DEF-GHI": None, "FROM TO": None, None: None}
+    d = spark.createDataFrame([(k,) for k in cases], "q string")
+    assert {r["q"]: r["p"] and tuple(r["p"]) for r in d.select("q", tx.places("q").alias("p")).collect()} == cases
 
 
 def positions(spark, rows):
@@ -213,7 +238,7 @@ def test_readers(spark, tmp_path):
 
 def test_occurrences_and_chains_run_over_whole_tables(spark, tmp_path):
     """No claim and no callsign is left out, whatever its number; against brute force."""
-    from aerolith.plans import network
+    from aerolith.plans import sky
 
     day = lambda k: dt.datetime(1998, 1, 1) + dt.timedelta(days=17 * k)
     words = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", "4-NOT SPECIFIED")
@@ -236,8 +261,62 @@ def test_occurrences_and_chains_run_over_whole_tables(spark, tmp_path):
         for (c, r), (a, b) in spells.items():
             if r == reg and a - slack <= d <= b + slack:
                 want[c, str(d)] = max(want.get((c, str(d)), 0), k)
-    got = {(r["airframe_id"], r["at"]): r["number"] for r in network.occurrence_attach(spark, str(tmp_path)).collect()}
+    got = {(r["airframe_id"], r["at"]): r["number"] for r in sky.occurrence_attach(spark, str(tmp_path)).collect()}
     assert got == want and any(k % 50 for k in want.values())
-    chains = {r["callsign"]: r["chain"] for r in network.schedule_chain(spark, str(tmp_path)).collect()}
+    chains = {r["callsign"]: r["chain"] for r in sky.schedule_chain(spark, str(tmp_path)).collect()}
     assert chains == {"AAX8": ["A03", "A00"], "ABX9": ["A04", "A01"]}
-    assert [tuple(r) for r in network.schedule_chain_single(spark, str(tmp_path)).collect()] == [("ABX9", "A04", "A01")]
+    assert [tuple(r) for r in sky.schedule_chain_single(spark, str(tmp_path)).collect()] == [("ABX9", "A04", "A01")]
+
+
+TRACK = "direction string, east_levels array<int>, west_levels array<int>, path array<struct<lat:double,lon:double>>, valid_from double, valid_to double"
+
+
+def test_ocean_tracks_of_other_days_do_not_count(spark):
+    """Two messages that do not overlap: each gap follows the track in force when it began, and a gap outside both none."""
+    day = 86400.0
+    path = lambda lat: [(lat, float(x)) for x in range(-60, 0, 10)]
+    messages = spark.createDataFrame([("W", [], [340, 380], path(50.0), 10 * day, 10.5 * day), ("W", [], [340, 380], path(55.0), 11 * day, 11.5 * day)], TRACK)
+    rows = []
+    for k, (t, lat) in enumerate(((10.2 * day, 50.0), (11.2 * day, 50.0), (11.2 * day, 55.0), (12 * day, 50.0))):
+        rows += [(f"h{k}", t - 600, lat, -12.0, 36000, False, 480.0, 270.0, "ABC1"), (f"h{k}", t, lat, -15.5, 36000, False, 480.0, 270.0, "ABC1"), (f"h{k}", t + 7200, lat, -40.0, 36000, False, 480.0, 270.0, "ABC1"), (f"h{k}", t + 7260, lat, -52.0, 36000, False, 480.0, 270.0, "ABC1")]
+    points = spark.createDataFrame(rows, "hex string, t double, lat double, lon double, alt_ft int, on_ground boolean, gs double, track double, callsign string")
+    routes = spark.createDataFrame([("ABC1", ["EUR", "AME"])], "callsign string, chain array<string>")
+    fields = spark.createDataFrame([("EUR", "KEUR", 50.0, 5.0), ("AME", "KAME", 45.0, -74.0)], "iata string, ident string, lat double, lon double")
+    got = {r["hex"]: r for r in es.backtest_ocean_tracks(points, routes, fields, messages).collect()}
+    assert {k: r["matched"] for k, r in got.items()} == {"h0": True, "h1": False, "h2": True, "h3": False}
+    assert got["h1"]["path_km"] == got["h1"]["now_km"] and got["h0"]["path_km"] != got["h0"]["now_km"]
+    ways = {r["hex"]: r["waypoints"] for r in es.match_ocean_track(points.where("lon = -15.5"), messages, ["hex", "t"]).collect()}
+    assert [w["lat"] for w in ways["h0"]] == [50.0] * 5 and [w["lat"] for w in ways["h2"]] == [55.0] * 5 and ways["h1"] is ways["h3"] is None
+
+
+def test_tracks_in_force_by_timestamps(spark):
+    at = lambda h: dt.datetime(2026, 1, 1 + h // 24, h % 24)
+    m = spark.createDataFrame([("a", at(0), at(12)), ("b", at(10), at(60)), ("c", at(5), at(4))], "m string, valid_from timestamp, valid_to timestamp")
+    p = spark.createDataFrame([(h, at(h)) for h in (0, 11, 12, 13, 60, 61)], "h int, ts timestamp")
+    got = sorted((r["h"], r["m"]) for r in rg.tracks_active(m, p).collect())
+    assert got == [(0, "a"), (11, "a"), (11, "b"), (12, "a"), (12, "b"), (13, "b"), (60, "b")]
+
+
+def test_airways_against_a_plain_loop(spark):
+    """Every point against every segment, with the date line and southern latitudes among them."""
+    import random
+
+    rng = random.Random(4)
+    lines = [[(rng.uniform(-60, 60), lon) for lon in (160.0, 170.0, 179.0, -175.0, -165.0)] for _ in range(5)] + [[(20.0, -150.0), (25.0, -140.0), (30.0, -130.0)]]
+    airways = spark.createDataFrame([(f"R{k}", [("x", *p) for p in line]) for k, line in enumerate(lines)], "airway string, points array<struct<name:string,lat:double,lon:double>>")
+    rows = []
+    for k in range(300):
+        line = rng.choice(lines)
+        i = rng.randrange(len(line) - 1)
+        (a, b), (c, d), f = line[i], line[i + 1], rng.random()
+        d = d + 360 if d < b - 180 else d
+        lon = b + f * (d - b)
+        east = math.degrees(math.atan2((d - b) * math.cos(math.radians(a)), c - a)) % 360
+        rows.append((f"h{k}", 0.0, a + f * (c - a) + rng.uniform(-0.3, 0.3), (lon + 180) % 360 - 180, (east + rng.choice([0, 0, 180, 90])) % 360))
+    p = spark.createDataFrame(rows, "hex string, t double, lat double, lon double, track double").withColumns({"dest_lat": F.lit(None).cast("double"), "dest_lon": F.lit(None).cast("double")})
+    got = {r["hex"]: r["waypoints"] and [(w["lat"], w["lon"]) for w in r["waypoints"]] for r in es.match_airway(p, airways, ["hex", "t"]).collect()}
+    segments = es.airway_segments(airways)
+    far = p.crossJoin(segments.withColumnRenamed("ahead", "w")).withColumn("ca", geo.cross_along("a.lat", "a.lon", "b.lat", "b.lon", "lat", "lon"))
+    fits = far.where((F.abs("ca.cross_km") <= 20) & (F.col("ca.along_km") >= 0) & (F.col("ca.along_km") < geo.haversine("a.lat", "a.lon", "b.lat", "b.lon")) & (F.abs(geo.angle_diff("track", geo.bearing("lat", "lon", "b.lat", "b.lon"))) <= 20))
+    best = {r["hex"]: [(w["lat"], w["lon"]) for w in r["w"]] for r in fits.groupBy("hex").agg(F.min_by("w", F.struct(F.abs("ca.cross_km"), "airway")).alias("w")).collect()}
+    assert {k: v for k, v in got.items() if v} == best and 50 < len(best) < 300
