@@ -309,22 +309,35 @@ def flight_number(query) -> Column:
 JOINS = ("TO", "FROM", "→")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def places(query) -> Column:
     """"SIN LHR", "SIN-LHR", "A to B", "from A to B", "flights to B from A" as struct(origin, dest), upper case; null if it is none."""
+    dashed = r"^\s*(\p{L}+\s+)*\p{L}{3,}\s*-\s*\p{L}{3,}(\s+\p{L}+)*\s*$"
+
+    def sides(w: Column) -> Column:
+        """struct(one, two): the words of either place."""
+        first, size = F.get(w, F.lit(0)), F.size(w)
+        at = lambda mark: F.array_position(w, mark).cast("int")
+        before = lambda mark, start: F.slice(w, start, F.greatest(at(mark) - start, F.lit(0)))
+        after = lambda mark: F.slice(w, at(mark) + 1, size)
+        pair = lambda one, two: F.struct(one.alias("one"), two.alias("two"))
+        arrow = pair(F.when(first == "FROM", before("→", 2)).otherwise(before("→", 1)), after("→"))
+        from_to, to_from, to = pair(before("TO", 2), after("TO")), pair(after("FROM"), before("FROM", 2)), pair(before("TO", 1), after("TO"))
+        return F.when(at("→") > 0, arrow).when((first == "FROM") & (at("TO") > 0), from_to).when((first == "TO") & (at("FROM") > 0), to_from).when(at("TO") > 0, to).when(size == 2, pair(F.slice(w, 1, 1), F.slice(w, 2, 1)))
+
+    def named(f: Column) -> Column:
+        fits = (F.size(f["one"]) > 0) & (F.size(f["two"]) > 0) & ~F.arrays_overlap(F.concat(f["one"], f["two"]), F.array(*map(F.lit, JOINS)))
+        return F.when(fits, F.struct(F.array_join(f["one"], " ").alias("origin"), F.array_join(f["two"], " ").alias("dest")))
+
+    bare = lambda w: F.when((F.size(w) > 1) & (F.get(w, F.lit(0)) == "FLIGHTS"), F.slice(w, 2, F.size(w))).otherwise(w)
+    words = lambda t: F.filter(F.split(t, r"\s+"), lambda x: x != "")
+    undashed = lambda t: F.when(t.rlike(dashed), F.replace(t, F.lit("-"), F.lit(" → "))).otherwise(t)
     text = F.regexp_replace(F.upper(col(query)), "->|[→–—>]", " → ")
-    dashed = text.rlike(r"^\s*(\p{L}+\s+)*\p{L}{3,}\s*-\s*\p{L}{3,}(\s+\p{L}+)*\s*$")
-    text = F.when(dashed, F.replace(text, F.lit("-"), F.lit(" → "))).otherwise(text)
-    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    w = F.when((F.size(w) > 1) & (F.get(w, F.lit(0)) == "FLIGHTS"), F.slice(w, 2, F.size(w))).otherwise(w)
-    first, size = F.get(w, F.lit(0)), F.size(w)
-    at = lambda mark: F.array_position(w, mark).cast("int")
-    between = lambda a, b: F.slice(w, a, F.greatest(b - a, F.lit(0)))
-    cut = lambda mark, start, turn=False: F.struct(*[x.alias(n) for n, x in zip(("two", "one") if turn else ("one", "two"), (between(F.lit(start), at(mark)), between(at(mark) + 1, size + 1)), strict=True)][:: -1 if turn else 1])
-    arrow = F.struct(F.when(first == "FROM", between(F.lit(2), at("→"))).otherwise(between(F.lit(1), at("→"))).alias("one"), between(at("→") + 1, size + 1).alias("two"))
-    pair = F.struct(F.slice(w, 1, 1).alias("one"), F.slice(w, 2, 1).alias("two"))
-    found = F.when(at("→") > 0, arrow).when((first == "FROM") & (at("TO") > 0), cut("TO", 2)).when((first == "TO") & (at("FROM") > 0), cut("FROM", 2, True)).when(at("TO") > 0, cut("TO", 1)).when(size == 2, pair)
-    fits = (F.size(found["one"]) > 0) & (F.size(found["two"]) > 0) & ~F.arrays_overlap(F.concat(found["one"], found["two"]), F.array(*map(F.lit, JOINS)))
-    return F.when(fits, F.struct(F.array_join(found["one"], " ").alias("origin"), F.array_join(found["two"], " ").alias("dest")))
+    return _let(_let(_let(_let(_let(text, undashed), words), bare), sides), named)
 
 
 def address_block(address: str | None) -> str | None:

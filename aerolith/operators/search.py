@@ -115,7 +115,9 @@ def match_flight_log(queries: DataFrame, legs: DataFrame, schedule: DataFrame, a
 
 
 def searchable(airports: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Large and medium fields with their code, folded names and traffic."""
+    """Large and medium fields with their code, folded names and traffic; a table that has them already stays as it is."""
+    if "busy" in airports.columns:
+        return airports
     a = airports.where("kind in ('large_airport', 'medium_airport')").withColumn("code", F.coalesce("iata", "ident"))
     a = a.join(airport_traffic(schedule), "code", "left").withColumn("traffic", F.coalesce("traffic", F.lit(0)))
     return a.withColumns({"_name": tx.fold("name"), "_city": tx.fold("municipality"), "busy": (F.col("kind") == "large_airport") & (F.col("traffic") > 0)})
@@ -222,16 +224,19 @@ def rank_results(results: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, *, schedule: DataFrame, airports: DataFrame, airlines: DataFrame, types: DataFrame, airframes_ref: DataFrame, legs: DataFrame, checkpoint=lambda df: df) -> DataFrame:
-    """Ranked results of every query; near misses only where nothing matched a whole code or word."""
+    """Ranked results of every query; near misses only where nothing matched a whole code or word.
+
+    `checkpoint` cuts the plan after each branch, which later ones read again."""
     q = checkpoint(normalized(queries))
+    airports = checkpoint(searchable(airports, schedule))
     fl = checkpoint(match_flight(q, schedule, airlines))
     counted = q.join(fl.groupBy("q").agg(F.count(F.lit(1)).alias("_n")), "q", "left").where(F.coalesce("_n", F.lit(0)) < PER_KIND).drop("_n")
     flights = top_k(fl.unionByName(match_flight_log(counted, legs, schedule, airlines)), ["q"], [F.desc("score"), F.col("id")], PER_KIND, "place")
     ap, al = checkpoint(match_airport(q, airports, schedule)), checkpoint(match_airline(q, airlines))
     out = None
     for part in (match_route(q, airports, schedule), match_fleet(q, airframes_ref, types, airlines), match_aircraft(q, airframes_ref, types, airlines), flights, ap.drop("whole"), al.drop("whole")):
+        part = checkpoint(part)
         out = part if out is None else out.unionByName(part)
-    out = checkpoint(out)
     whole = ap.where("whole").select("q").union(al.where("whole").select("q")).union(out.where(F.col("score") >= EXACT).select("q")).distinct()
     missed = q.where("length(term) >= 4").where(F.col("term").rlike(r"^\p{L}+$")).join(whole, "q", "left_anti")
     near = near_airport(missed.where("is_airport").join(ap.select("q"), "q", "left_anti"), airports, schedule).unionByName(near_airline(missed.where("is_airline").join(al.select("q"), "q", "left_anti"), airlines))

@@ -467,7 +467,7 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _typed(spark: SparkSession, sf: str) -> DataFrame:
-    return se.normalized(_queries(spark, sf))
+    return checkpointed(se.normalized(_queries(spark, sf)))
 
 
 # the queries as typed, in one spelling, with what each may mean
@@ -503,7 +503,7 @@ def search_airlines(spark, sf):
 @R.add(f"""WITH {FULL}, q AS (SELECT DISTINCT callsign AS q FROM routes), p AS (SELECT callsign, sum(n_flights) AS n FROM sched GROUP BY ALL), m AS (SELECT q, callsign, n FROM q JOIN p ON callsign LIKE q || '%')
 SELECT q, callsign AS id, round_even(CASE WHEN callsign = q THEN 100 ELSE 60 END + 4 * log10(1 + n), 3) AS score FROM m QUALIFY row_number() OVER (PARTITION BY q ORDER BY callsign <> q, n DESC, callsign) <= 5""", "legs", "airports", "routes")
 def search_flights(spark, sf):
-    calls = se.normalized(lens(spark, sf, "routes").select(F.col("callsign").alias("q")))
+    calls = checkpointed(se.normalized(lens(spark, sf, "routes").select(F.col("callsign").alias("q"))))
     rows = se.match_flight(calls, schedule_once(spark, sf), lens(spark, sf, "airlines").withColumn("iata", F.lit(None).cast("string")))
     return rows.select("q", "id", F.bround("score", 3).alias("score"))
 
