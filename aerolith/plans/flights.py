@@ -263,9 +263,17 @@ wa AS (SELECT callsign, org, dst, weekday, arr_minute // 5 * 5 AS a FROM wd JOIN
 wm AS (SELECT callsign, org, dst, weekday, a AS arr FROM (SELECT *, row_number() OVER (PARTITION BY callsign, org, dst, weekday ORDER BY a) AS n, count(*) OVER (PARTITION BY callsign, org, dst, weekday) AS c FROM wa) WHERE n = (c - 1) // 2 + 1)"""
 
 
-@R.add(f"WITH {WEEKDAYS} SELECT callsign, org, dst, cast(weekday AS int) AS weekday, dep_min AS dep, arr FROM wk LEFT JOIN wm USING (callsign, org, dst, weekday)", "legs", "airports")
+SHUTTLES = "legs AS (SELECT * FROM shuttles)"
+
+
+def shuttle_schedule(spark, sf):
+    """The timetable of flights that an airline flies under one number, often enough for weekday slots."""
+    return sc.infer_schedule(lens(spark, sf, "shuttles"), lens(spark, sf, "airports"))
+
+
+@R.add(f"WITH {SHUTTLES}, {WEEKDAYS} SELECT callsign, org, dst, cast(weekday AS int) AS weekday, dep_min AS dep, arr FROM wk LEFT JOIN wm USING (callsign, org, dst, weekday)", "shuttles", "airports")
 def schedule_weekdays(spark, sf):
-    s = schedule(spark, sf).select("callsign", "org", "dst", F.explode("weekdays").alias("weekday", "t"))
+    s = shuttle_schedule(spark, sf).select("callsign", "org", "dst", F.explode("weekdays").alias("weekday", "t"))
     return s.select("callsign", "org", "dst", "weekday", "t.dep", "t.arr")
 
 
@@ -282,12 +290,12 @@ def schedule_quality_pooled(spark, sf):
     return sc.schedule_quality(s, lens(spark, sf, "legs"), lens(spark, sf, "airports")).drop("accuracy")
 
 
-@R.add(f"""WITH {WEEKDAYS}, d AS (SELECT max(date) AS day FROM legs WHERE dst IS NOT NULL), s AS (SELECT l.callsign, l.org, l.dst, timezone(z.tz, to_timestamp(dep_ts)) AS at FROM legs l JOIN d ON l.date = d.day JOIN z ON z.code = l.org),
-f AS (SELECT (cast(extract(hour FROM at) * 60 + extract(minute FROM at) AS int) - coalesce(wk.dep_min, sched.dep_min) + 720 + 1440) % 1440 - 720 AS off FROM s JOIN sched USING (callsign, org, dst) LEFT JOIN wk ON wk.callsign = s.callsign AND wk.org = s.org AND wk.dst = s.dst AND weekday = isodow(at) - 1 WHERE sched.dep_min IS NOT NULL)
-SELECT 'inferred' AS bucket, count(*) AS legs, count(*) FILTER (abs(off) <= 45) AS hits, round_even(100.0 * count(*) FILTER (abs(off) <= 45) / count(*), 1) AS accuracy FROM f HAVING count(*) > 0""", "legs", "airports")
+@R.add(f"""WITH {SHUTTLES}, {WEEKDAYS}, d AS (SELECT max(date) AS day FROM legs WHERE dst IS NOT NULL), s AS (SELECT l.callsign, l.org, l.dst, timezone(z.tz, to_timestamp(dep_ts)) AS tm FROM legs l JOIN d ON l.date = d.day JOIN z ON z.code = l.org),
+f AS (SELECT (cast(extract(hour FROM tm) * 60 + extract(minute FROM tm) AS int) - coalesce(wk.dep_min, sched.dep_min) + 720 + 1440) % 1440 - 720 AS off FROM s JOIN sched USING (callsign, org, dst) LEFT JOIN wk ON wk.callsign = s.callsign AND wk.org = s.org AND wk.dst = s.dst AND weekday = isodow(tm) - 1 WHERE sched.dep_min IS NOT NULL)
+SELECT 'inferred' AS bucket, count(*) AS legs, count(*) FILTER (abs(off) <= 45) AS hits, round_even(100.0 * count(*) FILTER (abs(off) <= 45) / count(*), 1) AS accuracy FROM f HAVING count(*) > 0""", "shuttles", "airports")
 def schedule_quality(spark, sf):
     """Departures against the timetable, weekday slots first."""
-    return sc.schedule_quality(schedule(spark, sf), lens(spark, sf, "legs"), lens(spark, sf, "airports"))
+    return sc.schedule_quality(shuttle_schedule(spark, sf), lens(spark, sf, "shuttles"), lens(spark, sf, "airports"))
 
 
 @R.add(f"""WITH {SLOTS}, la AS (SELECT max(day) AS last FROM sg WHERE minute IS NOT NULL), tg AS (SELECT callsign, org, dst, day AS td, minute AS flown FROM sg, la WHERE day > last - 14), ask AS (SELECT DISTINCT callsign, org, dst, td FROM tg),

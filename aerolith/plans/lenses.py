@@ -84,6 +84,9 @@ def _typed(d: str) -> str:
         f"SELECT concat('R-', {_text('s_suppkey')}) AS q FROM supplier",
         f"SELECT concat('r', {_text('s_suppkey')}) AS q FROM supplier WHERE s_suppkey % 3 = 0",
         f"SELECT {_hex(d, 's_suppkey')} AS q FROM supplier WHERE s_suppkey % 4 = 0",
+        f"SELECT concat('NATION', substr({LETTERS}, cast(n_nationkey as int) + 1, 1)) AS q FROM nation",
+        f"SELECT concat('NATON', substr({LETTERS}, cast(n_nationkey as int) + 1, 2)) AS q FROM nation",
+        f"SELECT concat('Cit', substr({LETTERS}, cast(n_nationkey as int) + 1, 1), 'y') AS q FROM nation",
         f"SELECT callsign AS q FROM {routes} r1",
         f"SELECT concat(substr(callsign, 1, 2), ' ', substr(callsign, 4)) AS q FROM {routes} r2",
         f"SELECT concat(a, ' ', b) AS q FROM {routes} r3",
@@ -119,6 +122,7 @@ LENSES = {
     "airframes_ref": _airframes_ref,
     "airports": _airports,
     "airlines": lambda d: f"SELECT {_airline('n_nationkey')} AS icao, case when n_nationkey % 6 = 5 then null else substr({_airline('n_nationkey')}, 1, 2) end AS iata, case when n_nationkey % 4 = 0 then concat('Op ', {_text('n_nationkey')}) else concat(n_name, ' Air') end AS name FROM nation",
+    "shuttles": lambda d: f"SELECT hex, reg, type, concat(substr(callsign, 1, 3), '1') AS callsign, date, org, dst, dep_ts, arr_ts, max_alt FROM ({_legs(d)}) l",
     "memberships": lambda d: f"SELECT {_text('n_regionkey')} AS slug, {_airline('n_nationkey')} AS airline_icao, case when n_nationkey % 5 = 3 then 'affiliate' else 'member' end AS relationship, case when n_nationkey % 8 = 7 then 'former' else 'active' end AS status FROM nation",
     "routes": lambda d: f"SELECT DISTINCT callsign, org AS a, dst AS b FROM ({_legs(d)}) l WHERE org <> dst",
     "typed": _typed,
