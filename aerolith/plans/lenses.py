@@ -122,6 +122,8 @@ LENSES = {
     "airframes_ref": _airframes_ref,
     "airports": _airports,
     "airlines": lambda d: f"SELECT {_airline('n_nationkey')} AS icao, case when n_nationkey % 6 = 5 then null else substr({_airline('n_nationkey')}, 1, 2) end AS iata, case when n_nationkey % 4 = 0 then concat('Op ', {_text('n_nationkey')}) else concat(n_name, ' Air') end AS name FROM nation",
+    # answers to the questions of the flight log itself: both ends of legs flown under the same number, right or wrong
+    "answers": lambda d: "SELECT 1000000000 + min(k) AS id, callsign, org AS origin, dst AS dest, 'pending' AS status, cast(min(k) % 3 as int) AS anonymous_count, cast(min(date) as date) AS valid_from FROM (" + _legs(d).replace("SELECT ", "SELECT cast((c_nationkey * 50 + o_custkey % 50) * 25 + s_nationkey as bigint) AS k, ", 1) + ") l WHERE dst IS NOT NULL GROUP BY callsign, org, dst",
     "shuttles": lambda d: f"SELECT hex, reg, type, concat(substr(callsign, 1, 3), '1') AS callsign, date, org, dst, dep_ts, arr_ts, max_alt FROM ({_legs(d)}) l",
     "memberships": lambda d: f"SELECT {_text('n_regionkey')} AS slug, {_airline('n_nationkey')} AS airline_icao, case when n_nationkey % 5 = 3 then 'affiliate' else 'member' end AS relationship, case when n_nationkey % 8 = 7 then 'former' else 'active' end AS status FROM nation",
     "routes": lambda d: f"SELECT DISTINCT callsign, org AS a, dst AS b FROM ({_legs(d)}) l WHERE org <> dst",

@@ -146,12 +146,106 @@ def gap_candidates(spark, sf):
     return cl.gap_candidates(_gaps(spark, sf), lens(spark, sf, "airports"), served).select("callsign", "code", "n_routes", "rank")
 
 
-@R.add(None)
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Open questions of every kind from one-sided legs: either side, with and without a hint, stops flown, a type, a last heading and rotations, all by arithmetic."""
+    g = lens(spark, sf, "legs").where("dst is null").groupBy("callsign").agg(F.min("org").alias("known"), F.count(F.lit(1)).cast("int").alias("n_recent"), (F.max("dep_ts") / 60).cast("long").alias("k"))
+    k, none = F.col("k"), lambda t: F.lit(None).cast(t)
+    field = lambda n: F.concat(F.lit("A"), F.lpad(n.cast("string"), 2, "0"))
+    kind = F.when(k % 4 == 0, "A388").when(k % 4 == 1, "A318").when(k % 4 == 2, "B712")
+    return g.select("callsign", F.when(k % 3 == 0, "origin").otherwise("dest").alias("side"), "known", F.when(k % 5 == 0, field(k % 25)).alias("hint"), F.when(k % 7 == 0, F.array(F.col("known"), field(k % 23))).alias("chain"), kind.alias("type"), "n_recent", (k % 9000 + 500).cast("double").alias("est_km"), (k % 5).cast("int").alias("n_rot"), (k % 120 - 60).cast("double").alias("last_lat"), (k % 360 - 180).cast("double").alias("last_lon"), F.when(k % 2 == 0, (k % 360).cast("double")).alias("last_trk"), none("array<bigint>").alias("known_ts"))
+
+
+def _sql_field(n: str) -> str:
+    return f"concat('A', lpad(cast({n} AS varchar), 2, '0'))"
+
+
+REACH = f"CASE type WHEN 'A388' THEN {tx.RANGE_KM['A388']} WHEN 'A318' THEN {tx.RANGE_KM['A318']} WHEN 'B712' THEN {tx.RANGE_KM['B712']} END"
+OFF = "abs(({b} - last_trk + 180 + 720) % 360 - 180)"
+QUESTIONS = f"""g0 AS (SELECT callsign, min(org) AS known, max(dep_ts) // 60 AS k FROM legs WHERE dst IS NULL GROUP BY callsign),
+gp AS (SELECT callsign, CASE WHEN k % 3 = 0 THEN 'origin' ELSE 'dest' END AS side, known, CASE WHEN k % 5 = 0 THEN {_sql_field('k % 25')} END AS hint, CASE WHEN k % 7 = 0 THEN [known, {_sql_field('k % 23')}] ELSE [] END AS chain, CASE k % 4 WHEN 0 THEN 'A388' WHEN 1 THEN 'A318' WHEN 2 THEN 'B712' END AS type, cast(k % 9000 + 500 AS double) AS est, k % 5 AS n_rot, cast(k % 120 - 60 AS double) AS last_lat, cast(k % 360 - 180 AS double) AS last_lon, CASE WHEN k % 2 = 0 THEN cast(k % 360 AS double) END AS last_trk FROM g0),
+ac AS (SELECT iata AS code, lat, lon, role, tz FROM airports UNION ALL SELECT ident, lat, lon, role, tz FROM airports),
+cd AS (SELECT g.*, a.iata AS code, a.lat, a.lon, {km('k.lat', 'k.lon', 'a.lat', 'a.lon', 6371.0)} AS d FROM gp g JOIN ac k ON k.code = g.known JOIN airports a ON a.role = 'commercial' AND a.iata <> g.known AND NOT list_contains(chain, a.iata) WHERE n_rot >= 2),
+ce AS (SELECT cd.*, coalesce(n, 0) AS n_routes FROM cd LEFT JOIN nw ON al = substr(callsign, 1, 3) AND nw.code = cd.code WHERE abs(d - est) <= greatest(400.0, 0.25 * est) AND d <= coalesce({REACH}, 1000000) AND (side <> 'dest' OR last_trk IS NULL OR {OFF.format(b=bearing('last_lat', 'last_lon', 'lat', 'lon'))} <= 45))"""
+
+
+@R.add(f"WITH {SERVED}, {QUESTIONS} SELECT callsign, code, n_routes, row_number() OVER (PARTITION BY callsign ORDER BY n_routes DESC, abs(d - est), code) AS rank FROM ce QUALIFY rank <= 3", "legs", "routes", "airports")
+def gap_candidates_of_all_kinds(spark, sf):
+    served = ag.served_by_airline(routes_of(spark, sf))
+    return cl.gap_candidates(_questions(spark, sf), lens(spark, sf, "airports"), served).select("callsign", "code", "n_routes", "rank")
+
+
+def _passes(test: str, applies: str | None = None) -> str:
+    out = f"CASE WHEN coalesce({test}, false) THEN 'pass' ELSE 'fail' END"
+    return f"CASE WHEN coalesce({applies}, false) THEN {out} ELSE 'skip' END" if applies else out
+
+
+CHECKED = f"""{FULL}, {SERVED}, {QUESTIONS}, ca AS (SELECT callsign, origin, dest, id AS claim_id, valid_from, CASE WHEN id % 3 = 0 THEN valid_from + 400 END AS valid_to FROM claims WHERE status = 'approved'),
+cn AS (SELECT * FROM ca WHERE valid_from <= DATE '2001-12-01' AND (valid_to IS NULL OR valid_to > DATE '2001-12-01') QUALIFY row_number() OVER (PARTITION BY callsign ORDER BY valid_from DESC, claim_id DESC) = 1),
+cc AS (SELECT c.id, c.callsign, c.anonymous_count, gp.* EXCLUDE (callsign), CASE WHEN side = 'dest' THEN c.dest ELSE c.origin END AS claimed, CASE WHEN side = 'dest' THEN c.origin ELSE c.dest END AS given FROM (SELECT id, callsign, origin, dest, anonymous_count, status FROM claims UNION ALL SELECT id, callsign, origin, dest, anonymous_count, status FROM answers) c LEFT JOIN gp USING (callsign) WHERE c.status = 'pending'),
+cx AS (SELECT cc.*, a.lat AS a_lat, a.lon AS a_lon, a.role AS a_role, k.tz AS k_tz, {km('k.lat', 'k.lon', 'a.lat', 'a.lon', 6371.0)} AS dk FROM cc LEFT JOIN ac a ON a.code = claimed LEFT JOIN ac k ON k.code = known),
+mi AS (SELECT callsign, side, known, regexp_extract(callsign, '^([A-Z]{{3}})0*([0-9]+)[A-Z]{{0,2}}$', 1) AS al, try_cast(regexp_extract(callsign, '^([A-Z]{{3}})0*([0-9]+)[A-Z]{{0,2}}$', 2) AS bigint) AS no FROM gp), mj AS (SELECT callsign, side, known, n, concat(al, cast(no + n AS varchar)) AS other FROM mi, (SELECT unnest([-1, 1]) AS n) WHERE no + n > 0),
+mk AS (SELECT mj.callsign, n, CASE WHEN cn.origin IS NOT NULL THEN CASE WHEN mj.side = 'dest' THEN cn.origin ELSE cn.dest END ELSE o.hint END AS answer FROM mj JOIN gp o ON o.callsign = mj.other AND o.side <> mj.side AND o.known = mj.known LEFT JOIN cn ON cn.callsign = mj.other), mm AS (SELECT callsign, arg_min(answer, n) AS mirror_answer FROM mk WHERE answer IS NOT NULL AND answer <> '' GROUP BY ALL),
+lo AS (SELECT callsign, org, dst, count(*) AS n FROM legs WHERE org <> dst AND callsign IS NOT NULL GROUP BY ALL HAVING max(date) >= DATE '2001-12-01' - 90),
+ls AS (SELECT id, sum(CASE WHEN org = CASE WHEN side = 'dest' THEN known ELSE claimed END AND dst = CASE WHEN side = 'dest' THEN claimed ELSE known END THEN n ELSE 0 END) AS seen, sum(CASE WHEN NOT coalesce(org = CASE WHEN side = 'dest' THEN known ELSE claimed END AND dst = CASE WHEN side = 'dest' THEN claimed ELSE known END, true) AND known IN (org, dst) THEN n ELSE 0 END) AS elsewhere FROM cc JOIN lo USING (callsign) GROUP BY id),
+ia AS (SELECT iata, max(icao) AS icao FROM airlines WHERE iata IS NOT NULL GROUP BY ALL), tb AS (SELECT org, dst, dep_min, arr_min, ltrim(regexp_replace(callsign, '[^0-9]', '', 'g'), '0') AS no, coalesce(icao, substr(callsign, 1, 2)) AS own FROM sched LEFT JOIN ia ON iata = substr(callsign, 1, 2)),
+te AS (SELECT no, own, 'dest' AS side, org AS at_, dst AS other, dep_min AS minute FROM tb UNION ALL SELECT no, own, 'origin', dst, org, arr_min FROM tb), tt AS (SELECT g.callsign, other AS answer, min(minute) AS minute FROM gp g JOIN mi ON mi.callsign = g.callsign JOIN te ON te.no = regexp_extract(g.callsign, '^([A-Z]{{3}})0*([0-9]+)[A-Z]{{0,2}}$', 2) AND te.no <> '' AND te.side = g.side AND at_ = g.known WHERE other <> g.known AND NOT list_contains(g.chain, other) AND mi.al = own GROUP BY ALL),
+st AS (SELECT callsign, 'dest' AS side, org AS known, date, dep_ts AS ts FROM legs UNION ALL SELECT callsign, 'origin', dst, date, arr_ts FROM legs), su AS (SELECT * FROM st WHERE ts IS NOT NULL AND known IS NOT NULL AND callsign IS NOT NULL QUALIFY row_number() OVER (PARTITION BY callsign, side, known ORDER BY date DESC, ts DESC) <= 30),
+cl AS (SELECT x.id, count(ts) AS n, count(*) FILTER (abs((cast(extract(hour FROM timezone(k_tz, to_timestamp(ts))) * 60 + extract(minute FROM timezone(k_tz, to_timestamp(ts))) AS int) - minute + 720 + 1440) % 1440 - 720) <= 45) AS near FROM cx x JOIN tt ON tt.callsign = x.callsign AND answer = claimed AND minute IS NOT NULL LEFT JOIN su ON su.callsign = x.callsign AND su.side = x.side AND su.known = x.known WHERE k_tz IS NOT NULL GROUP BY x.id),
+un AS (SELECT callsign, min(code) AS sole FROM (SELECT * FROM ce QUALIFY row_number() OVER (PARTITION BY callsign ORDER BY n_routes DESC, abs(d - est), code) <= 50) WHERE n_routes > 0 GROUP BY callsign HAVING count(*) = 1),
+vo AS (SELECT claim_id, count(DISTINCT key_name) AS keyed, count(DISTINCT handle) AS named FROM endorsements GROUP BY ALL),
+ck AS (SELECT x.id, coalesce(keyed, 0) AS keyed, coalesce(named, 0) AS named, anonymous_count AS anonymous, {_passes('x.side IS NOT NULL')} AS asked, {_passes('given = x.known')} AS known_end, {_passes('claimed <> x.known')} AS not_same, {_passes("a_role = 'commercial'")} AS airport, {_passes('hint = claimed', 'hint IS NOT NULL')} AS observation,
+ {_passes(OFF.format(b=bearing('last_lat', 'last_lon', 'a_lat', 'a_lon')) + ' <= 45', "x.side = 'dest' AND a_lat IS NOT NULL AND last_trk IS NOT NULL")} AS corridor, {_passes('abs(dk - est) <= greatest(400.0, 0.25 * est)', 'dk IS NOT NULL AND est > 0 AND n_rot >= 2')} AS rotation, {_passes(f'dk <= {REACH}', f'dk IS NOT NULL AND ({REACH}) IS NOT NULL')} AS type, {_passes('mirror_answer = claimed', 'mirror_answer IS NOT NULL')} AS mirror,
+ CASE WHEN seen >= 2 THEN 'pass' WHEN elsewhere >= 10 THEN 'fail' ELSE 'skip' END AS log, {_passes('tt.callsign IS NOT NULL', 'x.callsign IN (SELECT callsign FROM tt)')} AS timetable, CASE WHEN n > 0 AND 2 * near >= n THEN 'pass' WHEN n >= 3 AND near = 0 THEN 'fail' ELSE 'skip' END AS clock,
+ {_passes('sole = claimed', 'sole IS NOT NULL')} AS "unique", {_passes('EXISTS (SELECT 1 FROM nw WHERE al = substr(x.callsign, 1, 3) AND nw.code = claimed)', 'substr(x.callsign, 1, 3) IN (SELECT al FROM nw)')} AS served_by
+ FROM cx x LEFT JOIN mm ON mm.callsign = x.callsign LEFT JOIN ls ON ls.id = x.id LEFT JOIN tt ON tt.callsign = x.callsign AND answer = claimed LEFT JOIN cl ON cl.id = x.id LEFT JOIN un ON un.callsign = x.callsign LEFT JOIN vo ON claim_id = x.id),
+cy AS (SELECT id, keyed, named, anonymous, asked, {', '.join(f"""CASE WHEN asked = 'pass' THEN "{c}" END AS "{c}" """ for c in ('known_end', 'not_same', 'airport', 'observation', 'corridor', 'rotation', 'mirror', 'log', 'timetable', 'clock', 'unique', 'served_by', 'type'))} FROM ck),
+cz AS (SELECT *, CASE WHEN (log = 'pass' OR clock = 'pass') AND rotation = 'fail' THEN 'skip' ELSE rotation END AS turned FROM cy), cw AS (SELECT *, [corridor, turned, mirror, observation, "unique", log, timetable, clock] AS soft, [asked, known_end, not_same, airport, type] AS hard FROM cz)"""
+
+
+@R.add(f"WITH {CHECKED} SELECT * EXCLUDE (turned, soft, hard), CASE WHEN list_contains(hard, 'fail') THEN 'contradicted' WHEN list_contains(soft, 'fail') THEN 'unverified' WHEN len(list_filter(soft, lambda x: x = 'pass')) + CASE WHEN keyed >= 2 THEN 1 ELSE 0 END >= 2 THEN 'corroborated' ELSE 'unverified' END AS new_verdict FROM cw", "claims", "answers", "endorsements", "legs", "routes", "airports", "airlines")
 def claim_checks(spark, sf):
-    """All fourteen checks of every pending answer and its verdict; the tests hold each check against hand-made cases."""
-    claims = lens(spark, sf, "claims").withColumns({"verdict": F.lit(None).cast("string"), "reviewed_by": F.lit(None).cast("string")})
+    """All fourteen checks of every pending answer, the voices behind it and its verdict."""
+    return _checked(spark, sf).select("id", "keyed", "named", "anonymous", "asked", "known_end", "not_same", "airport", "observation", "corridor", "rotation", "mirror", "log", "timetable", "clock", "unique", "served_by", "type", "new_verdict")
+
+
+def _checked(spark: SparkSession, sf: str) -> DataFrame:
+    claims = lens(spark, sf, "claims").unionByName(lens(spark, sf, "answers"), allowMissingColumns=True).withColumns({"verdict": F.lit(None).cast("string"), "reviewed_by": F.lit(None).cast("string")})
     timetable = schedule_once(spark, sf).withColumns({"source": F.lit("published"), "flight": F.concat(F.substring("callsign", 1, 2), F.expr("substring(callsign, 4)"))})
-    return cl.check_claims(claims.where("status = 'pending'"), _gaps(spark, sf), lens(spark, sf, "airports"), _catalog(spark, sf), timetable, lens(spark, sf, "airlines"), routes_of(spark, sf), lens(spark, sf, "legs"), lens(spark, sf, "endorsements"), F.lit("2001-12-01").cast("date"))
+    return cl.check_claims(claims.where("status = 'pending'"), checkpointed(_questions(spark, sf)), lens(spark, sf, "airports"), _catalog(spark, sf), timetable, lens(spark, sf, "airlines"), routes_of(spark, sf), lens(spark, sf, "legs"), lens(spark, sf, "endorsements"), F.lit("2001-12-01").cast("date"))
+
+
+@R.add(f"WITH {CHECKED}, v AS (SELECT id, CASE WHEN list_contains(hard, 'fail') THEN 'contradicted' WHEN list_contains(soft, 'fail') THEN 'unverified' WHEN len(list_filter(soft, lambda x: x = 'pass')) + CASE WHEN keyed >= 2 THEN 1 ELSE 0 END >= 2 THEN 'corroborated' ELSE 'unverified' END AS verdict FROM cw) SELECT id, verdict, CASE verdict WHEN 'corroborated' THEN 'approved' WHEN 'contradicted' THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN verdict <> 'unverified' THEN 'verdict' END AS reviewed_by FROM v", "claims", "answers", "endorsements", "legs", "routes", "airports", "airlines")
+def claims_evaluated(spark, sf):
+    """What the verdicts do to the pending answers."""
+    return cl.evaluate_claims(_checked(spark, sf), F.lit("2001-12-01").cast("timestamp")).select("id", "verdict", "status", "reviewed_by")
+
+
+@R.add(f"WITH {CHECKED}, o AS (SELECT callsign, min(answer) AS answer FROM tt WHERE callsign NOT IN (SELECT callsign FROM claims WHERE status <> 'rejected') GROUP BY callsign HAVING count(*) = 1) SELECT callsign, CASE WHEN side = 'dest' THEN known ELSE answer END AS origin, CASE WHEN side = 'dest' THEN answer ELSE known END AS dest FROM o JOIN gp USING (callsign)", "claims", "answers", "endorsements", "legs", "routes", "airports", "airlines")
+def claims_proposed(spark, sf):
+    """Answers that the published timetable alone gives to questions nobody has answered."""
+    timetable = schedule_once(spark, sf).withColumns({"source": F.lit("published"), "flight": F.concat(F.substring("callsign", 1, 2), F.expr("substring(callsign, 4)"))})
+    return cl.propose_from_timetable(_questions(spark, sf), lens(spark, sf, "claims"), timetable, lens(spark, sf, "airlines")).select("callsign", "origin", "dest")
+
+
+def _reviewed(spark: SparkSession, sf: str) -> DataFrame:
+    return lens(spark, sf, "claims").withColumns({"reviewed_by": F.lit(None).cast("string"), "review_note": F.lit(None).cast("string")})
+
+
+@R.add("SELECT id, CASE WHEN status = 'approved' AND id % 2 = 0 THEN 'rejected' ELSE status END AS status, CASE WHEN status = 'approved' THEN CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN 'withdrawn' ELSE 'as before' END END AS closed FROM claims", "claims")
+def claims_withdrawn(spark, sf):
+    """Approvals with even numbers undone: the claims are rejected and their open catalog rows closed."""
+    claims = _reviewed(spark, sf)
+    kept, rows = cl.withdraw(claims, _catalog(spark, sf), claims.where("id % 2 = 0").select("id"), F.lit("2002-01-01").cast("timestamp"))
+    closed = rows.select(F.col("claim_id").alias("id"), F.coalesce("closed_reason", F.lit("as before")).alias("closed"))
+    return kept.select("id", "status").join(closed, "id", "left")
+
+
+@R.add("WITH r AS (SELECT id FROM claims WHERE status = 'rejected' AND reviewed_at < TIMESTAMP '2000-01-01 00:00:00' - INTERVAL 90 DAY) SELECT c.id, count(e.claim_id) AS voices FROM claims c LEFT JOIN endorsements e ON e.claim_id = c.id WHERE c.id NOT IN (SELECT id FROM r) GROUP BY c.id", "claims", "endorsements")
+def claims_purged(spark, sf):
+    """Claims left after the purge, each with how many voices are left behind it."""
+    kept, voices = cl.purge_rejected(lens(spark, sf, "claims"), lens(spark, sf, "endorsements"), F.lit("2000-01-01").cast("timestamp"))
+    n = voices.groupBy(F.col("claim_id").alias("id")).agg(F.count(F.lit(1)).alias("voices"))
+    return kept.select("id").join(n, "id", "left").fillna(0, ["voices"])
 
 
 # --- the sky --------------------------------------------------------------------------------------------------------
