@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aerolith import schemas
 from aerolith.functions import geo
 from aerolith.functions.geo import col
+from aerolith.operators.cut import checkpointed
 
 # Transponder codes and states that signal an emergency, and those that are held back.
 CODES = ("7500", "7600", "7700")
@@ -130,7 +131,7 @@ def thin_to_grid(df: DataFrame, west: float, south: float, east: float, north: f
     span, tall = (east - west) % 360 or 360.0, north - south
     if span > wide_deg:
         return thin_wide(df, west, south, east, north)
-    inside = df.where(geo.in_bbox("lat", "lon", west, south, east, north)).persist()
+    inside = checkpointed(df.where(geo.in_bbox("lat", "lon", west, south, east, north)))
     if inside.count() <= most:
         return inside
     fits = max(0.01, (span * tall / most) ** 0.5)

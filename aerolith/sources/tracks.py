@@ -43,7 +43,7 @@ def parse_track_messages(parts: DataFrame) -> DataFrame:
 def track_path(tracks: DataFrame, fixes: DataFrame) -> DataFrame:
     """Add `path`: entry fix, points, exit fix; an end the table cannot place is left off. fixes(name, lat, lon)."""
     place = lambda c: fixes.select(F.col("name").alias(c), F.struct("lat", "lon").alias(f"_{c}"))
-    j = tracks.join(F.broadcast(place("entry")), "entry", "left").join(F.broadcast(place("exit")), "exit", "left")
+    j = tracks.join(place("entry"), "entry", "left").join(place("exit"), "exit", "left")
     return j.withColumn("path", F.array_compact(F.concat(F.array("_entry"), F.col("points"), F.array("_exit")))).drop("_entry", "_exit")
 
 

@@ -320,3 +320,50 @@ def test_airways_against_a_plain_loop(spark):
     fits = far.where((F.abs("ca.cross_km") <= 20) & (F.col("ca.along_km") >= 0) & (F.col("ca.along_km") < geo.haversine("a.lat", "a.lon", "b.lat", "b.lon")) & (F.abs(geo.angle_diff("track", geo.bearing("lat", "lon", "b.lat", "b.lon"))) <= 20))
     best = {r["hex"]: [(w["lat"], w["lon"]) for w in r["w"]] for r in fits.groupBy("hex").agg(F.min_by("w", F.struct(F.abs("ca.cross_km"), "airway")).alias("w")).collect()}
     assert {k: v for k, v in got.items() if v} == best and 50 < len(best) < 300
+
+
+def played(spark, tmp_path, batches, schema, start):
+    """Every row that a stream over files of one batch each gives, in order; start(stream) is the operator."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "made" / str(k)))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next((tmp_path / "made" / str(k)).glob("*.parquet")).rename(tmp_path / "in" / f"{k:03}.parquet")
+    out = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    keep = lambda df, n: out.extend((n, r) for r in df.collect())
+    q = start(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return [r for _, r in sorted(out, key=lambda x: x[0])]
+
+
+def test_station_sessions_stream_and_batch_agree(spark, tmp_path):
+    at = lambda s: dt.datetime.fromtimestamp(s, dt.timezone.utc)
+    schema = "half_id string, at timestamp, conn_time_s double, msgs_per_s double, positions_total long"
+    polls = []
+    for k in range(12):
+        t, rows = 1000 + 60 * k, [("steady", 60.0 * k + 5, float(k % 5), 10 * k)]
+        if k != 5:
+            rows.append(("again", (60.0 * k + 3) if k < 4 else 60.0 * (k - 4) + 1, float(k), k))
+        if k < 3 or k > 8:
+            rows.append(("away", 60.0 * k + 9 if k < 3 else 60.0 * (k - 9) + 2, 1.0, k))
+        polls.append([(h, at(t), c, m, n) for h, c, m, n in rows])
+    last = {}
+    for r in played(spark, tmp_path, polls, schema, live.station_sessions):
+        last[r["half_id"], r["started"]] = tuple(r)[2:]
+    batch = live.station_sessions_batch(spark.createDataFrame([r for p in polls for r in p if not (r[0] == "again" and r[1] == at(1300))], schema)).collect()
+    away = {(r["half_id"], r["started"]): tuple(r)[2:] for r in batch if r["half_id"] != "again"}
+    assert {k: v for k, v in last.items() if k[0] != "again"} == away and len(away) == 3
+    # a single poll missed closes a session in the table; the stream waits for a second one
+    assert sorted(k for k in last if k[0] == "again") == [("again", 997.0), ("again", 1239.0)] and last["again", 997.0][1] == 1180.0
+
+
+def test_trails_stream_and_batch_agree(spark, tmp_path):
+    schema = "hex string, ts timestamp, lat double, lon double, alt_ft int"
+    at = lambda s: dt.datetime.fromtimestamp(s, dt.timezone.utc)
+    batches = [[("a", at(1000 + 100 * k + j), float(j // 2), float(k), 100 * k) for j in range(4)] + ([("b", at(1000 + 100 * k), 1.0, 1.0, None)] if k < 2 else []) for k in range(8)]
+    last = {r["hex"]: [tuple(p) for p in r["points"]] for r in played(spark, tmp_path, batches, schema, lambda s: live.trace_points(s, keep_s=450, most=10))}
+    rows = live.trace_points_batch(spark.createDataFrame([r for b in batches for r in b], schema), keep_s=450, most=10).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["hex"], []).append((r["t"], r["lat"], r["lon"], r["alt_ft"]))
+    assert last["a"] == sorted(got["a"]) and len(last["a"]) == 10
