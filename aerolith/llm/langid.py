@@ -45,7 +45,7 @@ from aerolith.llm.common import to_bytes
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 PIECE = 4096
 
 
