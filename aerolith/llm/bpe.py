@@ -52,7 +52,7 @@ HASH_BYTES = 16
 CUT_BITS = 9
 MAX_CHUNK = 1 << 14
 LEAST_CHUNK = 128  # shorter ones are not worth sharing
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 32 << 20
 RESULT = "ids array<int>, decoded string"
 
 _READY: dict[tuple[str, str], Codec] = {}
@@ -98,9 +98,13 @@ class Codec:
         self.lengths = np.array([len(p) for p in parts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.encoded = self.reused = self.repaired = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache; a task begins with an empty one, so that a worker holds no more than one task's."""
         self.cache: OrderedDict[bytes, Chunk | None] = OrderedDict()
         self.held = 0
-        self.encoded = self.reused = self.repaired = 0
 
     def plain(self, data: bytes) -> np.ndarray:
         return self.encoder.encode_to_numpy(data.decode(), allowed_special="all") if data else np.zeros(0, np.uint32)
@@ -266,6 +270,7 @@ def token_column(text: Column, path: str, pattern: str, shared: Broadcast | None
 
     def start():
         ready, known = codec(path, pattern), shared.value if shared else {}
+        ready.forget()
 
         def row(data):
             ids = ready.encode(data or b"", known)
@@ -282,6 +287,7 @@ def digest_column(text: Column, path: str, pattern: str, shared: Broadcast | Non
 
     def start():
         ready, known = codec(path, pattern), shared.value if shared else {}
+        ready.forget()
 
         def row(data):
             ids = ready.encode(data or b"", known)
