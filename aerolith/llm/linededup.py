@@ -121,7 +121,7 @@ def repeat_filter(docs: DataFrame, text: str, *, bits: int, min_chars: int) -> b
 
 def bits_for(docs: DataFrame, text: str, most: int) -> int:
     """A power of two: about 16 bits a line, at most `most`."""
-    breaks = F.length(F.col(text)) - F.length(F.translate(F.col(text), "\n", ""))
+    breaks = F.octet_length(F.col(text)) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
     lines = docs.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0
     return min(most, max(LEAST_BITS, 1 << (16 * lines - 1).bit_length() if lines else 0))
 
