@@ -22,7 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated", spans.alias("spans"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +84,14 @@ b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coal
 p AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k : k + least(len(w), 13) - 1], ' ') AS pat FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS k FROM b WHERE len(w) > 0)),
 s AS (SELECT DISTINCT n FROM p),
 h AS (SELECT c.r, c.k, c.n, p.item FROM (SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS pat FROM (SELECT d.r, d.w, s.n, unnest(range(1, len(d.w) - s.n + 2)) AS k FROM d, s WHERE len(d.w) >= s.n)) c JOIN p USING (n, pat)),
-x AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS i FROM h) GROUP BY r),
+u AS (SELECT DISTINCT r, unnest(range(k, k + n)) AS i FROM h), x AS (SELECT r, count(*) AS n_hit FROM u GROUP BY r),
+t AS (SELECT r, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS j FROM (SELECT row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS toks FROM documents)),
+o AS (SELECT r, tok, sum(length(tok)) OVER (PARTITION BY r ORDER BY j) AS stop FROM t WHERE r IN (SELECT r FROM u)), m AS (SELECT r, stop - length(tok) AS start, stop, row_number() OVER (PARTITION BY r ORDER BY stop) AS i FROM o WHERE regexp_matches(tok, '^[^\x00-\x2F\x3A-\x60\x7B-\x7F]')),
+e AS (SELECT r, min(start) AS a, max(stop) AS z FROM (SELECT u.r, start, stop, u.i - row_number() OVER (PARTITION BY u.r ORDER BY u.i) AS run FROM u JOIN m ON m.r = u.r AND m.i = u.i) GROUP BY r, run), f AS (SELECT r, string_agg(cast(a AS BIGINT) || ':' || cast(z AS BIGINT), ',' ORDER BY a) AS spans FROM e GROUP BY r),
 y AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN x USING (r) LEFT JOIN y USING (r)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN x USING (r) LEFT JOIN y USING (r) LEFT JOIN f USING (r)
 """
 
 OP4_SQL = r"""
