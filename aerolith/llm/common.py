@@ -96,6 +96,7 @@ def rows_udf(start: Callable[[], Callable[..., tuple]], ddl: str, *, text_as_byt
             out = [row(*(v.as_py() for v in values)) for values in zip(*columns, strict=True)]
             cells = list(zip(*out, strict=True)) if out else [()] * len(kinds)
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     udf = F.arrow_udf(run, schema)
     udf = udf.asNondeterministic()
