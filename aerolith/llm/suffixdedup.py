@@ -399,6 +399,8 @@ class Edges:
         hit, lead = np.zeros((reach + 1, len(keep)), bool), np.zeros((reach + 1, len(keep)), bool)
         for r in range(int(low.min()), int(high.max()) + 1):
             live = np.flatnonzero((low <= r) & (r <= high))
+            if not len(live):
+                continue
             cls_r[ro] = np.cumsum(rl < length - r)
             key = np.cumsum(near < r)[keep[live]] * (len(keep) + 1) + cls_r[live]
             place = np.lexsort((corpus[live], key))

@@ -314,6 +314,25 @@ def test_secrets_match_brute_force_on_edges(spark):
     assert secrets.scan_secrets(docs(spark, [])).count() == 0
 
 
+def test_substrings_of_one_common_passage(spark):
+    """A passage in every text, amid text of its own and under few ids: blocks of any size and full filters give the same."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(330)
+    texts = [word(rng.randrange(90)) + passage[rng.randrange(3) * 40 :] + word(rng.randrange(90)) for _ in range(700)]
+    ids = [rng.choice([None, 1, 2]) for _ in texts]
+    rows = list(zip(ids, texts, strict=True))
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))
+    want = dict(zip((t for _, t in order), suffixdedup.brute_force([t.encode() for _, t in order], 100), strict=True))
+    for options in ({"block_rows": 60}, {"max_shared": 0, "most_bits": 64}):
+        out = suffixdedup.dedup_substrings(docs(spark, rows), **options)
+        f = F.col(out.columns[-1])
+        got = {r["text"]: tuple(r)[1:] for r in out.select("text", f["n_bytes"], f["n_removed"], f["n_spans"], F.sha2(f["kept"], 256)).collect()}
+        assert got == want
+    assert suffixdedup.dedup_substrings(docs(spark, [])).count() == 0
+
+
 def test_secrets_confirm_structure():
     import base64
 
