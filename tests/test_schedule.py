@@ -113,6 +113,7 @@ def test_queries_score_all_methods_and_keep_weekday_slots(spark, monkeypatch):
     last = DAY + dt.timedelta(days=55)
     assert last.weekday() == 4
     tables = {"legs": spark.createDataFrame(rows, schemas.LEGS), "airports": spark.createDataFrame(AIRPORTS, schemas.AIRPORTS)}
+    tables["shuttles"] = tables["legs"]  # the lens that the weekday queries read
     monkeypatch.setattr(flights, "lens", lambda spark, sf, name: tables[name])
     (full,) = flights.schedule_full(spark, "").collect()
     assert full["dep_min"] == 570 and [(w["key"], w["value"]["dep"]) for w in full["weekdays"]] == [(4, 870)]
