@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-__all__ = ["checkpointed", "dropped", "fresh", "fresh_names", "read", "rows_udf", "shared_folder", "stored", "to_bytes"]
+__all__ = ["checkpointed", "dropped", "fresh", "fresh_names", "give_back", "read", "rows_udf", "shared_folder", "stored", "to_bytes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,12 +54,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, keep: list[str] | None = None, compression: str | None = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it again: as a checkpoint cuts the lineage, but compressed, and by
-    columns. The folder's path is added to `keep`, so that `dropped` can remove it once nothing reads it any more."""
+    columns. The folder's path is added to `keep`, so that `dropped` can remove it once nothing reads it any more.
+    Without a compression it is the session's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     if keep is not None:
         keep.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -75,6 +78,13 @@ def to_bytes(array: pa.Array) -> pa.Array:
     return array.view(pa.large_binary() if pa.types.is_large_string(array.type) else pa.binary())
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system, as its worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def rows_udf(start: Callable[[], Callable[..., tuple]], ddl: str, *, text_as_bytes: bool = False) -> Callable[..., Column]:
     """An Arrow UDF that maps each row to one struct.
 
@@ -96,7 +106,7 @@ def rows_udf(start: Callable[[], Callable[..., tuple]], ddl: str, *, text_as_byt
             out = [row(*(v.as_py() for v in values)) for values in zip(*columns, strict=True)]
             cells = list(zip(*out, strict=True)) if out else [()] * len(kinds)
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=schema.names)
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        give_back()
 
     udf = F.arrow_udf(run, schema)
     udf = udf.asNondeterministic()

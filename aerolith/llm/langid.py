@@ -41,7 +41,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import to_bytes
+from aerolith.llm.common import give_back, to_bytes
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
@@ -268,6 +268,8 @@ def language_column(docs: DataFrame, model: Model, *, text: str = "text") -> Col
                 for out, values in zip((lang, score, rate, readable), found, strict=True):
                     out.extend(values)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()), pa.array(readable, pa.bool_())], names=["lang_pred", "score", "bits_per_byte", "readable"])
+        del model
+        give_back()
 
     udf = F.arrow_udf(run, "lang_pred string, score double, bits_per_byte double, readable boolean").asNondeterministic()
     return udf(F.col(text))

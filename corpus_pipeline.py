@@ -69,6 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     next stage is written."""
     docs, folders = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), folders)
+        docs = stored(stage(spark, docs, sf_dir), folders, compression=None)
         dropped(spark, folders[-2:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
