@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, html_crf, interaction, langid, media, quality, secrets, simhash, suffixdedup
+from aerolith.llm import bpe, divergence, html_crf, interaction, langid, media, quality, secrets, simhash, suffixdedup
 from aerolith.llm.common import read
 from aerolith.llm.decontaminate import decontaminate, items_digest
 from aerolith.llm.linededup import dedup_lines
@@ -76,11 +76,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), langid.language_column(docs, model).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.interaction_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_html_text, op4_line_dedup, op5_bpe, op6_quality, op7_substrings, op8_simhash, op9_media, op10_language, op13_filter_interaction)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_html_text, op4_line_dedup, op5_bpe, op6_quality, op7_substrings, op8_simhash, op9_media, op10_language, op11_divergence, op13_filter_interaction)}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -120,4 +124,4 @@ k AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(
 SELECT doc_id, length(h) // 2 AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_substrings": OP7_SQL, "op13_filter_interaction": interaction.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_substrings": OP7_SQL, "op11_divergence": divergence.SQL, "op13_filter_interaction": interaction.SQL}
