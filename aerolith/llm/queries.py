@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, divergence, html_crf, interaction, langid, media, quality, secrets, simhash, suffixdedup
+from aerolith.llm import bpe, divergence, html_crf, interaction, langid, media, quality, secrets, simhash, suffixdedup, toxicity
 from aerolith.llm.common import read
 from aerolith.llm.decontaminate import decontaminate, items_digest
 from aerolith.llm.linededup import dedup_lines
@@ -80,11 +80,16 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.interaction_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_html_text, op4_line_dedup, op5_bpe, op6_quality, op7_substrings, op8_simhash, op9_media, op10_language, op11_divergence, op13_filter_interaction)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_html_text, op4_line_dedup, op5_bpe, op6_quality, op7_substrings, op8_simhash, op9_media, op10_language, op11_divergence, op12_toxicity, op13_filter_interaction)}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
