@@ -187,7 +187,7 @@ def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     return out + 1
 
 
-def _distances(table: pa.Table) -> pa.Table:
+def _distances(table: pa.Table, block: int, tile: int) -> pa.Table:
     """Sums of absolute differences of shares over one block of slots, for the pairs of two tiles of sources.
 
     A row with slot -1 names a source of the tile: n is the divisor of its shares, width the block's slots."""
@@ -197,9 +197,9 @@ def _distances(table: pa.Table) -> pa.Table:
     sources = np.sort(at[head])
     count, total = np.zeros((len(sources), int(width.max())), np.int64), np.zeros(len(sources), np.int64)
     total[np.searchsorted(sources, at[head])] = n[head]
-    count[np.searchsorted(sources, at[~head]), slot[~head] % BLOCK] = n[~head]
+    count[np.searchsorted(sources, at[~head]), slot[~head] % block] = n[~head]
     p = shares(count, total[:, None])
-    a, b = np.flatnonzero(sources // TILE == tile_a), np.flatnonzero(sources // TILE == tile_b)
+    a, b = np.flatnonzero(sources // tile == tile_a), np.flatnonzero(sources // tile == tile_b)
     i, j, value = [], [], []
     for k in a:
         others = b[b > k] if tile_a == tile_b else b
@@ -210,18 +210,17 @@ def _distances(table: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([lang] * len(flat[0]), pa.string()), "i": flat[0], "j": flat[1], "value": flat[2]})
 
 
-def distances(groups: DataFrame, counts: DataFrame) -> DataFrame:
+def distances(groups: DataFrame, counts: DataFrame, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(lang, i, j, value) for i < j. groups(lang, source, at, total, v): at numbers the sources of a language; counts: see `counts_by_slot`."""
-    tile = F.floor(F.col("at") / TILE).cast("long")
-    last = F.floor((F.col("v") - 1) / BLOCK).cast("long")
+    last = F.floor((F.col("v") - 1) / block).cast("long")
     heads = groups.where("v > 0").select("lang", "at", "v", F.col("total").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
-    heads = heads.select("lang", "block", "at", F.lit(-1).cast("long").alias("slot"), "n", F.least(F.lit(BLOCK).cast("long"), F.col("v") - F.col("block") * BLOCK).alias("width"))
-    cells = counts.join(groups.select("lang", "source", "at"), ["lang", "source"]).select("lang", F.floor(F.col("slot") / BLOCK).cast("long").alias("block"), "at", "slot", "n", F.lit(0).cast("long").alias("width"))
-    tiles = groups.groupBy("lang").agg((F.floor(F.max("at") / TILE).cast("long")).alias("last_tile"))
-    rows = heads.unionByName(cells).withColumn("tile", tile).join(tiles, "lang")
+    heads = heads.select("lang", "block", "at", F.lit(-1).cast("long").alias("slot"), "n", F.least(F.lit(block).cast("long"), F.col("v") - F.col("block") * block).alias("width"))
+    cells = counts.join(groups.select("lang", "source", "at"), ["lang", "source"]).select("lang", F.floor(F.col("slot") / block).cast("long").alias("block"), "at", "slot", "n", F.lit(0).cast("long").alias("width"))
+    tiles = groups.groupBy("lang").agg((F.floor(F.max("at") / tile).cast("long")).alias("last_tile"))
+    rows = heads.unionByName(cells).withColumn("tile", F.floor(F.col("at") / tile).cast("long")).join(tiles, "lang")
     both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last_tile")), lambda t: F.struct(F.least(t, F.col("tile")).alias("a"), F.greatest(t, F.col("tile")).alias("b")))
     dealt = rows.select("lang", "block", "at", "slot", "n", "width", F.explode(both).alias("t")).select("lang", "block", "at", "slot", "n", "width", F.col("t.a").alias("tile_a"), F.col("t.b").alias("tile_b"))
-    parts = dealt.groupBy("lang", "block", "tile_a", "tile_b").applyInArrow(_distances, "lang string, i long, j long, value long")
+    parts = dealt.groupBy("lang", "block", "tile_a", "tile_b").applyInArrow(lambda table: _distances(table, block, tile), "lang string, i long, j long, value long")
     return parts.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
 
 
@@ -230,13 +229,13 @@ def _share(count: Column, total: Column) -> Column:
     return F.call_function("div", scaled, total.cast("decimal(19,0)")) + 1
 
 
-def divergence(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 30, top_terms: int = 50, most_shared: int = 48 << 20) -> DataFrame:
+def divergence(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 30, top_terms: int = 50, per_shard: int = PER_SHARD, most_shared: int = 48 << 20, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """lang, source, part (`pair` or `term`), item, value, rank."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows, folders = docs.select(named(lang).alias("lang"), named(source).alias("source"), named(text).alias("text")), []
     terms = stored(kept_terms(rows, min_docs), folders)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    shards = stored(perfect_hashes(terms).withColumn("start", before), folders)
+    shards = stored(perfect_hashes(terms, per_shard).withColumn("start", before), folders)
     dropped(docs.sparkSession, folders[:1])
     counts = counts_by_slot(rows, shards, most_shared, folders)
 
@@ -247,7 +246,7 @@ def divergence(docs: DataFrame, *, text: str = "text", lang: str = "lang", sourc
     numbered = groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1)
     groups = stored(numbered.select("lang", "source", "at", "n", "v", (F.col("n") + SMOOTH * F.col("v")).alias("total")), folders)
 
-    near = distances(groups, counts)
+    near = distances(groups, counts, block, tile)
     a, b = (groups.select("lang", F.col("source").alias(s), F.col("at").alias(k)) for s, k in (("source", "i"), ("item", "j")))
     pairs = a.join(b, "lang").where("i <> j").withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
     near = near.withColumnsRenamed({"i": "lo", "j": "hi"})
@@ -257,10 +256,11 @@ def divergence(docs: DataFrame, *, text: str = "text", lang: str = "lang", sourc
 
     names = shards.select("lang", "start", F.posexplode("keys").alias("place", "key")).select("lang", (F.col("start") + F.col("place")).alias("slot"), F.col("key").cast("string").alias("item"))
     whole = groups.groupBy("lang").agg(F.sum("n").alias("n"), F.max("v").alias("v")).select("lang", (F.col("n") + SMOOTH * F.col("v")).alias("lang_total"))
-    totals = counts.groupBy("lang", "slot").agg(F.sum("n").alias("lang_n")).join(names, ["lang", "slot"]).join(whole, "lang")
+    totals = counts.groupBy("lang", "slot").agg(F.sum("n").alias("lang_n")).join(names.hint("merge"), ["lang", "slot"])  # all kept terms: no bound, so no broadcast
+    totals = totals.join(whole, "lang")
     totals = totals.select("lang", "slot", "item", _share(F.col("lang_n"), F.col("lang_total")).alias("q"))
     own = counts.join(groups.select("lang", "source", "total"), ["lang", "source"]).select("lang", "source", "slot", _share(F.col("n"), F.col("total")).alias("p"))
-    above = own.join(totals, ["lang", "slot"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), "item", (F.col("p") - F.col("q")).alias("value"))
+    above = own.join(totals.hint("merge"), ["lang", "slot"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), "item", (F.col("p") - F.col("q")).alias("value"))
     best = above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_terms)
     return ranked.unionByName(best)
 

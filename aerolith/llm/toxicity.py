@@ -6,7 +6,7 @@ are composed into one (see `transducer`): negation marks what stands within `SCO
 after a negation; reported speech marks what follows a reporting verb or stands in
 quotes; the target transducer tells aimed insults ("you ...", "... you") from others, and
 takes a verb of harm for a threat only where a target follows. A clause's strength in a
-kind of match is the sum of the weights of its words of that kind. A document's score is
+kind of match is the largest weight of its words of that kind, and a little for further ones. A document's score is
 a logistic function of its strongest clause in each kind, the number of further clauses
 and its length.
 
@@ -56,7 +56,8 @@ SEEDS = "idiot moron scum loser arschloch trottel connard salaud imbécile gilip
 SEED_WEIGHT, HARM_WEIGHT = 2.0, 3.0
 
 SCOPE, NEAR, AFTER, HARM_AFTER = 4, 4, 2, 3  # words that a negation, a target before, a target after and a victim reach
-LEAST_WORDS = 4
+MORE = 0.5  # for the logarithm of a clause's words of one kind
+LEAST_WORDS, OWED = 4, 0.7
 SHORTEST, LONGEST = 3, 12
 KINDS = "panrtux"  # insult: plain, aimed, negated, reported; threat: plain, negated or reported; x: no match
 FEATURES = len(KINDS) - 1 + 2
@@ -202,12 +203,12 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     best, n = [0.0] * (len(KINDS) - 1), 0
     for _, _, found in clauses(raw, lexicon, grammar()):
         n += 1
-        here = defaultdict(float)
+        here = defaultdict(list)
         for kind, w in found:
-            here[kind] += w
-        for kind, w in here.items():
+            here[kind].append(w)
+        for kind, of in here.items():
             k = KINDS.index(kind)
-            best[k] = max(best[k], min(w, 12.0))
+            best[k] = max(best[k], max(of) + MORE * math.log(len(of)))
     return [*best, math.log1p(max(0, n - 1)), math.log1p(raw.count(b" "))]
 
 
@@ -289,7 +290,14 @@ def lexicon(sample: DataFrame, *, least: float = 3.0, strength: float = 1.5, z:
 
     other = {bytes(r["entry"]): r["n"] for r in _counted(sample.where("label = 0"), known).collect()} if found else {}
     shared.destroy()
-    weights = {e: odds(n, other.get(e, 0.0), bad, good, z) for e, n in found.items()}
+    longer: dict[bytes, float] = defaultdict(float)
+    for e, n in found.items():
+        whole = e.removesuffix(b"$")
+        for p in _characters(whole if whole != e else e + b"  "):
+            if p != e:
+                longer[p] = max(longer[p], n)
+    # a beginning that owes its evidence to one longer entry is left to that
+    weights = {e: odds(n, other.get(e, 0.0), bad, good, z) for e, n in found.items() if longer[e] < OWED * n}
     best = sorted(((w, e) for e, w in weights.items() if w >= strength), reverse=True)[:max_entries]
     words = {w.encode(): SEED_WEIGHT for w in SEEDS.split() if weights.get(w.encode() + b"$", SEED_WEIGHT) > 0}
     words |= {e[:-1]: w for w, e in best if e.endswith(b"$")}
