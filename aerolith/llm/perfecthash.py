@@ -19,7 +19,7 @@ import xxhash
 
 PER_BUCKET = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_MIX, _MORE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def lanes(keys: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -38,8 +38,10 @@ def _bucket(first: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 
 
 def _place(second: np.ndarray, by: np.ndarray, size: np.ndarray) -> np.ndarray:
-    mixed = (second + (by.astype(np.uint64) + np.uint64(1)) * _ODD) * _MIX
-    return ((mixed ^ (mixed >> np.uint64(29))) % size.astype(np.uint64)).astype(np.int64)
+    mixed = second + (by.astype(np.uint64) + np.uint64(1)) * _ODD
+    for shift, factor in ((30, _MIX), (27, _MORE)):  # every bit of the sum must reach every bit: else small shards may have no solution
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * factor
+    return ((mixed ^ (mixed >> np.uint64(31))) % size.astype(np.uint64)).astype(np.int64)
 
 
 def buckets_for(size: int) -> int:
