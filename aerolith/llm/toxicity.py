@@ -19,12 +19,12 @@ odds' range. The kinds' weights are fitted on one half of the sample with words
 from the other, by ridge regression toward `PRIOR`.
 
 Bounds, all parameters: each class gives about `sample_bytes` of text and `sample_docs`
-documents, by the hashes of the texts; at most `max_candidates` words and beginnings are
+documents, by the hashes of ids and texts; at most `max_candidates` words and beginnings are
 looked at and `max_entries` kept, those with most evidence. Every text is scored whole.
 
 Defined results: null and empty texts have the features of no words and get a score like
 any other; rows without a label, or with one other than 0 and 1, teach nothing; a
-document labelled twice counts twice; repeated rows each get the same score; without
+document labelled twice with one label counts once, with both for both; repeated rows each get the same score; without
 toxic labels only the fixed words count; an empty table gives no rows; other columns are
 not looked at.
 """
@@ -328,17 +328,30 @@ def features_column(text: Column, words: Lexicon) -> Column:
     return rows_udf(lambda: (lambda lex: lambda t: (features(t, lex),))(Lexicon(*plain)), "x array<double>")(text)["x"]
 
 
-def fit(labelled: DataFrame, *, sample_bytes: int = 96_000_000, sample_docs: int = 60_000, max_candidates: int = 200_000, max_entries: int = 50_000) -> Model:
-    """labelled(label 0/1, text)."""
-    rows = labelled.where(F.col("label").isin(0, 1)).select(F.col("label").cast("int"), F.coalesce("text", F.lit("")).alias("text"))
-    share = {}
-    for r in rows.groupBy("label").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("docs")).collect():
+def sample_of(docs: DataFrame, known: DataFrame, sample_bytes: int, sample_docs: int, folders: list[str]) -> DataFrame:
+    """(label, text, half) of about `sample_bytes` and `sample_docs` rows a class. docs(id, text), known(id, label).
+
+    Texts are not shuffled: rows are chosen by (id, hash), and the chosen ones, whose number is bounded and looked at, are
+    sent to the texts."""
+    hashed = F.xxhash64("id", "text").alias("h")
+    slim = docs.select("id", hashed, F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(known.where(F.col("label").isin(0, 1)).distinct(), "id")
+    slim = stored(slim.select("id", "h", F.col("label").cast("int").alias("label"), "size"), folders)
+    share = {0: 1.0, 1: 1.0}
+    for r in slim.groupBy("label").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("docs")).collect():
         share[r["label"]] = min(1.0, sample_bytes / max(1, r["bytes"]), sample_docs / r["docs"])
-    folders: list[str] = []
     steps = 1_000_000
-    taken = F.pmod(F.xxhash64("text"), F.lit(steps)) < F.when(F.col("label") == 1, math.ceil(steps * share.get(1, 1.0))).otherwise(math.ceil(steps * share.get(0, 1.0)))
-    half = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2))
-    sample = stored(rows.where(taken).withColumn("half", half), folders)
+    most = F.when(F.col("label") == 1, math.ceil(steps * share[1])).otherwise(math.ceil(steps * share[0]))
+    chosen = stored(slim.where(F.pmod(F.xxhash64("h"), F.lit(steps)) < most).select("id", "h", "label").distinct(), folders)
+    if chosen.count() <= 3 * sample_docs:
+        chosen = F.broadcast(chosen)
+    texts = docs.select("id", hashed, "text").join(chosen, ["id", "h"])
+    return stored(texts.select("label", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2)).alias("half")), folders)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample_bytes: int = 96_000_000, sample_docs: int = 60_000, max_candidates: int = 200_000, max_entries: int = 50_000) -> Model:
+    """docs(id, text), labels(id, label)."""
+    folders: list[str] = []
+    sample = sample_of(docs, labels, sample_bytes, sample_docs, folders)
     bounds = {"max_candidates": max_candidates, "max_entries": max_entries}
     tried = lexicon(sample.where("half = 0"), **bounds)
     held = sample.where("half = 1").select("label", features_column(F.col("text"), tried).alias("x")).toArrow()
@@ -346,7 +359,7 @@ def fit(labelled: DataFrame, *, sample_bytes: int = 96_000_000, sample_docs: int
     y = held.column("label").to_numpy().astype(float)
     beta = ridge(np.column_stack([x, np.ones(len(x))]), y, PRIOR)
     model = Model(lexicon(sample, **bounds), beta)
-    dropped(labelled.sparkSession, folders)
+    dropped(docs.sparkSession, folders)
     return model
 
 
@@ -363,8 +376,7 @@ def score_column(text: Column, model: Model) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, *, id: str = "doc_id", text: str = "text", label: str = "toxic", **bounds) -> DataFrame:
     """One row per document: id, held_out, score, predicted. Labels of rows under `held_out` are not used."""
     known = labels.select(F.col(id).alias("id"), F.col(label).alias("label")).where("label is not null")
-    train = docs.where(~held_out).select(F.col(id).alias("id"), F.col(text).alias("text")).join(known, "id").select("label", "text")
-    model = fit(train, **bounds)
+    model = fit(docs.where(~held_out).select(F.col(id).alias("id"), F.col(text).alias("text")), known, **bounds)
     scored = docs.select(F.col(id).alias(id), held_out.alias("held_out"), score_column(F.col(text), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
