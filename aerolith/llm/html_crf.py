@@ -22,7 +22,10 @@ pages of any length are decoded; the bounds are on training only.
 Inside a block character references are decoded and white space becomes one
 space; main blocks are joined in page order by one space. Defined results: null or
 empty html, or no main block: an empty text; a page is parsed in time that grows as its
-length does, whatever its tags; repeated rows each get the same text; an empty table
+length does, whatever its tags; of scripts, styles, drawings, frames and the like nothing is
+text up to their end tags, but one that is closed at once or (scripts and styles aside) has no
+end tag takes nothing else with it, and names that only begin so are other elements; a declaration
+without an end is text; repeated rows each get the same text; an empty table
 gives no rows; only the named columns are looked at.
 """
 
@@ -32,6 +35,7 @@ import html as entities
 import itertools
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,14 +44,8 @@ from pyspark.sql import functions as F
 
 from aerolith.llm.common import rows_udf
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z][^<>]*>",
-    re.S | re.I,
-)
+TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|(<[!?])|{TAG}|</?[a-zA-Z][^<>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|data-main)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 # HTML's elements by how they cut text.
@@ -55,6 +53,10 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME_CLOSES = frozenset("li dt dd tr td th option".split())
+#: Elements without text of the page, to their end tags; the first two run to the end of the page if they have none.
+SCRIPTS = ("script", "style")
+RAW = frozenset((*SCRIPTS, *"noscript template svg iframe object".split()))
+_ENDS = {k: re.compile(rf"</{k}(?=[\s/>])[^<>]*>", re.I) for k in RAW}
 
 #: Words of class and id attributes, by what they say of a block.
 CLUES = {
@@ -132,6 +134,30 @@ class _Open:
         return Block(text, *self.state, links, int(self.labels > 0), len(self.stack) <= self.tags["html"] + self.tags["body"])
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, tuple[str, str, str] | None]]:
+    """Start and end of what is no text, with (slash, name, attributes) of tags; comments, declarations and whole raw
+    elements have none. What is not there after some place is not looked for again, so time grows as the page does."""
+    at, missing = 0, set()
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        if m[1]:  # a declaration; without an end it is text
+            end = -1 if ">" in missing else page.find(">", at)
+            if end < 0:
+                missing.add(">")
+                continue
+            at = end + 1
+        name = (m[3] or "").lower()
+        if name in RAW and not m[2] and not m[4].endswith("/"):
+            end = None if name in missing else _ENDS[name].search(page, at)
+            if end:
+                at = end.end()
+            else:
+                missing.add(name)
+                if name in SCRIPTS:
+                    at = len(page)
+        yield m.start(), at, (m[2], name, m[4]) if name and name not in RAW else None
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, in time that grows as the page does."""
     out: list[Block] = []
@@ -159,22 +185,21 @@ def blocks_of(page: str | None) -> list[Block]:
 
     at = 0
     page = page or ""
-    for m in TOKEN.finditer(page):
-        said(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    for start, end, found in _tags(page):
+        said(page[at:start])
+        at = end
+        if found is None:
             continue
-        tag = tag.lower()
+        slash, tag, attributes = found
         if tag in INLINE:
             if tag == "a":
-                anchors = 0 if m[2] else 1
+                anchors = 0 if slash else 1
             elif tag == "br":
                 parts.append(" ")
             if tag != "label" or not opened.stack:
                 continue
         flush()
-        if m[2]:
+        if slash:
             if opened.pop_to(tag):
                 anchors = 0
             continue
@@ -185,13 +210,13 @@ def blocks_of(page: str | None) -> list[Block]:
         elif tag in SAME_CLOSES and opened.stack and opened.stack[-1][0] == tag:
             opened.pop()
         clues, label = frozenset(), 0
-        if m[4] and "=" in m[4]:
-            for a in ATTRIBUTE.finditer(m[4]):
+        if "=" in attributes:
+            for a in ATTRIBUTE.finditer(attributes):
                 value = a[2].strip("\"'").lower().replace("-", " ").replace("_", " ")
                 label |= a[1] == "data-main"
                 clues |= {k for k, p in _CLUES.items() if p.search(value)}
         opened.push(tag, clues, int(label))
-        if m[4] and m[4].rstrip().endswith("/"):
+        if attributes.rstrip().endswith("/"):
             opened.pop()
     said(page[at:])
     flush()

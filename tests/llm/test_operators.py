@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips, held-out accuracy and edge cases."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -413,7 +414,7 @@ def test_html_training_sample(spark):
 def test_html_parser_takes_linear_time():
     import time
 
-    for page in ("<div>x" * 150_000, "<section>x</p></b1>" * 50_000, "".join(f"<x{i}>y" for i in range(100_000)), '<p class="ad">x' * 60_000, "</div>" * 150_000, "<a '\"" * 100_000, "<!--" * 100_000, "<script>" * 100_000):
+    for page in ("<div>x" * 150_000, "<section>x</p></b1>" * 50_000, "".join(f"<x{i}>y" for i in range(100_000)), '<p class="ad">x' * 60_000, "</div>" * 150_000, "<a '\"" * 100_000, "<!--" * 100_000, "<script>" * 100_000, "<!x" * 350_000, "<?x" * 350_000, "<svg>" * 200_000, "<iframe>x</svg>" * 70_000, "<style>a</style>" * 60_000, "<noscript/>x" * 90_000):
         start = time.process_time()
         html_crf.blocks_of(page)
         assert time.process_time() - start < 4
@@ -421,6 +422,51 @@ def test_html_parser_takes_linear_time():
     assert [(x.text, sorted(x.tags), sorted(x.clues), x.bare) for x in b] == [("bare", [], [], True), ("in", ["div"], ["ad"], False), ("one", ["div"], ["ad"], False), ("out", [], [], True), ("a", ["nav", "p"], [], False), ("b", ["nav", "p"], [], False), ("end", [], [], True)]
 
 
+@pytest.mark.parametrize("element", ["<svg/>", '<svg class="i" viewBox="0 0 1 1"/>', "<iframe src=x>", "<svg-icon></svg-icon>", "<object-view></object-view>", "<template-x></template-x>", "<object>", "<noscript>", "<template>", "<svg>", "<!-->", "<!--->", "<!-- a --!>", "<!doctype html>", "<?php a ?>", "<script/>", "<script>a<b</script >", "<STYLE>p{}</style>", "<svg><path/></svg>", "<iframe></iframe>", "</svg>", "<br/>"])
+def test_html_elements_take_nothing_else_with_them(element):
+    page = f"<body><p>before</p>{element}<p>after one</p><p>after two</p></body>"
+    assert [b.text for b in html_crf.blocks_of(page)] == ["before", "after one", "after two"]
+
+
+def test_html_raw_elements_and_declarations():
+    text = lambda page: [b.text for b in html_crf.blocks_of(page)]
+    assert text("a<script>b</scripts>c</script>d") == ["ad"] and text("<p>a<script>var b = '<p>c'") == ["a"]
+    assert text("<p>a <! b") == ["a <! b"] and text("<p>a<!b c>d") == ["ad"] and text("<svg-icon>x</svg-icon>y") == ["x", "y"]
+
+
+def test_html_viterbi_equals_the_best_of_all_labellings():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 8):
+        for _ in range(15):
+            model = html_crf.Crf(rng.normal(size=len(html_crf.FEATURES)), rng.normal(size=(2, 2)))
+            x = (rng.random((n, len(html_crf.FEATURES))) < 0.2).astype(float)
+            score = lambda y: sum(x[i] @ model.weights * y[i] for i in range(n)) + sum(model.transitions[y[i], y[i + 1]] for i in range(n - 1))  # noqa: E731, B023
+            best = max(itertools.product((0, 1), repeat=n), key=score)
+            assert score(model.decode(x)) == pytest.approx(score(best))
+
+
+def test_secrets_are_found_in_what_is_decoded():
+    import base64
+    import json
+
+    enc = lambda b: base64.b64encode(b).decode()
+    url = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    seed = bytes(range(32))
+    der = bytes.fromhex("302e020100300506032b657004220420") + seed
+    pem = "-----BEGIN PRIVATE KEY-----\n" + enc(der) + "\n-----END PRIVATE KEY-----\n"
+    jwt = f"{url({'alg': 'HS256', 'typ': 'JWT'})}.{url({'sub': 'user', 'n': 1})}.{'s' * 43}"
+    for inner in (pem, jwt, "password=hunter2secret", enc(b"password=hunter2secret")):
+        once, twice = enc(inner.encode()), enc(enc(inner.encode()).encode())
+        for t in (once, twice, once.encode().hex()):
+            found = [s for s in secrets.secret_spans(f"key: {t} end") if s[0] == "encoded"]
+            assert found == [("encoded", 5, 5 + len(t))], (inner, t, found)
+    assert not [s for s in secrets.secret_spans(enc(enc(b"nothing of note in here at all").encode())) if s[0] != "hex"]
+    deep = b"password=hunter2secret"
+    for _ in range(secrets.DEPTH + 1):
+        deep = base64.b64encode(deep)
+    assert not [s for s in secrets.secret_spans(deep.decode()) if s[0] == "encoded"]  # deeper than is looked
+
+
 def test_html_on_tables_without_marks_and_on_edges(spark):
     rng = random.Random(12)
     prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
