@@ -14,7 +14,8 @@ together:
   string `alg` and the second to a JSON object;
 * `der`: a base64 or hex run that decodes to a private key;
 * `encoded`: a base64 or hex run that decodes to UTF-8 text, printable but for white
-  space, in which a base pattern finds an assignment or an access key.
+  space, in which a base pattern finds an assignment or an access key, or in which
+  a structural kind is found by the same rules, `DEPTH` encodings deep in all.
 
 A private key is DER, all of whose nested lengths fit exactly, of one of the shapes of
 `private_shape` (RSA, DSA, elliptic curve, or the general wrapping with an algorithm,
@@ -58,6 +59,7 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+(?:\r?\
 RUN = re.compile(r"(?:(?<=\n)|(?<=\\n)|^)[ \t>]*+([A-Za-z0-9+/_-]++={0,2})")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+DEPTH = 3  # encodings in each other that are undone
 HEX_ANY = re.compile(r"[0-9A-Fa-f]{32,}")
 SPAN = "array<struct<kind:string,start:long,end:long>>"
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -270,14 +272,17 @@ def _json_object(part: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def _hides_secret(data: bytes | None) -> bool:
+def _hides_secret(data: bytes | None, depth: int) -> bool:
+    """Whether data is text that holds a secret: an assignment or access key, a key file, a token, or something encoded once more."""
     if not data or len(data) < 12:
         return False
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return False
-    return "".join(text.split()).isprintable() and any(k != "hex" for k, _, _ in base_spans(text))
+    if not "".join(text.split()).isprintable():
+        return False
+    return any(k != "hex" for k, _, _ in base_spans(text)) or (depth > 1 and bool(structural_spans(text, depth - 1)))
 
 
 def _encrypted_fits(head: str, data: bytes | None) -> bool:
@@ -293,8 +298,8 @@ def from_hex(run: str) -> bytes | None:
         return None
 
 
-def _kind(data: bytes | None) -> str | None:
-    return "der" if key_fits(data) else "encoded" if _hides_secret(data) else None
+def _kind(data: bytes | None, depth: int) -> str | None:
+    return "der" if key_fits(data) else "encoded" if _hides_secret(data, depth) else None
 
 
 def wrapped_runs(text: str) -> list[list[tuple[int, int]]]:
@@ -330,7 +335,8 @@ class _Covered:
         return k > 0 and self.ends[k - 1] > a
 
 
-def structural_spans(text: str) -> list[tuple[str, int, int]]:
+def structural_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
+    """Spans that decoding confirms; what is decoded is searched in the same way, `depth` encodings deep in all."""
     out = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
@@ -349,7 +355,7 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
             a, b = m.span()
             if covered.meets(a, b):
                 continue
-            if kind := _kind(decode(m[0])):
+            if kind := _kind(decode(m[0]), depth):
                 alone.append((kind, a, b))
     whole: list[tuple[str, int, int]] = []
     single = {(a, b) for _, a, b in alone}
@@ -358,7 +364,7 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
         if covered.meets(a, b) or (whole and whole[-1][1] <= a and b <= whole[-1][2]) or all(s in single for s in lines):
             continue
         run = "".join(text[x:y] for x, y in lines)
-        if kind := _kind(from_base64(run)) or _kind(from_hex(run)):
+        if kind := _kind(from_base64(run), depth) or _kind(from_hex(run), depth):
             whole.append((kind, a, b))
     return out + alone + whole
 
