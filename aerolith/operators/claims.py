@@ -10,7 +10,7 @@ from aerolith.functions import text as tx
 from aerolith.functions import timeutil as tu
 from aerolith.operators.aggregates import airport_codes, served_by_airline, voices
 from aerolith.operators.registry import catalog_current
-from aerolith.operators.windows import top_k
+from aerolith.operators.windows import top_k, ranked_overall
 
 # Fixed values of the checks.
 CORRIDOR_DEG, ROTATION_TOLERANCE, ROTATION_FLOOR_KM, MIN_ROTATIONS = 45, 0.25, 400, 2
@@ -195,8 +195,9 @@ def file_claims(claims: DataFrame, endorsements: DataFrame, submissions: DataFra
     placed = new.join(open_, "callsign", "left").withColumn("place", F.coalesce("n_open", F.lit(0)) + F.row_number().over(order))
     filed, refused = placed.where(F.col("place") <= MAX_OPEN), placed.where(F.col("place") > MAX_OPEN)
     top = claims.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    # the submission's number makes the claim's number, so that ids need no global sort
-    added = filed.join(F.broadcast(top)).select((F.col("_top") + F.col("sub")).alias("id"), *key, F.lit("pending").alias("status"), F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("anonymous_count"), now.alias("first_at"), now.alias("last_at"))
+    # new claims are counted on from the largest number in the order of their submissions, whatever those are numbered by
+    numbered = ranked_overall(filed.select("sub", *key), [F.col("sub"), *map(F.col, key)], "_k")
+    added = numbered.join(F.broadcast(top)).select((F.col("_top") + F.col("_k")).alias("id"), *key, F.lit("pending").alias("status"), F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("anonymous_count"), now.alias("first_at"), now.alias("last_at"))
     all_ = claims.unionByName(added, allowMissingColumns=True)
     contested = refused.select("callsign").distinct().withColumn("_contested", F.lit(True))
     voice = submissions.withColumn("_anon", F.col("handle").isNull() & F.col("note").isNull() & F.col("key_name").isNull())
@@ -242,7 +243,7 @@ def propose_from_timetable(gaps: DataFrame, claims: DataFrame, schedule: DataFra
     j = told.join(free.select("callsign", "side", "known"), "callsign")
     to_dest = F.col("side") == "dest"
     none = F.lit(None).cast("string")
-    return j.select(F.abs(F.xxhash64("callsign")).alias("id"), "callsign", F.when(to_dest, F.col("known")).otherwise(F.col("answer")).alias("origin"), F.when(to_dest, F.col("answer")).otherwise(F.col("known")).alias("dest"), none.alias("handle"), F.lit("the airport's published timetable").alias("note"), F.lit(TIMETABLE_KEY).alias("key_name"), none.alias("valid_from"))
+    return j.select(F.shiftrightunsigned(F.xxhash64("callsign"), 1).alias("id"), "callsign", F.when(to_dest, F.col("known")).otherwise(F.col("answer")).alias("origin"), F.when(to_dest, F.col("answer")).otherwise(F.col("known")).alias("dest"), none.alias("handle"), F.lit("the airport's published timetable").alias("note"), F.lit(TIMETABLE_KEY).alias("key_name"), none.alias("valid_from"))
 
 
 def close_rows(catalog: DataFrame, ids: DataFrame, today: Column, reason: str) -> DataFrame:

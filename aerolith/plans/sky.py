@@ -231,6 +231,21 @@ def _reviewed(spark: SparkSession, sf: str) -> DataFrame:
     return lens(spark, sf, "claims").withColumns({"reviewed_by": F.lit(None).cast("string"), "review_note": F.lit(None).cast("string")})
 
 
+@R.add("""WITH s AS (SELECT callsign, origin, dest, min(id) AS sub, count(*) AS n FROM claims WHERE status <> 'rejected' GROUP BY ALL), old AS (SELECT * FROM claims WHERE status = 'rejected'),
+n AS (SELECT *, row_number() OVER (PARTITION BY callsign ORDER BY sub) AS place FROM s WHERE (callsign, origin, dest) NOT IN (SELECT callsign, origin, dest FROM old)), b AS (SELECT DISTINCT callsign FROM n WHERE place > 3),
+f AS (SELECT callsign, origin, dest, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY sub) AS id, 'pending' AS status, NULL AS verdict, 0 AS anonymous_count FROM n WHERE place <= 3 UNION ALL SELECT callsign, origin, dest, id, status, NULL, anonymous_count FROM old)
+SELECT id, f.callsign, f.origin, f.dest, status, CASE WHEN status = 'pending' AND b.callsign IS NOT NULL THEN 'contested' END AS verdict, cast(anonymous_count + coalesce(s.n, 0) AS INT) AS anonymous_count
+FROM f LEFT JOIN s USING (callsign, origin, dest) LEFT JOIN b ON b.callsign = f.callsign""", "claims")
+def claims_filed(spark, sf):
+    """The open answers filed, without names, on a book that holds only the rejected ones: known answers gain voices, three new ones a question are taken."""
+    claims = lens(spark, sf, "claims").withColumn("verdict", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    new = claims.where("status <> 'rejected'").select("id", "callsign", "origin", "dest", none.alias("handle"), none.alias("note"), none.alias("key_name"), none.alias("valid_from"))
+    voices = lens(spark, sf, "endorsements").limit(0)
+    book, _ = cl.file_claims(claims.where("status = 'rejected'"), voices, new, F.lit("2002-01-01").cast("timestamp"))
+    return book.select("id", "callsign", "origin", "dest", "status", "verdict", "anonymous_count")
+
+
 @R.add("SELECT id, CASE WHEN status = 'approved' AND id % 2 = 0 THEN 'rejected' ELSE status END AS status, CASE WHEN status = 'approved' THEN CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN 'withdrawn' ELSE 'as before' END END AS closed FROM claims", "claims")
 def claims_withdrawn(spark, sf):
     """Approvals with even numbers undone: the claims are rejected and their open catalog rows closed."""

@@ -104,6 +104,18 @@ def test_filing_caps_open_answers(spark):
     assert rows["BBB"]["anonymous_count"] == 1 and [r["claim_id"] for r in e.collect()] == [1]
 
 
+def test_filing_the_timetables_answers_again_and_again(spark):
+    now = F.lit("2026-01-01").cast("timestamp")
+    claims, e = spark.createDataFrame([], schemas.CLAIMS), spark.createDataFrame([], schemas.ENDORSEMENTS)
+    row = "id long, callsign string, origin string, dest string, handle string, note string, key_name string, valid_from string"
+    big = 2**63 - 1  # as a hash may be
+    for k in range(3):
+        subs = spark.createDataFrame([(big - 10 * k - i, f"SIA{i}", "SIN", f"D{k}", None, "timetable", "timetable", None) for i in range(3)], row)
+        claims, e = cl.file_claims(claims, e, subs, now)
+    assert sorted(r["id"] for r in claims.collect()) == list(range(1, 10))
+    assert sorted(r["claim_id"] for r in e.collect()) == list(range(1, 10))
+
+
 def test_approval_supersedes(spark):
     now = F.lit("2026-01-05").cast("timestamp")
     cat = spark.createDataFrame([("SIA1", "SIN", "OLD", None, dt.date(2025, 1, 1), None, None, "community", 1, None)], schemas.CATALOG)
