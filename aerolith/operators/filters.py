@@ -126,23 +126,63 @@ def thin_wide(df: DataFrame, west: float, south: float, east: float, north: floa
     return first_per_cell(df.where(geo.in_bbox("lat", "lon", west, south, east, north)), west, south, max(span, (north - south) * 1.5) / cells)
 
 
+STEPS = 8
+
+
+def _grid_sides(fits: float) -> list[float]:
+    """The cell sides that STEPS bisections between `fits` and a sixteenth of it can end on, the largest first."""
+    n = 1 << STEPS
+    return [fits * 16 ** (-k / n) for k in range(n)]
+
+
+def _occupied(west: float, south: float, sides: list[float], most: int):
+    """Per partition: for each side the occupied cells, `most` + 1 of them at most (so many do not fit anyway)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        cells = [np.zeros(0, np.int64)] * len(sides)
+        for batch in batches:
+            lon, lat = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1))
+            for k, side in enumerate(sides):
+                if len(cells[k]) <= most:
+                    x, y = np.floor(np.mod(lon - west, 360.0) / side).astype(np.int64), np.floor((lat - south) / side).astype(np.int64)
+                    cells[k] = np.unique(np.concatenate([cells[k], x << 32 | y & 0xFFFFFFFF]))[: most + 1]
+        for k, own in enumerate(cells):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own)], names=["k", "cell"])
+
+    return run
+
+
+def grid_side(df: DataFrame, west: float, south: float, east: float, north: float, most: int) -> DataFrame:
+    """One row (side, n): the cell side that bisection finds for the rows of the box, and how many rows there are up to
+    `most` + 1. All sides are counted in one pass over the rows; steps of the bisection are then looked up."""
+    span, tall = (east - west) % 360 or 360.0, north - south
+    sides = _grid_sides(max(0.01, (span * tall / most) ** 0.5))
+    found = df.select(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).mapInArrow(_occupied(west, south, sides, most), "k int, cell long")
+    counts = found.groupBy("k").agg(F.countDistinct("cell").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("n"))
+    at = F.lit(0)
+    for step in range(STEPS):  # each step goes on to finer cells if those still fit
+        ahead = at + (1 << (STEPS - 1 - step))
+        at = at + F.when(F.coalesce(F.try_element_at("n", ahead), F.lit(0)) <= most, 1 << (STEPS - 1 - step)).otherwise(0)
+        counts = counts.withColumn("at", at)
+        at = F.col("at")
+    return counts.select(F.get(F.array(*map(F.lit, sides)), F.col("at")).alias("side"))
+
+
 def thin_to_grid(df: DataFrame, west: float, south: float, east: float, north: float, most: int = 1000, wide_deg: float = 60) -> DataFrame:
     """All aircraft of a box if they fit; a fixed grid for a wide box; else the finest grid whose occupied cells fit, by eight bisections."""
-    span, tall = (east - west) % 360 or 360.0, north - south
+    span = (east - west) % 360 or 360.0
     if span > wide_deg:
         return thin_wide(df, west, south, east, north)
-    inside = checkpointed(df.where(geo.in_bbox("lat", "lon", west, south, east, north)))
-    if inside.count() <= most:
-        return inside
-    fits = max(0.01, (span * tall / most) ** 0.5)
-    over = fits / 16
-    for _ in range(8):
-        middle = (fits * over) ** 0.5
-        if inside.select(_cells(west, south, middle).alias("c")).distinct().count() <= most:
-            fits = middle
-        else:
-            over = middle
-    return first_per_cell(inside, west, south, fits)
+    inside = df.where(geo.in_bbox("lat", "lon", west, south, east, north))
+    number = inside.agg(F.count(F.lit(1)).alias("_n"))
+    one = grid_side(inside, west, south, east, north, most).crossJoin(number)  # one row with one row
+    every = inside.join(F.broadcast(one))
+    kept = every.where(F.col("_n") <= most).select(*df.columns)
+    dense = every.where(F.col("_n") > most)
+    best = dense.groupBy(_cells(west, south, F.col("side")).alias("_c")).agg(F.min_by(F.struct(*df.columns), "hex").alias("_r")).select("_r.*")
+    return kept.unionByName(best)
 
 
 def query_shape(queries: DataFrame, q: str = "q") -> DataFrame:

@@ -357,3 +357,21 @@ def radius(spark, sf):
 def grid_thin(spark, sf):
     out = fl.thin_wide(lens(spark, sf, "positions"), -100.0, -50.0, 50.0, 50.0)
     return out.select("hex", F.floor(F.pmod(F.col("lon") + 100, F.lit(360.0)) / 2.5).cast("double").alias("x"), F.floor((F.col("lat") + 50) / 2.5).cast("double").alias("y"))
+
+
+_BISECTED = ", ".join(["b0 AS (SELECT 0 AS g0)", *(f"b{i + 1} AS (SELECT g0 + CASE WHEN coalesce(n, 0) <= 300 THEN {128 >> i} ELSE 0 END AS g0 FROM b{i} LEFT JOIN c ON k = g0 + {128 >> i})" for i in range(8))])
+
+
+@R.add(f"""WITH p AS (SELECT hex, lat, lon FROM positions WHERE lat BETWEEN -30 AND 10 AND lon BETWEEN -40 AND 10), s AS (SELECT cast(k AS int) AS k, sqrt(50.0 * 40.0 / 300) * pow(16.0, -k / 256.0) AS side FROM range(256) t(k)),
+g AS (SELECT k, hex, floor((((lon + 40) % 360 + 360) % 360) / side) AS x, floor((lat + 30) / side) AS y FROM p, s), c AS (SELECT k, count(DISTINCT (x, y)) AS n FROM g GROUP BY k),
+{_BISECTED}
+SELECT min(hex) AS hex, count(*) AS heard FROM g WHERE k = (SELECT g0 FROM b8) AND (SELECT count(*) FROM p) > 300 GROUP BY x, y UNION ALL SELECT hex, 1 FROM p WHERE (SELECT count(*) FROM p) <= 300""", "positions")
+def grid_dense(spark, sf):
+    """A dense box on the finest grid of which at most 300 cells are occupied, with the reports that each aircraft stands for."""
+    p, box = lens(spark, sf, "positions").select("hex", "lat", "lon"), (-40.0, -30.0, 10.0, 10.0)
+    shown = fl.thin_to_grid(p, *box, most=300)
+    inside = p.where(geo.in_bbox("lat", "lon", *box))
+    side = fl.grid_side(inside, *box, most=300).crossJoin(inside.agg(F.count(F.lit(1)).alias("n")))  # one row with one row
+    cell = lambda df: df.join(F.broadcast(side)).withColumns({"x": F.floor((F.col("lon") + 40) / F.col("side")), "y": F.floor((F.col("lat") + 30) / F.col("side"))})
+    heard = cell(inside).groupBy("x", "y").agg(F.count(F.lit(1)).alias("heard"))
+    return cell(shown).join(heard, ["x", "y"]).select("hex", F.when(F.col("n") > 300, F.col("heard")).otherwise(1).alias("heard"))

@@ -1,12 +1,7 @@
-"""Ocean tracks, airways, fixes and the binary heatmap."""
+"""Ocean tracks, airways and fixes."""
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,44 +97,3 @@ def read_airways(spark: SparkSession, path: str) -> DataFrame:
     """(airway, points) of {airway: [[name, lat, lon], ...]}."""
     doc = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<array<string>>>")).alias("airway", "p"))
     return doc.select("airway", F.transform("p", lambda p: F.struct(p[0].alias("name"), p[1].cast("double").alias("lat"), p[2].cast("double").alias("lon"))).alias("points"))
-
-
-MAGIC = 0x0E7F7C9D
-HEAT = "path string, slice int, now double, kind string, hex string, lat double, lon double, alt_ft int, on_ground boolean, gs double, callsign string, squawk string"
-
-
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """16-byte little-endian records: a slice header, positions, and callsign records."""
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-            raw = np.frombuffer(content, "<i4", count=len(content) // 16 * 4).reshape(-1, 4)
-            head = raw[:, 0] == MAGIC
-            slice_ = np.cumsum(head) - 1
-            high, low = (raw[:, i].astype(np.int64) & 0xFFFFFFFF for i in (1, 2))
-            now = np.where(head, ((high << 32) + low) / 1000, np.nan)
-            now = pd.Series(now).ffill().to_numpy()
-            info = ~head & (raw[:, 1] >= 1 << 30)  # no latitude is that large
-            body = ~head & (slice_ >= 0)
-            hex_ = [f"{v & 0xFFFFFF:06x}" for v in raw[:, 0]]
-            alt = (raw[:, 3] & 0xFFFF).astype(np.uint16).view(np.int16)
-            speed = (raw[:, 3].astype(np.int64) >> 16 & 0xFFFF).astype(np.uint16).view(np.int16)
-            sign = raw[:, 2:4].copy().view("S8").ravel()
-            out = pd.DataFrame({"path": path, "slice": slice_, "now": now, "kind": np.where(info, "info", "position"), "hex": hex_, "lat": np.where(info, np.nan, raw[:, 1] / 1e6), "lon": np.where(info, np.nan, raw[:, 2] / 1e6)})
-            ground = (alt == -123) & ~info
-            out["alt_ft"] = pd.Series(np.where(info | ground, 0, alt.astype(int) * 25)).where(~(info | ground)).astype("Int32")
-            out["on_ground"] = ground
-            out["gs"] = np.where(info | (speed == -1), np.nan, speed / 10)
-            out["callsign"] = [s.decode("ascii", "replace").strip("\0 ") if i else None for s, i in zip(sign, info, strict=True)]
-            out["squawk"] = [f"{v & 0xFFFF:04d}" if i else None for v, i in zip(raw[:, 1], info, strict=True)]
-            yield out[body]
-
-
-def decode_heatmap(spark: SparkSession, path: str) -> DataFrame:
-    """Records of heatmap files; ground has no altitude, unknown speed is null, callsign records carry no position."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_decode, HEAT)
-
-
-def day_hexes(heat: DataFrame) -> DataFrame:
-    """Distinct 24-bit addresses."""
-    return heat.select("hex").distinct()
