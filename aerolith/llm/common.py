@@ -18,6 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 __all__ = ["checkpointed", "dropped", "fresh", "fresh_names", "give_back", "read", "rows_udf", "shared_folder", "stored", "to_bytes"]
 
 
+PART_BYTES = 1 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -90,22 +93,33 @@ def rows_udf(start: Callable[[], Callable[..., tuple]], ddl: str, *, text_as_byt
 
     `start()` runs once a task and returns the row function, so models are
     prepared once. Rows are taken one at a time from the Arrow batch, so only
-    one text is held as a Python object. With `text_as_bytes` string columns
+    one text is held as a Python object, and results are handed on for about every
+    `PART_BYTES` of text, not a batch at a time. With `text_as_bytes` string columns
     arrive as UTF-8 bytes. The function counts as non-deterministic for the
     optimizer only so that it is never evaluated twice.
     """
     schema = T.StructType.fromDDL(ddl)
     kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
+    def struct(out: list[tuple]) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
+
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         row = start()
         for columns in batches:
             columns = (columns,) if isinstance(columns, pa.Array) else columns
             if text_as_bytes:
                 columns = tuple(to_bytes(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c for c in columns)
-            out = [row(*(v.as_py() for v in values)) for values in zip(*columns, strict=True)]
-            cells = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=schema.names)
+            out, held = [], 0
+            for cells in zip(*columns, strict=True):
+                values = [v.as_py() for v in cells]
+                out.append(row(*values))
+                held += sum(len(v) for v in values if isinstance(v, str | bytes)) + 64
+                if held > PART_BYTES:
+                    yield struct(out)
+                    out, held = [], 0
+            if out:
+                yield struct(out)
         give_back()
 
     udf = F.arrow_udf(run, schema)
