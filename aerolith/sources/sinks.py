@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions import geo
+from aerolith.sources import commits
 
 
 def write_wholesale(df: DataFrame, path: str, by: str = "source") -> None:
@@ -31,30 +31,15 @@ def guarded_overwrite(df: DataFrame, existing: DataFrame, path: str, floor: int
     df.write.mode("overwrite").parquet(path)
 
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at, to = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(to):
-        raise FileExistsError(target)
-    if not fs.rename(at, to):
-        raise OSError(f"{source} could not be renamed to {target}")
-
-
 def export_public(spark: SparkSession, tables: dict[str, DataFrame], out: str, *, cuts: dict[str, Callable[[DataFrame], DataFrame]] | None = None, blank: dict[str, list[str]] | None = None) -> dict:
-    """Copy tables to a new folder: public cuts, blanked columns, row counts read back and compared, then published by one rename."""
-    manifest = {"tables": {}}
+    """Publish tables together as the next version of a store: public cuts, blanked columns, row counts read back and compared."""
+    public = {}
     for name, df in tables.items():
         cut = (cuts or {}).get(name, lambda d: d)(df)
-        cut = cut.withColumns({c: F.lit(None).cast(cut.schema[c].dataType) for c in (blank or {}).get(name, [])})
-        cut.write.parquet(f"{out}.part/{name}")
-        written, wanted = spark.read.parquet(f"{out}.part/{name}").count(), cut.count()
-        if written != wanted:
-            raise ValueError(f"{name}: {written} rows written, {wanted} expected")
-        manifest["tables"][name] = {"rows": written, "columns": cut.columns}
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{out}.part/manifest")
-    _rename(spark, f"{out}.part", out)
-    return manifest
+        public[name] = cut.withColumns({c: F.lit(None).cast(cut.schema[c].dataType) for c in (blank or {}).get(name, [])})
+    rows = {name: df.count() for name, df in public.items()}
+    version = commits.publish(spark, out, public, expected=rows)
+    return {"version": version, "tables": {name: {"rows": rows[name], "columns": df.columns} for name, df in public.items()}}
 
 
 def log_import(spark: SparkSession, path: str, source: str, rows: int) -> None:
@@ -62,51 +47,45 @@ def log_import(spark: SparkSession, path: str, source: str, rows: int) -> None:
     spark.createDataFrame([(source, rows)], "source string, rows long").withColumn("imported_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def keep_messages(df: DataFrame, table: DataFrame, path: str) -> DataFrame:
-    """Append messages whose (issuer, valid_from) the table does not hold; returns them."""
-    new = df.dropDuplicates(["issuer", "valid_from"]).join(table, ["issuer", "valid_from"], "left_anti")
-    new.write.mode("append").parquet(path)
-    return new
+def keep_messages(df: DataFrame, out: str) -> int:
+    """Add the messages whose (issuer, valid_from) the store does not hold; returns how many."""
+    return commits.merge_once(df, out, "messages", ["issuer", "valid_from"], day=F.col("valid_from"))
 
 
 def sample_points(positions: DataFrame, every_s: int = 60) -> DataFrame:
     """One position per aircraft and interval, the last, with its 1-degree cell and day."""
     slot = (F.col("ts").cast("long") / every_s).cast("long")
     last = positions.where("lat is not null and lon is not null").withColumn("slot", slot).groupBy("slot", "hex").agg(F.max_by(F.struct("ts", "flight", "t", "lat", "lon", "alt_ft", "gs", "track"), "ts").alias("p"))
-    return last.select("hex", "p.*").withColumns({"cell": geo.cell("lat", "lon"), "day": F.to_date("ts")})
+    return last.select("hex", "slot", "p.*").withColumns({"cell": geo.cell("lat", "lon"), "day": F.to_date("ts")})
 
 
-def sample_stream(stream: DataFrame, path: str, checkpoint: str, every_s: int = 60):
-    """Append samples of a position stream, one micro-batch an interval."""
-    write = lambda batch, _: sample_points(batch, every_s).write.mode("append").partitionBy("day").parquet(path)
+def sample_stream(stream: DataFrame, out: str, checkpoint: str, every_s: int = 60):
+    """Add samples of a position stream, one micro-batch an interval; a batch that is done again adds nothing."""
+    write = lambda batch, number: commits.merge_once(sample_points(batch, every_s), out, "points", ["hex", "slot"], day=F.timestamp_seconds(F.col("slot") * every_s), writer="points", number=number)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{every_s} seconds").start()
 
 
-def prune(spark: SparkSession, path: str, keep_from: str, by: str = "day") -> list[str]:
-    """Drop the partitions of days before `keep_from`; returns them. Only partition names are listed, no rows read."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    gone = []
-    for s in fs.listStatus(root):
-        name = s.getPath().getName()
-        if name.startswith(f"{by}=") and name[len(by) + 1 :] < keep_from:
-            fs.delete(s.getPath(), True)
-            gone.append(name[len(by) + 1 :])
-    return sorted(gone)
-
-
-def write_replay(chunks: DataFrame, tracks: DataFrame, days: DataFrame, old_days: DataFrame | None, out: str) -> None:
-    """Half-hour chunks by (day, chunk), tracks by (day, shard), and the list of days, new over old."""
-    chunks.write.mode("overwrite").partitionBy("day", "chunk").json(f"{out}/chunks", compression="gzip")
-    tracks.withColumn("shard", F.substring("hex", 5, 2)).write.mode("overwrite").partitionBy("day", "shard").json(f"{out}/tracks", compression="gzip")
-    merged = days if old_days is None else merge_day_list(old_days, days)
-    merged.coalesce(1).write.mode("overwrite").json(f"{out}/days.part", compression="gzip")
+def prune(spark: SparkSession, out: str, keep_from: str) -> list[str]:
+    """Forget the sampled days before `keep_from`; returns them. Whole segments of old days are not read."""
+    return commits.drop_days(spark, out, "points", keep_from)
+
+
+def write_replay(chunks: DataFrame, tracks: DataFrame, days: DataFrame, out: str) -> int:
+    """Half-hour chunks, tracks by shard, and the list of days with new ones over old, published together: a reader sees
+    all three of one build. Returns the version."""
     spark = chunks.sparkSession
-    jvm = spark.sparkContext._jvm
-    to = jvm.org.apache.hadoop.fs.Path(f"{out}/days")
-    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
-    _rename(spark, f"{out}/days.part", f"{out}/days")
+    known = commits.current(spark, out).tables
+    if "days" in known:
+        days = merge_day_list(commits.read_table(spark, out, "days"), days)
+    old = {n: commits.read_table(spark, out, n).join(days.select("day"), "day", "left_semi") for n in ("chunks", "tracks") if n in known}
+    tracks = tracks.withColumn("shard", F.substring("hex", 5, 2))
+    new = {n: merge_days(old[n], df) if n in old else df for n, df in (("chunks", chunks), ("tracks", tracks))}
+    return commits.publish(spark, out, {**{n: df.repartition("day", "chunk" if n == "chunks" else "shard") for n, df in new.items()}, "days": days})
+
+
+def merge_days(old: DataFrame, new: DataFrame, day: str = "day") -> DataFrame:
+    """All rows of a day that `new` has in place of the old ones of that day."""
+    return old.join(new.select(day).distinct(), day, "left_anti").unionByName(new)
 
 
 def merge_day_list(old: DataFrame, new: DataFrame, day: str = "day") -> DataFrame:

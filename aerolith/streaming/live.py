@@ -17,6 +17,7 @@ from aerolith.functions import text as tx
 from aerolith.operators import estimate as es
 from aerolith.operators.filters import HELD, cruising, emergency_signal, signal_code, signal_state
 from aerolith.operators.windows import ranked_overall, top_k, trim_trace
+from aerolith.sources import commits
 
 SKY_TTL_S, EPISODE_GAP_S, MIN_REPORTS, MIN_HOLD_S = 60, 300.0, 2, 20.0
 LOST_AFTER_S, SHOW_MAX_S, BOOK_S = 90.0, 900.0, 8 * 3600
@@ -120,15 +121,11 @@ def emergency_episodes(stream: DataFrame, gap_s: float = EPISODE_GAP_S, min_repo
     return rows.groupBy("hex").applyInPandasWithState(step, EPISODE, "since double, last double, n long, recorded boolean, code string, state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def write_events_once(batch: DataFrame, table: str, source: str = "live") -> None:
-    """Append episodes whose (hex, at) the table lacks; doing a batch again changes nothing. For `foreachBatch`."""
-    spark = batch.sparkSession
-    new = batch.dropDuplicates(["hex", "at"]).withColumn("source", F.lit(source))
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(table)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        new = new.join(spark.read.parquet(table).select("hex", "at", "source"), ["hex", "at", "source"], "left_anti")
-    new.write.mode("append").parquet(table)
+def write_events_once(batch: DataFrame, out: str, number: int | None = None, source: str = "live") -> int:
+    """Add episodes that the store does not hold, by (hex, at, source); returns how many. For `foreachBatch`: only the keys of
+    the batch's own days and buckets are read, and doing a batch again, or beside another writer, changes nothing."""
+    rows = batch.withColumn("source", F.lit(source))
+    return commits.merge_once(rows, out, "events", ["hex", "at", "source"], day=F.timestamp_seconds("at"), writer=f"events {source}" if number is not None else None, number=number)
 
 
 # --- lost aircraft --------------------------------------------------------------------------------------------------
