@@ -57,15 +57,29 @@ class Model:
     languages: list[str]
     symbol: np.ndarray  # byte -> symbol; the last symbol stands for all bytes that training has not seen
     node: np.ndarray  # context of up to DENSE symbols (0 where there is none yet) -> node, flat
-    deep: list[tuple[int, np.ndarray, np.ndarray]]  # (depth, context in the slot or -1, node), deeper last
+    deep: list[tuple[int, int, np.ndarray, np.ndarray]]  # (depth, number of the table, context in the slot or -1, node), deeper last
     bits: np.ndarray  # [node * symbols + symbol, language]: code length
     size: int  # symbols, with one for "before the text"
     order: int = 0
 
 
-def _slots(code: np.ndarray, count: int) -> np.ndarray:
-    """Slots of a table whose size is a power of two."""
-    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - count.bit_length())).astype(np.int64)
+def _slots(code: np.ndarray, count: int, table: int) -> np.ndarray:
+    """Slots of a table whose size is a power of two; each table of a depth has a hash of its own."""
+    mixed = (code.astype(np.uint64) + np.uint64(table)) * np.uint64(0x9E3779B97F4A7C15)
+    return (((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(65 - count.bit_length())).astype(np.int64)
+
+
+def _tables(depth: int, own: np.ndarray, first: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Tables that hold every context once: what finds its slot taken goes to the next, much smaller table."""
+    left, table = np.arange(len(own)), 0
+    while len(left):
+        count = max(64, 1 << int(4 * len(left) - 1).bit_length())
+        at = _slots(own[left], count, table)
+        _, taken = np.unique(at, return_index=True)
+        slot, of = np.full(count, -1, np.int64), np.zeros(count, np.int32)
+        slot[at[taken]], of[at[taken]] = own[left[taken]], first + left[taken]
+        yield depth, table, slot, of
+        left, table = np.delete(left, taken), table + 1
 
 
 def sampled(train: DataFrame, text: str, lang: str, sample_bytes: int, order: int, total_bytes: int | None = None) -> DataFrame:
@@ -180,14 +194,7 @@ def frozen(names: list[str], which: np.ndarray, gram: np.ndarray, n: np.ndarray,
     for depth in range(1, order + 1):
         own = np.sort(keys[top[depths[top] == depth]])
         if depth > DENSE:
-            count = max(64, 1 << int(4 * max(1, len(own)) - 1).bit_length())
-            at = _slots(own, count)
-            own = own[np.unique(at, return_index=True)[1]]  # of contexts in one slot the least stays
-            own.sort()
-            slot, of = np.full(count, -1, np.int64), np.zeros(count, np.int32)
-            at = _slots(own, count)
-            slot[at], of[at] = own, first + np.arange(len(own))
-            deep.append((depth, slot, of))
+            deep.extend(_tables(depth, own, first))
         else:
             lookup = np.full(size**depth, -1, np.int32)
             lookup[own] = first + np.arange(len(own))
@@ -237,16 +244,15 @@ def code_lengths(model: Model, flat: np.ndarray, offsets: np.ndarray) -> np.ndar
         sym = model.symbol[flat[a - lead : b]]
         row = np.repeat(np.arange(rows), np.clip(np.minimum(offsets[1:], b) - np.maximum(offsets[:-1], a), 0, None))
         depth = np.concatenate([np.zeros(lead, np.int64), np.arange(a, b) - offsets[row]])  # bytes of the same text before this one
-        deep = {d: (slot, of) for d, slot, of in model.deep}
         place = np.zeros(b - a, np.int32)
         for k, code in enumerate(_contexts(sym, depth, order, model.size), 1):
             if k == min(order, DENSE):
                 place = model.node[code[lead:]]
-            elif k in deep:
-                slot, of = deep[k]
-                own = code[lead:]
-                at = _slots(own, len(slot))
-                place = np.where(slot[at] == own, of[at], place)
+            for depth, table, slot, of in model.deep:
+                if depth == k:
+                    own = code[lead:]
+                    at = _slots(own, len(slot), table)
+                    place = np.where(slot[at] == own, of[at], place)
         place = place.astype(np.int64) * model.size + sym[lead:]
         first = np.flatnonzero(np.diff(row, prepend=-1))
         if len(first):

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from aerolith.llm import divergence, interaction, perfecthash, toxicity
+from aerolith.llm import divergence, interaction, langid, perfecthash, simhash, toxicity
 from aerolith.llm.transducer import compose, transducer
 
 DOCS = "doc_id long, text string, lang string, source string, part string, mask int, cells string, n long, score double"
@@ -220,3 +220,47 @@ def test_toxicity_without_labels_and_spans(spark):
     model = toxicity.Model(LEX, toxicity.PRIOR)
     spans = docs(spark, [(1, "Hello. You dolt! Bye", "en", "s")]).select(toxicity.spans_column(F.col("text"), model).alias("c")).first()["c"]
     assert [(s["start"], s["end"], s["kinds"]) for s in spans] == [(6, 15, "a")] and spans[0]["weight"] == pytest.approx(3.0 * 1.2)
+
+
+# --- op8, op10 --------------------------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    """The fingerprint by its definition, one bit at a time."""
+    import re
+
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def test_simhash_against_the_definition_with_many_rows_under_zero(spark):
+    rng = random.Random(6)
+    words = [f"W{i}é" if i % 5 == 0 else f"w{i}" for i in range(40)]
+    texts = [None, "", " \t", "One", "one two", "\x0bA b\x0cC d"] + [rng.choice([" ", "  ", "\n"]).join(rng.choices(words, k=rng.randrange(1, 80))) for _ in range(120)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)] + [(500 + k, rng.choice([None, "", " "]), "en", "s") for k in range(300)] + [(None, "", "en", "s")] * 3
+    got = simhash.near_duplicates(docs(spark, rows)).select("doc_id", simhash.hex16(F.col("fp")).alias("h"), "component_id").collect()
+    prints = [plain_fingerprint(t) for _, t, _, _ in rows]
+    assert Counter((r["doc_id"], r["h"]) for r in got) == Counter((i, f"{p:016x}") for (i, *_), p in zip(rows, prints, strict=True))
+    root = simhash.brute_components(prints)
+    least = {}
+    for (i, *_), r in zip(rows, root, strict=True):
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((i, least[r]) for (i, *_), r in zip(rows, root, strict=True))
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.one_of_each(docs(spark, [])).count() == 0
+
+
+def test_every_context_is_found_in_the_tables():
+    rng = np.random.default_rng(1)
+    own = np.unique(rng.integers(0, 1 << 40, 20_000))
+    place = np.zeros(len(own), np.int64)
+    tables = list(langid._tables(5, own, 100))
+    for _, table, slot, of in tables:
+        at = langid._slots(own, len(slot), table)
+        place = np.where(slot[at] == own, of[at], place)
+    assert (place == 100 + np.arange(len(own))).all() and 1 < len(tables) < 8
+    assert list(langid._tables(4, own[:0], 7)) == []
