@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aerolith.functions import geo
 from aerolith.functions import text as tx
 from aerolith.operators.aggregates import airline_countries, airport_codes, same_aircraft_candidates
+from aerolith.operators.cut import checkpointed
 from aerolith.operators.windows import not_observed_events, ranked_overall, top_k
 
 # Which source outranks which, the fields a merge decides, and those only observation knows.
@@ -129,15 +130,61 @@ def nearest_zone(airports: DataFrame, zoned: DataFrame, max_km: float = 300, gri
     return done.unionByName(rest.join(best, "code", "left").select(*done.columns))
 
 
-def zone_from_polygon(airports: DataFrame, zones: DataFrame, grid: float = 5) -> DataFrame:
+def zone_cells(zones: DataFrame, grid: float = 1) -> DataFrame:
+    """(zone, tz, cx, cy, inside, edges) of the grid cells that a zone's border crosses or that lie inside it.
+
+    `inside` tells whether the cell's lower right corner is inside; `edges` are those that touch the cell, none for a cell
+    inside. zones(tz, ring ARRAY<STRUCT<lat, lon>>), the last point joined to the first. Rings are cut into edges once and
+    each edge goes to the cells it touches, so no row holds more of a ring than one cell's part."""
+    z = zones.select(F.xxhash64("tz", "ring").alias("zone"), "tz", "ring").where(F.size("ring") > 2)
+    turned = F.concat(F.slice("ring", F.lit(2), F.size("ring") - 1), F.slice("ring", 1, 1))
+    e = z.select("zone", "tz", F.explode(F.arrays_zip(F.col("ring").alias("p"), turned.alias("q"))).alias("e")).select("zone", "tz", F.col("e.p.lat").alias("y1"), F.col("e.p.lon").alias("x1"), F.col("e.q.lat").alias("y2"), F.col("e.q.lon").alias("x2"))
+    e = checkpointed(e.withColumns({"lo": F.least("y1", "y2"), "hi": F.greatest("y1", "y2")}))
+    row = lambda y: F.floor((y + 90) / grid)
+    column = lambda x: F.floor((x + 180) / grid)
+    at = lambda y: (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
+    # where edges cross the lower line of each row of cells; a corner is inside if it has an odd number of them to its right
+    lines = e.withColumn("cy", F.explode(F.sequence(row(F.col("lo")), row(F.col("hi"))))).withColumn("y", F.col("cy") * grid - 90)
+    lines = lines.where((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y")))
+    beyond = lines.select("zone", "cy", (F.ceil((at(F.col("y")) + 180) / grid) - 1).alias("cx")).groupBy("zone", "cy", "cx").agg(F.count(F.lit(1)).alias("n"))
+    reach = e.groupBy("zone", "tz").agg(row(F.min("lo")).alias("r1"), row(F.max("hi")).alias("r2"), column(F.min(F.least("x1", "x2"))).alias("c1"), column(F.max(F.greatest("x1", "x2"))).alias("c2"))
+    cells = reach.withColumn("cy", F.explode(F.sequence("r1", "r2"))).withColumn("cx", F.explode(F.sequence("c1", "c2"))).select("zone", "tz", "cx", "cy")
+    right = Window.partitionBy("zone", "cy").orderBy(F.desc("cx")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.join(beyond, ["zone", "cy", "cx"], "left").withColumn("inside", F.coalesce(F.sum("n").over(right), F.lit(0)) % 2 == 1).drop("n")
+    # what each edge touches in each row that it passes, by the part of it in that row; a little more does no harm
+    passed = e.withColumn("cy", F.explode(F.sequence(row(F.col("lo") - 1e-9), row(F.col("hi") + 1e-9))))
+    low, high = F.greatest(F.col("lo"), F.col("cy") * grid - 90), F.least(F.col("hi"), (F.col("cy") + 1) * grid - 90)
+    flat = F.col("y1") == F.col("y2")
+    xs = [F.when(flat, F.col(x)).otherwise(at(y)) for x, y in (("x1", low), ("x2", high))]
+    touched = passed.withColumn("cx", F.explode(F.sequence(column(F.least(*xs) - 1e-9), column(F.greatest(*xs) + 1e-9))))
+    edges = touched.groupBy("zone", "cx", "cy").agg(F.collect_list(F.struct("y1", "x1", "y2", "x2")).alias("edges"))
+    out = cells.join(edges, ["zone", "cx", "cy"], "left").where(F.col("inside") | F.col("edges").isNotNull())
+    return out.select("zone", "tz", "cx", "cy", "inside", F.coalesce("edges", F.array().cast("array<struct<y1:double,x1:double,y2:double,x2:double>>")).alias("edges"))
+
+
+def _odd_crossings(grid: float) -> Column:
+    """Whether the way from a point to its cell's lower right corner (along its row to the cell's right side, then down)
+    crosses an odd number of the cell's edges. Points on a border fall as they do in `point_in_zone`."""
+    x, y = F.col("lon"), F.col("lat")
+    right, low = (F.col("cx") + 1) * grid - 180, F.col("cy") * grid - 90
+
+    def crossed(e: Column) -> Column:
+        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        along = ((e["y1"] > y) != (e["y2"] > y)) & (x < at) & ~(right < at)
+        up = (e["y2"] - e["y1"]) * (right - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)) + e["y1"]
+        down = ((e["x1"] > right) != (e["x2"] > right)) & ((up > low) != (up > y))
+        return F.coalesce(along.cast("int"), F.lit(0)) + F.coalesce(down.cast("int"), F.lit(0))
+
+    return F.aggregate("edges", F.lit(0), lambda n, e: n + crossed(e)) % 2 == 1
+
+
+def zone_from_polygon(airports: DataFrame, zones: DataFrame, grid: float = 1) -> DataFrame:
     """Add `tz` by the polygon that holds a point; zones(tz, ring ARRAY<STRUCT<lat, lon>>). Ocean zones (Etc/) give null.
 
-    Zones are cut to the grid cells of their bounding box; only a point and the polygons of its cell are tested."""
-    box = zones.select("tz", "ring", *[f(F.col(f"ring.{c}")).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
-    span = lambda c, at: F.sequence(F.floor((F.col(f"lo_{c}") + at) / grid), F.floor((F.col(f"hi_{c}") + at) / grid))
-    cells = box.withColumn("cy", F.explode(span("lat", 90))).withColumn("cx", F.explode(span("lon", 180))).select("tz", "ring", "cx", "cy")
-    points = airports.withColumns({"cx": F.floor((F.col("lon") + 180) / grid), "cy": F.floor((F.col("lat") + 90) / grid)})
-    hit = points.select("code", "lat", "lon", "cx", "cy").join(cells, ["cx", "cy"]).where(point_in_zone("lat", "lon", "ring"))
+    A point in a cell that lies inside a zone is decided by the cell alone; in a border cell only that cell's edges are
+    tested (`zone_cells`)."""
+    points = airports.where("lat is not null and lon is not null").select("code", "lat", "lon", F.floor((F.col("lon") + 180) / grid).alias("cx"), F.floor((F.col("lat") + 90) / grid).alias("cy"))
+    hit = points.join(zone_cells(zones, grid), ["cx", "cy"]).where(F.col("inside") != _odd_crossings(grid))
     best = hit.groupBy("code").agg(F.min("tz").alias("tz")).withColumn("tz", F.when(~F.col("tz").startswith("Etc/"), F.col("tz")))
     return airports.join(best, "code", "left")
 

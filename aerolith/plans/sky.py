@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import text as tx
@@ -740,3 +740,29 @@ def search_readings(spark, sf):
     two = lens(spark, sf, "airlines").select(F.concat_ws(" ", "icao", F.lit("A03")).alias("q"))
     return s2.search(checkpointed(_queries(spark, sf).union(two)), checkpointed(_documents(spark, sf)), _types(spark, sf), cities, families, checkpoint=checkpointed)
 
+
+# --- zones ------------------------------------------------------------------------------------------------------------
+
+RINGS = """v AS (SELECT c_nationkey AS z, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_nationkey) AS n, 4.0 + abs(c_acctbal) % 7.0 AS r FROM customer),
+ring AS (SELECT z, k, n, (z % 5) * 22.0 - 44.0 + r * sin(2 * pi() * k / n) AS lat, (z // 5) * 30.0 - 60.0 + 1.3 * r * cos(2 * pi() * k / n) AS lon FROM v)"""
+SPOTS = "spot AS (SELECT p_partkey AS code, (p_partkey * 7919 % 110003) / 110003.0 * 110.0 - 55.0 AS lat, (p_retailprice * 977.0) % 160.0 - 80.0 AS lon FROM part)"
+
+
+def _rings(spark, sf):
+    """Ragged zones around 25 centres, with as many edges as a nation has customers."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    w = Window.partitionBy("c_nationkey")
+    v = c.select(F.col("c_nationkey").alias("z"), (F.row_number().over(w.orderBy("c_custkey")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"), (4.0 + F.abs("c_acctbal") % 7.0).alias("r"))
+    turn = 2 * F.pi() * F.col("k") / F.col("n")
+    spot = F.struct("k", (F.col("z") % 5 * 22.0 - 44.0 + F.col("r") * F.sin(turn)).alias("lat"), (F.floor(F.col("z") / 5) * 30.0 - 60.0 + 1.3 * F.col("r") * F.cos(turn)).alias("lon"))
+    return v.groupBy("z").agg(F.transform(F.array_sort(F.collect_list(spot)), lambda s: F.struct(s["lat"].alias("lat"), s["lon"].alias("lon"))).alias("ring")).select(F.concat(F.lit("Zone/"), F.lpad(F.col("z").cast("string"), 2, "0")).alias("tz"), "ring")
+
+
+@R.add(f"""WITH {RINGS}, {SPOTS}, e AS (SELECT a.z, a.lat AS y1, a.lon AS x1, b.lat AS y2, b.lon AS x2 FROM ring a JOIN ring b ON a.z = b.z AND b.k = (a.k + 1) % a.n WHERE a.n > 2),
+h AS (SELECT code, z FROM spot, e WHERE (y1 > spot.lat) <> (y2 > spot.lat) AND spot.lon < (x2 - x1) * (spot.lat - y1) / (y2 - y1) + x1 GROUP BY code, z HAVING count(*) % 2 = 1)
+SELECT spot.code, min('Zone/' || lpad(cast(z AS varchar), 2, '0')) AS tz FROM spot LEFT JOIN h USING (code) GROUP BY spot.code""")
+def zone_polygons(spark, sf):
+    """Every part's place by the ragged zone that holds it."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    spots = p.select(F.col("p_partkey").alias("code"), (F.col("p_partkey") * 7919 % 110003 / 110003.0 * 110.0 - 55.0).alias("lat"), ((F.col("p_retailprice") * 977.0) % 160.0 - 80.0).alias("lon"))
+    return rg.zone_from_polygon(spots, _rings(spark, sf)).select("code", "tz")

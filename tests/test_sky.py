@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,29 @@ def test_zone_by_polygon(spark):
     assert {r["code"]: r["tz"] for r in rg.zone_from_polygon(a, z).collect()} == {"IN": "Europe/X", "OUT": None, "SEA": None}
 
 
+def test_zones_of_ten_thousand_edges_by_cells_equal_the_whole_ring(spark):
+    rng = random.Random(8)
+
+    def ring(lat, lon, n, size):
+        return [(lat + size * (1 + 0.4 * rng.random()) * math.sin(2 * math.pi * k / n), lon + size * (1 + 0.4 * rng.random()) * math.cos(2 * math.pi * k / n)) for k in range(n)]
+
+    # a ragged one, one that winds along grid lines, a comb, a sliver, one with a repeated point, one that is none
+    square = [(10.0, 10.0), (10.0, 14.0), (12.0, 14.0), (12.0, 12.0), (14.0, 12.0), (14.0, 10.0)]
+    comb = [(30.0, 0.0)] + [p for k in range(40) for p in ((40.0, k * 0.5), (31.0, k * 0.5 + 0.25))] + [(30.0, 20.0)]
+    zones = [("A/a", ring(-20, -20, 10_000, 9)), ("B/b", square), ("C/c", comb), ("D/d", [(50.0, 0.0), (50.2, 60.0), (50.3, 60.0)]), ("E/e", [(60.0, 0.0), (60.0, 0.0), (65.0, 5.0), (60.0, 9.0)]), ("F/f", [(1.0, 1.0), (2.0, 2.0)])]
+    z = spark.createDataFrame(zones, "tz string, ring array<struct<lat:double,lon:double>>")
+    spots = [(rng.uniform(-36, 70), rng.uniform(-36, 66)) for _ in range(3000)] + [(a, b) for a in (10.0, 11.0, 12.0, 13.0, 14.0) for b in (9.5, 10.0, 11.0, 12.0, 13.5, 14.0, 14.5)] + [(50.0 + rng.random() * 0.4, rng.uniform(0, 61)) for _ in range(200)]
+    a = spark.createDataFrame([(f"{k:05d}", *p) for k, p in enumerate(spots)] + [("null", None, 1.0)], "code string, lat double, lon double")
+    got = {r["code"]: r["tz"] for r in rg.zone_from_polygon(a, z).collect()}
+
+    def holds(y, x, of):
+        return sum((p[0] > y) != (q[0] > y) and x < (q[1] - p[1]) * (y - p[0]) / (q[0] - p[0]) + p[1] for p, q in zip(of, [*of[1:], of[0]], strict=True)) % 2 == 1
+
+    want = {f"{k:05d}": min((tz for tz, of in zones if len(of) > 2 and holds(*p, of)), default=None) for k, p in enumerate(spots)} | {"null": None}
+    assert got == want and len({*want.values()}) == 6
+    assert rg.zone_cells(z).agg(F.max(F.size("edges"))).first()[0] < 2000  # no row holds a whole ring
+
+
 def test_verdicts(spark):
     names = ("asked", "known_end", "not_same", "airport", "type", "corridor", "rotation", "mirror", "observation", "unique", "log", "timetable", "clock")
     base = dict.fromkeys(names, "skip") | {"asked": "pass", "known_end": "pass", "not_same": "pass", "airport": "pass"}
