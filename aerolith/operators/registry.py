@@ -9,7 +9,7 @@ from aerolith.functions import geo
 from aerolith.functions import text as tx
 from aerolith.operators.aggregates import airline_countries, airport_codes, same_aircraft_candidates
 from aerolith.operators.cut import checkpointed
-from aerolith.operators.windows import not_observed_events, ranked_overall, top_k
+from aerolith.operators.windows import not_observed_events, quiet_spells, ranked_overall, top_k
 
 # Which source outranks which, the fields a merge decides, and those only observation knows.
 SOURCE_RANK = {"receiver-dump": 0, "tar1090": 1, "registry": 2, "override": 3}
@@ -209,6 +209,22 @@ def assign_airframes(hexes: DataFrame, known: DataFrame) -> DataFrame:
     return known.unionByName(numbered)
 
 
+def observed_history(legs: DataFrame, quiet_days: int = 30) -> DataFrame:
+    """The observation history of every airframe of a flight log, as `import_history` takes it: hex, evidence_from, first and
+    last day, flights, registrations and operators with their days, and silences of `quiet_days` or more."""
+    seen = legs.where("hex is not null and date is not null").withColumn("op", tx.operator_code("callsign"))
+    whole = seen.groupBy("hex").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("n_obs"))
+
+    def spells(c: str, name: str) -> DataFrame:
+        each = seen.where(F.col(c).isNotNull()).groupBy("hex", c).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("n_obs"))
+        ordered = F.array_sort(F.collect_list(F.struct("first_date", F.col(c).alias("value"), "last_date", "n_obs")))
+        return each.groupBy("hex").agg(F.transform(ordered, lambda s: F.struct(s["value"].alias("value"), s["first_date"].alias("first_date"), s["last_date"].alias("last_date"), s["n_obs"].alias("n_obs"))).alias(name))
+
+    quiet = quiet_spells(seen, quiet_days).groupBy("hex").agg(F.array_sort(F.collect_list(F.struct("last_seen", "seen_again"))).alias("gaps"))
+    since = seen.agg(F.min("date").alias("evidence_from"))
+    return whole.join(spells("reg", "regs"), "hex", "left").join(spells("op", "ops"), "hex", "left").join(quiet, "hex", "left").join(F.broadcast(since))
+
+
 def history_spells(history: DataFrame, ids: DataFrame, source: str = "observed") -> DataFrame:
     """Spells of an observation history: the address itself, registrations and operators."""
     h = history.join(ids, "hex")

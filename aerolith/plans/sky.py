@@ -766,3 +766,25 @@ def zone_polygons(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
     spots = p.select(F.col("p_partkey").alias("code"), (F.col("p_partkey") * 7919 % 110003 / 110003.0 * 110.0 - 55.0).alias("lat"), ((F.col("p_retailprice") * 977.0) % 160.0 - 80.0).alias("lon"))
     return rg.zone_from_polygon(spots, _rings(spark, sf)).select("code", "tz")
+
+
+# --- imports ----------------------------------------------------------------------------------------------------------
+
+
+@R.add("""WITH l AS (SELECT hex, reg, nullif(regexp_extract(upper(trim(callsign)), '^([A-Z]{3})[0-9]', 1), '') AS op, "date" AS d FROM legs WHERE hex IS NOT NULL AND "date" IS NOT NULL),
+r AS (SELECT hex, 'registration_change' AS kind, reg AS value, min(d) AS f, max(d) AS t FROM l WHERE reg IS NOT NULL GROUP BY hex, reg UNION ALL SELECT hex, 'operator_change', op, min(d), max(d) FROM l WHERE op IS NOT NULL GROUP BY hex, op),
+c AS (SELECT hex, kind, f, lag(value) OVER w AS a, value AS b, lag(t) OVER w AS before FROM r WINDOW w AS (PARTITION BY hex, kind ORDER BY f, value)),
+g AS (SELECT hex, lag(d) OVER (PARTITION BY hex ORDER BY d) AS last, d FROM (SELECT DISTINCT hex, d FROM l)),
+e AS (SELECT hex, kind, f AS "at", a, b FROM c WHERE f > before UNION ALL SELECT hex, 'not_observed', last + 1, cast(last AS varchar), cast(d AS varchar) FROM g WHERE d - last - 1 >= 30
+ UNION ALL SELECT hex, 'first_observed', min(d), NULL, NULL FROM l GROUP BY hex HAVING min(d) >= (SELECT min(d) FROM l) + 30)
+SELECT hex, kind, cast("at" AS varchar) AS "at", min({'a': a, 'b': b}).a AS "from", min({'a': a, 'b': b}).b AS "to" FROM e GROUP BY hex, kind, "at" """, "legs")
+def history_imported(spark, sf):
+    """Events of every airframe's history, from the flight log, imported twice: the second time changes nothing."""
+    history = checkpointed(rg.observed_history(lens(spark, sf, "legs")))
+    known = spark.createDataFrame([], "hex string, airframe_id long")
+    spells = spark.createDataFrame([], "airframe_id long, kind string, value string, first_date date, last_date date, n_obs long, source string")
+    events = spark.createDataFrame([], "airframe_id long, kind string, at timestamp, detail map<string,string>, source string, visibility string")
+    for _ in range(2):
+        known, spells, events = (checkpointed(d) for d in rg.import_history(history, known, spells, events))
+    detail = lambda *names: F.coalesce(*[F.try_element_at("detail", F.lit(n)) for n in names])
+    return events.join(known, "airframe_id").select("hex", "kind", F.to_date("at").cast("string").alias("at"), detail("from", "last_seen").alias("from"), detail("to", "seen_again").alias("to"))

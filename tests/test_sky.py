@@ -78,6 +78,37 @@ def test_history_events(spark, tmp_path):
     assert got == {("first_observed", "2025-06-01"), ("registration_change", "2026-01-01"), ("not_observed", "2026-03-02")}
 
 
+def test_imports_done_twice_change_nothing(spark):
+    day = lambda n: dt.date(2026, 1, 1) + dt.timedelta(days=n)
+    legs = [("a", "R1", "AAA1", day(0)), ("a", "R2", "AAA1", day(50)), ("a", "R2", "BBB1", day(51)), ("b", None, "AAA2", day(40)), ("b", "R9", None, day(41)), (None, "R9", "AAA1", day(1))]
+    h = rg.observed_history(spark.createDataFrame(legs, "hex string, reg string, callsign string, date date")).cache()
+    known = spark.createDataFrame([], "hex string, airframe_id long")
+    spells = spark.createDataFrame([("x", "hex", "kept", None, None, None, "other")], "airframe_id string, kind string, value string, first_date date, last_date date, n_obs long, source string").withColumn("airframe_id", F.lit(99).cast("long"))
+    events = spark.createDataFrame([], "airframe_id long, kind string, at timestamp, detail map<string,string>, source string, visibility string")
+    seen = []
+    for _ in range(3):
+        known, spells, events = (d.cache() for d in rg.import_history(h, known, spells, events))
+        seen.append([sorted(map(str, d.collect())) for d in (known, spells, events)])
+    assert seen[0] == seen[1] == seen[2]
+    assert sorted((r["airframe_id"], r["kind"], str(r["at"].date())) for r in events.collect()) == [(1, "not_observed", "2026-01-02"), (1, "operator_change", "2026-02-21"), (1, "registration_change", "2026-02-20"), (2, "first_observed", "2026-02-10")]
+    rows = spark.createDataFrame([("a", "N1", "Maker", "M1", "77", 1999, "E", "Firm", day(3), None)], "hex string, registration string, manufacturer string, model string, msn string, built_year int, engine string, owner string, cert_date date, airworthy_date date")
+    ref = spark.createDataFrame([], schemas.AIRFRAMES_REF)
+    frames = spark.createDataFrame([(1, None, None, None), (2, 2001, "Known", None)], "airframe_id long, built_year int, manufacturer string, msn string")
+    claims = spark.createDataFrame([], "airframe_id long, field string, source string, value string, first_seen date, last_seen date")
+    tables = {"airframes_ref": ref, "claims": claims, "airframes": frames, "events": events.drop("detail")}
+    seen = []
+    for n in (1, 2, 3):
+        done = rg.import_us_registry(rows, tables["airframes_ref"], tables["airframes"], tables["claims"], tables["events"], known, F.lit(str(day(n))).cast("date"))
+        tables = {k: v.cache() for k, v in done.items()}
+        seen.append([sorted(map(str, tables[k].drop("updated_at", "last_seen").collect())) for k in ("airframes_ref", "claims", "airframes", "events")])
+    assert seen[0] == seen[1] == seen[2]
+    claim = tables["claims"].where("field = 'msn'").first()
+    assert (claim["first_seen"], claim["last_seen"]) == (day(1), day(3))
+    airlines, members = spark.createDataFrame([("AAA", None, "Own", ["#1"])], schemas.AIRLINES), spark.createDataFrame([("AAA", "AA", "Listed"), ("BBB", "BB", "New")], "airline_icao string, iata string, name string")
+    once = rg.import_alliances(airlines, members)
+    assert sorted(map(str, once.collect())) == sorted(map(str, rg.import_alliances(once, members).collect())) and once.where("name = 'Own'").first()["iata"] == "AA"
+
+
 def test_zone_by_polygon(spark):
     ring = [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0), (10.0, 0.0)]
     z = spark.createDataFrame([("Europe/X", ring), ("Etc/GMT", [(20.0, 20.0), (20.0, 30.0), (30.0, 30.0), (30.0, 20.0)])], "tz string, ring array<struct<lat:double,lon:double>>")
