@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -353,6 +355,12 @@ def address_block(address: str | None) -> str | None:
     return str(ip) if ip.version == 4 else str(ipaddress.ip_network((ip, 64), strict=False).network_address)
 
 
+def _address_blocks(addresses: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in addresses:
+        listed = batch.dictionary_encode()  # each address of a batch is read once
+        yield pa.array([address_block(a) for a in listed.dictionary.to_pylist()], pa.string()).take(listed.indices)
+
+
 def address_key(address, salt: str) -> Column:
-    """Salted hash of an IPv4 address or an IPv6 /64; the address itself goes no further."""
-    return F.sha2(F.concat(F.lit(salt), F.udf(address_block, "string")(col(address))), 256)
+    """Hash of an IPv4 address or an IPv6 /64 after a salt; the address itself goes no further."""
+    return F.sha2(F.concat(F.lit(salt), F.arrow_udf(_address_blocks, "string")(col(address))), 256)

@@ -178,7 +178,7 @@ def match_ocean_track(points: DataFrame, tracks: DataFrame, key: list[str], at:
     off_on = F.when((F.abs(F.col("lat") - on) <= NAT_ON_TRACK_DEG) & (F.size(rest) > 0), F.abs(F.col("lat") - on))
     j = j.withColumns({"_off": F.when(before, off_before).otherwise(off_on), "_way": F.when(before, F.col("pts")).otherwise(rest)}).where("_off is not null")
     way = F.transform("_way", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
-    best = j.groupBy(*key).agg(F.min_by(way, "_off").alias("waypoints"))
+    best = j.groupBy(*key).agg(F.min_by(way, F.struct(F.col("_off"), way.alias("way"))).alias("waypoints"))  # of equals the first path
     return points.join(best, key, "left")
 
 

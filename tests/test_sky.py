@@ -42,6 +42,12 @@ def test_scalars(spark):
     assert tx.address_block("2001:db8::1") == "2001:db8::" and tx.address_block("nonsense") is None
 
 
+def test_address_keys(spark):
+    rows = ["10.0.0.1", " 10.0.0.1 ", "::ffff:10.0.0.1", "2001:db8::1", "2001:db8::2", "2001:db8:0:1::1", "no", "", None]
+    got = [r["k"] for r in spark.createDataFrame([(k, a) for k, a in enumerate(rows)], "i int, a string").repartition(3).select("i", tx.address_key("a", "s").alias("k")).orderBy("i").collect()]
+    assert got[0] == got[1] == got[2] and got[3] == got[4] and len({got[0], got[3], got[5]}) == 3 and got[6:] == [None] * 3
+
+
 def test_sql_functions(spark):
     register_functions(spark)
     assert spark.sql("SELECT obs_circ_diff(1430, 10) a, obs_hhmm(605) b, obs_fold('é') c").first() == (20, "10:05", "E")
