@@ -160,6 +160,14 @@ def test_grammar(text, kinds):
     assert "".join(found) == kinds
 
 
+def test_a_word_of_a_megabyte_is_scored_in_linear_time():
+    import time
+
+    start = time.process_time()
+    toxicity.features("vequ" + "x" * 1_000_000 + " " + "veq " * 200_000 + "you dolt. " * 20_000, LEX)
+    assert time.process_time() - start < 6
+
+
 def test_composition_equals_one_after_the_other():
     rng = random.Random(2)
     parts = [toxicity._negation(), toxicity._reported(), toxicity._targets((1.0, 1.5, 0.5, 0.25, 2.0, 0.75))]
