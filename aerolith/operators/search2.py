@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import geo
@@ -19,6 +19,7 @@ from aerolith.operators.aggregates import airport_codes, airport_traffic
 from aerolith.operators.records import flying_order
 from aerolith.operators.search import without_letters
 from aerolith.operators.windows import interleave, top_k
+from aerolith.sources import commits
 
 # Fixed values of the ranking.
 CODE, INTENT, STEP, WHOLE, WHOLE_NAME, PREFIX = 1000.0, 900.0, 40.0, 600.0, 60.0, 500.0
@@ -101,10 +102,41 @@ def build_search_docs(*, schedule: DataFrame, legs: DataFrame, airports: DataFra
     return out
 
 
+NAMED = "kind in ('airport', 'airline', 'type')"
+
+
 def inverted_index(docs: DataFrame) -> DataFrame:
-    """(word, kind, id, tf, size) over the names of named documents."""
-    w = docs.where("kind in ('airport', 'airline', 'type')").select("kind", "id", F.flatten(F.transform("phrases", lambda p: F.split(p, " "))).alias("ws"))
-    return w.select("kind", "id", F.size("ws").alias("size"), F.explode("ws").alias("word")).where("word <> ''").groupBy("word", "kind", "id", "size").agg(F.count(F.lit(1)).alias("tf"))
+    """(word, kind, id, tf, size, impact) over the names of named documents.
+
+    impact: what the word adds to the relevance of the document (tf-idf with length normalisation). It depends on the
+    documents alone, so it is worked out here once; a batch of queries reads and adds the postings of its own words."""
+    w = docs.where(NAMED).select("kind", "id", F.flatten(F.transform("phrases", lambda p: F.split(p, " "))).alias("ws"))
+    posts = w.select("kind", "id", F.size("ws").alias("size"), F.explode("ws").alias("word")).where("word <> ''").groupBy("word", "kind", "id", "size").agg(F.count(F.lit(1)).alias("tf"))
+    total = docs.where(NAMED).agg(F.count(F.lit(1)).alias("_n"))
+    size = posts.select("kind", "id", "size").distinct().agg(F.avg("size").alias("_avg"))
+    df = posts.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
+    j = posts.join(df, "word").join(F.broadcast(total)).join(F.broadcast(size))
+    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    return j.select("word", "kind", "id", "tf", "size", (idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("size") / F.col("_avg")))).alias("impact"))
+
+
+def spellings(index: DataFrame) -> DataFrame:
+    """(word, key): every word of the index and what is left of it without one or two letters."""
+    return index.select("word").distinct().select("word", F.explode(without_letters(F.col("word"), 2)).alias("key"))
+
+
+def publish_index(spark: SparkSession, root: str, docs: DataFrame) -> int:
+    """Keep documents, postings and spellings in a store, all three changed at once; returns the version. Postings and
+    spellings lie in the order of what they are looked up by, so that a batch's words find their row groups."""
+    by = lambda df, c: df.repartitionByRange(c).sortWithinPartitions(c)
+    index = inverted_index(docs)
+    return commits.publish(spark, root, {"documents": docs, "postings": by(index, "word"), "spellings": by(spellings(index), "key")})
+
+
+def open_index(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, postings, spellings) of a kept index, all of one version."""
+    number = commits.current(spark, root).version if version is None else version
+    return tuple(commits.read_table(spark, root, name, number) for name in ("documents", "postings", "spellings"))
 
 
 def airline_phrases(docs: DataFrame) -> DataFrame:
@@ -189,7 +221,8 @@ def _best(df: DataFrame, k: int) -> DataFrame:
 
 
 def _offer(df: DataFrame, score: Column, reading: Column | None = None) -> DataFrame:
-    return df.select("q", "kind", "id", "label", score.cast("double").alias("score"), (reading if reading is not None else _none("string")).alias("reading"))
+    """Scores to six places: what scores the same is told apart by kind and id, not by the order of a sum."""
+    return df.select("q", "kind", "id", "label", F.round(score.cast("double"), 6).alias("score"), (reading if reading is not None else _none("string")).alias("reading"))
 
 
 def _at(codes: str | Column, value: str | Column) -> Column:
@@ -305,39 +338,31 @@ def within_edits(a, b) -> Column:
     return F.arrow_udf(run, "int")(geo.col(a), geo.col(b))
 
 
-def text_fit(queries: DataFrame, docs: DataFrame, index: DataFrame, strong: DataFrame, most: int = 60) -> DataFrame:
+def text_fit(queries: DataFrame, docs: DataFrame, index: DataFrame, strong: DataFrame, most: int = 60, known: DataFrame | None = None) -> DataFrame:
     """Offers by names: every word whole, the last a prefix, some within their edits, or only some.
 
-    Typos count only for queries that match nothing whole and have no strong reading (`strong`(q))."""
+    Typos count only for queries that match nothing whole and have no strong reading (`strong`(q)).
+    index and known: from `inverted_index` and `spellings`, worked out here or read from a kept index."""
     q = queries.select(tx.norm_query("q").alias("q")).distinct().withColumn("ws", tx.fold_words("q")).where(F.exists("ws", lambda w: w.rlike(r"\p{L}")))
     w = q.select("q", F.size("ws").alias("n"), F.posexplode("ws").alias("i", "w"))
-    whole = w.join(index, w["w"] == index["word"]).select("q", "n", "i", "kind", "id", "size", "tf", "word", F.lit(0).alias("edits"), F.lit(False).alias("prefix"))
+    whole = w.join(index, w["w"] == index["word"]).select("q", "n", "i", "kind", "id", "word", "impact", F.lit(0).alias("edits"), F.lit(False).alias("prefix"))
     last = w.where((F.col("i") == F.col("n") - 1) & ((F.length("w") >= 2) | (F.col("n") > 1))).withColumn("_h", F.substring("w", 1, 2))
     heads = index.withColumn("_h", F.explode(F.array_distinct(F.array(F.substring("word", 1, 2), F.substring("word", 1, 1)))))
-    begun = last.join(heads, "_h").where(F.col("word").startswith(F.col("w")) & (F.col("word") != F.col("w"))).select("q", "n", "i", "kind", "id", "size", "tf", "word", F.lit(0).alias("edits"), F.lit(True).alias("prefix"))
+    begun = last.join(heads, "_h").where(F.col("word").startswith(F.col("w")) & (F.col("word") != F.col("w"))).select("q", "n", "i", "kind", "id", "word", "impact", F.lit(0).alias("edits"), F.lit(True).alias("prefix"))
     hits = whole.unionByName(begun)
     done = whole.groupBy("q", "n", "kind", "id").agg(F.countDistinct("i").alias("m")).where("m = n").select("q").union(strong.select("q")).distinct()
     budget = tx.edits_allowed_swaps("w")
-    vocabulary = index.select("word").distinct()
     loose = w.join(done, "q", "left_anti").withColumn("_b", budget).where("_b > 0")
-    typed = loose.select("w", "_b").distinct().withColumn("_k", F.explode(F.when(F.col("_b") == 1, without_letters(F.col("w"), 1)).otherwise(without_letters(F.col("w"), 2))))
-    known = vocabulary.withColumn("_k", F.explode(without_letters(F.col("word"), 2)))
-    pairs = typed.join(known, "_k").where("word <> w").select("w", "_b", "word").distinct()
+    typed = loose.select("w", "_b").distinct().withColumn("key", F.explode(F.when(F.col("_b") == 1, without_letters(F.col("w"), 1)).otherwise(without_letters(F.col("w"), 2))))
+    pairs = typed.join(known if known is not None else spellings(index), "key").where("word <> w").select("w", "_b", "word").distinct()
     # plain edits bound the distance with swaps from above by twice; drop the hopeless before the exact test
     pairs = pairs.where(F.levenshtein("word", "w") <= 2 * F.col("_b")).withColumn("edits", within_edits("w", "word")).where(F.col("edits") <= F.col("_b"))
-    near = loose.join(pairs.drop("_b"), "w").join(index, "word").select("q", "n", "i", "kind", "id", "size", "tf", "word", "edits", F.lit(False).alias("prefix"))
+    near = loose.join(pairs.drop("_b"), "w").join(index, "word").select("q", "n", "i", "kind", "id", "word", "impact", "edits", F.lit(False).alias("prefix"))
     hits = hits.unionByName(near)
-    # relevance: tf-idf with length normalisation
-    total = docs.where("kind in ('airport', 'airline', 'type')").agg(F.count(F.lit(1)).alias("_n"))
-    df = index.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
-    size = index.select("kind", "id", "size").distinct().agg(F.avg("size").alias("_avg"))
-    scored = hits.join(df, "word").join(F.broadcast(total)).join(F.broadcast(size))
-    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    scored = scored.withColumn("_s", idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("size") / F.col("_avg"))))
-    best = top_k(scored, ["q", "kind", "id", "i"], [F.col("edits"), F.col("prefix"), F.desc("_s")], 1, "_k")
-    fit = best.groupBy("q", "n", "kind", "id").agg(F.count(F.lit(1)).alias("m"), F.max("edits").alias("worst"), F.bool_or("prefix").alias("begun"), F.sum("_s").alias("bm25"))
+    best = top_k(hits, ["q", "kind", "id", "i"], [F.col("edits"), F.col("prefix"), F.desc("impact"), F.col("word")], 1, "_k")
+    fit = best.groupBy("q", "n", "kind", "id").agg(F.count(F.lit(1)).alias("m"), F.max("edits").alias("worst"), F.bool_or("prefix").alias("begun"), F.sum("impact").alias("bm25"))
     fit = fit.join(docs.select("kind", "id", "label", "pop", "phrases"), ["kind", "id"])
-    fit = top_k(fit, ["q"], [F.desc(F.col("bm25") + 0.6 * F.log1p("pop")), F.col("kind"), F.col("id")], most, "_k")
+    fit = top_k(fit, ["q"], [F.desc(F.round(F.col("bm25") + 0.6 * F.log1p("pop"), 9)), F.col("kind"), F.col("id")], most, "_k")
     rel = 3.0 * F.col("bm25") / F.max("bm25").over(Window.partitionBy("q"))
     name = F.array_contains("phrases", tx.phrase("q"))
     score = F.when(F.col("m") < F.col("n"), SOME + 150 * F.col("m") / F.col("n") + _lift(6.0)).when(F.col("worst") == 1, TYPO1 + _lift(12.0)).when(F.col("worst") > 1, TYPO2 + _lift(12.0)).when(F.col("begun"), PREFIX + _lift(12.0)).otherwise(WHOLE + F.when(name, WHOLE_NAME).otherwise(0) + _lift(6.0))
@@ -357,8 +382,9 @@ def best_per_document(offers: DataFrame) -> DataFrame:
 ABOUT = {"flight": "flight", "route": "flight", "fleet": "aircraft", "registration": "aircraft", "airline_place": "flight", "type": "type", "city": "airport"}
 
 
-def search(queries: DataFrame, docs: DataFrame, types: DataFrame, cities: DataFrame, families: DataFrame, limit: int = 20, checkpoint=lambda df: df) -> DataFrame:
-    """(q, rank, kind, id, label, score) of every query; queries(q[, lat, lon]) may say where the asker is."""
+def search(queries: DataFrame, docs: DataFrame, types: DataFrame, cities: DataFrame, families: DataFrame, limit: int = 20, checkpoint=lambda df: df, index: DataFrame | None = None, known_words: DataFrame | None = None) -> DataFrame:
+    """(q, rank, kind, id, label, score) of every query; queries(q[, lat, lon]) may say where the asker is. `index` and
+    `known_words`: postings and spellings of a kept index (`open_index`), else made from the documents."""
     read = checkpoint(readings(queries, docs, types, cities, families))
     offers = score_readings(read, docs)
     kind = F.create_map(*[x for k, v in ABOUT.items() for x in (F.lit(k), F.lit(v))])
@@ -367,8 +393,13 @@ def search(queries: DataFrame, docs: DataFrame, types: DataFrame, cities: DataFr
     known = named.join(place_phrases(docs, cities).select("phrase").union(airline_phrases(docs).select("phrase")).distinct(), "phrase", "left_semi")
     so_far = checkpoint(offers.drop("reading").unionByName(score_codes(queries, docs, first, known).drop("reading")))
     strong = so_far.where(F.col("score") >= INTENT - 2 * STEP).select("q").distinct()
-    every = so_far.unionByName(text_fit(queries, docs, inverted_index(docs), strong).drop("reading"))
+    every = so_far.unionByName(text_fit(queries, docs, index if index is not None else checkpoint(inverted_index(docs)), strong, known=known_words).drop("reading"))
     if {"lat", "lon"} <= set(queries.columns):
         asker = queries.select(tx.norm_query("q").alias("q"), F.col("lat").alias("_la"), F.col("lon").alias("_lo")).dropDuplicates(["q"])
         every = every.join(asker, "q").join(docs.select("kind", "id", "lat", "lon"), ["kind", "id"]).withColumn("score", F.col("score") + nearness("lat", "lon", "_la", "_lo")).select("q", "kind", "id", "label", "score")
-    return interleave(best_per_document(every)).where(F.col("rank") <= limit).select("q", "rank", "kind", "id", "label", "score")
+    return fused(every, limit)
+
+
+def fused(offers: DataFrame, limit: int = 20) -> DataFrame:
+    """(q, rank, kind, id, label, score): the best offer of each document, in the order of the page."""
+    return interleave(best_per_document(offers)).where(F.col("rank") <= limit).select("q", "rank", "kind", "id", "label", "score")

@@ -128,6 +128,8 @@ LENSES = {
     "memberships": lambda d: f"SELECT {_text('n_regionkey')} AS slug, {_airline('n_nationkey')} AS airline_icao, case when n_nationkey % 5 = 3 then 'affiliate' else 'member' end AS relationship, case when n_nationkey % 8 = 7 then 'former' else 'active' end AS status FROM nation",
     "routes": lambda d: f"SELECT DISTINCT callsign, org AS a, dst AS b FROM ({_legs(d)}) l WHERE org <> dst",
     "typed": _typed,
+    # services of up to seven legs that fly on from where they landed, some with a jump in between
+    "tours": lambda d: f"SELECT concat('TOX', {_text('l_orderkey')}) AS callsign, {_field('(l_orderkey * 7 + l_linenumber) % 25')} AS org, {_field('(l_orderkey * 7 + l_linenumber + case when l_quantity > 45 then 1 + l_linenumber else 1 end) % 25')} AS dst, cast(l_quantity as bigint) AS n_flights FROM lineitem",
     "boards": lambda d: f"""SELECT {_field('o_custkey % 25')} AS airport, case when o_orderkey % 2 = 0 then 'dep' else 'arr' end AS kind,
   concat(substr({_airline('o_orderkey % 25')}, 1, 2), {_text('o_custkey % 50 + 1')}) AS flight, case when o_orderkey % 11 = 0 then null else concat({_field('o_orderkey % 25')}, case when o_orderkey % 5 = 0 then ',A03' else '' end) end AS counterpart,
   cast(o_orderkey * 13 % 1440 - o_orderkey * 13 % 60 as int) AS sched_min, cast(o_orderdate as date) AS day FROM orders""",
@@ -157,4 +159,6 @@ def with_lenses(query: str, *names: str) -> str:
     """A reference query with its lenses as leading common table expressions."""
     ctes = ",\n".join(f"{n} AS ({lens_sql(n, 'duckdb')})" for n in names)
     head = query.lstrip()
+    if head[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {head[15:]}"
     return f"WITH {ctes}, {head[5:]}" if head[:5].upper() == "WITH " else f"WITH {ctes}\n{head}"
