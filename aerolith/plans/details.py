@@ -1,4 +1,4 @@
-"""Registered queries of the second search over its index, of whole records and of chains, each with its SQL twin."""
+"""Registered queries of the second search over its index, of whole records, chains and answers, each with its SQL twin."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import text as tx
 from aerolith.operators import aggregates as ag
+from aerolith.operators import claims as cl
 from aerolith.operators import records as rc
 from aerolith.operators import registry as rg
 from aerolith.operators import search2 as s2
@@ -14,7 +15,7 @@ from aerolith.operators.cut import checkpointed
 from aerolith.plans.flights import FULL, schedule_once
 from aerolith.plans.lenses import lens
 from aerolith.plans.registry import Registry
-from aerolith.plans.sky import _catalog, _documents, _types
+from aerolith.plans.sky import CHECKED, QUESTIONS, SERVED, _catalog, _checked, _documents, _questions, _types
 
 R = Registry()
 
@@ -210,3 +211,32 @@ def airframe_records(spark, sf):
     hexes = ref.select("hex").union(lens(spark, sf, "positions").select("hex"))
     out = rc.airframe_record(hexes, ref, lens(spark, sf, "airlines"), _types(spark, sf), legs, spells, events, told)
     return out.select("hex", "registration", "type_code", "operator", _line("legs", "date", "callsign", "org", "dst", "dep_ts"), _line("spells", "kind", "first_date", "last_date", "value"), F.try_element_at("statements", F.lit("type")).alias("stated"))
+
+
+# --- answers approved and looked at again -----------------------------------------------------------------------------
+
+
+@R.add(f"""WITH {SERVED}, {QUESTIONS}, y_a AS (SELECT id AS claim_id, callsign, origin, dest, side, CASE WHEN len(chain) > 0 THEN chain END AS ch, CASE WHEN id % 5 <> 0 AND id % 3 <> 0 THEN valid_from END AS start, id % 5 <> 0 AND id % 2 = 0 AS told FROM answers LEFT JOIN gp USING (callsign)),
+y_n AS (SELECT claim_id, callsign, CASE WHEN ch IS NOT NULL AND side = 'dest' THEN ch[1] ELSE origin END AS origin, CASE WHEN ch IS NOT NULL AND side = 'origin' THEN ch[-1] ELSE dest END AS dest, array_to_string(CASE WHEN side = 'origin' THEN ch[1:len(ch) - 1] ELSE ch[2:] END, '-') AS via, coalesce(start, DATE '2001-12-01') AS valid_from, CASE WHEN told THEN 'published' ELSE 'community' END AS source FROM y_a),
+y_w AS (SELECT *, lead(valid_from) OVER (PARTITION BY callsign ORDER BY claim_id) AS valid_to FROM y_n), y_s AS (SELECT callsign, arg_min(valid_from, claim_id) AS start FROM y_n GROUP BY callsign),
+y_o AS (SELECT id AS claim_id, callsign, origin, dest, valid_from, CASE WHEN id % 3 = 0 THEN valid_from + 400 END AS valid_to FROM claims WHERE status = 'approved')
+SELECT claim_id, callsign, origin, dest, via, valid_from, valid_to, CASE WHEN valid_to IS NOT NULL THEN 'superseded' END AS closed_reason, source FROM y_w
+UNION ALL SELECT claim_id, callsign, origin, dest, NULL, valid_from, coalesce(valid_to, start), CASE WHEN valid_to IS NULL AND start IS NOT NULL THEN 'superseded' END, 'community' FROM y_o LEFT JOIN y_s USING (callsign)""", "claims", "answers", "legs", "routes", "airports", dates="valid_from valid_to")
+def claims_approved(spark, sf):
+    """The catalog after every answer of the flight log has been approved: of several under one number the next supersedes the one before."""
+    new = lens(spark, sf, "answers")
+    voices = new.where("id % 5 <> 0").select(F.col("id").alias("claim_id"), F.when(F.col("id") % 2 == 0, cl.TIMETABLE_KEY).alias("key_name"), F.when(F.col("id") % 3 != 0, F.col("valid_from")).alias("valid_from"))
+    out = cl.approve_claims(_catalog(spark, sf), new, _questions(spark, sf), voices, F.lit("2001-12-01").cast("timestamp"))
+    return out.select("claim_id", "callsign", "origin", "dest", F.array_join("via", "-").alias("via"), "valid_from", "valid_to", "closed_reason", "source")
+
+
+@R.add(f"""WITH {CHECKED}, y_k AS (SELECT claim_id AS id FROM endorsements WHERE key_name = 'timetable' UNION SELECT id FROM answers WHERE id % 2 = 0), y_b AS (SELECT id, asked = 'pass' AND (timetable = 'fail' OR clock = 'fail') AND id IN (SELECT id FROM y_k) AS bad FROM cw)
+SELECT id, CASE WHEN coalesce(bad, false) THEN 'pending' ELSE 'approved' END AS status, CASE WHEN bad THEN 'unverified' END AS verdict, CASE WHEN bad THEN 'rechecked' END AS closed_reason FROM y_b""", "claims", "answers", "endorsements", "legs", "routes", "airports", "airlines")
+def claims_rechecked(spark, sf):
+    """Answers that stood approved, held against today's timetable and clock: those it gave and now denies are open again, their rows closed."""
+    checked = checkpointed(_checked(spark, sf).withColumn("status", F.lit("approved")))
+    none = F.lit(None)
+    rows = checked.select("callsign", "origin", "dest", none.cast("array<string>").alias("via"), "valid_from", none.cast("date").alias("valid_to"), none.cast("string").alias("closed_reason"), F.lit("published").alias("source"), F.col("id").alias("claim_id"))
+    keyed = lens(spark, sf, "endorsements").select("claim_id", "key_name").union(lens(spark, sf, "answers").where("id % 2 = 0").select("id", F.lit(cl.TIMETABLE_KEY)))
+    claims, catalog = cl.recheck(checked, keyed, rows, F.lit("2001-12-01").cast("timestamp"))
+    return claims.select("id", "status", "verdict").join(catalog.select(F.col("claim_id").alias("id"), "closed_reason"), "id")
