@@ -15,6 +15,7 @@ from aerolith.operators.windows import not_observed_events, quiet_spells, ranked
 SOURCE_RANK = {"receiver-dump": 0, "tar1090": 1, "registry": 2, "override": 3}
 MERGE_FIELDS = ("registration", "type_code", "operator_name", "operator_norm", "operator_icao", "year", "flags")
 OBSERVED = {"receiver-dump": ("operator_icao",)}
+MOST_SENT = 200_000  # rows of a table that a join sends to every task
 
 
 def merge_airframes(existing: DataFrame, incoming: DataFrame, source: str) -> DataFrame:
@@ -75,12 +76,27 @@ def airframe_of_hex(spells: DataFrame) -> DataFrame:
 def attach_occurrences(occurrences: DataFrame, spells: DataFrame, slack: int = 30) -> DataFrame:
     """Occurrences on the airframe that bore the mark then, within `slack` days; the last detail per airframe and instant.
 
-    occurrences(registration, at, number, ...). Equal marks first, the interval as a filter after."""
-    s = spells.where("kind = 'registration'").select("airframe_id", tx.norm_reg("value").alias("_reg"), "first_date", "last_date")
-    o = occurrences.withColumn("_reg", tx.norm_reg("registration"))
-    day = F.to_date("at")
-    j = o.join(s, "_reg").where((F.col("first_date").isNull() | (day >= F.date_sub("first_date", slack))) & (F.col("last_date").isNull() | (day <= F.date_add("last_date", slack))))
-    return top_k(j, ["airframe_id", "at"], [F.desc("number")], 1, "_r").drop("_r", "_reg", "first_date", "last_date")
+    occurrences(registration, at, number, ...). Each airframe's time is cut where its marks begin and end, and occurrences
+    are brought to one per instant and set of marks that some airframe bore at once. The two meet by that set, each row
+    once, so a mark with many occurrences on many airframes is never expanded to all pairs and sorted out after."""
+    far = 2**31  # beyond all days; an occurrence without a day lies before even that and fits spells open at both ends only
+    open_both = F.col("first_date").isNull() & F.col("last_date").isNull()
+    lo = F.when(open_both, F.lit(-far - 1)).otherwise(F.coalesce(F.unix_date(F.date_sub("first_date", slack)).cast("long"), F.lit(-far)))
+    end = F.coalesce(F.unix_date(F.date_add("last_date", slack)).cast("long"), F.lit(far)) + 1
+    s = spells.where("kind = 'registration'").select("airframe_id", tx.norm_reg("value").alias("reg"), lo.alias("lo"), end.alias("end")).where("reg is not null and lo < end")
+    own = s.groupBy("airframe_id").agg(F.collect_list(F.struct("reg", "lo", "end")).alias("s"))
+    own = own.withColumn("cuts", F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: F.array(x["lo"], x["end"]))))))
+    parts = own.select("airframe_id", "s", F.explode(F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("lo"), F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("end"))).alias("p"))
+    borne = F.transform(F.filter("s", lambda x: (x["lo"] <= F.col("p.lo")) & (F.col("p.end") <= x["end"])), lambda x: x["reg"])
+    parts = parts.select("airframe_id", F.col("p.lo").alias("_lo"), F.col("p.end").alias("_end"), F.array_sort(F.array_distinct(borne)).alias("_regs")).where("size(_regs) > 0")
+    last = top_k(occurrences.withColumn("_reg", tx.norm_reg("registration")).where("_reg is not null"), ["_reg", "at"], [F.desc("number")], 1, "_r").drop("_r")
+    sets = parts.select("_regs").distinct().withColumn("_reg", F.explode("_regs"))
+    best = top_k(sets.join(last, "_reg"), ["_regs", "at"], [F.desc("number")], 1, "_r").drop("_r", "_reg")
+    best = checkpointed(best.withColumn("_day", F.coalesce(F.unix_date(F.to_date("at")).cast("long"), F.lit(-far - 1))))
+    if best.count() <= MOST_SENT:
+        best = F.broadcast(best)
+    j = best.join(parts, "_regs").where((F.col("_lo") <= F.col("_day")) & (F.col("_day") < F.col("_end")))
+    return j.drop("_regs", "_day", "_lo", "_end")
 
 
 def disjoint_blocks(blocks: DataFrame) -> DataFrame:
