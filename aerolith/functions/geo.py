@@ -29,12 +29,12 @@ def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
 
 
 def bearing(lat1, lon1, lat2, lon2) -> Column:
-    """Initial bearing in [0, 360)."""
+    """Initial bearing in [0, 360). The turns added are two, so that what is left of a sine of zero does not make due north 359.99…."""
     lat1, lon1, lat2, lon2 = map(col, (lat1, lon1, lat2, lon2))
     p1, p2, dl = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
     y = F.sin(dl) * F.cos(p2)
     x = F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(dl)
-    return F.pmod(F.degrees(F.atan2(y, x)) + 360.0, F.lit(360.0))
+    return F.pmod(F.degrees(F.atan2(y, x)) + 720.0, F.lit(360.0))
 
 
 def forward(lat, lon, heading, km) -> Column:
@@ -48,12 +48,12 @@ def forward(lat, lon, heading, km) -> Column:
 
 def angle_diff(a, b) -> Column:
     """Signed smallest turn from a to b, in (-180, 180]."""
-    d = F.pmod(col(b) - col(a) + 180.0, F.lit(360.0)) - 180.0
+    d = F.pmod(col(b) - col(a) + 540.0, F.lit(360.0)) - 180.0
     return F.when(d == -180.0, F.lit(180.0)).otherwise(d)
 
 
 def angle_between(a, b) -> Column:
-    return F.abs(F.pmod(col(a) - col(b) + 180.0, F.lit(360.0)) - 180.0)
+    return F.abs(F.pmod(col(a) - col(b) + 180.0 + 720.0, F.lit(360.0)) - 180.0)
 
 
 def cross_along(lat1, lon1, lat2, lon2, lat, lon) -> Column:

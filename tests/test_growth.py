@@ -1,8 +1,10 @@
-"""Steps whose work must grow no faster than their input, held against plain loops."""
+"""Steps whose work must grow no faster than their input, held against plain loops; angles at their limits."""
 
 import datetime as dt
 
+from aerolith.functions import geo
 from aerolith.operators import registry as rg
+from pyspark.sql import functions as F
 
 
 def test_occurrences_meet_airframes_once(spark):
@@ -23,3 +25,11 @@ def test_occurrences_meet_airframes_once(spark):
     assert got.count() == len(want)
     # nothing is sorted out after the join of marks
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bearing_over_the_pole_is_due_north(spark):
+    rows = [(-66.0, -58.0, -12.0, -58.0), (42.0, -14.0, -36.0, 166.0), (38.0, 94.0, -24.0, -86.0), (-58.0, 166.0, -36.0, 166.0), (-40.0, -140.0, 30.0, 40.0), (56.0, 68.0, 42.0, 68.0), (48.0, -30.0, -10.0, 150.0), (10.0, -170.0, 20.0, 10.0)]
+    p = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    turns = p.select(F.explode(F.array(*map(F.lit, (80.0, 100.0, 260.0, 280.0)))).alias("track"), geo.bearing("a", "b", "c", "d").alias("br"))
+    assert turns.where(F.abs(geo.angle_diff("track", "br")) == 100).count() == 2 * len(rows)
+    assert turns.where(geo.angle_between("br", "track") == 100).count() == 2 * len(rows)
