@@ -3,7 +3,9 @@
 import datetime as dt
 
 from aerolith.functions import geo
+from aerolith.operators import estimate as es
 from aerolith.operators import registry as rg
+from aerolith.operators import windows as wi
 from pyspark.sql import functions as F
 
 
@@ -33,3 +35,36 @@ def test_bearing_over_the_pole_is_due_north(spark):
     turns = p.select(F.explode(F.array(*map(F.lit, (80.0, 100.0, 260.0, 280.0)))).alias("track"), geo.bearing("a", "b", "c", "d").alias("br"))
     assert turns.where(F.abs(geo.angle_diff("track", "br")) == 100).count() == 2 * len(rows)
     assert turns.where(geo.angle_between("br", "track") == 100).count() == 2 * len(rows)
+
+
+def test_legs_without_an_end_come_last_of_equals(spark):
+    rows = [("aa", "AAX1", dt.date(2020, 1, 1), "A01", x, 5, None) for x in (None, "A02", "A03")]
+    legs = spark.createDataFrame(rows, "hex string, callsign string, date date, org string, dst string, dep_ts long, arr_ts long")
+    assert [r["dst"] for r in wi.recent(legs, ["hex"], 3).orderBy("rank").collect()] == ["A02", "A03", None]
+
+
+def test_equal_ocean_tracks_are_met_once(spark, monkeypatch):
+    path = [{"lat": 50.0 + i / 10, "lon": -70.0 + 10 * i} for i in range(8)]
+    tracks = spark.createDataFrame([("E", [320, 380], [], path, 0.0, 86400.0)] * 40 + [("E", [320, 380], [], path[:7], 0.0, 86400.0)], "direction string, east_levels array<int>, west_levels array<int>, path array<struct<lat:double,lon:double>>, valid_from double, valid_to double")
+    points = spark.createDataFrame([("aa", 100.0, 50.25, -45.0, 35000, 90.0), ("bb", 90000.0, 50.25, -45.0, 35000, 90.0)], "hex string, t double, lat double, lon double, alt_ft int, track double")
+    seen = []
+    monkeypatch.setattr(es, "tracks_active", lambda m, p, at: seen.append(m.count()) or rg.tracks_active(m, p, at))
+    got = {r["hex"]: r["waypoints"] and len(r["waypoints"]) for r in es.match_ocean_track(points, tracks, ["hex", "t"]).collect()}
+    assert seen == [2] and got == {"aa": 4, "bb": None}
+
+
+def test_messages_of_one_period_travel_together(spark):
+    m = spark.range(2500).selectExpr("id", "cast(id % 2 * 40000 as double) as valid_from", "cast(id % 2 * 40000 + 90000 as double) as valid_to")
+    p = spark.createDataFrame([("a", 0.0), ("b", 40000.0), ("c", 90001.0), ("d", 130001.0)], "hex string, t double")
+    got = rg.tracks_active(m, p, "t")
+    assert got.columns == ["hex", "t", "id", "valid_from", "valid_to"]
+    assert {r["hex"]: (r["n"], r["u"]) for r in got.groupBy("hex").agg(F.count("id").alias("n"), F.countDistinct("id").alias("u")).collect()} == {"a": (1250, 1250), "b": (2500, 2500), "c": (1250, 1250)}
+    assert "explode(_m" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_have_arrived_cost_no_more_steps(monkeypatch):
+    sizes, forward = [], es._rad_forward
+    monkeypatch.setattr(es, "_rad_forward", lambda lat, *x: sizes.append(len(lat)) or forward(lat, *x))
+    dts = [60.0] * 50 + [28800.0]
+    out = es.converge([50.0] * 51, [0.0] * 51, [90.0] * 51, [480.0] * 51, dts, [50.0] * 51, [120.0] * 51)
+    assert out["lat"].notna().all() and sum(sizes) == 50 * 2 + 960
