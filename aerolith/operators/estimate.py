@@ -55,22 +55,21 @@ def converge(lat, lon, track, gs, dt, dest_lat, dest_lon) -> pd.DataFrame:
     All rows step together in half-minute steps; a row that arrives or runs out of time stops."""
     lat, lon, head, gs, dt, tla, tlo = (np.array(x, float) for x in (lat, lon, track, gs, dt, dest_lat, dest_lon))
     speed, t, most = gs * geo.KT_TO_KMS, 0.0, TURN_DEG_PER_MIN * STEP_S / 60
-    live = np.isfinite(lat + lon + head + gs + dt + tla + tlo)
-    bad, arrived = ~live, np.zeros(len(lat), bool)
-    while (go := live & (t < dt)).any():
-        step = np.where(go, np.minimum(STEP_S, dt - t), 0.0)
-        there = go & (_rad_haversine(lat, lon, tla, tlo) <= speed * step)
-        lat, lon = np.where(there, tla, lat), np.where(there, tlo, lon)
-        arrived |= there
-        live = live & ~there
-        go &= ~there
+    bad, arrived = ~np.isfinite(lat + lon + head + gs + dt + tla + tlo), np.zeros(len(lat), bool)
+    go = np.flatnonzero(~bad & (dt > 0))  # the rows still on their way; only these are worked on
+    while len(go):
+        step = np.minimum(STEP_S, dt[go] - t)
+        there = _rad_haversine(lat[go], lon[go], tla[go], tlo[go]) <= speed[go] * step
+        done = go[there]
+        lat[done], lon[done], arrived[done] = tla[done], tlo[done], True
+        go, step = go[~there], step[~there]
         if t >= HOLD_S:
-            turn = (_rad_bearing(lat, lon, tla, tlo) - head + 180) % 360 - 180
+            turn = (_rad_bearing(lat[go], lon[go], tla[go], tlo[go]) - head[go] + 180) % 360 - 180
             turn = np.where(turn == -180, 180, turn)
-            head = np.where(go, (head + np.clip(turn, -most, most)) % 360, head)
-        la, lo = _rad_forward(lat, lon, head, speed * step)
-        lat, lon = np.where(go, la, lat), np.where(go, lo, lon)
+            head[go] = (head[go] + np.clip(turn, -most, most)) % 360
+        lat[go], lon[go] = _rad_forward(lat[go], lon[go], head[go], speed[go] * step)
         t += STEP_S
+        go = go[dt[go] > t]
     left = np.where(arrived, 0.0, _rad_haversine(lat, lon, tla, tlo))
     out = pd.DataFrame({"lat": lat, "lon": lon, "heading": head, "remaining_km": left})
     out[bad] = np.nan
@@ -149,13 +148,13 @@ def match_ocean_track(points: DataFrame, tracks: DataFrame, key: list[str], at:
     """Add `waypoints`: the points still ahead of the published track that an aircraft flies; null if it flies none.
 
     tracks(direction, east_levels, west_levels, path, valid_from, valid_to); only those in force at the point's instant
-    `at` count, a few dozen, which a point meets by its day."""
+    `at` count, a few dozen, which a point meets by its day. Tracks published again in the same words are one."""
     d = direction("track")
     fl = F.round(F.col("alt_ft") / 100.0)
     west = F.col("direction") == "W"
     t = tracks.withColumn("_lv", F.when(west, F.col("west_levels")).otherwise(F.col("east_levels"))).where("size(_lv) > 0")
     ordered = F.when(west, F.reverse(F.array_sort(F.transform("path", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))))).otherwise(F.array_sort(F.transform("path", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))))
-    t = t.select(F.col("direction").alias("_way_of"), F.array_min("_lv").alias("_lo"), F.array_max("_lv").alias("_hi"), ordered.alias("pts"), "valid_from", "valid_to")
+    t = t.select(F.col("direction").alias("_way_of"), F.array_min("_lv").alias("_lo"), F.array_max("_lv").alias("_hi"), ordered.alias("pts"), "valid_from", "valid_to").distinct()
     j = tracks_active(t, points.withColumn("direction", d).where(d.isNotNull()), at).where("direction = _way_of").where(fl.between(F.col("_lo") - NAT_LEVEL_SLACK, F.col("_hi") + NAT_LEVEL_SLACK))
     first = F.element_at("pts", 1)
     isw = F.col("direction") == "W"
