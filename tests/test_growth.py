@@ -6,6 +6,7 @@ from aerolith.functions import geo
 from aerolith.operators import estimate as es
 from aerolith.operators import registry as rg
 from aerolith.operators import windows as wi
+from aerolith.plans.lenses import lens
 from pyspark.sql import functions as F
 
 
@@ -68,3 +69,15 @@ def test_rows_that_have_arrived_cost_no_more_steps(monkeypatch):
     dts = [60.0] * 50 + [28800.0]
     out = es.converge([50.0] * 51, [0.0] * 51, [90.0] * 51, [480.0] * 51, dts, [50.0] * 51, [120.0] * 51)
     assert out["lat"].notna().all() and sum(sizes) == 50 * 2 + 960
+
+
+def test_lines_of_the_legs_are_joined_twice_only(spark):
+    plan = lens(spark, "/root/testdata/sf0.001", "legs")._jdf.queryExecution().optimizedPlan()
+
+    def joins(node, above):
+        above += node.nodeName() == "Join"
+        if node.children().isEmpty():
+            return [above] if "l_quantity" in node.toString() else []
+        return [n for i in range(node.children().size()) for n in joins(node.children().apply(i), above)]
+
+    assert joins(plan, 0) == [2]  # by order, which knows its customer, and by supplier
