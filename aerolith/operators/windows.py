@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,23 @@ def latest_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return top_k(df, key, [F.col(c).desc_nulls_last() for c in order], 1, "_rank").drop("_rank")
 
 
+def newest_days(rows: DataFrame, days: int, first: date | None, last: date | None, column: str = "date") -> DataFrame:
+    """The dated rows of the newest `days` days before the newest date, with some older ones, written once.
+
+    No date of `rows` lies outside first and last; the newest itself need not be known. A fixed day reaches the tables
+    below their joins, so that only rows of the last days are joined. If the newest date lies further back than twice
+    `days`, four times as many are looked at, in the end all."""
+    back = 2 * days
+    while first is not None and last is not None:
+        cut = last - timedelta(days=back)
+        part = checkpointed(rows.where(F.col(column) >= F.lit(cut)))
+        newest = part.agg(F.max(column)).first()[0]
+        if cut <= first or (newest is not None and newest - timedelta(days=days) >= cut):
+            return part
+        back *= 4
+    return rows
+
+
 def freshest_non_null(df: DataFrame, key: list[str], columns: list[str], order: list[str]) -> DataFrame:
     """Per key the newest value of each column that is not null. One aggregate, no sort."""
     newest = F.struct(*order)

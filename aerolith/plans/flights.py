@@ -243,8 +243,14 @@ ty AS (SELECT callsign, org, dst, type FROM (SELECT callsign, org, dst, type, co
 sched AS (SELECT ct.callsign, ct.org, ct.dst, substr(ct.callsign, 1, 3) AS airline_icao, dep_min, arr_min, type AS type_code, n_flights FROM ct LEFT JOIN dm USING (callsign, org, dst) LEFT JOIN ar USING (callsign, org, dst) LEFT JOIN ty USING (callsign, org, dst))"""
 
 
+def recent_legs(spark, sf, name="legs", days=60):
+    """What a timetable reads of the log: its last days. A leg's date is its line's, so the lines alone say how far they reach."""
+    first, last = spark.read.parquet(f"{sf.rstrip('/')}/lineitem.parquet").agg(F.min("l_shipdate").cast("date"), F.max("l_shipdate").cast("date")).first()
+    return wi.newest_days(lens(spark, sf, name), days, first, last)
+
+
 def schedule(spark, sf):
-    return sc.infer_schedule(lens(spark, sf, "legs"), lens(spark, sf, "airports"))
+    return sc.infer_schedule(recent_legs(spark, sf), lens(spark, sf, "airports"))
 
 
 def schedule_once(spark, sf):
@@ -268,7 +274,7 @@ SHUTTLES = "legs AS (SELECT * FROM shuttles)"
 
 def shuttle_schedule(spark, sf):
     """The timetable of flights that an airline flies under one number, often enough for weekday slots."""
-    return sc.infer_schedule(lens(spark, sf, "shuttles"), lens(spark, sf, "airports"))
+    return sc.infer_schedule(recent_legs(spark, sf, "shuttles"), lens(spark, sf, "airports"))
 
 
 @R.add(f"WITH {SHUTTLES}, {WEEKDAYS} SELECT callsign, org, dst, cast(weekday AS int) AS weekday, dep_min AS dep, arr FROM wk LEFT JOIN wm USING (callsign, org, dst, weekday)", "shuttles", "airports")
@@ -286,8 +292,10 @@ def schedule_full(spark, sf):
 @R.add(f"""WITH {FULL}, d AS (SELECT max(date) AS day FROM legs WHERE dst IS NOT NULL), s AS (SELECT l.callsign, l.org, l.dst, cast(extract(hour FROM timezone(z.tz, to_timestamp(dep_ts))) * 60 + extract(minute FROM timezone(z.tz, to_timestamp(dep_ts))) AS int) AS m FROM legs l JOIN d ON l.date = d.day JOIN z ON z.code = l.org)
 SELECT 'inferred' AS bucket, count(*) AS legs, count(*) FILTER (abs((m - dep_min + 720 + 1440) % 1440 - 720) <= 45) AS hits FROM s JOIN sched USING (callsign, org, dst) WHERE dep_min IS NOT NULL HAVING count(*) > 0""", "legs", "airports")
 def schedule_quality_pooled(spark, sf):
-    s = schedule(spark, sf).withColumn("weekdays", F.lit(None).cast("map<int,struct<dep:int,arr:int>>"))
-    return sc.schedule_quality(s, lens(spark, sf, "legs"), lens(spark, sf, "airports")).drop("accuracy")
+    # a day without a leg of the timetable's days has no service to be held against, so these days are all that is asked
+    legs, airports = recent_legs(spark, sf), lens(spark, sf, "airports")
+    s = sc.infer_schedule(legs, airports).withColumn("weekdays", F.lit(None).cast("map<int,struct<dep:int,arr:int>>"))
+    return sc.schedule_quality(s, legs, airports).drop("accuracy")
 
 
 @R.add(f"""WITH {SHUTTLES}, {WEEKDAYS}, d AS (SELECT max(date) AS day FROM legs WHERE dst IS NOT NULL), s AS (SELECT l.callsign, l.org, l.dst, timezone(z.tz, to_timestamp(dep_ts)) AS tm FROM legs l JOIN d ON l.date = d.day JOIN z ON z.code = l.org),
@@ -295,7 +303,8 @@ f AS (SELECT (cast(extract(hour FROM tm) * 60 + extract(minute FROM tm) AS int)
 SELECT 'inferred' AS bucket, count(*) AS legs, count(*) FILTER (abs(off) <= 45) AS hits, round_even(100.0 * count(*) FILTER (abs(off) <= 45) / count(*), 1) AS accuracy FROM f HAVING count(*) > 0""", "shuttles", "airports")
 def schedule_quality(spark, sf):
     """Departures against the timetable, weekday slots first."""
-    return sc.schedule_quality(shuttle_schedule(spark, sf), lens(spark, sf, "shuttles"), lens(spark, sf, "airports"))
+    legs, airports = recent_legs(spark, sf, "shuttles"), lens(spark, sf, "airports")
+    return sc.schedule_quality(sc.infer_schedule(legs, airports), legs, airports)
 
 
 @R.add(f"""WITH {SLOTS}, la AS (SELECT max(day) AS last FROM sg WHERE minute IS NOT NULL), tg AS (SELECT callsign, org, dst, day AS td, minute AS flown FROM sg, la WHERE day > last - 14), ask AS (SELECT DISTINCT callsign, org, dst, td FROM tg),

@@ -81,3 +81,25 @@ def test_lines_of_the_legs_are_joined_twice_only(spark):
         return [n for i in range(node.children().size()) for n in joins(node.children().apply(i), above)]
 
     assert joins(plan, 0) == [2]  # by order, which knows its customer, and by supplier
+
+
+def test_newest_days_hold_the_whole_window_however_far_back_the_newest_row_lies(spark):
+    from datetime import date, timedelta
+
+    first, last = date(1999, 1, 1), date(2001, 12, 31)
+    for newest in (last, last - timedelta(days=90), last - timedelta(days=700), first):
+        rows = spark.createDataFrame([(newest - timedelta(days=d),) for d in (0, 60, 61, 500)], "date date")
+        held = {r[0] for r in wi.newest_days(rows, 60, first, last).collect()}
+        assert {newest, newest - timedelta(days=60)} <= held
+    assert wi.newest_days(spark.createDataFrame([], "date date"), 60, first, last).count() == 0
+
+
+def test_timetable_joins_the_lines_of_its_days_only(spark, monkeypatch):
+    from aerolith.plans import flights
+
+    cut = []
+    monkeypatch.setattr(wi, "checkpointed", lambda df: cut.append(df) or df)
+    flights.recent_legs(spark, "/root/testdata/sf0.01")
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+    below = [n for n in cut[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in n and "l_shipdate" in n]
+    assert below and cut[0].count() < lines / 10
