@@ -18,13 +18,16 @@ def schedule_chain(schedule: DataFrame, dominant: float = 0.7) -> DataFrame:
 
     The link is followed over the few legs of one callsign by an array fold."""
     legs = schedule.where("org <> dst").groupBy("callsign", "org", "dst").agg(F.sum(F.coalesce("n_flights", F.lit(0))).alias("n"))
-    per = legs.groupBy("callsign").agg(F.array_sort(F.collect_list(F.struct("org", "dst", "n"))).alias("l"), F.countDistinct("org").alias("n_org"), F.countDistinct("dst").alias("n_dst"), F.sum("n").alias("total"), F.max_by(F.struct("org", "dst", "n"), F.struct("n", "org", "dst")).alias("top"))
+    # all that is asked of a callsign is read off its own few legs: one aggregate without copies of the rows
+    per = legs.groupBy("callsign").agg(F.array_sort(F.collect_list(F.struct("org", "dst", "n"))).alias("l"))
+    per = per.withColumns({"n_org": F.size(F.array_distinct("l.org")), "n_dst": F.size(F.array_distinct("l.dst")), "total": F.aggregate("l", F.lit(0).cast(legs.schema["n"].dataType), lambda t, x: t + x["n"]), "top": F.array_max(F.transform("l", lambda x: F.struct(x["n"].alias("n"), x["org"].alias("org"), x["dst"].alias("dst"))))})
     n = F.size("l")
-    starts = F.filter("l", lambda x: ~F.exists("l", lambda y: y["dst"] == x["org"]))
-    nxt = lambda at: F.try_element_at(F.filter("l", lambda y: y["org"] == at), F.lit(1))["dst"]
-    walk = F.aggregate("l", F.array(F.try_element_at(starts, F.lit(1))["org"]), lambda acc, _: F.when(nxt(F.element_at(acc, -1)).isNotNull() & (F.size(acc) <= n), F.concat(acc, F.array(nxt(F.element_at(acc, -1))))).otherwise(acc))
-    line = (F.col("n_org") == n) & (F.col("n_dst") == n) & (F.size(starts) == 1)
-    chain = F.when(n == 1, F.array(F.col("l")[0]["org"], F.col("l")[0]["dst"])).when(line & (F.size(walk) == n + 1), walk).when((F.col("total") > 0) & (F.col("top.n") / F.col("total") >= dominant), F.array("top.org", "top.dst"))
+    several = (n > 1) & (F.col("n_org") == n) & (F.col("n_dst") == n)
+    per = per.withColumn("starts", F.when(several, F.filter("l", lambda x: ~F.exists("l", lambda y: y["dst"] == x["org"]))))
+    on = lambda acc: F.transform(F.slice(F.filter("l", lambda y: y["org"] == F.element_at(acc, -1)), 1, 1), lambda y: y["dst"])
+    walk = F.aggregate("l", F.array(F.try_element_at("starts", F.lit(1))["org"]), lambda acc, _: F.concat(acc, on(acc)))
+    per = per.withColumn("walk", F.when(F.size("starts") == 1, walk))
+    chain = F.when(n == 1, F.array(F.col("l")[0]["org"], F.col("l")[0]["dst"])).when(F.size("walk") == n + 1, F.col("walk")).when((F.col("total") > 0) & (F.col("top.n") / F.col("total") >= dominant), F.array("top.org", "top.dst"))
     return per.select("callsign", chain.alias("chain")).where("chain is not null")
 
 

@@ -103,3 +103,12 @@ def test_timetable_joins_the_lines_of_its_days_only(spark, monkeypatch):
     lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
     below = [n for n in cut[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in n and "l_shipdate" in n]
     assert below and cut[0].count() < lines / 10
+
+
+def test_chains_are_one_aggregate_without_copies_of_the_rows(spark):
+    from aerolith.operators import records as rc
+
+    rows = [("A", "X", "Y", 1), ("A", "Y", "Z", 1), ("B", "X", "Y", 9), ("B", "Y", "X", 1), ("C", "X", "Y", 1), ("C", "Y", "X", 1), ("D", "X", "Y", None), ("E", "X", "Y", 7), ("E", "X", "Z", 3), ("F", "X", "X", 4), ("G", "A", "B", 1), ("G", "C", "D", 1)]
+    out = rc.schedule_chain(spark.createDataFrame(rows, "callsign string, org string, dst string, n_flights long"))
+    assert {r["callsign"]: r["chain"] for r in out.collect()} == {"A": ["X", "Y", "Z"], "B": ["X", "Y"], "D": ["X", "Y"], "E": ["X", "Y"]}
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
