@@ -112,3 +112,8 @@ def test_chains_are_one_aggregate_without_copies_of_the_rows(spark):
     out = rc.schedule_chain(spark.createDataFrame(rows, "callsign string, org string, dst string, n_flights long"))
     assert {r["callsign"]: r["chain"] for r in out.collect()} == {"A": ["X", "Y", "Z"], "B": ["X", "Y"], "D": ["X", "Y"], "E": ["X", "Y"]}
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_typed_queries_work_the_routes_out_once(spark):
+    plan = lens(spark, "/root/testdata/sf0.001", "typed")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in x and "l_suppkey" in x for x in plan.splitlines()) == 1
