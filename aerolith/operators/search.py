@@ -32,7 +32,7 @@ def item(kind: str, id_: Column, label: Column, detail: Column, score: Column) -
     return [F.lit(kind).alias("kind"), id_.alias("id"), label.alias("label"), detail.alias("detail"), score.cast("double").alias("score")]
 
 
-def _prefixed(queries: DataFrame, q: Column, table: DataFrame, value: str) -> DataFrame:
+def prefixed(queries: DataFrame, q: Column, table: DataFrame, value: str) -> DataFrame:
     """Pairs where `value` starts with q: of each value every prefix from HEAD to REACH characters meets the queries that are one; a longer query meets by its first REACH."""
     left = queries.withColumns({"_q": q}).where(F.length("_q") >= HEAD).withColumn("_h", F.substring("_q", 1, REACH))
     sizes = F.sequence(F.lit(HEAD), F.least(F.length(value), F.lit(REACH)))
@@ -48,17 +48,17 @@ def _identity(rows: DataFrame, types: DataFrame, airlines: DataFrame) -> DataFra
 
 def match_registration(queries: DataFrame, ref: DataFrame) -> DataFrame:
     """(q, hex, ..., score, step): registrations that start with the term, or without dashes once the term has a digit."""
-    plain = _prefixed(queries.where("is_aircraft"), F.col("term"), ref, "registration").withColumns({"score": F.when(F.col("registration") == F.col("term"), EXACT).otherwise(PREFIX), "step": F.lit(0)})
+    plain = prefixed(queries.where("is_aircraft"), F.col("term"), ref, "registration").withColumns({"score": F.when(F.col("registration") == F.col("term"), EXACT).otherwise(PREFIX), "step": F.lit(0)})
     bare = ref.withColumn("_bare", F.regexp_replace("registration", "-", ""))
     typed = queries.where("is_aircraft and not contains(term, '-') and term rlike '[0-9]'")
-    loose = _prefixed(typed, F.col("term"), bare, "_bare").drop("_bare").withColumns({"score": F.lit(PREFIX), "step": F.lit(1)})
+    loose = prefixed(typed, F.col("term"), bare, "_bare").drop("_bare").withColumns({"score": F.lit(PREFIX), "step": F.lit(1)})
     return plain.unionByName(loose)
 
 
 def match_hex(queries: DataFrame, ref: DataFrame) -> DataFrame:
     """Addresses that start with a term of three or more hex digits."""
     typed = queries.where("is_aircraft and term rlike '^[0-9A-F]{3,}$'")
-    return _prefixed(typed, F.lower("term"), ref, "hex").withColumns({"score": F.when(F.col("hex") == F.lower("term"), EXACT).otherwise(PREFIX), "step": F.lit(2)})
+    return prefixed(typed, F.lower("term"), ref, "hex").withColumns({"score": F.when(F.col("hex") == F.lower("term"), EXACT).otherwise(PREFIX), "step": F.lit(2)})
 
 
 def match_aircraft(queries: DataFrame, ref: DataFrame, types: DataFrame, airlines: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def match_fleet(queries: DataFrame, ref: DataFrame, types: DataFrame, airlines:
     both = queries.where("is_pair").select("q", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.get(w, F.lit(0)).alias("a"), F.get(w, F.lit(1)).alias("t")), F.struct(F.lit(1).alias("turn"), F.get(w, F.lit(1)).alias("a"), F.get(w, F.lit(0)).alias("t")))).alias("o")).select("q", "o.*")
     al = airlines.withColumn("_n", tx.fold("name"))
     codes = both.join(al.select(F.explode(F.array_compact(F.array("icao", "iata"))).alias("a"), "icao", "name"), "a")
-    names = _prefixed(both, tx.fold("a"), al, "_n").select("q", "turn", "a", "t", "icao", "name")
+    names = prefixed(both, tx.fold("a"), al, "_n").select("q", "turn", "a", "t", "icao", "name")
     who = top_k(codes.select("q", "turn", "a", "t", "icao", "name").union(names), ["q", "turn"], [F.col("name"), F.col("icao")], 1, "_r").drop("_r")
     ty = types.select("designator", F.explode(F.array_distinct(F.concat(F.array("designator"), F.split(F.upper("name"), r"[^A-Z0-9]+")))).alias("t"))
     fits = who.join(ty, "t").select("q", "turn", "icao", "designator").distinct()
@@ -97,7 +97,7 @@ def flight_prefixes(queries: DataFrame, airlines: DataFrame) -> DataFrame:
 def match_flight(queries: DataFrame, schedule: DataFrame, airlines: DataFrame) -> DataFrame:
     """Callsigns of the timetable by prefix: of each spelling the exact one and the busiest five."""
     per = schedule.groupBy("callsign").agg(F.sum("n_flights").alias("n"), F.min("org").alias("org"), F.min("dst").alias("dst"), F.count(F.lit(1)).alias("legs"))
-    j = _prefixed(flight_prefixes(queries, airlines), F.col("p"), per, "callsign").withColumn("exact", F.col("callsign") == F.col("p"))
+    j = prefixed(flight_prefixes(queries, airlines), F.col("p"), per, "callsign").withColumn("exact", F.col("callsign") == F.col("p"))
     best = top_k(j, ["q", "p"], [F.desc("exact"), F.desc("n"), F.col("callsign")], PER_KIND, "_r").where("callsign rlike '[0-9]'")
     score = F.when(F.col("exact"), EXACT).otherwise(PREFIX) + tx.lift("n")
     route = F.when(F.col("legs") == 1, F.concat_ws(" → ", "org", "dst")).otherwise(F.concat(F.col("legs"), F.lit(" legs")))
@@ -108,7 +108,7 @@ def match_flight(queries: DataFrame, schedule: DataFrame, airlines: DataFrame) -
 def match_flight_log(queries: DataFrame, legs: DataFrame, schedule: DataFrame, airlines: DataFrame) -> DataFrame:
     """Numbers that only the flight log knows, a point below; asked only of terms with a digit."""
     per = legs.where("callsign is not null").groupBy("callsign").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last")).join(schedule.select("callsign"), "callsign", "left_anti")
-    j = _prefixed(flight_prefixes(queries.where("term rlike '[0-9]'"), airlines), F.col("p"), per, "callsign")
+    j = prefixed(flight_prefixes(queries.where("term rlike '[0-9]'"), airlines), F.col("p"), per, "callsign")
     best = top_k(j, ["q", "p"], [F.desc("n"), F.col("callsign")], PER_KIND, "_r")
     score = F.when(F.col("callsign") == F.col("p"), EXACT).otherwise(PREFIX) + tx.lift("n") - 1
     return best.select("q", *item("flight", F.col("callsign"), F.col("callsign"), F.concat(F.col("n"), F.lit(" flights, last "), F.col("last").cast("string")), score))
@@ -135,7 +135,7 @@ def _name_starts(table: DataFrame, columns: list[str], codes: list[str]) -> Data
 def _classed(queries: DataFrame, table: DataFrame, key: str, columns: list[str], codes: list[str]) -> DataFrame:
     """(q, row, cls): the best way in which each row fits each query."""
     parts = _name_starts(table, columns, codes)
-    names = _prefixed(queries, F.col("folded"), parts.where("how <> 'exact'"), "text")
+    names = prefixed(queries, F.col("folded"), parts.where("how <> 'exact'"), "text")
     exact = queries.withColumn("text", F.col("term")).join(parts.where("how = 'exact'"), "text").withColumn("_q", F.col("text"))
     busy = F.col("busy") if "busy" in table.columns else F.lit(False)
     score = F.when(F.col("how") == "exact", EXACT).when(F.col("how") == "starts", PREFIX).when(busy, PREFIX).otherwise(WORD)

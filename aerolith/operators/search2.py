@@ -17,7 +17,7 @@ from aerolith.functions import text as tx
 from aerolith.functions import timeutil as tu
 from aerolith.operators.aggregates import airport_codes, airport_traffic
 from aerolith.operators.records import flying_order
-from aerolith.operators.search import without_letters
+from aerolith.operators.search import prefixed, without_letters
 from aerolith.operators.windows import interleave, top_k
 from aerolith.sources import commits
 
@@ -297,8 +297,10 @@ def score_codes(queries: DataFrame, docs: DataFrame, about: DataFrame, words_kno
     bonus = F.when(digit & (kind == "flight"), 30).when(digit & (kind == "aircraft"), 25).when(digit & (kind == "type"), 20).when(~digit & (kind == "airline") & (n == 2), 30).when(~digit & (kind == "airport") & n.isin(3, 4), 30).when(~digit & (kind == "airline") & (n == 3), 25).when(~digit & (kind == "type") & (n == 4), 25).when(~digit & (kind == "aircraft"), 20).otherwise(10)
     letters = F.col("c").rlike("^[A-Z]*$")
     score = F.when((kind == "aircraft") & letters & F.coalesce("is_word", F.lit(False)), TYPO1 - 20).when(F.col("about").isNotNull() & (F.col("about") != kind), INTENT - 3 * STEP + bonus / 10 + _lift(2.0)).otherwise(CODE + bonus + _lift(2.0))
-    frames = docs.where("kind = 'aircraft'").withColumn("_c", F.explode("codes")).withColumn("_h", F.substring("_c", 1, 3))
-    starts = typed.where(F.col("q").rlike("[0-9]") & (F.length("c") >= 3)).withColumn("_h", F.substring("code", 1, 3)).join(frames, "_h").where(F.col("_c").startswith(F.col("code"))).dropDuplicates(["q", "id"])
+    # by the whole of what is typed, not its head: a registry's marks begin alike, and all of them would meet all of them
+    frames = docs.where("kind = 'aircraft'").select("kind", "id", "label", "pop", F.explode("codes").alias("_c"))
+    begun = typed.where(F.col("q").rlike("[0-9]") & (F.length("c") >= 3)).select("q", "code")
+    starts = prefixed(begun, F.col("code"), frames, "_c").dropDuplicates(["q", "id"])
     ordered = top_k(starts, ["q"], [F.col("label"), F.col("id")], 50, "_n")
     return _offer(hit, score).unionByName(_offer(ordered, PREFIX + 20 - 0.1 * (F.col("_n") - 1)))
 

@@ -117,3 +117,16 @@ def test_chains_are_one_aggregate_without_copies_of_the_rows(spark):
 def test_typed_queries_work_the_routes_out_once(spark):
     plan = lens(spark, "/root/testdata/sf0.001", "typed")._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in x and "l_suppkey" in x for x in plan.splitlines()) == 1
+
+
+def test_marks_are_met_by_all_that_is_typed(spark):
+    from aerolith.operators import search2 as s2
+
+    docs = s2.docs_airframe(spark.createDataFrame([(f"{i:06x}", f"R-{i}", "A", "T1") for i in (1, 12, 123, 1234, 2345)], "hex string, registration string, operator_icao string, type_code string"))
+    q = spark.createDataFrame([("R-123",), ("r12",), ("R-9",)], "q string")
+    out = s2.score_codes(q, docs, q.selectExpr("upper(q) as q", "cast(null as string) as about"), q.limit(0))
+    assert {(r["q"], r["label"]) for r in out.collect()} == {("R-123", "R-123"), ("R-123", "R-1234"), ("R12", "R-12"), ("R12", "R-123"), ("R12", "R-1234")}
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "StartsWith" in x]
+    assert joins and not any("substring" in x or "= 3" in x for x in joins)
+    heads = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if ", 1, 3) AS" in x]
+    assert not heads  # no pairs by the first three letters
