@@ -160,6 +160,8 @@ def check_claims(claims: DataFrame, gaps: DataFrame, airports: DataFrame, catalo
     c = c.withColumn("timetable", outcome(F.col("told"), F.col("told_any")))
     one_end = F.explode(F.array(F.struct(F.lit("dest").alias("side"), F.col("org").alias("known"), F.col("dep_ts").alias("ts")), F.struct(F.lit("origin").alias("side"), F.col("dst").alias("known"), F.col("arr_ts").alias("ts"))))
     stamps = legs.where("callsign is not null").select("callsign", "date", one_end.alias("e")).select("callsign", "date", "e.*").where("ts is not null and known is not null")
+    # only the ends that a question names are looked up, and sorted, at all
+    stamps = stamps.join(gaps.select("callsign", "side", "known").distinct(), ["callsign", "side", "known"], "left_semi")
     times = top_k(stamps, ["callsign", "side", "known"], [F.desc("date"), F.desc("ts")], 30, "_r").groupBy("callsign", "side", "known").agg(F.collect_list("ts").alias("log_ts"))
     c = c.join(times, ["callsign", "side", "known"], "left")
     given = F.when(F.size(F.coalesce("known_ts", F.array().cast("array<bigint>"))) > 0, F.col("known_ts")).otherwise(F.coalesce("log_ts", F.array().cast("array<bigint>")))

@@ -130,3 +130,10 @@ def test_marks_are_met_by_all_that_is_typed(spark):
     assert joins and not any("substring" in x or "= 3" in x for x in joins)
     heads = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if ", 1, 3) AS" in x]
     assert not heads  # no pairs by the first three letters
+
+
+def test_only_times_of_the_ends_that_are_asked_for_are_ranked(spark):
+    from aerolith.plans import sky
+
+    plan = sky._checked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("LeftSemi" in x and "side" in x for x in plan)
