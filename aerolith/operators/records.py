@@ -129,10 +129,12 @@ def airframe_record(hexes: DataFrame, ref: DataFrame, airlines: DataFrame, types
     return base.join(log, "hex", "left").join(sp, "airframe_id", "left").join(ev, "airframe_id", "left").join(st, "airframe_id", "left")
 
 
-def flight_record(callsigns: DataFrame, legs: DataFrame, schedule: DataFrame, routes: DataFrame, catalog: DataFrame, today: Column) -> DataFrame:
-    """Route and its source, legs with times, tails and newest operations of each callsign."""
-    keys = callsigns.select("callsign").distinct()
-    mine = legs.join(keys, "callsign", "left_semi")
+def flight_record(callsigns: DataFrame | None, legs: DataFrame, schedule: DataFrame, routes: DataFrame, catalog: DataFrame, today: Column) -> DataFrame:
+    """Route and its source, legs with times, tails and newest operations of each callsign; None asks for every one of the log.
+
+    All of it groups by callsign, which flies a few legs a day at most: legs dealt by callsign are not shuffled again."""
+    keys = (legs.where("callsign is not null") if callsigns is None else callsigns).select("callsign").distinct()
+    mine = legs.where("callsign is not null") if callsigns is None else legs.join(keys, "callsign", "left_semi")
     seen = published_legs_beside(ag.flight_legs(mine).drop("rank"), schedule.join(keys, "callsign", "left_semi"))
     timed = seen.join(schedule.select("callsign", "org", "dst", "dep_min", "arr_min", "weekdays", "flight"), ["callsign", "org", "dst"], "left")
     timed = timed.withColumns({"dep": tu.hhmm("dep_min"), "arr": tu.hhmm("arr_min"), "days_apart": tu.weekday_times("weekdays")})

@@ -137,3 +137,10 @@ def test_only_times_of_the_ends_that_are_asked_for_are_ranked(spark):
 
     plan = sky._checked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert any("LeftSemi" in x and "side" in x for x in plan)
+
+
+def test_flight_records_read_the_log_once(spark):
+    from aerolith.plans import details
+
+    plan = details.flight_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Relation" in x and "l_suppkey" in x for x in plan)
