@@ -181,34 +181,45 @@ def zone_cells(zones: DataFrame, grid: float = 1) -> DataFrame:
     xs = [F.when(flat, F.col(x)).otherwise(at(y)) for x, y in (("x1", low), ("x2", high))]
     touched = passed.withColumn("cx", F.explode(F.sequence(column(F.least(*xs) - 1e-9), column(F.greatest(*xs) + 1e-9))))
     edges = touched.groupBy("zone", "cx", "cy").agg(F.collect_list(F.struct("y1", "x1", "y2", "x2")).alias("edges"))
-    out = cells.join(edges, ["zone", "cx", "cy"], "left").where(F.col("inside") | F.col("edges").isNotNull())
+    out = cells.join(edges.hint("merge"), ["zone", "cx", "cy"], "left").where(F.col("inside") | F.col("edges").isNotNull())
     return out.select("zone", "tz", "cx", "cy", "inside", F.coalesce("edges", F.array().cast("array<struct<y1:double,x1:double,y2:double,x2:double>>")).alias("edges"))
 
 
-def _odd_crossings(grid: float) -> Column:
-    """Whether the way from a point to its cell's lower right corner (along its row to the cell's right side, then down)
-    crosses an odd number of the cell's edges. Points on a border fall as they do in `point_in_zone`."""
-    x, y = F.col("lon"), F.col("lat")
-    right, low = (F.col("cx") + 1) * grid - 180, F.col("cy") * grid - 90
+def _held(grid: float):
+    """Per row of one cell and one zone: the codes of its points that the zone holds, with its name."""
+    import numpy as np
+    import pyarrow as pa
 
-    def crossed(e: Column) -> Column:
-        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        along = ((e["y1"] > y) != (e["y2"] > y)) & (x < at) & ~(right < at)
-        up = (e["y2"] - e["y1"]) * (right - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)) + e["y1"]
-        down = ((e["x1"] > right) != (e["x2"] > right)) & ((up > low) != (up > y))
-        return F.coalesce(along.cast("int"), F.lit(0)) + F.coalesce(down.cast("int"), F.lit(0))
+    from aerolith.functions.crossings import odd_crossings
 
-    return F.aggregate("edges", F.lit(0), lambda n, e: n + crossed(e)) % 2 == 1
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tz, cx, cy, inside = (batch.column(c)[i].as_py() for c in ("tz", "cx", "cy", "inside"))
+                edges, points = (batch.column(c)[i].values for c in ("edges", "points"))
+                codes = points.field("code")
+                if len(edges):
+                    numbers = [s.field(k).to_numpy(zero_copy_only=False) for s, names in ((edges, ("y1", "x1", "y2", "x2")), (points, ("lat", "lon"))) for k in names]
+                    codes = codes.filter(pa.array(odd_crossings(*numbers, (cx + 1) * grid - 180, cy * grid - 90) != inside))
+                if len(codes):
+                    yield pa.RecordBatch.from_arrays([codes, pa.array(np.full(len(codes), tz, object), pa.string())], names=["code", "tz"])
 
+    return run
 
-def zone_from_polygon(airports: DataFrame, zones: DataFrame, grid: float = 1) -> DataFrame:
+
+def zone_from_polygon(airports: DataFrame, zones: DataFrame, grid: float = 1, most_points: int = 1 << 16) -> DataFrame:
     """Add `tz` by the polygon that holds a point; zones(tz, ring ARRAY<STRUCT<lat, lon>>). Ocean zones (Etc/) give null.
 
-    A point in a cell that lies inside a zone is decided by the cell alone; in a border cell only that cell's edges are
-    tested (`zone_cells`)."""
-    points = airports.where("lat is not null and lon is not null").select("code", "lat", "lon", F.floor((F.col("lon") + 180) / grid).alias("cx"), F.floor((F.col("lat") + 90) / grid).alias("cy"))
-    hit = points.join(zone_cells(zones, grid), ["cx", "cy"]).where(F.col("inside") != _odd_crossings(grid))
-    best = hit.groupBy("code").agg(F.min("tz").alias("tz")).withColumn("tz", F.when(~F.col("tz").startswith("Etc/"), F.col("tz")))
+    A point in a cell that lies inside a zone is decided by the cell alone; in a border cell only that cell's edges matter
+    (`zone_cells`). The points of a cell, `most_points` at once, meet them together, sorted (`odd_crossings`)."""
+    points = airports.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").select("code", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.floor((F.col("lon") + 180) / grid).alias("cx"), F.floor((F.col("lat") + 90) / grid).alias("cy"))
+    part = F.floor((F.row_number().over(Window.partitionBy("cx", "cy").orderBy("lat")) - 1) / most_points)
+    dealt = points.withColumn("part", part).groupBy("cx", "cy", "part").agg(F.collect_list(F.struct("code", "lat", "lon")).alias("points"))
+    tasks = int(airports.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a cell's work is not told by its bytes: tasks are not merged
+    cells = zone_cells(zones, grid).repartition(tasks, "cx", "cy")
+    met = cells.join(dealt.hint("merge"), ["cx", "cy"]).select("tz", "cx", "cy", "inside", "edges", "points")
+    code = airports.select("code").schema["code"].dataType.simpleString()
+    best = met.mapInArrow(_held(grid), f"code {code}, tz string").groupBy("code").agg(F.min("tz").alias("tz")).withColumn("tz", F.when(~F.col("tz").startswith("Etc/"), F.col("tz")))
     return airports.join(best, "code", "left")
 
 
