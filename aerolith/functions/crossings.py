@@ -37,9 +37,6 @@ def odd_crossings(y1: np.ndarray, x1: np.ndarray, y2: np.ndarray, x2: np.ndarray
     Every edge keeps the rows (points by latitude) in which it can matter, cut into ranges of 1, 2, 4, ... rows. Within a
     range edges that do not cross have one order from left to right, in which a point finds its place by halving. Ranges
     whose edges cross are tested pair by pair."""
-    turned = (x1 > right) != (x2 > right)
-    up = np.sort((y2 - y1)[turned] * (right - x1[turned]) / (x2 - x1)[turned] + y1[turned])
-    n = np.zeros(len(lat), np.int64)
     order = np.argsort(lat, kind="stable")
     y, x = lat[order], np.minimum(lon[order], right)
 
@@ -47,18 +44,31 @@ def odd_crossings(y1: np.ndarray, x1: np.ndarray, y2: np.ndarray, x2: np.ndarray
         return (x2[e] - x1[e]) * (y - y1[e]) / (y2[e] - y1[e]) + x1[e]
 
     a, b = np.searchsorted(y, np.minimum(y1, y2)), np.searchsorted(y, np.maximum(y1, y2))  # rows that an edge passes
+    rising = (x2 > x1) == (y2 > y1)
+
+    def past(edges, t):  # the first row of each edge where it is right of t, or no longer; its place never turns along the rows
+        return _first(a[edges], b[edges], lambda i, m: (at(edges[i], y[m]) > t) == rising[edges[i]])
+
+    # an edge through the side crosses it above a row if its far end lies above, unless it is right of the side in the row:
+    # told by the same places as the rest, so that what rounding does to them is the same everywhere
+    turned = np.flatnonzero((x1 > right) != (x2 > right))
+    far = np.where(x1 > right, y1, y2)[turned]
+    below = turned[(y1[turned] > low) != (y2[turned] > low)]
+    n = (far > low).sum() + (at(below, low) > right).sum() + len(far) - np.searchsorted(np.sort(far), y, "right")
+    turned = turned[a[turned] < b[turned]]
+    side = past(turned, right)
+    starts, stops = np.where(rising[turned], side, a[turned]), np.where(rising[turned], b[turned], side)
+    n += np.cumsum(np.bincount(starts, minlength=len(y) + 1) - np.bincount(stops, minlength=len(y) + 1))[:-1]
     edges = np.flatnonzero(a < b)
     if len(edges) * len(y) <= PAIRS:
         _all_pairs(at, edges, a, b, np.arange(len(y)), y, x, right, n)
-    else:  # only rows where the edge is left of the side and right of the first point; its place never turns along the rows
-        rising = ((x2 > x1) == (y2 > y1))[edges]
-        beyond = lambda t: _first(a[edges], b[edges], lambda i, m: (at(edges[i], y[m]) > t) == rising[i])
-        left, side = beyond(x.min()), beyond(right)
-        a[edges], b[edges] = np.where(rising, left, side), np.where(rising, side, left)
+    else:  # only rows where the edge is left of the side and right of the first point
+        left, side = past(edges, x.min()), past(edges, right)
+        a[edges], b[edges] = np.where(rising[edges], left, side), np.where(rising[edges], side, left)
         _by_ranges(at, edges[a[edges] < b[edges]], a, b, y, x, right, n)
     out = np.empty(len(lat), bool)
     out[order] = n % 2 == 1
-    return out ^ ((np.searchsorted(up, low, "right") + np.searchsorted(up, lat, "right")) % 2 == 1)
+    return out
 
 
 def _by_ranges(at, edges: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray, x: np.ndarray, right: float, n: np.ndarray) -> None:
@@ -89,8 +99,8 @@ def _by_ranges(at, edges: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarra
             i = np.flatnonzero((k >= s) & (k < t))
             while len(i):
                 place = at(e[k[i]], y[rows[i]])
-                past = place > x[rows[i]]
-                n[rows[i]] += past if step < 0 else -(~past).astype(np.int64)
+                seen = place > x[rows[i]]
+                n[rows[i]] += seen if step < 0 else -(~seen).astype(np.int64)
                 i = i[np.abs(place - x[rows[i]]) <= NEAR]
                 k[i] += step
                 i = i[(k[i] >= s[i]) & (k[i] < t[i])]

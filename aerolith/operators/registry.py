@@ -169,7 +169,10 @@ def zone_cells(zones: DataFrame, grid: float = 1) -> DataFrame:
     # where edges cross the lower line of each row of cells; a corner is inside if it has an odd number of them to its right
     lines = e.withColumn("cy", F.explode(F.sequence(row(F.col("lo")), row(F.col("hi"))))).withColumn("y", F.col("cy") * grid - 90)
     lines = lines.where((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y")))
-    beyond = lines.select("zone", "cy", (F.ceil((at(F.col("y")) + 180) / grid) - 1).alias("cx")).groupBy("zone", "cy", "cx").agg(F.count(F.lit(1)).alias("n"))
+    lines = lines.withColumn("x", at(F.col("y"))).withColumn("cx", F.ceil((F.col("x") + 180) / grid) - 1)
+    corner = lambda c: (c + 1) * grid - 180
+    exact = F.col("cx") + F.when(F.col("x") > corner(F.col("cx")), 1).when(F.col("x") <= corner(F.col("cx") - 1), -1).otherwise(0)  # the sum above is rounded
+    beyond = lines.select("zone", "cy", exact.alias("cx")).groupBy("zone", "cy", "cx").agg(F.count(F.lit(1)).alias("n"))
     reach = e.groupBy("zone", "tz").agg(row(F.min("lo")).alias("r1"), row(F.max("hi")).alias("r2"), column(F.min(F.least("x1", "x2"))).alias("c1"), column(F.max(F.greatest("x1", "x2"))).alias("c2"))
     cells = reach.withColumn("cy", F.explode(F.sequence("r1", "r2"))).withColumn("cx", F.explode(F.sequence("c1", "c2"))).select("zone", "tz", "cx", "cy")
     right = Window.partitionBy("zone", "cy").orderBy(F.desc("cx")).rowsBetween(Window.unboundedPreceding, -1)

@@ -152,19 +152,19 @@ def test_points_of_a_cell_find_their_place_among_its_edges(monkeypatch):
 
     def plain(y1, x1, y2, x2, lat, lon, right, low):
         with np.errstate(all="ignore"):
-            y, x = lat[:, None], lon[:, None]
-            at, up = (x2 - x1) * (y - y1) / (y2 - y1) + x1, (y2 - y1) * (right - x1) / (x2 - x1) + y1
-            along = ((y1 > y) != (y2 > y)) & (x < at) & ~(right < at)
-            down = ((x1 > right) != (x2 > right)) & ((up > low) != (up > y))
-        return (along.sum(1) + down.sum(1)) % 2 == 1
+            at = lambda y: (x2 - x1) * (y - y1) / (y2 - y1) + x1
+            seen = lambda y, x: ((y1 > y) != (y2 > y)) & (x < at(y))
+            return (seen(lat[:, None], lon[:, None]).sum(1) + seen(low, right).sum()) % 2 == 1
 
     r, pairs, every = np.random.default_rng(5), [], cr._all_pairs
     monkeypatch.setattr(cr, "_all_pairs", lambda at, edges, a, b, points, *rest: pairs.append(len(edges) * len(points)) or every(at, edges, a, b, points, *rest))
 
+    def closed(y, x):
+        return y, x, np.roll(y, -1), np.roll(x, -1)
+
     def ragged(n):
         k, out = np.arange(n), r.uniform(0.2, 1.5, n)
-        y, x = 0.3 + out * np.sin(2 * np.pi * k / n), 0.4 + out * np.cos(2 * np.pi * k / n)
-        return y, x, np.roll(y, -1), np.roll(x, -1)
+        return closed(0.3 + out * np.sin(2 * np.pi * k / n), 0.4 + out * np.cos(2 * np.pi * k / n))
 
     edges, spots = ragged(3000), r.uniform(0, 1, (2, 2000))
     assert (cr.odd_crossings(*edges, *spots, 1.0, 0.0) == plain(*edges, *spots, 1.0, 0.0)).all()
@@ -173,7 +173,7 @@ def test_points_of_a_cell_find_their_place_among_its_edges(monkeypatch):
     monkeypatch.setattr(cr, "PAIRS", 64)
     near = lambda e, n: (e[0][:n] * 0.5 + e[2][:n] * 0.5, e[1][:n] * 0.5 + e[3][:n] * 0.5)
     star = ragged(300)
-    for e, (lat, lon) in ((star, near(star, 200)), (star, (star[0], star[1])), (r.uniform(-1, 2, (4, 200)), r.uniform(0, 1, (2, 300))), (np.round(r.uniform(-1, 2, (4, 200)) * 4) / 4, np.round(r.uniform(0, 1, (2, 300)) * 8) / 8)):
+    for e, (lat, lon) in ((star, near(star, 200)), (star, (star[0], star[1])), (closed(*r.uniform(-1, 2, (2, 200))), r.uniform(0, 1, (2, 300))), (closed(*np.round(r.uniform(-1, 2, (2, 200)) * 4) / 4), np.round(r.uniform(0, 1, (2, 300)) * 8) / 8)):
         in_cell = (lat >= 0) & (lat < 1) & (lon >= 0) & (lon < 1)
         spots = lat[in_cell], lon[in_cell]
         assert (cr.odd_crossings(*e, *spots, 1.0, 0.0) == plain(*e, *spots, 1.0, 0.0)).all()
@@ -191,3 +191,13 @@ def test_zones_are_met_by_cells_without_testing_all_pairs(spark):
     held = p.where("not isnan(lat) and not isnan(lon)").join(z).where(rg.point_in_zone("lat", "lon", "ring")).groupBy("code").agg(F.min("tz").alias("tz"))
     want = {r["code"]: r["tz"] for r in p.select("code").join(held, "code", "left").collect()}
     assert whole == dealt == want and len(set(want.values())) == 3
+
+
+def test_corners_of_a_ring_on_a_corner_of_the_grid(spark):
+    import math
+
+    ring = [(5 + (3 + k % 7 / 7) * math.sin(2 * math.pi * k / 500), 5 + (3 + k % 7 / 7) * math.cos(2 * math.pi * k / 500)) for k in range(500)]
+    z = spark.createDataFrame([("A/a", ring)], "tz string, ring array<struct<lat:double,lon:double>>")
+    p = spark.createDataFrame([(k, k * 7 % 400 / 40, k * 13 % 399 / 39.9) for k in range(1500)], "code long, lat double, lon double")
+    want = {r["code"] for r in p.join(z).where(rg.point_in_zone("lat", "lon", "ring")).collect()}
+    assert {r["code"] for r in rg.zone_from_polygon(p, z).where("tz is not null").collect()} == want and 145 in want
