@@ -7,6 +7,7 @@ from aerolith.operators import estimate as es
 from aerolith.operators import registry as rg
 from aerolith.operators import windows as wi
 from aerolith.plans.lenses import lens
+from aerolith.plans.sky import tracks_in_force
 from pyspark.sql import functions as F
 
 
@@ -63,6 +64,23 @@ def test_messages_of_one_period_travel_together(spark):
     assert "explode(_m" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_points_of_a_day_travel_together_and_write_little(spark, tmp_path):
+    m = spark.range(3000).selectExpr("id", "cast(id % 14 * 7200 as double) as valid_from", "cast(id % 14 * 7200 + if(id % 14 = 13, -1, 43200) as double) as valid_to")
+    p = spark.range(4500).selectExpr("concat('h', id % 50) as hex", "cast(if(id % 100 = 99, null, id * 7919 % 4500 * 30) as double) as t").repartition(3)
+    stamped = [d.withColumns({c: F.timestamp_seconds(c) for c in d.columns if d.schema[c].dataType.simpleString() == "double"}) for d in (m, p)]
+    digest = lambda d: d.agg(F.count("*"), *[F.sum(F.xxhash64(*[F.col(c).cast(k) for c, k in kinds]).cast("decimal(38,0)")) for kinds in [[("hex", "string"), ("t", "double"), ("id", "long"), ("valid_from", "double"), ("valid_to", "double")]]]).first()
+    want = digest(p.join(m, F.col("t").between(F.col("valid_from"), F.col("valid_to"))))
+    size = lambda d, name: d.write.parquet(f"{tmp_path}/{name}") or sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+    packed = rg.tracks_active(m, p, "t", lots=2)
+    assert want[0] > 1_000_000 and digest(packed) == want and digest(rg.tracks_active(*stamped, "t", lots=3)) == want
+    assert packed.columns == rg.tracks_active(m, p, "t").columns
+    assert size(packed.select("hex", "t", "id"), "packed") * 4 < size(rg.tracks_active(m, p, "t").select("hex", "t", "id"), "plain")
+    query = tracks_in_force(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "inline(filter(_p" in query and "Broadcast" not in query
+    stages = packed._jdf.queryExecution().executedPlan().toString().split("Generate inline(filter")  # a lambda is not compiled into the join's loop
+    assert len(stages) == 2 and "Generate explode(_m" in stages[0]
+
+
 def test_rows_that_have_arrived_cost_no_more_steps(monkeypatch):
     sizes, forward = [], es._rad_forward
     monkeypatch.setattr(es, "_rad_forward", lambda lat, *x: sizes.append(len(lat)) or forward(lat, *x))
